@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, line_dedup, transport_stream
+from spindrift.llm import bpe, line_dedup, simhash, toxicity, transport_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), ranks_path(), ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.to_media(table(spark, sf_dir, "documents"), media=False)
 
@@ -55,9 +60,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op6_transport_stream": op6_transport_stream,
     "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
