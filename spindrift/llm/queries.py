@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, line_dedup, simhash, toxicity, transport_stream
+from spindrift.llm import bpe, decontaminate, html_extract, line_dedup, nbsvm, simhash, substring_dedup, toxicity, transport_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), ranks_path(), ids=False)
 
@@ -33,10 +37,40 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), text=False)
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS phrase
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS p FROM w WHERE len(ws) >= 13)),
+owners AS (SELECT phrase, min(doc_id) AS owner FROM windows GROUP BY phrase HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, list(p) AS ps FROM windows JOIN owners USING (phrase) WHERE doc_id > owner GROUP BY doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 12)) AS q FROM (SELECT doc_id, unnest(ps) AS p FROM hits)),
+gone AS (SELECT doc_id, list(q) AS qs FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, ws, coalesce(len(qs), 0) AS n_removed,
+         CASE WHEN qs IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(qs, i)) END AS ks
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.to_media(table(spark, sf_dir, "documents"), media=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score_texts(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -66,10 +100,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_transport_stream": op6_transport_stream,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
