@@ -172,18 +172,23 @@ class Index:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per contaminated pair: id, item, coverage, n_tiles, n_words."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[tuple[pa.Array, Index]]:
+    """(ids, seeds) of the benchmark, a bounded block at a time."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    schema = StructType([docs.schema[id_col], StructField(item_col, benchmark.schema[item_col].dataType), StructField("coverage", DoubleType()), StructField("n_tiles", IntegerType()), StructField("n_words", IntegerType())])
-    out = None
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        rows = sorted(own.collect(), key=lambda r: (r.item is None, r.item, r.t))
-        shipped = spark.sparkContext.broadcast((pa.array([r.item for r in rows]), Index([r.t for r in rows])))
+        rows = sorted(own.collect(), key=lambda r: (r.item is None, r.item or 0, r.t))
+        yield pa.array([r.item for r in rows]), Index([r.t for r in rows])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per contaminated pair: id, item, coverage, n_tiles, n_words."""
+    schema = StructType([docs.schema[id_col], StructField(item_col, benchmark.schema[item_col].dataType), StructField("coverage", DoubleType()), StructField("n_tiles", IntegerType()), StructField("n_words", IntegerType())])
+    out = None
+    for block in _blocks(benchmark, item_col, item_text, block_bytes):
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             names, index = shipped.value
@@ -197,3 +202,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, with their columns, that hold no benchmark item."""
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text, block_bytes):
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            index = shipped.value[1]
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for first, _, data, offsets in text_chunks(batch.column(at)):
+                    keep[[first + m[0] for m in index.matches(data, offsets, coverage)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, out.schema)
+    return out.toDF(*docs.columns)

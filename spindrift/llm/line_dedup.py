@@ -79,3 +79,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(id_col, text_col)
     out = apply_bitmaps(docs, dropped_lines(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
     return out.select(id_col, F.array_join("_kept", "\n").alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with its columns, dropped lines taken out of the text; texts that lose none are as they were."""
+    out = apply_bitmaps(docs, dropped_lines(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    out = out.withColumn(text_col, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
+    return out.select(*docs.columns)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontaminate, html_extract, line_dedup, nbsvm, simhash, substring_dedup, toxicity, transport_stream
+from spindrift.llm import bpe, decontaminate, html_extract, line_dedup, nbsvm, ngram_lm, simhash, substring_dedup, toxicity, transport_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), text=False)
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_transport_stream": op6_transport_stream,
     "op7_decontamination": op7_decontamination,

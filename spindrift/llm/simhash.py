@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from spindrift.llm.shared import ragged, written
 
@@ -241,13 +242,37 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reached)."""
-    prints = written(fingerprints(docs, id_col, text_col))
+def _grouped(prints: DataFrame, most: int) -> DataFrame:
+    """From (doc, fp) rows: (print, component_id, keeper): the component's smallest id and that id's fingerprint."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc").alias("low")))
     found = components(links(distinct.select("fp"), most))
     labelled = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_print = written(labelled.join(lowest, "label").select(F.col("fp").alias("print"), "component_id"))
+    first = F.min(F.struct(F.col("low").isNull().alias("missing"), "low", "fp"))
+    lowest = labelled.groupBy("label").agg(first.alias("first")).select("label", F.col("first.low").alias("component_id"), F.col("first.fp").alias("keeper"))
+    return written(labelled.join(lowest, "label").select(F.col("fp").alias("print"), "component_id", "keeper"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reached)."""
+    prints = written(fingerprints(docs, id_col, text_col))
+    by_print = _grouped(prints, most)
     out = prints.join(by_print, prints["fp"] == by_print["print"])
     return out.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
+    """The rows, with their columns, of the smallest id of each group; of rows equal in id and fingerprint, one."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    grouped = _grouped(written(fingerprints(docs, id_col, text_col)), most)
+    keepers = written(grouped.where(F.col("print") == F.col("keeper")).select(F.col("print").alias("keeper_fp"), F.col("component_id").alias("keeper_id")))
+    names = [*plain.columns, "fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint((x.as_py() or "").encode()) for x in batch.column(text_at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=names)
+
+    with_print = plain.mapInArrow(run, StructType([*plain.schema.fields]).add("fp", LongType()))
+    kept = with_print.join(keepers, (F.col("fp") == F.col("keeper_fp")) & F.col(f"c{id_at}").eqNullSafe(F.col("keeper_id")), "left_semi")
+    return kept.dropDuplicates([f"c{id_at}", "fp"]).drop("fp").toDF(*docs.columns)
