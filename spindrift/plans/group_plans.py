@@ -59,13 +59,13 @@ def win_remax(spark, d):
     return V.tokens(spark, d).withColumn("ret", ret).select("uid", "pos", r6("ret").alias("returns"), r6(F.col("ret") - 0.5 * F.col("mask")).alias("advantage"))
 
 
-@query("win_rfpp", "WITH RECURSIVE x(uid, pos, ret, carry) AS (SELECT uid, pos, reward, reward * mask FROM tokens t WHERE pos = (SELECT max(pos) FROM tokens u WHERE u.uid = t.uid) UNION ALL SELECT t.uid, t.pos, t.reward + 0.9 * x.carry, (t.reward + 0.9 * x.carry) * t.mask FROM x JOIN tokens t ON t.uid = x.uid AND t.pos = x.pos - 1) SELECT uid, pos, round(ret, 4) + 0.0 AS returns FROM x")
+@query("win_rfpp", "WITH RECURSIVE x(uid, pos, ret, carry) AS (SELECT uid, pos, reward, reward * mask FROM tokens t WHERE pos = (SELECT max(pos) FROM tokens u WHERE u.uid = t.uid) UNION ALL SELECT t.uid, t.pos, t.reward + 0.99 * x.carry, (t.reward + 0.99 * x.carry) * t.mask FROM x JOIN tokens t ON t.uid = x.uid AND t.pos = x.pos - 1) SELECT uid, pos, round(ret, 6) + 0.0 AS returns FROM x")
 def win_rfpp(spark, d):
     s = V.sequences(spark, d)
     both = F.arrays_zip(F.col("reward").alias("r"), F.col("mask").alias("m"))
     empty = F.array().cast("array<double>")
-    fold = F.aggregate(F.reverse(both), F.struct(F.lit(0.0).alias("c"), empty.alias("o")), lambda a, x: F.struct(((x["r"] + 0.9 * a["c"]) * x["m"]).alias("c"), F.array_append(a["o"], x["r"] + 0.9 * a["c"]).alias("o")))
-    return s.select("uid", F.posexplode(F.reverse(fold["o"])).alias("i", "x")).select("uid", (F.col("i") + 1).cast("long").alias("pos"), (F.round("x", 4) + 0.0).alias("returns"))
+    fold = F.aggregate(F.reverse(both), F.struct(F.lit(0.0).alias("c"), empty.alias("o")), lambda a, x: F.struct(((x["r"] + 0.99 * a["c"]) * x["m"]).alias("c"), F.array_append(a["o"], x["r"] + 0.99 * a["c"]).alias("o")))
+    return s.select("uid", F.posexplode(F.reverse(fold["o"])).alias("i", "x")).select("uid", (F.col("i") + 1).cast("long").alias("pos"), r6("x").alias("returns"))
 
 
 _GAE = "WITH RECURSIVE x(uid, pos, v, a) AS (SELECT uid, pos, v, reward - v FROM tokens t WHERE pos = (SELECT max(pos) FROM tokens u WHERE u.uid = t.uid) UNION ALL SELECT t.uid, t.pos, t.v, t.reward + 0.99 * x.v - t.v + 0.99 * 0.95 * x.a FROM x JOIN tokens t ON t.uid = x.uid AND t.pos = x.pos - 1)"
@@ -222,7 +222,6 @@ def agg_seqlen(spark, d):
 @query("agg_reduce", "SELECT 'score/max' AS name, round(max(score), 6) AS value FROM rollouts UNION ALL SELECT 'score/min', round(min(score), 6) FROM rollouts UNION ALL SELECT 'score', round(avg(score), 6) FROM rollouts", "rollouts")
 def agg_reduce(spark, d):
     named = V.rollouts(spark, d).select(F.explode(F.array(F.lit("score/max"), F.lit("score/min"), F.lit("score"))).alias("name"), "score")
-    value = F.when(F.col("name").contains("max"), F.max("score")).when(F.col("name").contains("min"), F.min("score")).otherwise(F.avg("score"))
     return named.groupBy("name").agg(F.max("score").alias("a"), F.min("score").alias("b"), F.avg("score").alias("c")).select("name", r6(F.when(F.col("name").contains("max"), F.col("a")).when(F.col("name").contains("min"), F.col("b")).otherwise(F.col("c"))).alias("value"))
 
 
