@@ -17,7 +17,6 @@ Null or empty texts have no seeds. Repeated rows are judged one by one.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,18 +29,21 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from spindrift.llm.shared import LOWER, Words, text_chunks
 
 SEED, COVERAGE, BLOCK_BYTES = 5, 0.5, 32 << 20
-def _clean(data: np.ndarray) -> np.ndarray:
-    """Lower-cased bytes, with ASCII punctuation next to white space or an end turned into blanks."""
-    raw = LOWER[data].tobytes()
-    return np.frombuffer(_PUNCTUATION.sub(lambda m: b" " * len(m[0]), raw), dtype=np.uint8)
-
-
-_MARKS = rb"!-/:-@\[-`{-~"
-_PUNCTUATION = re.compile(rb"(?<![^ \t-\r])[" + _MARKS + rb"]+|[" + _MARKS + rb"]+(?![^ \t-\r])")
+#: Fixed value: ASCII punctuation, stripped from the ends of words.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return Words(_clean(data), offsets)
+    """Lower-cased words without punctuation at their ends; words of punctuation only are left out."""
+    w = Words(LOWER[data], offsets)
+    solid = np.append(np.flatnonzero(~_MARKS[w.data]), len(data))
+    starts = solid[np.searchsorted(solid, w.starts)]
+    ends = solid[np.searchsorted(solid, w.ends) - 1] + 1
+    keep = starts < w.ends
+    w.starts, w.ends, w.doc = starts[keep], ends[keep], w.doc[keep]
+    w.first = np.searchsorted(w.doc, np.arange(len(offsets)))
+    return w
 
 
 def tile(item: list[bytes], text: list[bytes], least: int = SEED) -> list[tuple[int, int, int]]:
