@@ -261,12 +261,12 @@ def arr_zoom_slice(spark, d):
     return ids(spark, d).select("uid", F.slice("ids", 3, F.greatest(F.lit(0), F.floor(F.size("ids") * 0.5).cast("int") - 2)).alias("x"))
 
 
-@query("ret_dense", "WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT qid, vec_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, vec_id) AS k FROM s) SELECT qid, k, vec_id, round(s, 6) + 0.0 AS score FROM r WHERE k <= 5")
+@query("ret_dense", "WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, vec_id) AS k FROM s) SELECT qid, k, vec_id, round(s, 6) + 0.0 AS score FROM r WHERE k <= 5")
 def ret_dense(spark, d):
     from spindrift.operators.retrieval import dense
 
     e = table(spark, d, "embeddings")
-    return dense(e.where("vec_id < 10"), e, 5).select("qid", F.col("k").cast("long").alias("k"), "vec_id", (F.col("score") + 0.0).alias("score"))
+    return dense(e.where("vec_id % 20 = 0"), e, 5).select("qid", F.col("k").cast("long").alias("k"), "vec_id", (F.col("score") + 0.0).alias("score"))
 
 
 @query("ret_pool", "WITH x AS (SELECT label, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings) SELECT label, i, round(avg(v::DOUBLE), 6) + 0.0 AS m FROM x GROUP BY label, i")
@@ -280,14 +280,14 @@ def ret_prefix(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("passage: "), "text").alias("t"))
 
 
-_BM = "WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS f FROM t WHERE w <> '' GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS n FROM tf GROUP BY 1), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT item_id, w FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id < 5) WHERE w <> ''), s AS (SELECT item_id, doc_id, sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM dl)))) AS s FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS k FROM s) SELECT item_id, k, doc_id, round(s, 6) AS score FROM r WHERE k <= 3"
+_BM = "WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS f FROM t WHERE w <> '' GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS n FROM tf GROUP BY 1), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT item_id, w FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id % 20 = 0) WHERE w <> ''), s AS (SELECT item_id, doc_id, sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM dl)))) AS s FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS k FROM s) SELECT item_id, k, doc_id, round(s, 6) AS score FROM r WHERE k <= 3"
 
 
 @query("ret_bm25", _BM)
 def ret_bm25(spark, d):
     from spindrift.operators.retrieval import bm25
 
-    return bm25(table(spark, d, "benchmark").where("item_id < 5"), table(spark, d, "documents"), 3)
+    return bm25(table(spark, d, "benchmark").where("item_id % 20 = 0"), table(spark, d, "documents"), 3)
 
 
 @query("ret_format", _BM.replace("SELECT item_id, k, doc_id, round(s, 6) AS score FROM r WHERE k <= 3", "SELECT item_id, list(doc_id ORDER BY k) AS docs FROM r WHERE k <= 3 GROUP BY item_id"))

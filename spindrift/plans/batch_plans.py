@@ -309,10 +309,6 @@ def prt_modal_balance(spark, d):
     return parts[0].unionByName(parts[1]).select("o_orderkey", (F.col("rn") % 8).alias("part"), "image")
 
 
-def _parts(spark, d):
-    return V.rollouts(spark, d).where("uid % 50 = 0").select((F.col("uid") % 7).alias("batch"), (F.col("uid") * 100 + F.col("sample")).alias("item"), "len")
-
-
 for _name, _kind in (("prt_kk", "kk"), ("prt_greedy", "greedy"), ("prt_balanced", "balanced"), ("prt_micro", "micro")):
 
     @query(_name)

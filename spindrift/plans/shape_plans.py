@@ -37,10 +37,10 @@ def shp_math(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.boxed(t).alias("truth"))
 
 
-@query("shp_hellaswag", r"SELECT doc_id, replace(regexp_replace(replace(trim(text), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS context FROM documents WHERE lang = 'en'")
+@query("shp_hellaswag", r"SELECT doc_id, replace(regexp_replace(replace(trim(text), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS context FROM documents")
 def shp_hellaswag(spark, d):
     t = F.replace(F.trim("text"), F.lit(" [title]"), F.lit(". "))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.replace(F.regexp_replace(t, r"\[.*?\]", ""), F.lit("  "), F.lit(" ")).alias("context"))
+    return table(spark, d, "documents").select("doc_id", F.replace(F.regexp_replace(t, r"\[.*?\]", ""), F.lit("  "), F.lit(" ")).alias("context"))
 
 
 @query("shp_geo3k")
@@ -54,11 +54,11 @@ def shp_hh_sft(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(both).alias("k", "response"))
 
 
-@query("shp_hh_rm", "SELECT item_id, 'p' AS prompt, text AS chosen, upper(text) AS rejected, CASE WHEN (row_number() OVER (ORDER BY item_id) - 1) < (SELECT count(*) FROM benchmark) * 3 // 4 THEN 'train' ELSE 'test' END AS split FROM benchmark WHERE regexp_full_match(text, '[ -~\\s]*')".replace("row_number() OVER (ORDER BY item_id) - 1)", "item_id)"))
+@query("shp_hh_rm", "SELECT item_id, 'p' AS prompt, text AS chosen, reverse(text) AS rejected, CASE WHEN row_number() OVER (ORDER BY item_id) - 1 < (SELECT count(*) FROM benchmark) * 3 // 4 THEN 'train' ELSE 'test' END AS split FROM benchmark")
 def shp_hh_rm(spark, d):
     b = B.numbered(table(spark, d, "benchmark"), "item_id")
     cut = b.count() * 3 // 4
-    return b.where(F.col("text").rlike(r"^[ -~\s]*$")).select("item_id", F.lit("p").alias("prompt"), F.col("text").alias("chosen"), F.upper("text").alias("rejected"), F.when(F.col("rn") < cut, "train").otherwise("test").alias("split"))
+    return b.select("item_id", F.lit("p").alias("prompt"), F.col("text").alias("chosen"), F.reverse("text").alias("rejected"), F.when(F.col("rn") < cut, "train").otherwise("test").alias("split"))
 
 
 @query("shp_hh_rl", "SELECT item_id, 'model' AS style, text AS prompt FROM benchmark")
@@ -284,8 +284,9 @@ def snk_val_table(spark, d):
 
 @query("snk_gen_table")
 def snk_gen_table(spark, d):
-    t = V.rollouts(spark, d).where("sample <= 3").select("uid", "sample", "score")
-    return t.groupBy("uid").pivot("sample", [1, 2, 3]).agg(F.first("score"))
+    """One wide row a step: the scores of all its samples by number."""
+    wide = F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample", "score"))))
+    return V.rollouts(spark, d).groupBy("uid").agg(wide.alias("scores"))
 
 
 @query("snk_metric_json", "SELECT l_linenumber AS step, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY 1")
@@ -362,19 +363,15 @@ def _neighbours(spark, d):
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b is not null")
 
 
-def _head(c):
-    return F.array_join(F.slice(F.split(c, r"\s+"), 1, 40), " ")
-
-
 @query("fn_wer")
 def fn_wer(spark, d):
-    """Word error rate of the first 40 words against the next text of the language and source (the view's definition)."""
-    return _neighbours(spark, d).select("doc_id", P.wer(_head("a"), _head("b")).alias("wer"))
+    """Word error rate of whole texts against the next text of the language and source."""
+    return _neighbours(spark, d).select("doc_id", P.wer("a", "b").alias("wer"))
 
 
 @query("fn_rouge")
 def fn_rouge(spark, d):
-    return _neighbours(spark, d).select("doc_id", P.rouge(_head("a"), _head("b")).alias("rouge"))
+    return _neighbours(spark, d).select("doc_id", P.rouge("a", "b").alias("rouge"))
 
 
 @query("fn_num")

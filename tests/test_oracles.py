@@ -44,7 +44,7 @@ def test_equals_sql(spark, duck, name):
     want = sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
     got = sorted((tuple(plain(x) for x in r) for r in df.select(*cols).collect()), key=repr)
     assert got == want
-    assert want or name in {"fn_subem", "set_repeat_n"}
+    assert want or name in {"set_repeat_n"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
