@@ -11,11 +11,11 @@ that also starts in a document of a smaller id is removed.
    each distinct one once with its smallest and largest id. A very common
    anchor is taken apart into its windows, so no key brings a task more than a
    row a block.
-3. Passages meet sorted by anchor. Windows of several documents are confirmed
-   word by word and compiled into Aho-Corasick automata, a shard for each run
-   of anchors, and every passage is streamed through its shard to locate the
-   occurrences. (A document without a shared anchor can hold no phrase of any
-   shard and is not sent.)
+3. Passages meet sorted by anchor. Windows of several documents are compiled,
+   word by word, into Aho-Corasick automata, a shard for each run of anchors,
+   and every passage with a later document is streamed through its shard to
+   locate the occurrences. (A document without a shared anchor can hold no
+   phrase of any shard and is not sent.)
 4. A block hears of passages whose windows have an earlier owner and removes
    the words.
 
@@ -92,13 +92,21 @@ def _anchors(key: tuple, table: pa.Table) -> pa.Table:
     for data, offsets, ids, _ in _chunks(table):
         words = Words(data, offsets)
         w = Windows(words)
-        pair = np.unique(np.stack([w.anchor, ids[words.doc[w.at]].view(np.uint64)]), axis=1) if len(w.at) else np.zeros((2, 0), np.uint64)
-        seen.append(pair[0])
-        owner.append(pair[1])
+        if not len(w.at):
+            continue
+        new = np.concatenate([[True], w.place[1:] != w.place[:-1]])  # windows in a row mostly share their anchor
+        seen.append(w.anchor[new])
+        owner.append(ids[words.doc[w.at[new]]])
     if not seen:
         return pa.table({"h": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "docs": pa.array([], pa.int32())})
-    pair = np.unique(np.stack([np.concatenate(seen), np.concatenate(owner)]), axis=1)
-    h, docs = np.unique(pair[0], return_counts=True)
+    h, ids = np.concatenate(seen), np.concatenate(owner)
+    order = np.lexsort((ids, h))
+    h, ids = h[order], ids[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    fresh = first | np.concatenate([[True], ids[1:] != ids[:-1]])
+    begin = np.flatnonzero(first)
+    docs = np.add.reduceat(fresh.astype(np.int64), begin)
+    h = h[begin]
     return pa.table({"h": pa.array(h.view(np.int64)), "block": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "docs": pa.array(docs.astype(np.int32))})
 
 
@@ -169,31 +177,35 @@ def _passages(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _runs(batches, SHARD_ROWS):
         column = table.column("words").combine_chunks()
-        lo, hi, block = (table.column(c).to_pylist() for c in ("lo", "hi", "block"))
+        lo, hi, block = (table.column(c).to_numpy() for c in ("lo", "hi", "block"))
+        value, row = [], []
+        for first, _, data, offsets in text_chunks(column):
+            words = Words(data, offsets)
+            w = Windows(words)
+            value.append(w.hash[w.at])
+            row.append(words.doc[w.at] + first)
+        value, row = np.concatenate(value), np.concatenate(row)
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        _, example, of = np.unique(value, return_index=True, return_inverse=True)
+        owner, latest = np.full(len(example), _NULL), np.full(len(example), np.iinfo(np.int64).min)
+        np.minimum.at(owner, of, lo[row])
+        np.maximum.at(latest, of, hi[row])
+        phrase = np.flatnonzero(owner < latest)
+        losing = np.unique(row[owner[of] < hi[row]])
+        if not len(losing):
+            continue
         number: dict[bytes, int] = {}
-        texts = [tuple([number.setdefault(x, len(number)) for x in t.split(b" ")]) for t in column.to_pylist()]
-        spread: dict[tuple, list[int]] = {}
-        for t, a, b in zip(texts, lo, hi, strict=True):
-            for j in range(len(t) - SIZE + 1):
-                if (old := spread.get(w := t[j : j + SIZE])) is None:
-                    spread[w] = [a, b]
-                else:
-                    if a < old[0]:
-                        old[0] = a
-                    if b > old[1]:
-                        old[1] = b
+        texts: list[tuple] = [()] * len(lo)
+        for r in np.union1d(losing, row[example[phrase]]).tolist():
+            texts[r] = tuple([number.setdefault(x, len(number)) for x in column[r].as_py().split(b" ")])
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, (a, b) in spread.items():
-            if a < b:
-                automaton.add_word(w, a)
-        if not len(automaton):
-            continue
-        del spread
+        for r, j, least in zip(row[example[phrase]].tolist(), nth[example[phrase]].tolist(), owner[phrase].tolist(), strict=True):
+            automaton.add_word(texts[r][j : j + SIZE], least)
         automaton.make_automaton()
         rows, owners = [], []
-        for r, t in enumerate(texts):
-            own = [_NULL] * (len(t) - SIZE + 1)
-            for end, least in automaton.iter(t):
+        for r in losing.tolist():
+            own = [_NULL] * (len(texts[r]) - SIZE + 1)
+            for end, least in automaton.iter(texts[r]):
                 own[end - SIZE + 1] = least
             if min(own) < hi[r]:
                 rows.append(r)
@@ -207,7 +219,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Windows(words)
             edge.append(np.stack([w.hash[words.first[:-1]], w.hash[words.first[1:] - SIZE]]))
         edge = np.concatenate(edge, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([block[r] for r in rows], pa.int32()), pa.array(edge[0]), pa.array(edge[1]), pa.array(owners, pa.list_(pa.int64()))], names=["block", "first", "last", "owners"])
+        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), pa.array(owners, pa.list_(pa.int64()))], names=["block", "first", "last", "owners"])
 
 
 def _removal(text_out: bool):
