@@ -44,7 +44,7 @@ def prj_keys(spark, d):
     return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
 
 
-@query("prj_collate", "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY 1")
+@query("prj_collate", "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY 1")
 def prj_collate(spark, d):
     x = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(x.getField("l_quantity").alias("q"))

@@ -90,7 +90,7 @@ def report(spark, d):
     """The temporal-grounding report: semi join, last wins, parse, overlap, thresholds, aggregate."""
     p = V.predictions(spark, d)
     truth = V.spans(spark, d).where("l_partkey % 10 <> 0").select("id", F.col("gs").alias("tgs"), F.col("ge").alias("tge"))
-    kept = B.last_wins(p.select("id", "l_orderkey", "pred"), "id", ["l_orderkey"]).join(truth, "id")
+    kept = B.last_wins(p.select("id", "pred"), "id", ["pred"]).join(B.last_wins(truth, "id", ["tgs", "tge"]), "id")
     t = kept.withColumn("t", T.time_range2(F.col("pred")))
     iou, precision, recall = S.overlap(F.col("t.s"), F.col("t.e"), F.col("tgs"), F.col("tge"))
     t = t.withColumns({"iou": iou, "precision": precision, "recall": recall}).where("iou <> -2")
@@ -101,7 +101,9 @@ def report(spark, d):
     )
 
 
-_TG = f"WITH {_PARSED}, j AS (SELECT {_iou('gs', 'ge', 't2[1]', 't2[2]')} AS iou, {_iou('gs', 'ge', 't2[1]', 't2[2]', 'precision')} AS p, {_iou('gs', 'ge', 't2[1]', 't2[2]', 'recall')} AS r FROM parsed WHERE l_partkey % 10 <> 0) SELECT count(*) AS n, count(*) FILTER (WHERE iou = -1) AS failures, round(avg(CASE WHEN iou >= 0.3 THEN 1 ELSE 0 END) * 100, 6) AS recall_3, round(avg(CASE WHEN iou >= 0.5 THEN 1 ELSE 0 END) * 100, 6) AS recall_5, round(avg(CASE WHEN iou >= 0.7 THEN 1 ELSE 0 END) * 100, 6) AS recall_7, round(avg(greatest(0, iou)) * 100, 6) AS miou, round(avg(greatest(0, p)) * 100, 6) AS precision, round(avg(greatest(0, r)) * 100, 6) AS recall FROM j WHERE iou <> -2"
+#: The last prediction and the last truth of an id, in the order of their values.
+_KEPT = "kept AS (SELECT id, pred, t.gs AS gs, t.ge AS ge FROM (SELECT id, max(pred) AS pred FROM predictions GROUP BY id) JOIN (SELECT id, max({'gs': gs, 'ge': ge}) AS t FROM spans WHERE l_partkey % 10 <> 0 GROUP BY id) USING (id)), "
+_TG = "WITH " + _KEPT + _PARSED.replace("FROM predictions", "FROM kept") + f", j AS (SELECT {_iou('gs', 'ge', 't2[1]', 't2[2]')} AS iou, {_iou('gs', 'ge', 't2[1]', 't2[2]', 'precision')} AS p, {_iou('gs', 'ge', 't2[1]', 't2[2]', 'recall')} AS r FROM parsed) SELECT count(*) AS n, count(*) FILTER (WHERE iou = -1) AS failures, round(avg(CASE WHEN iou >= 0.3 THEN 1 ELSE 0 END) * 100, 6) AS recall_3, round(avg(CASE WHEN iou >= 0.5 THEN 1 ELSE 0 END) * 100, 6) AS recall_5, round(avg(CASE WHEN iou >= 0.7 THEN 1 ELSE 0 END) * 100, 6) AS recall_7, round(avg(greatest(0, iou)) * 100, 6) AS miou, round(avg(greatest(0, p)) * 100, 6) AS precision, round(avg(greatest(0, r)) * 100, 6) AS recall FROM j WHERE iou <> -2"
 query("agg_tg", _TG, "predictions")(report)
 
 
