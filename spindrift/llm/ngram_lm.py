@@ -100,14 +100,18 @@ class EliasFano:
         bucket = (x >> np.uint64(self.low_bits)).astype(np.int64)
         want = x & np.uint64((1 << self.low_bits) - 1)
         at, end = self.starts(bucket), self.starts(bucket + 1)
-        out = np.full(len(x), -1, dtype=np.int64)
+        top = end.copy()
         live = np.flatnonzero(at < end)
-        while len(live):
-            low = self.lows(at[live])
-            out[live[low == want[live]]] = at[live[low == want[live]]]
-            live = live[low < want[live]]  # the successor is reached otherwise
-            at[live] += 1
+        while len(live):  # halve what is left of each bucket: a frequent word's successors crowd theirs
+            middle = (at[live] + end[live]) >> 1
+            less = self.lows(middle) < want[live]
+            at[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
             live = live[at[live] < end[live]]
+        out = np.full(len(x), -1, dtype=np.int64)
+        inside = np.flatnonzero(at < top)
+        hit = inside[self.lows(at[inside]) == want[inside]]
+        out[hit] = at[hit]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
