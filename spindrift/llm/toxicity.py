@@ -43,6 +43,8 @@ PER_CLASS, SAMPLE_BYTES = 3_000, 24 << 20
 BASE_BYTES, OWN_BYTES = 4_000, 3_000
 #: Least likelihood-ratio statistic of a segment.
 SIGNIFICANT = 20.0
+#: Fewest toxic texts that a segment stands in.
+LEAST = 5
 #: The bytes that a byte is spread to.
 SPREAD = np.ascontiguousarray(mix64(np.arange(1, 257, dtype=np.uint64)).astype("<u8").view(np.uint8).reshape(256, 8)[:, :WIDTH])
 
@@ -61,7 +63,7 @@ def _contrast(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
     score = {}
     for s, k in own.items():
         o = other[s]
-        if k >= 5 and k / n > 3 * (o + 0.5) / (m + 1):
+        if k >= LEAST and k / n > 3 * (o + 0.5) / (m + 1):
             share = (k + o) / (n + m)
             score[s] = 2 * (k * math.log(k / (n * share)) + (o * math.log(o / (m * share)) if o else 0))
     size, out = 0, []
@@ -155,16 +157,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
 
 def train(rows: list[tuple[bytes, int]]) -> Model:
     """Fit on (text, label) pairs."""
-    counts, sizes, common = [Counter(), Counter()], [0, 0], Counter()
+    toxic, ordinary, common = Counter(), Counter(), Counter()
+    for text, label in rows:
+        if label:
+            toxic.update(segments(text))
+    toxic = Counter({s: k for s, k in toxic.items() if k >= LEAST})
     for text, label in rows:
-        counts[label].update(segments(text))
-        sizes[label] += 1
         if not label:
+            ordinary.update(segments(text) & toxic.keys())
             common.update(set(text.lower().split()))
+    sizes = [sum(not label for _, label in rows), sum(bool(label) for _, label in rows)]
     if not min(sizes):
         share = (sizes[1] + 0.5) / (sum(sizes) + 1)
         return Model(weights=(math.log(share / (1 - share)), 0.0, 0.0))
-    telling = _contrast(counts[1], sizes[1], counts[0], sizes[0])
+    telling = _contrast(toxic, sizes[1], ordinary, sizes[0])
     marks = set(telling)
     base, size = [], 0
     for word, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
