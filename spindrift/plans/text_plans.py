@@ -90,8 +90,9 @@ def report(spark, d):
     """The temporal-grounding report: semi join, last wins, parse, overlap, thresholds, aggregate."""
     p = V.predictions(spark, d)
     truth = V.spans(spark, d).where("l_partkey % 10 <> 0").select("id", F.col("gs").alias("tgs"), F.col("ge").alias("tge"))
-    kept = B.last_wins(p.select("id", "pred"), "id", ["pred"]).join(B.last_wins(truth, "id", ["tgs", "tge"]), "id")
-    t = kept.withColumn("t", T.time_range2(F.col("pred")))
+    last = B.last_wins(p.select("id", "pred"), "id", ["pred"])
+    # parsed below the join, so that the projections above it do not repeat the parsing
+    t = last.select("id", T.time_range2(F.col("pred")).alias("t")).join(B.last_wins(truth, "id", ["tgs", "tge"]), "id")
     iou, precision, recall = S.overlap(F.col("t.s"), F.col("t.e"), F.col("tgs"), F.col("tge"))
     t = t.withColumns({"iou": iou, "precision": precision, "recall": recall}).where("iou <> -2")
     zero = lambda c: F.greatest(F.lit(0.0), F.col(c))
