@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -211,3 +213,42 @@ def bootstrap(values: list[float], k: int, reducer, n: int = 1_000, seed: int =
     x = np.asarray(values, dtype=float)
     got = np.array([reducer(x[rng.choice(len(x), k, replace=True)]) for _ in range(n)])
     return float(got.mean()), float(got.std())
+
+
+def subset_sizes(n: int) -> list[int]:
+    """2, 4, 8, ... below n, then n; a single value has none."""
+    out, k = [], 2
+    while k < n:
+        out.append(k)
+        k *= 2
+    return [*out, n] if n > 1 else []
+
+
+#: Numbers held at once by ``bootstrap_extremes``.
+_HELD = 1 << 20
+
+
+@lru_cache(64)
+def _kept_draws(n: int, k: int, times: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, (times, k), replace=True)
+
+
+def _draws(n: int, k: int, times: int, seed: int) -> Iterator[np.ndarray]:
+    """The places that ``bootstrap`` draws, k a row: with the seed set anew each call they depend on nothing else. Small ones are kept."""
+    if times * k <= _HELD // 8:
+        yield _kept_draws(n, k, times, seed)
+        return
+    rng, step = np.random.RandomState(seed), max(1, _HELD // k)
+    for at in range(0, times, step):
+        yield rng.choice(n, (min(step, times - at), k), replace=True)
+
+
+def bootstrap_extremes(values: np.ndarray, k: int, n: int = 1_000, seed: int = 42) -> np.ndarray:
+    """Rows of groups of one length to (mean, deviation) of ``bootstrap`` with the maximum, then with the minimum: four columns."""
+    out, step = np.empty((len(values), 4)), max(1, _HELD // (n * k))
+    for at in range(0, len(values), step):
+        own = values[at : at + step]
+        drawn = (own[:, places] for places in _draws(values.shape[1], k, n, seed))
+        best, worst = (np.concatenate(x, axis=1) for x in zip(*((x.max(axis=2), x.min(axis=2)) for x in drawn), strict=True))
+        out[at : at + step] = np.stack([best.mean(axis=1), best.std(axis=1), worst.mean(axis=1), worst.std(axis=1)], axis=1)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -405,14 +406,19 @@ def fn_math_norm(spark, d):
 
 @query("agg_bootstrap")
 def agg_bootstrap(spark, d):
-    """best@k of every prompt with four or more samples: mean and deviation over seeded draws."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        mean, std = P.bootstrap(rows.sort_values("sample")["score"].tolist(), 2, lambda x: x.max(), n=100)
-        return pd.DataFrame({"uid": [rows["uid"].iloc[0]], "best": [mean], "std": [std]})
-
-    r = V.rollouts(spark, d)
-    wide = r.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("uid")
-    return r.join(wide, "uid", "left_semi").groupBy("uid").applyInPandas(run, "uid bigint, best double, std double")
+    """best@k and worst@k of every prompt with more than one sample, k = 2, 4, ... and all: mean and deviation over 1000 seeded draws."""
+    def run(batches):
+        for rows in batches:
+            parts = []
+            for n, same in rows.groupby(rows["scores"].map(len)):
+                x = np.stack(same["scores"].to_list()).astype(float)
+                for k in P.subset_sizes(n):
+                    parts.append(pd.DataFrame(P.bootstrap_extremes(x, k), columns=["best", "best_std", "worst", "worst_std"]).assign(uid=same["uid"].to_numpy(), k=k))
+            if parts:
+                yield pd.concat(parts)[["uid", "k", "best", "best_std", "worst", "worst_std"]]
+
+    groups = V.rollouts(spark, d).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("sample", "score"))).getField("score").alias("scores"))
+    return groups.where("size(scores) > 1").mapInPandas(run, "uid bigint, k bigint, best double, best_std double, worst double, worst_std double")
 
 
 @query("udf_batch_score")

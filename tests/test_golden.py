@@ -157,6 +157,24 @@ def test_bootstrap_is_seeded():
     assert 2 < a[0] < 4
 
 
+def test_bootstrap_covers_every_group_and_size(spark, tmp_path):
+    from spindrift.plans.all import QUERIES
+
+    rng = random.Random(6)
+    groups = {u: [float(rng.randint(1, 50)) for _ in range(n)] for u, n in enumerate([1, 2, 3, 4, 5, 7, 9, 9, 17])}
+    rows = [(u, i, 1, 1, x, "R") for u, scores in groups.items() for i, x in enumerate(scores)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.uid, r.k): tuple(r)[2:] for r in QUERIES["agg_bootstrap"](spark, str(tmp_path)).collect()}
+    sizes = {1: [], 2: [2], 3: [2, 3], 4: [2, 4], 5: [2, 4, 5], 7: [2, 4, 7], 9: [2, 4, 8, 9], 17: [2, 4, 8, 16, 17]}
+    assert sorted(got) == sorted((u, k) for u, scores in groups.items() for k in sizes[len(scores)])
+    for (u, k), found in got.items():
+        x = [v / 25 for v in groups[u]]
+        np.random.seed(42)
+        drawn = [[x[i] for i in np.random.choice(len(x), size=k, replace=True)] for _ in range(1000)]
+        best, worst = [max(v) for v in drawn], [min(v) for v in drawn]
+        assert found == pytest.approx((np.mean(best), np.std(best), np.mean(worst), np.std(worst)), abs=1e-12)
+
+
 def test_replay_equals_stream(spark, tmp_path):
     rows = [(u, p, random.Random(u * 31 + p).choice(["tool", "result", "error", "answer"])) for u in range(5) for p in range(6)]
     log = spark.createDataFrame(rows, "uid long, pos long, kind string")
