@@ -6,8 +6,10 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 
 def differencing(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
@@ -78,18 +80,54 @@ def partition(df: DataFrame, kind: str, k: int = 4, budget: int = 200) -> DataFr
     return df.groupBy("batch").applyInPandas(run, "batch bigint, item bigint, part bigint")
 
 
+#: Rows of a block of ``resample``, about, and most copies that one task makes of a row at once.
+BLOCK, PIECE = 32_768, 65_536
+
+
+def multinomial(weights: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts of n draws with replacement by weight: a tree of sums, each node's draws split by a binomial draw between its halves."""
+    size = 1 << max(0, len(weights) - 1).bit_length()
+    sums = [np.concatenate([np.asarray(weights, dtype=float), np.zeros(size - len(weights))])]
+    while len(sums[-1]) > 1:
+        sums.append(sums[-1][::2] + sums[-1][1::2])
+    counts = np.array([n], dtype=np.int64)
+    for below, total in zip(sums[-2::-1], sums[:0:-1], strict=True):
+        left = rng.binomial(counts, np.divide(below[::2], total, out=np.zeros(len(total)), where=total > 0))
+        counts = np.stack([left, counts - left], axis=1).ravel()
+    return counts[: len(weights)]
+
+
 def resample(df: DataFrame, weight: str, order: list[str], seed: int) -> DataFrame:
-    """As many rows as came in, drawn with replacement by weight.
+    """As many rows as came in, drawn with replacement by weight; ``copy`` numbers the draws of a row from 1.
 
-    A row is drawn as often as a Poisson variable of its share asks (the bootstrap
-    of a stream), seeded by the row's key: no row needs to see any other.
+    Rows are dealt to blocks by a hash of ``order``, a key. The driver deals the
+    draws to blocks by their weights (one number a block), each block deals its
+    own to rows: exact multinomial counts without a bound. A row drawn more often
+    than ``PIECE`` is copied in pieces by several tasks. A null weight is 0; a
+    negative, infinite or undefined one, or none above 0, is an error.
     """
-    stats = df.agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    rate = F.col(weight) / F.col("_w") * F.col("_n")
-    u = (F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).alias("u")
-    out = df.crossJoin(F.broadcast(stats)).withColumn("_u", u).withColumn("_rate", rate)
-    # inverse of the Poisson distribution, up to 20 draws of a row
-    terms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.exp(-F.col("_rate")) * F.pow("_rate", i) / F.factorial(i).cast("double"))
-    below = F.transform(F.sequence(F.lit(1), F.lit(21)), lambda i: F.aggregate(F.slice(terms, F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
-    n = F.size(F.filter(below, lambda c: c <= F.col("_u")))
-    return out.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))).drop("_u", "_rate", "_w", "_n")
+    n = df.count()
+    parts = max(1, -(-n // BLOCK))
+    blocked = df.withColumn("_block", F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(parts)).cast("long"))
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    stats = blocked.groupBy("_block").agg(F.sum(w).alias("w"), F.min(w).alias("low"), F.max(F.isnan(w)).alias("nan")).collect()
+    total = sum(r.w for r in stats)
+    if n and (not 0 < total < float("inf") or any(r.low < 0 or r.nan for r in stats)):
+        raise ValueError("weights must be finite, not negative and not all 0")
+    sums = np.zeros(parts)
+    for r in stats:
+        sums[r["_block"]] = r.w
+    draws = multinomial(sums, n, np.random.default_rng(seed))
+
+    def deal(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in order])
+        own = block["_block"][0].as_py()
+        weights = block[weight].cast(pa.float64()).fill_null(0.0).to_numpy()
+        times = multinomial(weights, int(draws[own]), np.random.default_rng([seed, own]))
+        return block.append_column("_times", pa.array(times)).filter(pa.array(times > 0))
+
+    schema = StructType([*blocked.schema.fields]).add("_times", LongType())
+    dealt = blocked.groupBy("_block").applyInArrow(deal, schema)
+    pieces = dealt.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / PIECE)))).repartition(*order, "_piece")
+    first = F.col("_piece") * PIECE + 1
+    return pieces.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("_times"), first + PIECE - 1)))).drop("_block", "_times", "_piece")

@@ -296,7 +296,7 @@ def smp_distributed(spark, d):
 
 @query("smp_reweight")
 def smp_reweight(spark, d):
-    """n of n with replacement by weight: a seeded uniform draw meets the running sum of weights by range."""
+    """n of n with replacement by weight: seeded multinomial counts, over blocks and then within them."""
     from spindrift.operators.packing import resample
 
     return resample(V.rollouts(spark, d).select("uid", "sample", (F.abs("score") + 1e-8).alias("w")), "w", ["uid", "sample"], seed=42)

@@ -175,6 +175,36 @@ def test_bootstrap_covers_every_group_and_size(spark, tmp_path):
         assert found == pytest.approx((np.mean(best), np.std(best), np.mean(worst), np.std(worst)), abs=1e-12)
 
 
+def test_resample_draws_as_many_rows_by_weight(spark, monkeypatch):
+    n = 9_000
+    monkeypatch.setattr(K, "BLOCK", 500)
+    monkeypatch.setattr(K, "PIECE", 64)
+    weight = F.when(F.col("id") == 7, float(n)).when(F.col("id") < 4_000, 0.0).when(F.col("id") < 4_500, 6.0).otherwise(4 / 3)
+    df = spark.range(n).select("id", weight.alias("w"))  # 9,000, 3,000 and 6,000 in all
+    rows = K.resample(df, "w", ["id"], seed=5).collect()
+    times = {}
+    for r in rows:
+        times.setdefault(r.id, []).append(r.copy)
+    assert len(rows) == n
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in times.values())
+    assert abs(len(times[7]) - n / 2) < 250
+    assert not [i for i in times if i < 4_000 and i != 7]
+    assert abs(sum(len(c) for i, c in times.items() if 4_000 <= i < 4_500) - n / 6) < 200
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, K.resample(df.repartition(7), "w", ["id"], seed=5).collect()))
+    assert K.resample(df.where("false"), "w", ["id"], seed=5).count() == 0
+    with pytest.raises(ValueError, match="weights"):
+        K.resample(df.withColumn("w", -F.col("w")), "w", ["id"], seed=5)
+
+
+def test_multinomial_counts():
+    weights = np.array([1, 2, 0, 5, 1e-12])
+    drawn = np.array([K.multinomial(weights, 10, np.random.default_rng(i)) for i in range(4_000)])
+    assert (drawn.sum(axis=1) == 10).all()
+    assert drawn.mean(axis=0) == pytest.approx(weights * 10 / 8, abs=0.1)
+    assert drawn.var(axis=0) == pytest.approx([10 * p * (1 - p) for p in weights / 8], abs=0.2)  # the counts of a fixed total spread less than Poisson's
+    assert K.multinomial(np.array([3.0]), 4, np.random.default_rng(1)).tolist() == [4]
+
+
 def test_replay_equals_stream(spark, tmp_path):
     rows = [(u, p, random.Random(u * 31 + p).choice(["tool", "result", "error", "answer"])) for u in range(5) for p in range(6)]
     log = spark.createDataFrame(rows, "uid long, pos long, kind string")
