@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary labelled text (its
-frequent words), one on toxic text: the segments (starts of words and whole
+Two zstandard dictionaries are chosen, not trained by zstandard: both are raw
+prefixes. One holds the frequent words of ordinary labelled text, up to
+``BASE_BYTES``; the other, for toxic text, every one of the segments (starts of words and whole
 words) that stand in significantly more toxic texts, by the likelihood ratio,
 behind the same frequent words, so that text common to both classes costs the
 same under either. A window is a
@@ -26,6 +27,7 @@ wins. Null labels are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +41,8 @@ from spindrift.llm.shared import LOWER, Words, mix64, ragged, remainder, text_ch
 
 WIDTH = 3
 PER_CLASS, SAMPLE_BYTES = 3_000, 24 << 20
-#: Bytes of a dictionary for the shared base and for its own segments.
-BASE_BYTES, OWN_BYTES = 4_000, 3_000
+#: Bytes of a dictionary for the shared base; its own segments have no bound.
+BASE_BYTES = 4_000
 #: Least likelihood-ratio statistic of a segment.
 SIGNIFICANT = 20.0
 #: Fewest toxic texts that a segment stands in.
@@ -66,15 +68,14 @@ def _contrast(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
         if k >= LEAST and k / n > 3 * (o + 0.5) / (m + 1):
             share = (k + o) / (n + m)
             score[s] = 2 * (k * math.log(k / (n * share)) + (o * math.log(o / (m * share)) if o else 0))
-    size, out = 0, []
+    out, known = [], []
     for s in sorted(score, key=lambda s: (-score[s], s)):
         if score[s] < SIGNIFICANT:
             break
-        if any(s in x for x in out):
+        at = bisect_left(known, s)
+        if at < len(known) and known[at].startswith(s):  # a blank only begins or ends a segment: it is held as a start
             continue
-        size += len(s)
-        if size > OWN_BYTES:
-            break
+        known.insert(at, s)
         out.append(s)
     return out[::-1]
 
@@ -95,10 +96,11 @@ class Model:
     def _compressors(self) -> list:
         if self._made is None:
             self._made = []
+            log = (WIDTH * max(len(self.ordinary), len(self.toxic))).bit_length()  # all of a dictionary stays in reach
             for content in (self.ordinary, self.toxic):
                 wide = SPREAD[np.frombuffer(content, np.uint8)].tobytes()
                 own = zstandard.ZstdCompressionDict(wide, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                setting = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=9, min_match=6, target_length=256, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+                setting = zstandard.ZstdCompressionParameters(window_log=max(17, log + 1), hash_log=max(16, log), chain_log=max(16, log), search_log=9, min_match=6, target_length=256, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
                 self._made.append(zstandard.ZstdCompressor(dict_data=own, compression_params=setting))
         return self._made
 

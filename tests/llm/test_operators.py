@@ -494,3 +494,15 @@ def test_words_hash_by_content():
 def test_inputs_may_have_any_columns(docs):
     extra = docs.withColumns({c: F.lit("z") for c in ("id", "block", "h", "key", "pos", "_id", "n_words", "c0", "label", "component_id")})
     assert substring_dedup.remove_repeats(extra).count() == line_dedup.clean_lines(extra.drop("_id")).count() == simhash.first_of_group(extra).count() + len(ROWS) - len({*plain_components({i: plain_print(t) for i, t, *_ in ROWS}).values()})
+
+
+def test_toxicity_holds_every_significant_segment():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)).encode() for _ in range(900)})
+    toxic = Counter({b" " + w + b" ": 20 for w in words})
+    held = toxicity._contrast(toxic, 100, Counter(), 100)
+    assert sorted(held) == sorted(toxic)  # 9,000 bytes
+    model = toxicity.Model(b" ".join([b" common", *held, b""]), b" common ")
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    found, _ = model.distances(data, np.array([0, len(data)]))
+    assert (found >= 4).all()
