@@ -1,30 +1,40 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
 The model is a bigram model with a Dirichlet prior from the add-one unigram
-model: p(w | u) = (c(u w) + MU * p1(w)) / (c(u) + MU), p1(w) = (c(w) + 1) / (N + V + 1).
-All counts are of the whole training part; nothing is cut off.
+model: p(w | u) = a(w | u) + m(u) p1(w), with a(w | u) = c(u w) / (c(u) + MU), the
+back-off mass m(u) = MU / (c(u) + MU) and p1(w) = (c(w) + 1) / (N + V + 1). All
+counts are of the whole training part; nothing is cut off.
 
 1. A word count gives N, V, a code table of the ``CODED`` most frequent words
    and the words too frequent for one shard (both of bounded size).
 2. Documents are dealt into blocks by id. A block sends its distinct pairs
-   (word, word before) with their training counts to shards by word; pairs of a
+   (word, next word) with their training counts to shards by word; pairs of a
    very frequent word go to shards by pair, and its count is known from 1.
 3. A shard adds the counts up and builds a trie with the words at the root and
-   the words before them as successors: sorted keys, pointers and successors
-   are monotone sequences in Elias-Fano form, successors coded relative to
-   their word's place, with quantised log counts plus prior mass, in one
-   memory-mapped file that is unlinked while in use. The blocks' pairs are
-   looked up by successor search, and codes go back in the order they came.
+   the words that follow them as successors: sorted keys, pointers and
+   successors are monotone sequences in Elias-Fano form, successors coded
+   relative to their word's place. The root level holds the quantised smoothed
+   probability and back-off mass of each word, the second level the quantised
+   discounted probability of each pair. All of it is one memory-mapped file in
+   the worker's temporary folder, without a name, that lives as long as the
+   task. The blocks' pairs are looked up by successor search, a slice at a time,
+   and codes go back in the order they came.
 4. A block adds up logarithms per document. The texts move once: the plan
    reuses the exchange by block.
 
+A block takes ``block_bytes`` and a shard ``shard_tokens``, whatever the size of
+the corpus, so a worker's memory is bounded. A block writes one message for
+each shard that it has pairs for, never more than it has pairs.
+
 Null or empty text: the end token only. A null id takes part in training and is
-scored like others. Repeated rows count and are returned each. With an empty
-training part N = V = 0 and every token has probability one.
+scored like others. Repeated rows count and are returned each. A text longer
+than a block is a block of its own. With an empty training part N = V = 0 and
+every token has probability one.
 """
 
 from __future__ import annotations
 
+import math
 import mmap
 import os
 import tempfile
@@ -39,15 +49,18 @@ from pyspark.sql import functions as F
 from spindrift.llm.shared import LOWER, Words, mix64, remainder, text_chunks, text_or_empty, written
 
 MU = 200.0
-BLOCK_BYTES, SHARD_TOKENS, CODED = 8 << 20, 2_000_000, 65_535
+BLOCK_BYTES, SHARD_TOKENS, CODED = 4 << 20, 1_000_000, 65_535
+#: Pairs that a shard looks up at once.
+SLICE = 100_000
 END, BEGIN = np.uint64(0x8E51_73A0_44C1_9B25), np.uint64(0x3D0F_61B2_97E8_5C4B)
-#: Bits of a successor's hash, and the range of the quantised logarithms.
-SUCCESSOR_BITS, TOP = 44, 13.0
+#: Bits of a successor's hash.
+SUCCESSOR_BITS = 44
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
-_BYTE_ZERO = np.full((256, 8), 8, dtype=np.int64)  # place of the nth zero of a byte, lowest bit first
+_BYTE_ZERO, _BYTE_ONE = (np.full((256, 8), 8, dtype=np.int64) for _ in range(2))  # place of the nth zero or one of a byte, lowest bit first
 for _i in range(256):
-    _z = [b for b in range(8) if not _i >> b & 1]
-    _BYTE_ZERO[_i, : len(_z)] = _z
+    for _table, _bit in ((_BYTE_ZERO, 0), (_BYTE_ONE, 1)):
+        _z = [b for b in range(8) if _i >> b & 1 == _bit]
+        _table[_i, : len(_z)] = _z
 
 
 class EliasFano:
@@ -64,7 +77,8 @@ class EliasFano:
         ones[high + np.arange(n)] = 1
         self.high = np.packbits(ones, bitorder="little")
         zeros = 8 - _BYTE_ONES[self.high]
-        self.directory = (np.cumsum(zeros) - zeros).astype(np.int64)
+        self.directory = (np.cumsum(zeros) - zeros).astype(np.int32)  # zeros before each byte
+        self.ones = (np.arange(len(zeros)) * 8 - self.directory).astype(np.int32)
         packed = []
         for at in range(0, n, 1 << 16):
             part = values[at : at + (1 << 16)]
@@ -73,7 +87,7 @@ class EliasFano:
         self.low = np.concatenate([np.packbits(low_stream, bitorder="little"), np.zeros(16, np.uint8)])
 
     def parts(self) -> list[str]:
-        return ["high", "directory", "low"]
+        return ["high", "directory", "ones", "low"]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low_bits
@@ -116,31 +130,29 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``: select on the ones."""
-        ones = np.arange(len(self.high), dtype=np.int64) * 8 - self.directory
-        byte = np.searchsorted(ones, i, side="right") - 1
-        bits = np.unpackbits(self.high[byte].reshape(-1, 1), axis=1, bitorder="little")
-        place = (np.cumsum(bits, axis=1) <= (i - ones[byte])[:, None]).sum(axis=1)
+        byte = np.searchsorted(self.ones, i, side="right") - 1
+        place = _BYTE_ONE[self.high[byte], i - self.ones[byte]]
         return ((byte * 8 + place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
 
 
 class Trie:
-    """Words, and for each the words that came before it, with quantised values."""
+    """Words with their smoothed probability and back-off mass, and for each the words that follow it."""
 
-    def __init__(self, word: np.ndarray, before: np.ndarray, count: np.ndarray, mass: np.ndarray):
-        """Pairs sorted by (word, cut hash of the word before), their counts, and the prior mass of each."""
+    def __init__(self, word: np.ndarray, after: np.ndarray, count: np.ndarray, total: np.ndarray, whole: int):
+        """Pairs sorted by (word, cut hash of the next word), their counts, each one's count of the word; N + V + 1."""
         begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         self.words = EliasFano(word[begin], 64)
         self.pointers = EliasFano(np.append(begin, len(word)).astype(np.uint64), max(1, len(word)).bit_length())
-        size = np.diff(np.append(begin, len(word)))
-        place = np.repeat(np.arange(len(begin), dtype=np.uint64), size)
-        self.bits = SUCCESSOR_BITS + max(1, len(begin)).bit_length()
-        self.successors = EliasFano(place << np.uint64(SUCCESSOR_BITS) | before, self.bits)
-        self.codes = quantise(np.log10(count + mass))
+        place = np.repeat(np.arange(len(begin), dtype=np.uint64), np.diff(np.append(begin, len(word))))
+        self.successors = EliasFano(place << np.uint64(SUCCESSOR_BITS) | after, SUCCESSOR_BITS + max(1, len(begin)).bit_length())
+        self.chance = quantise((total + MU) / count, whole)
+        self.mass = quantise((total[begin] + MU) / MU, whole)
+        self.alone = quantise(whole / (total[begin] + 1), whole)
         self._map()
 
     def _map(self) -> None:
         """Move the levels into one memory-mapped file without a name."""
-        slots = [(o, p) for o in (self.words, self.pointers, self.successors) for p in o.parts()] + [(self, "codes")]
+        slots = [(o, p) for o in (self.words, self.pointers, self.successors) for p in o.parts()] + [(self, p) for p in ("chance", "mass", "alone")]
         with tempfile.TemporaryFile() as file:
             places = []
             for owner, name in slots:
@@ -154,27 +166,39 @@ class Trie:
         for (owner, name), (at, kind, n) in zip(slots, places, strict=True):
             setattr(owner, name, np.frombuffer(whole, dtype=kind, count=n, offset=at))
 
-    def look_up(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Code of each pair, 0 if the trie lacks it."""
+    def roots(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each word's smoothed probability and back-off mass, 0 if the trie lacks it."""
+        out = np.zeros((2, len(word)), np.uint16)
         at = self.words.find(word)
-        out = np.zeros(len(word), np.uint16)
         known = np.flatnonzero(at >= 0)
-        if not len(known):
-            return out
-        place = self.successors.find(at[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | before[known])
-        found = place >= 0
-        hit, place = known[found], place[found]
-        inside = (self.pointers.get(at[hit]).astype(np.int64) <= place) & (place < self.pointers.get(at[hit] + 1).astype(np.int64))
-        out[hit[inside]] = self.codes[place[inside]]
+        out[0, known], out[1, known] = self.alone[at[known]], self.mass[at[known]]
+        return out[0], out[1]
+
+    def look_up(self, word: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Code of each pair, 0 if the trie lacks it."""
+        out = np.zeros(len(word), np.uint16)
+        for first in range(0, len(word), SLICE):
+            w, a = word[first : first + SLICE], after[first : first + SLICE]
+            at = self.words.find(w)
+            known = np.flatnonzero(at >= 0)
+            if not len(known):
+                continue
+            place = self.successors.find(at[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | a[known])
+            found = place >= 0
+            hit, place = known[found], place[found]
+            inside = (self.pointers.get(at[hit]).astype(np.int64) <= place) & (place < self.pointers.get(at[hit] + 1).astype(np.int64))
+            out[first + hit[inside]] = self.chance[place[inside]]
         return out
 
 
-def quantise(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(x / TOP * 65_534) + 1, 1, 65_535).astype(np.uint16)
+def quantise(inverse: np.ndarray, whole: int) -> np.ndarray:
+    """16-bit codes from 1 of the logarithms of inverse probabilities, in equal steps from 1 to the least unigram's."""
+    return np.clip(np.rint(np.log10(inverse) / math.log10(whole + MU + 1) * 65_534) + 1, 1, 65_535).astype(np.uint16)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return (code.astype(np.float64) - 1) / 65_534 * TOP
+def restore(code: np.ndarray, whole: int) -> np.ndarray:
+    """The probabilities."""
+    return np.power(10.0, (1 - code.astype(np.float64)) / 65_534 * math.log10(whole + MU + 1))
 
 
 def _cut(hashes: np.ndarray) -> np.ndarray:
@@ -182,15 +206,15 @@ def _cut(hashes: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(len(a) * a.itemsize for a in arrays)], dtype=np.int64).tobytes()
-    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays), 1)
+    """Sizes and arrays, compressed if there is enough to gain."""
+    raw = np.array([a.nbytes for a in arrays], dtype=np.uint32).tobytes() + b"".join(a.tobytes() for a in arrays)
+    return b"z" + zstandard.compress(raw, 1) if len(raw) > 64 else b"r" + raw
 
 
 def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    sizes = np.frombuffer(raw, np.int64, len(kinds), 8)
-    out, at = [], 8 + 8 * len(kinds)
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+    raw = zstandard.decompress(blob[1:]) if blob[:1] == b"z" else blob[1:]
+    out, at = [], 4 * len(kinds)
+    for size, kind in zip(np.frombuffer(raw, np.uint32, len(kinds)).tolist(), kinds, strict=True):
         out.append(np.frombuffer(raw[at : at + size], kind))
         at += size
     return out
@@ -216,15 +240,14 @@ class _Setup:
     """What blocks and shards need of the whole corpus: bounded tables and two numbers."""
 
     def __init__(self, n: int, v: int, shards: int, common: np.ndarray, counts: np.ndarray):
+        self.n, self.v, self.whole, self.shards, self.texts = n, v, n + v + 1, shards, int(counts[common == END].sum())
+        common, counts = np.append(common, BEGIN), np.append(counts, self.texts)
         order = np.argsort(common, kind="stable")
-        self.n, self.v, self.shards = n, v, shards
         self.common, self.counts = common[order], counts[order]
         self.hot = self.counts > max(1, n) / (2 * shards) if shards > 1 else np.zeros(len(order), bool)
 
     def code(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(16-bit codes, hashes of the words without one)."""
-        if not len(self.common):
-            return np.full(len(hashes), CODED, np.uint16), hashes
         at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
         known = self.common[at] == hashes
         return np.where(known, at, CODED).astype(np.uint16), hashes[~known]
@@ -244,50 +267,56 @@ class _Setup:
         at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
         return np.where(names[at] == hashes, counts[at], -1)
 
-    def shard(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        spread = np.where(self.hot_count(word) >= 0, mix64(word + before * np.uint64(0xD6E8FEB86659FD93)), mix64(word))
+    def shard(self, word: np.ndarray, after: np.ndarray) -> np.ndarray:
+        spread = np.where(self.hot_count(word) >= 0, mix64(word + after * np.uint64(0xD6E8FEB86659FD93)), mix64(word))
         return (spread % np.uint64(self.shards)).astype(np.int32)
 
 
 class _Block:
-    """Distinct pairs of a block, by shard, word and cut hash of the word before."""
+    """Distinct pairs of a block, by shard, word and next word; ``every`` holds its distinct words."""
 
     def __init__(self, table: pa.Table, setup: _Setup):
-        table = table.combine_chunks()
-        self.ids = table.column("id")
-        token, before, row, train, base = [], [], [], [], 0
-        if table.num_rows:
-            for first, end, data, offsets in text_chunks(table.column("text").chunk(0)):
+        token, before, row, first = [], [], [], 0
+        for text in table.column("text").chunks:
+            for at, _, data, offsets in text_chunks(text):
                 t, b, r = _tokens(data, offsets)
                 token.append(t)
                 before.append(b)
-                row.append(r + first)
-            base = table.num_rows
+                row.append((r + (first + at)).astype(np.int32))
+            first += len(text)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.token, self.row, self.rows = join(token, np.uint64), join(row, np.int64), base
+        token, self.row, self.rows = join(token, np.uint64), join(row, np.int32), table.num_rows
         before = join(before, np.uint64)
-        train = table.column("train").to_numpy()[self.row].astype(np.int64) if base else np.zeros(0, np.int64)
-        every, index = np.unique(np.concatenate([self.token, before]), return_inverse=True)
-        self.every, n = every, len(self.token)
-        self.w, self.u = index[:n], index[n:]
-        pair, self.of = np.unique(self.w.astype(np.int64) << 32 | self.u, return_inverse=True)
-        count = np.bincount(self.of, weights=train, minlength=len(pair)).astype(np.int64)
-        word, prior = every[pair >> 32], every[pair & 0xFFFFFFFF]
-        shard = setup.shard(word, prior)
-        self.order = np.lexsort((prior, word, shard))
-        self.word, self.prior, self.count, self.shard = word[self.order], prior[self.order], count[self.order], shard[self.order]
+        every, n = np.unique(token), len(token)
+        self.every = np.unique(np.append(every, BEGIN))
+        del every
+        self.w, self.u = (np.searchsorted(self.every, x).astype(np.int32) for x in (token, before))
+        del token, before
+        pair, of = np.unique(self.u.astype(np.int64) << 32 | self.w, return_inverse=True)
+        self.of = of.astype(np.int32)
+        train = table.column("train").to_numpy()[self.row] if n else np.zeros(0)
+        count = np.bincount(self.of, weights=train, minlength=len(pair)).astype(np.uint32)
+        word, after = self.every[pair >> 32], self.every[pair & 0xFFFFFFFF]
+        shard = setup.shard(word, after)
+        self.order = np.lexsort((after, word, shard)).astype(np.int32)
+        self.word, self.after, self.count, self.shard = word[self.order], after[self.order], count[self.order], shard[self.order]
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def _send(shipped):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         setup = shipped.value
         b = _Block(table, setup)
-        begin = np.flatnonzero(np.concatenate([[True], b.shard[1:] != b.shard[:-1]])) if len(b.shard) else np.zeros(0, np.int64)
+        begin = _edges(b.shard)
         blobs = []
         for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(b.shard)], strict=False):
             word = b.word[s:e]
-            new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            blobs.append(_pack(*setup.code(word[new]), np.diff(np.append(new, len(word))).astype(np.uint32), *setup.code(b.prior[s:e]), b.count[s:e].astype(np.uint32)))
+            new = _edges(word)
+            blobs.append(_pack(*setup.code(word[new]), np.diff(np.append(new, len(word))).astype(np.uint32), *setup.code(b.after[s:e]), b.count[s:e]))
         return pa.table({"shard": pa.array(b.shard[begin]), "block": pa.array(np.full(len(blobs), key[0].as_py(), np.int32)), "pairs": pa.array(blobs, pa.binary())})
 
     return run
@@ -296,30 +325,36 @@ def _send(shipped):
 def _answer(shipped):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         setup = shipped.value
-        parts, heads = [], []
-        for blob in table.column("pairs").to_pylist():
-            code, rest, size, code_u, rest_u, count = _unpack(blob, np.uint16, np.uint64, np.uint32, np.uint16, np.uint64, np.uint32)
-            head = setup.decode(code, rest)
-            heads.append(head)
-            parts.append((np.repeat(head, size), setup.decode(code_u, rest_u), count.astype(np.int64)))
-        sizes = [len(p[0]) for p in parts]
-        word, prior, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        prior = _cut(prior)
-        names, of = np.unique(word, return_inverse=True)
+        heads, sizes, after, count = [], [], [], []
+        for blob in table.column("pairs"):
+            code, rest, size, code_w, rest_w, n = _unpack(blob.as_py(), np.uint16, np.uint64, np.uint32, np.uint16, np.uint64, np.uint32)
+            heads.append(setup.decode(code, rest))
+            sizes.append(size)
+            after.append(_cut(setup.decode(code_w, rest_w)))
+            count.append(n)
+        names, head = np.unique(np.concatenate(heads), return_inverse=True)
+        of = np.repeat(head.astype(np.int32), np.concatenate(sizes))
+        ends = np.cumsum([len(c) for c in count]).tolist()
+        after, count = np.concatenate(after), np.concatenate(count)
         total = np.bincount(of, weights=count, minlength=len(names)).astype(np.int64)
         hot = setup.hot_count(names)
         total = np.where(hot >= 0, hot, total)
-        pick = np.flatnonzero(count > 0)
-        order = pick[np.lexsort((prior[pick], of[pick]))]
-        same = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (prior[order][1:] != prior[order][:-1])]) if len(order) else np.zeros(0, bool)
-        begin = np.flatnonzero(same)
-        sums = np.add.reduceat(count[order], begin) if len(begin) else np.zeros(0, np.int64)
-        at = order[begin]
-        mass = MU * (total[of[at]] + 1) / (setup.n + setup.v + 1)
-        codes = Trie(word[at], prior[at], sums, mass).look_up(word, prior)
-        ends = np.cumsum(sizes)
-        blobs = [_pack(total[np.searchsorted(names, head)], codes[e - n : e]) for head, n, e in zip(heads, sizes, ends.tolist(), strict=True)]
+        order = np.flatnonzero(count)  # pairs of the training part
+        order = order[np.lexsort((after[order], of[order]))]
+        o, a = of[order], after[order]
+        begin = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != a[:-1])])) if len(order) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(count[order].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+        o, a = o[begin], a[begin]
+        del order, begin, count
+        trie = Trie(names[o], a, sums, total[o], setup.whole)
+        del o, a, sums
+        alone, mass = trie.roots(names)
+        codes = np.concatenate([trie.look_up(names[of[s : s + SLICE]], after[s : s + SLICE]) for s in range(0, len(of), SLICE)])
+        blobs, at, first = [], 0, 0
+        for size, end in zip(sizes, ends, strict=True):
+            own = head[at : at + len(size)]
+            blobs.append(_pack(total[own], alone[own], mass[own], codes[first:end]))
+            at, first = at + len(size), end
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "found": pa.array(blobs, pa.binary())})
 
     return run
@@ -329,23 +364,22 @@ def _score(shipped, id_col: str):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         setup = shipped.value
         b = _Block(table, setup)
-        totals, codes = np.zeros(len(b.every), np.int64), np.zeros(len(b.order), np.uint16)
-        for shard, blob in zip(told.column("shard").to_pylist(), told.column("found").to_pylist(), strict=True):
-            s, e = np.searchsorted(b.shard, shard), np.searchsorted(b.shard, shard, side="right")
-            head, own = _unpack(blob, np.int64, np.uint16)
-            word = b.word[s:e]
-            new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            totals[np.searchsorted(b.every, word[new])] = head
+        total, alone, mass, codes = np.zeros(len(b.every), np.int64), *(np.zeros(n, np.uint16) for n in (len(b.every), len(b.every), len(b.order)))
+        for shard, blob in zip(told.column("shard"), told.column("found"), strict=True):
+            s, e = np.searchsorted(b.shard, shard.as_py()), np.searchsorted(b.shard, shard.as_py(), side="right")
+            count, one, back, own = _unpack(blob.as_py(), np.int64, np.uint16, np.uint16, np.uint16)
+            head = np.searchsorted(b.every, b.word[s:e][_edges(b.word[s:e])])
+            total[head] = count
+            alone[head], mass[head] = np.maximum(alone[head], one), np.maximum(mass[head], back)  # only shards with training pairs of a word know it
             codes[b.order[s:e]] = own
-        by_pair = codes[b.of]
-        c = totals[b.w]
-        whole = setup.n + setup.v + 1
-        c_before = totals[b.u]
-        c_before[b.every[b.u] == BEGIN] = setup.counts[setup.common == END].sum()
-        top = np.where(by_pair > 0, restore(by_pair), np.log10(MU * (c + 1) / whole))
+        whole = setup.whole
+        total[b.every == END] = setup.texts
+        p1 = np.where(alone > 0, restore(alone, whole), (total + 1) / whole)
+        back = np.where(mass > 0, restore(mass, whole), MU / (total + MU))
+        chance = np.where(codes > 0, restore(codes, whole), 0.0)
         add = lambda x: np.bincount(b.row, weights=x, minlength=b.rows)
-        n = np.bincount(b.row, minlength=b.rows)
-        return pa.table({id_col: table.column("id"), "held_out": table.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64)), "train_tokens": pa.array(np.full(b.rows, setup.n, np.int64)), "base_score": pa.array(add(np.log10((c + 1) / whole))), "score": pa.array(add(top - np.log10(c_before + MU)))})
+        c, base = total[b.w], np.log10((total + 1) / whole)
+        return pa.table({id_col: table.column("id"), "held_out": table.column("held_out"), "n_tokens": pa.array(np.bincount(b.row, minlength=b.rows).astype(np.int64)), "n_known": pa.array(add(c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(b.rows, setup.n, np.int64)), "base_score": pa.array(add(base[b.w])), "score": pa.array(add(np.log10(chance[b.of] + back[b.u] * p1[b.w])))})
 
     return run
 
@@ -379,7 +413,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     blocks = max(1, -(-(size[0] + 8 * size[1]) // block_bytes))
     shards = max(1, -(-n // shard_tokens))
-    top = counts.orderBy(F.col("c").desc(), "w").limit(CODED - 1).union(counts.where(F.col("w") == int(END.astype(np.int64)))).distinct().collect()
+    top = counts.orderBy(F.col("c").desc(), "w").limit(CODED - 2).union(counts.where(F.col("w") == int(END.astype(np.int64)))).distinct().collect()
     setup = _Setup(n, v, shards, np.array([r.w for r in top], dtype=np.int64).view(np.uint64), np.array([r.c for r in top], dtype=np.int64))
     shipped = spark.sparkContext.broadcast(setup)
     by_block = docs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
