@@ -6,21 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, *order: str, by: list[str] | None = None, name: str = "rn") -> DataFrame:
+#: Rows that one task numbers, and the most ranges that numbering cuts an order into.
+RANGE_ROWS, MOST_RANGES = 100_000, 16_384
+
+
+def range_of(bounds: Column, steps: int, key: Column) -> Column:
+    """How many of at most ``2**steps - 1`` sorted bounds are not above the key, by halving."""
+    sizes = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(sizes, F.lit(0), lambda at, size: F.when(F.get(bounds, at + size - 1) <= key, at + size).otherwise(at))
+
+
+def numbered(df: DataFrame, *order: str, by: list[str] | None = None, name: str = "rn", rows: int = RANGE_ROWS) -> DataFrame:
     """Number rows from 0 in a total order, within groups if ``by`` is given.
 
-    Without groups the rows are range-partitioned and sorted, and each partition's
-    offset is a running sum over partition sizes, so no task sees all rows.
+    Without groups the order is cut into ranges of about ``rows`` rows, at
+    bounds taken from a sample and then fixed in the plan. A row's range depends
+    on its key alone, so its number is its place in the range plus the rows of
+    earlier ranges, however Spark lays out or repeats a stage. Rows of equal
+    keys are numbered in any order; nulls come first.
     """
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = ranged.withColumn("_m", F.monotonically_increasing_id())
-    local = local.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    before = sizes.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_q"), "off")
-    out = local.join(F.broadcast(before), F.col("_p") == F.col("_q"))
-    return out.withColumn(name, (F.col("off") + F.col("_i")).cast("long")).drop("_m", "_p", "_i", "_q", "off", "n")
+    n = df.count()
+    ranges = min(-(-n // rows), MOST_RANGES)
+    if ranges <= 1:  # at most ``rows`` rows
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    kinds = [df.schema[c].dataType for c in order]
+    sample = df.select(*order).sample(min(1.0, 32 * ranges / n), 7).orderBy(*order).collect()
+    cuts = sorted({len(sample) * k // ranges for k in range(1, ranges)}) if sample else []
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(sample[k], kinds, order, strict=True)]) for k in cuts])
+    inner = f"_range_{name}"
+    ranged = df.withColumn(inner, range_of(bounds, len(cuts).bit_length(), F.struct(*order)) if cuts else F.lit(0))
+    sizes = ranged.groupBy(F.col(inner).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(inner).orderBy(*order)) - 1
+    out = ranged.withColumn(name, place).join(F.broadcast(sizes.select("_q", before.alias("_before"))), F.col(inner) == F.col("_q"))
+    return out.withColumn(name, (F.col("_before") + F.col(name)).cast("long")).drop(inner, "_q", "_before")
 
 
 def pop(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:

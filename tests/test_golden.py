@@ -118,10 +118,32 @@ def test_pad_round_trip(spark):
         B.pop(df, ["nope"])
 
 
-def test_numbered_is_total(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    got = B.numbered(df, "k").orderBy("k").collect()
-    assert [r.rn for r in got] == list(range(1000))
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("payload", ["repeat('ab', 95)", "repeat('ab', cast(id % 997 * (id % 7) / 20 as int))", "null"])
+def test_numbered_is_total(spark, adaptive, payload):
+    """Every row once and every number once, whatever the rows carry."""
+    n, setting = 300_000, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, adaptive)
+    try:
+        df = spark.range(n).select((F.col("id") * 7_919 % n).alias("k"), F.expr(payload).cast("string").alias("p"))
+        x = B.numbered(df.repartition(5), "k", rows=20_000)
+        r = x.agg(F.count("*").alias("n"), F.countDistinct("rn").alias("d"), F.min("rn").alias("a"), F.max("rn").alias("b"), F.sum(F.col("rn") - F.col("k")).alias("off"), F.max(F.abs(F.col("rn") - F.col("k"))).alias("far")).first()
+        assert tuple(r) == (n, n, 0, n - 1, 0, 0)
+    finally:
+        spark.conf.set(setting, was)
+
+
+def test_numbered_keys(spark):
+    """Nulls first, ties numbered once, several columns, one key holding a third of the rows, no rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1.5, -2.0, float("nan"), 8.0]) if i % 3 else 3.0, rng.choice(["a", "é", None, "b"]), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "x double, s string, i int")
+    got = [(r.x, r.s, r.i) for r in B.numbered(df.repartition(3), "x", "s", "i", rows=100).orderBy("rn").collect()]
+    want = [(r.x, r.s, r.i) for r in df.orderBy("x", "s", "i").collect()]
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert sorted(r.rn for r in B.numbered(df.select("x"), "x", rows=100).collect()) == list(range(3_000))
+    assert B.numbered(df.where("false"), "i", rows=100).count() == 0
 
 
 def test_union_conflict(spark):
