@@ -3,16 +3,20 @@
 Keys of at least ``min_chars`` code points that stand in at least ``min_docs``
 documents lose all their lines but those of the largest id.
 
-Plan: one row per (key hash, document); partial counts under a salt, so that
-no key brings more than ``SALTS`` rows to a task; these are range-partitioned
-by hash and sorted by hash and document, newest first, and the first row of
-each hash in that stream is the occurrence that stays. The verdicts meet the
-(hash, document) rows in a sort-merge join whose hot partitions Spark splits,
-and come back as run-length-compressed bitmaps, one per text; texts move once.
+Plan: lines are split and hashed once; a document's lines of one key meet as one
+row with their positions, and this one exchange feeds both of what follows. On
+one side partial counts under a salt, so that no key brings more than ``SALTS``
+rows to a task, are range-partitioned by hash and sorted by hash, document
+(newest first) and position: the first row of each hash in that stream is the
+occurrence that stays. On the other side the verdicts meet the (hash, document)
+rows in a sort-merge join that holds one verdict a key in memory; a key in a
+large share of the documents is split by Spark's skew join. What comes back is a
+keep bitmap per text, run-length-compressed; texts move once.
 
 Hashes are 128 bits wide (two seeded XXH64), so texts of lines never move.
 Null or empty text: one empty line. Rows of one id count as one document, and
-each such row gets its own bitmap. An empty table gives no rows.
+each such row gets its own bitmap. An empty table gives no rows. The input may
+have columns of any name: inside they go by number.
 """
 
 from __future__ import annotations
@@ -33,56 +37,65 @@ def line_keys(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.translate(F.btrim(x, F.lit(SPACE)), UPPER, LOWER))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """One row per text that loses lines: (_id, _text_hash, drop_runs binary, n_dropped).
+#: Length of a bitmap's last run, which goes to the end of the text (Spark adds it to the start in 32 bits).
+OPEN = 1 << 30
 
-    ``drop_runs`` is the compressed bitmap: for each run of dropped lines its
-    first line and its length, as big-endian 32-bit numbers.
+
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """One row per text that loses lines: (id, text_hash, keep binary, n_dropped).
+
+    ``keep`` is the compressed bitmap: for each run of lines that stay its first
+    line and its length, as big-endian 32-bit numbers; the last run is open.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text_hash"), F.split(text_or_empty(text_col), "\n").alias("lines"))
-    lines = rows.select("_id", "_text_hash", F.posexplode(line_keys(F.col("lines"))).alias("pos", "key")).where(F.char_length("key") >= min_chars)
-    held = lines.select("_id", "_text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
-    # a document's lines of one key travel together
-    per_doc = held.groupBy("h1", "h2", "_id").agg(F.collect_set(F.struct("_text_hash", "pos")).alias("at"))
-    part = per_doc.groupBy("h1", "h2", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("_id").isNotNull().alias("real"), "_id")).alias("last"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(line_keys(F.split(text, "\n"))).alias("pos", "key"))
+    held = rows.where(F.char_length("key") >= min_chars).select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
+    per_doc = held.groupBy("h1", "h2", "id").agg(F.collect_set(F.struct("pos", "text_hash")).alias("at"))
+    # both uses read the lists, so that they share one exchange
+    newest = F.max(F.struct(F.col("id").isNotNull().alias("real"), "id", (-F.array_min("at")["pos"]).alias("place")))
+    part = per_doc.groupBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.sum((F.size("at") > 0).cast("long")).alias("n"), newest.alias("last"))
     part = part.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.col("last").desc())
     stream = Window.partitionBy("h1", "h2").orderBy(F.col("last").desc())
     whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = part.select("h1", "h2", "last", F.row_number().over(stream).alias("nth"), F.sum("n").over(whole).alias("docs"))
-    first = first.where((F.col("nth") == 1) & (F.col("docs") >= min_docs)).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("last._id").alias("keep"))
-    gone = per_doc.join(first.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & ~F.col("_id").eqNullSafe(F.col("keep")))
-    gone = gone.select("_id", F.explode("at").alias("at")).groupBy("_id", F.col("at._text_hash").alias("_text_hash")).agg(F.sort_array(F.collect_set("at.pos")).alias("p"))
-    number = lambda c: F.lpad(F.hex(c), 8, "0")
-    starts = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
-    ends = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1) != x + 1, F.lit(True)))
-    runs = F.unhex(F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat(number(a.cast("long")), number((b - a + 1).cast("long")))), ""))
-    return gone.withColumns({"starts": starts, "ends": ends}).select("_id", "_text_hash", runs.alias("drop_runs"), F.size("p").cast("long").alias("n_dropped"))
-
-
-def apply_bitmaps(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_lines`` (all), ``_kept`` (the lines that stay) and ``_n_dropped``."""
-    size = lambda a: F.conv(F.hex(a), 16, 10).cast("int")
-    number = lambda i: size(F.substring("drop_runs", i, 4))
-    n = F.coalesce((F.octet_length("drop_runs") / 8).cast("int"), F.lit(0))
-    runs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(number(i * 8 + 1).alias("at"), number(i * 8 + 5).alias("n"))))
-    # what stays: before the first run, between runs, after the last one
-    stay = lambda i: F.slice("_lines", F.when(i == 0, 1).otherwise(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["n"] + 1), F.coalesce(F.get("_runs", i)["at"], F.size("_lines")) - F.when(i == 0, 0).otherwise(F.get("_runs", i - 1)["at"] + F.get("_runs", i - 1)["n"]))
-    kept = F.when(F.col("_runs").isNull(), F.col("_lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_runs")), stay)))
-    left = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_col)))
-    both = left.join(dropped, left[id_col].eqNullSafe(dropped["_id"]) & (left["_hash"] == dropped["_text_hash"]), "left")
-    both = both.withColumn("_lines", F.split(text_or_empty(text_col), "\n")).withColumn("_runs", runs).withColumn("_kept", kept)
-    return both.withColumn("_n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop("_id", "_hash", "_text_hash", "drop_runs", "n_dropped", "_runs")
+    first = first.where((F.col("nth") == 1) & (F.col("docs") >= min_docs)).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("last.id").alias("stays"))
+    gone = per_doc.join(first.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & ~F.col("id").eqNullSafe(F.col("stays")))
+    gone = gone.select("id", F.explode("at").alias("at")).groupBy("id", F.col("at.text_hash").alias("text_hash")).agg(F.sort_array(F.collect_set("at.pos")).alias("p"))
+    number = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    # runs that stay: from the line after each dropped run to the next one
+    ends = F.concat(F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1)), F.array(F.lit(OPEN)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1) != x + 1, F.lit(True))), lambda x: x + 1))
+    runs = F.filter(F.arrays_zip("starts", "ends"), lambda r: r["ends"] > r["starts"])
+    keep = F.unhex(F.array_join(F.transform(runs, lambda r: F.concat(number(r["starts"]), number(F.when(r["ends"] == OPEN, OPEN).otherwise(r["ends"] - r["starts"])))), ""))
+    return gone.withColumns({"starts": starts, "ends": ends}).select("id", "text_hash", keep.alias("keep"), F.size("p").cast("long").alias("n_dropped"))
+
+
+def kept_lines(lines: Column, keep: Column) -> Column:
+    """The lines that a bitmap keeps; all of them without one."""
+    number = lambda i: F.conv(F.hex(F.substring(keep, i, 4)), 16, 10).cast("int")
+    runs = F.sequence(F.lit(0), (F.octet_length(keep) / 8).cast("int") - 1)
+    return F.when(keep.isNull(), lines).otherwise(F.flatten(F.transform(runs, lambda i: F.slice(lines, number(i * 8 + 1) + 1, number(i * 8 + 5)))))
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... with ``all_lines``, ``left`` (the lines that stay) and ``lost``."""
+    at, of = (f"c{docs.columns.index(c)}" for c in (text_col, id_col))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    bitmaps = keep_bitmaps(plain.select(of, at) if of != at else plain.select(of), of, at, min_chars, min_docs)
+    keyed = plain.withColumn("own_hash", F.xxhash64(text_or_empty(at)))
+    both = keyed.join(bitmaps, keyed[of].eqNullSafe(bitmaps["id"]) & (keyed["own_hash"] == bitmaps["text_hash"]), "left").withColumn("all_lines", F.split(text_or_empty(at), "\n"))
+    return both.select(*plain.columns, "all_lines", kept_lines(F.col("all_lines"), F.col("keep")).alias("left"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("lost"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Columns ``id_col``, text (what stays), n_lines, n_dropped."""
-    docs = docs.select(id_col, text_col)
-    out = apply_bitmaps(docs, dropped_lines(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
-    return out.select(id_col, F.array_join("_kept", "\n").alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    out = _cleaned(docs.select(id_col, text_col), id_col, text_col, min_chars, min_docs)
+    return out.select(F.col("c0").alias(id_col), F.array_join("left", "\n").alias("text"), F.size("all_lines").cast("long").alias("n_lines"), F.col("lost").alias("n_dropped"))
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with its columns, dropped lines taken out of the text; texts that lose none are as they were."""
-    out = apply_bitmaps(docs, dropped_lines(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
-    out = out.withColumn(text_col, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*docs.columns)
+    out, at = _cleaned(docs, id_col, text_col, min_chars, min_docs), docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.when(F.col("lost") > 0, F.array_join("left", "\n")).otherwise(F.col(names[at]))
+    return out.select(*names[:at], text.alias(names[at]), *names[at + 1 :]).toDF(*docs.columns)

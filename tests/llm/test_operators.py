@@ -491,9 +491,44 @@ def test_words_hash_by_content():
     assert sorted(seen.values()) == [b"ab", b"abcd", b"cd"]
 
 
+INSIDE = ("id", "block", "h", "h1", "key", "pos", "at", "keep", "left", "lost", "all_lines", "own_hash", "text_hash", "_id", "_hash", "_runs", "_lines", "_kept", "_n_dropped", "drop_runs", "n_dropped", "n_lines", "n_words", "c0", "c1", "label", "component_id", "fingerprint")
+
+
 def test_inputs_may_have_any_columns(docs):
-    extra = docs.withColumns({c: F.lit("z") for c in ("id", "block", "h", "key", "pos", "_id", "n_words", "c0", "label", "component_id")})
-    assert substring_dedup.remove_repeats(extra).count() == line_dedup.clean_lines(extra.drop("_id")).count() == simhash.first_of_group(extra).count() + len(ROWS) - len({*plain_components({i: plain_print(t) for i, t, *_ in ROWS}).values()})
+    extra = docs.withColumns({c: F.lit("z") for c in INSIDE})
+    assert substring_dedup.remove_repeats(extra).count() == len(ROWS)
+    assert simhash.first_of_group(extra).count() == len({*plain_components({i: plain_print(t) for i, t, *_ in ROWS}).values()})
+    want = {i: v[2] for i, v in plain_lines(ROWS).items()}
+    for cleaned in (line_dedup.clean_lines(extra), line_dedup.clean_lines(extra.select(*INSIDE, "text", "doc_id"))):
+        got = cleaned.collect()
+        assert {r.doc_id: r.text or "" for r in got} == want
+        assert all(r[c] == "z" for r in got for c in INSIDE)
+    twice = docs.selectExpr("doc_id", "text", "'z' as lang", "'y' as lang")
+    assert line_dedup.clean_lines(twice).columns == ["doc_id", "text", "lang", "lang"] and line_dedup.clean_lines(twice).count() == len(ROWS)
+
+
+def test_line_dedup_splits_a_line_of_every_document(spark):
+    """A line that stands in all documents, with the skew join forced on."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        line = "this one line stands in every document"
+        docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\nown "), F.col("id").cast("string"), F.lit("\n" + line)).alias("text")).repartition(6)
+        got = line_dedup.dedup_lines(docs).groupBy("n_dropped").count().collect()
+        assert {r.n_dropped: r["count"] for r in got} == {2: 3_999, 0: 1}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_line_dedup_hashes_lines_once(docs):
+    """The scan, the split and the hashes stand in one exchange that both sides read."""
+    out = line_dedup.dedup_lines(docs)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("Generate posexplode") == 1
 
 
 def test_toxicity_holds_every_significant_segment():
