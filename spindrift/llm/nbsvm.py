@@ -3,14 +3,15 @@
 Features are indicators of n-grams: of bytes (three and four) and of words (one
 and two, with a mark for a word that repeats the one before), hashed to
 ``2**BITS`` places. Each is scaled by its class log-count ratio, rows are
-scaled to length one, and a linear model with squared hinge loss is fitted by
-dual coordinate descent and drawn towards the mean weight. A logistic curve
+scaled to length one, and a linear model with hinge loss is fitted by dual
+coordinate descent and drawn towards the mean weight. A logistic curve
 over margins of texts left out of the fit (two halves, crossed) gives the
 score, with the intercept shifted to the labels' true shares.
 
 Training takes at most ``per_class`` labelled texts of each class and
-``sample_bytes`` in all, in the order of a hash of the id, a bound that does
-not grow with the table; all texts are scored whole. Without a labelled text of
+``sample_bytes`` in all, in the order of a hash of the id, texts of over
+``long_bytes`` only where a class has too few others: a bound that does not grow
+with the table. All texts are scored whole. Without a labelled text of
 each class the score is the share of good labels.
 
 Null text: empty, without features. Null or repeated ids are scored row by
@@ -25,13 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from spindrift.llm.shared import Words, mix64, remainder, text_chunks, text_or_empty
+from spindrift.llm.shared import Words, labelled_sample, mix64, remainder, text_chunks
 
 BITS = 18
-PER_CLASS, SAMPLE_BYTES = 1_200, 8 << 20
+PER_CLASS, SAMPLE_BYTES, LONG_BYTES = 1_200, 8 << 20, 128 << 10
 SMOOTH, COST, EPOCHS, KEEP = 1.0, 1.0, 15, 0.75
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -74,17 +74,17 @@ def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def descend(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, size: int, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weights, bias): squared hinge loss by dual coordinate descent over sparse rows (places, values)."""
+    """(weights, bias): hinge loss by dual coordinate descent over sparse rows (places, values); a row's dual lies from 0 to its cost."""
     w, bias = np.zeros(size), 0.0
     alpha = np.zeros(len(rows))
-    norm = np.array([v @ v + 1 for _, v in rows]) + 0.5 / cost
+    norm = np.array([v @ v + 1 for _, v in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
             at, v = rows[i]
-            g = sign[i] * (w[at] @ v + bias) - 1 + alpha[i] * 0.5 / cost[i]
-            new = max(0.0, alpha[i] - g / norm[i])
+            slope = sign[i] * (w[at] @ v + bias) - 1
+            new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             if step := new - alpha[i]:
                 w[at] += step * sign[i] * v
                 bias += step * sign[i]
@@ -168,22 +168,10 @@ def train(texts: list[bytes], labels: list[int], share: float | None = None) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, long_bytes: int = LONG_BYTES) -> Model:
     """Train on a bounded sample of labelled texts whose crc32(id) mod 4 is not 2."""
-    known = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, 4) != 2)).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).alias("y"))
-    totals = {int(r.y > 0): r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = [known.where(F.col("y") == c).orderBy(F.xxhash64("_k"), "_k").limit(per_class) for c in (0, 1)]
-    chosen = F.broadcast(each[0].union(each[1]))  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("t")).where(F.octet_length("t") <= sample_bytes // 64)
-    found = texts.join(chosen, F.col("_id") == F.col("_k")).select(F.xxhash64("_id").alias("h"), "_id", "t", "y")
-    out, y, used = [], [], 0
-    for r in sorted(found.collect(), key=lambda r: (r.h, r._id, r.t)):
-        raw = r.t.encode()
-        if used + len(raw) <= sample_bytes:
-            used += len(raw)
-            out.append(raw)
-            y.append(int(r.y > 0))
-    return train(out, y, totals.get(1, 0) / max(1, sum(totals.values())))
+    rows, share = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, sample_bytes, long_bytes)
+    return train([t for t, _ in rows], [y for _, y in rows], share)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at once (a longer single text is held whole).
@@ -49,6 +49,29 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, sample_bytes: int, long_bytes: int) -> tuple[list[tuple[bytes, int]], float]:
+    """((text, label) pairs whose crc32(id) mod 4 is not 2, share of label 1 among all such labels).
+
+    The sample is bounded before it leaves the executors: at most ``per_class``
+    texts and half of ``sample_bytes`` of each class, in the order of a hash of
+    the id; texts of over ``long_bytes`` come last, the shorter first, so that they
+    are used only where a class has too few others. Of twice ``per_class`` ids
+    of each class those not in ``docs`` fall out. Of an id with several labels the
+    largest counts, of one with several texts the least; null labels and null
+    ids are left out.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col, 4) != 2)).groupBy(F.col(id_col).alias("k")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = [known.where(F.col("y") == c).orderBy(F.xxhash64("k"), "k").limit(2 * per_class) for c in (0, 1)]
+    chosen = F.broadcast(each[0].union(each[1]))  # at most 4 * per_class ids
+    texts = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(chosen, F.col("i") == F.col("k"))
+    texts = texts.groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "y", "t", F.xxhash64("i").alias("h"), F.octet_length("t").alias("n"))
+    order = Window.partitionBy("y").orderBy(F.greatest("n", F.lit(long_bytes)), "h", "i")
+    ranked = texts.select("h", "i", "y", "t", F.row_number().over(order).alias("nth"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    rows = ranked.where((F.col("nth") <= per_class) & (F.col("bytes") <= sample_bytes // 2)).collect()
+    return [(r.t.encode(), r.y) for r in sorted(rows, key=lambda r: (r.h, r.i))], totals.get(1, 0) / max(1, sum(totals.values()))
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of runs of rows whose texts hold about ``limit`` bytes."""
     if column.null_count:

@@ -1,23 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are chosen, not trained by zstandard: both are raw
-prefixes. One holds the frequent words of ordinary labelled text, up to
-``BASE_BYTES``; the other, for toxic text, every one of the segments (starts of words and whole
-words) that stand in significantly more toxic texts, by the likelihood ratio,
-behind the same frequent words, so that text common to both classes costs the
-same under either. A window is a
-word with the blanks around it: wider ones drown a short match in the noise of
-their neighbours (measured on the labelled table). Each byte is spread to
-``WIDTH`` bytes before compression, so that a match outweighs the cost of its
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text,
+both by zstandard's cover trainer. The ordinary one is trained on the words of
+ordinary labelled texts, up to ``BASE_BYTES``. The toxic one is trained on what the
+toxic texts have and ordinary ones have not: each text gives its segments (starts
+of words and whole words) that stand in significantly more toxic texts, by the
+likelihood ratio; its size is that of all such segments, so that none is left out. It is laid behind
+the ordinary one, so that text common to both classes costs the same under
+either. Trained on whole texts, or laid apart, the dictionaries tell less (the
+README has figures): a toxic word is a few bytes among hundreds of others.
+
+A window is a word with the blanks around it: wider ones drown a short match in
+the noise of their neighbours (measured on the labelled table). Each byte is
+spread to ``WIDTH`` bytes before compression, so that a match outweighs the cost of its
 encoding. A window's distance is its compressed length under the ordinary
 dictionary less that under the toxic one; equal windows are compressed once. A
 calibrated threshold turns distances into hits, and a logistic curve fitted on
 the training texts turns hits and windows into a score from 0 to 1.
 
 Training takes at most ``per_class`` labelled texts of each class and
-``sample_bytes`` of text in all, in the order of a hash of the id: a bound that
-does not grow with the table. Everything else covers all rows and whole texts.
-Without a labelled text of each class the score is the share of toxic labels.
+``sample_bytes`` of text in all, in the order of a hash of the id, texts of over
+``long_bytes`` only where a class has too few others: a bound that does not grow
+with the table. Everything else covers all rows and whole texts. Without a
+labelled text of each class the score is the share of toxic labels.
 
 Null text: empty; it has no window and gets the score of no hits. Null or
 repeated ids are scored row by row; of a document with several labels, toxic
@@ -35,16 +40,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from spindrift.llm.shared import LOWER, Words, mix64, ragged, remainder, text_chunks, text_or_empty
+from spindrift.llm.shared import LOWER, Words, labelled_sample, mix64, ragged, remainder, text_chunks
 
 WIDTH = 3
-PER_CLASS, SAMPLE_BYTES = 3_000, 24 << 20
-#: Bytes of a dictionary for the shared base; its own segments have no bound.
+PER_CLASS, SAMPLE_BYTES, LONG_BYTES = 3_000, 24 << 20, 32 << 10
+#: Bytes of the ordinary dictionary; the toxic one's own part has no bound.
 BASE_BYTES = 4_000
 #: Least likelihood-ratio statistic of a segment.
 SIGNIFICANT = 20.0
+#: Length of the pieces that zstandard's trainer picks.
+SEGMENT = 64
 #: Fewest toxic texts that a segment stands in.
 LEAST = 5
 #: The bytes that a byte is spread to.
@@ -80,6 +86,15 @@ def _contrast(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
     return out[::-1]
 
 
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of about ``size`` bytes trained by zstandard; too few samples to train on are taken as they are."""
+    samples = [s for s in samples if s]
+    try:
+        return zstandard.train_dictionary(max(256, size), samples, k=SEGMENT, d=6, level=3, dict_id=1).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(sorted(set(samples)))[-size:] if size else b""
+
+
 class Model:
     """Dictionaries (as bytes), threshold and logistic weights."""
 
@@ -173,17 +188,21 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
         share = (sizes[1] + 0.5) / (sum(sizes) + 1)
         return Model(weights=(math.log(share / (1 - share)), 0.0, 0.0))
     telling = _contrast(toxic, sizes[1], ordinary, sizes[0])
-    marks = set(telling)
-    base, size = [], 0
-    for word, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
-        if any(p in marks for p in (b" " + word + b" ", *(b" " + word[:k] for k in range(4, 12)))):
-            continue
-        size += len(word) + 1
-        if size > BASE_BYTES:
-            break
-        base.append(b" " + word)
-    ordinary = b"".join(base[::-1]) + b" "
-    model = Model(ordinary + b"".join(telling) + b" ", ordinary)
+    marks, starts = set(telling), tuple(range(4, 12))
+    usual = [w for w, k in sorted(common.items(), key=lambda x: (x[1], x[0])) if k >= LEAST and not any(p in marks for p in (b" " + w + b" ", *(b" " + w[:k] for k in starts)))]
+    rank = {w: i for i, w in enumerate(usual)}
+    # in one order in all texts, the most telling last, so that runs of what is frequent recur
+    plain, own = [], []
+    for text, label in rows:
+        if label:
+            has = segments(text)
+            own.append(b"".join(s for s in telling if s in has))
+        else:
+            plain.append(b" ".join([b"", *sorted(rank.keys() & set(text.lower().split()), key=rank.get), b""]))
+    base = dictionary(plain, BASE_BYTES)
+    held = dictionary(own, sum(map(len, telling)) + 512)
+    held += b"".join(s for s in telling if s not in held)  # what the trainer's pieces cut
+    model = Model(base + held + b" ", base)
     y = np.array([label for _, label in rows], dtype=float)
     parts = [model.distances(data, offsets) for _, _, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.binary()), 1 << 20)]
     best = None
@@ -195,21 +214,9 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, long_bytes: int = LONG_BYTES) -> Model:
     """Train on a bounded sample of labelled texts whose crc32(id) mod 4 is not 2."""
-    known = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, 4) != 2)).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).alias("y"))
-    each = [known.where(F.col("y") == c).orderBy(F.xxhash64("_k"), "_k").limit(per_class) for c in (0, 1)]
-    chosen = F.broadcast(each[0].union(each[1]))  # at most 2 * per_class ids
-    share = sample_bytes // (4 * per_class)
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("t")).where(F.octet_length("t") <= 16 * share)
-    found = texts.join(chosen, F.col("_id") == F.col("_k")).select(F.xxhash64("_id").alias("h"), "_id", "t", "y")
-    rows, used = [], 0
-    for r in sorted(found.collect(), key=lambda r: (r.h, r._id, r.t)):
-        raw = r.t.encode()
-        if used + len(raw) <= sample_bytes:
-            used += len(raw)
-            rows.append((raw, int(r.y > 0)))
-    return train(rows)
+    return train(labelled_sample(docs, labels, id_col, text_col, label_col, per_class, sample_bytes, long_bytes)[0])
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

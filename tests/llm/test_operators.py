@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontaminate, html_extract, line_dedup, nbsvm, ngram_lm, simhash, substring_dedup, toxicity, transport_stream
+from spindrift.llm import bpe, decontaminate, html_extract, line_dedup, nbsvm, ngram_lm, shared, simhash, substring_dedup, toxicity, transport_stream
 from spindrift.llm.queries import ranks_path
 from spindrift.llm.shared import Words, text_chunks
 
@@ -160,6 +161,58 @@ def test_toxicity(spark, empty):
     assert toxicity.score_texts(empty, model).count() == 0
 
 
+def plain_toxicity(model, text):
+    """The score of one text, a window at a time, by the library alone."""
+    made = []
+    for content in (model.ordinary, model.toxic):
+        log = (toxicity.WIDTH * max(len(model.ordinary), len(model.toxic))).bit_length()
+        setting = zstandard.ZstdCompressionParameters(window_log=max(17, log + 1), hash_log=max(16, log), chain_log=max(16, log), search_log=9, min_match=6, target_length=256, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        own = zstandard.ZstdCompressionDict(b"".join(toxicity.SPREAD[c].tobytes() for c in content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.append(zstandard.ZstdCompressor(dict_data=own, compression_params=setting))
+    windows = [b" " + w + b" " for w in (text or "").encode().lower().split()]
+    lengths = [[len(c.compress(b"".join(toxicity.SPREAD[x].tobytes() for x in w))) for c in made] for w in windows]
+    hits = sum(a - b >= model.threshold for a, b in lengths)
+    z = model.weights[0] + model.weights[1] * math.log1p(hits) + model.weights[2] * hits / max(1, len(windows))
+    return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+
+def test_toxicity_equals_plain_windows(spark):
+    model = toxicity.train([(t.encode(), y) for _, t, y in labelled()])
+    texts = [None, "", " \n ", "vileword", "VILEWORD a", prose(300) + " vileword " + prose(20_000) + " nastyterm", "x" * 200_000, prose(9), prose(9) + " awfulname", "a b", "a b"]
+    extra = spark.createDataFrame([(i % 9, t, "s", "p", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, score string, predicted string, held_out int")
+    got = sorted((r.doc_id, r.score) for r in toxicity.score_texts(extra, model).collect())
+    want = sorted((i % 9, plain_toxicity(model, t)) for i, t in enumerate(texts))
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    assert toxicity.drop_toxic(extra, model).columns == extra.columns
+
+
+def test_toxicity_dictionaries_are_trained_by_zstandard(monkeypatch):
+    seen, trainer = [], zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **k: seen.append(samples) or trainer(size, samples, **k))
+    rng = random.Random(2)
+    bad = [f"vile{c}{d}thing" for c in "abcdef" for d in "ghijkl"]
+    rows = [(" ".join(rng.choices(VOCABULARY, k=120) + (rng.choices(bad, k=12) if i % 3 == 0 else [])).encode(), int(i % 3 == 0)) for i in range(600)]
+    model = toxicity.train(rows)
+    assert len(seen) == 2 and len(seen[0]) == 400 and len(seen[1]) == 200
+    assert model.ordinary[:4] == model.toxic[len(model.ordinary) :][:4] == b"\x37\xa4\x30\xec"  # the mark of a trained dictionary
+
+
+def test_samples_are_bounded_before_they_move(spark):
+    """Long texts come last, repeated rows count once, texts and bytes are bounded."""
+    rows = [(i, "x" * 1_000) for i in range(400)] + [(i, "y" * 9_000) for i in range(400, 440)] + [(3, "x" * 1_000)] * 50 + [(None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(480)] + [(7, None), (None, 1)], "doc_id bigint, toxic int")
+    sample = lambda n, b: shared.labelled_sample(docs, labels, "doc_id", "text", "toxic", n, b, 2_000)
+    got, share = sample(1_000, 1 << 30)
+    free = [i for i in range(440) if not held(i, 4)]
+    assert len(got) == len(free) and sum(y for _, y in got) == sum(i >= 400 for i in free)
+    assert share == pytest.approx(sum(i >= 400 for i in range(480) if not held(i, 4)) / sum(not held(i, 4) for i in range(480)))
+    few, _ = sample(5, 1 << 30)
+    assert sum(not y for _, y in few) == 5 and 1 <= sum(y for _, y in few) <= 5  # half of the ids labelled 1 have no text
+    tight, _ = sample(1_000, 40_000)
+    assert sum(len(t) for t, y in tight if not y) <= 20_000 and sum(len(t) for t, y in tight if y) == 18_000
+
+
 def test_toxicity_never_reads_ids():
     model = toxicity.train([(t.encode(), y) for _, t, y in labelled()])
     one = pa.array(["vileword nastyterm vileword awfulname"] * 2)
@@ -178,13 +231,46 @@ def test_quality(spark, empty):
     assert {r.score for r in nbsvm.score_texts(docs, nbsvm.fit(docs, labels.where("quality = 1"))).collect()} != {0.5}
 
 
+def test_quality_equals_plain_scores(spark):
+    """Log-count ratios and whole scores against n-grams taken one by one."""
+    rows = [(t if not y else " | ".join(t.split()) + " $$$", 1 - y) for _, t, y in labelled(120)]
+    model = nbsvm.train([t.encode() for t, _ in rows], [y for _, y in rows])
+    size = 1 << nbsvm.BITS
+
+    def grams(t):
+        raw = (t or "").encode()
+        (_, _, data, offsets), = text_chunks(pa.array([t or ""])) if raw else (((0, 1, np.zeros(0, np.uint8), np.zeros(2, np.int64))),)
+        h = Words(data, offsets).hashes().tolist()
+        mix = lambda x: int(shared.mix64(np.array([x % (1 << 64)], np.uint64))[0])
+        salt = [int(x) for x in nbsvm._SALT]
+        out = {int.from_bytes(raw[i : i + 3], "little") * salt[0] % (1 << 64) for i in range(len(raw) - 2)}
+        out |= {mix(int.from_bytes(raw[i : i + 4], "little") + salt[1]) for i in range(len(raw) - 3)}
+        out |= {mix(x + salt[2]) for x in h}
+        out |= {mix((salt[3] if a == b else mix(a * salt[2] + b)) + salt[3]) for a, b in zip(h, h[1:], strict=False)}
+        return sorted({x >> (64 - nbsvm.BITS) for x in out})
+
+    counts = np.ones((2, size))
+    for t, y in rows:
+        counts[y][grams(t)] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(model.ratio, ratio, atol=1e-5)
+    texts = [None, "", rows[0][0], rows[1][0], "a a a", prose(30_000), "x" * 100_000, rows[0][0]]
+    got = sorted((r.doc_id, r.score) for r in nbsvm.score_texts(spark.createDataFrame([(i % 7, t, "s", "q") for i, t in enumerate(texts)], "doc_id bigint, text string, score string, predicted string"), model).collect())
+    want = []
+    for i, t in enumerate(texts):
+        x = grams(t)
+        margin = model.weight[x].astype(float).sum() / (math.sqrt(float(np.square(ratio[x]).sum())) or 1.0) + model.bias
+        want.append((i % 7, 1 / (1 + math.exp(-(model.slope * margin + model.level)))))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([s for _, s in got], [s for _, s in sorted(want)], atol=1e-4)
+
+
 def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5))
     y = np.sign(x @ np.array([1.0, -2, 0.5, 0, 0]) + 0.1 * rng.normal(size=60))
     rows = [(np.arange(5), r) for r in x]
     w, b = nbsvm.descend(rows, y, 5, np.full(60, 1.0), epochs=500)
-    loss = lambda w, b: 0.5 * (w @ w + b * b) + np.square(np.maximum(0, 1 - y * (x @ w + b))).sum()
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + np.maximum(0, 1 - y * (x @ w + b)).sum()
     best = loss(w, b)
     for _ in range(300):
         assert loss(w + 0.01 * rng.normal(size=5), b + 0.01 * rng.normal()) >= best - 1e-6
