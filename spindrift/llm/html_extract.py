@@ -1,14 +1,17 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. A block's features are its word
-count and link density and those of the blocks before and after it, and what
-encloses it (boilerplate element, article element, heading). A decision tree,
-grown by Gini impurity on the small labelled table of ``LABELLED``, says which
-blocks are article text. These are joined in page order.
+count and link density and those of the blocks before and after it, and, as
+weaker hints, what encloses it: elements that are seldom article text, class and
+id names, an article element, a heading. A decision tree, grown by Gini impurity
+on the small labelled table of ``LABELLED`` (many of its pages have neither
+telling elements nor names), says which blocks are article text. These are
+joined in page order.
 
 Character references are decoded, white space within a block becomes one
 space. A null or empty page, or one without article text, gives an empty text.
-Pages of one id are extracted row by row; extra columns are ignored.
+Pages of one id are extracted row by row; extra columns are ignored. Depth and
+length of a page are not bounded.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ HINTS = set("""ad ads adv advert adverts advertisement adsense banner breadcrumb
 cookie cookies copyright discussion disqus dropdown footer footnav form gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination
 paywall popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored sponsors
 subscribe subscription toolbar topbar tracking widget widgets""".split())
+#: Words that say no more of a name than that it names a part of a page.
+PARTS = set("area article bar block blog body box button buttons container content entry inner item items js line link links list main outer page panel post row section site text top wrap wrapper".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+(?=[^A-Za-z]|$)")
@@ -40,38 +45,40 @@ WHITE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "boiler", "article", "heading")
+    __slots__ = ("text", "words", "links", "element", "hint", "article", "heading")
 
-    def __init__(self, text: str, words: int, links: int, boiler: bool, article: bool, heading: bool):
-        self.text, self.words, self.links, self.boiler, self.article, self.heading = text, words, links, boiler, article, heading
+    def __init__(self, text: str, words: int, links: int, element: bool, hint: int, article: bool, heading: bool):
+        self.text, self.words, self.links, self.element, self.hint, self.article, self.heading = text, words, links, element, hint, article, heading
 
 
-def _hinted(attributes: str) -> bool:
-    if not attributes:
-        return False
-    for value in _NAMES.findall(attributes):
-        if any(w.lower() in HINTS for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
-            return True
-    return False
+def _hint(attributes: str) -> int:
+    """2 if a class, id or role says nothing but boilerplate ("share", "comment-list"), 1 if it has such a word ("related-work"), else 0."""
+    level = 0
+    for value in _NAMES.findall(attributes) if attributes else ():
+        for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).split():
+            parts = [w.lower() for w in _WORD.findall(name)]
+            if name.lower() in HINTS or any(w in HINTS for w in parts):
+                level = max(level, 2 if all(w in HINTS or w in PARTS for w in parts) else 1)
+    return level
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # element, inside boilerplate, inside article
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # element, inside boilerplate, hint, inside article
     parts: list[str] = []
     linked: list[str] = []
-    anchor, leaf, leaf_boiler, at, end = 0, "", False, 0, len(page)
+    anchor, leaf, leaf_hint, at, end = 0, "", 0, 0, len(page)
 
     def close() -> None:
-        nonlocal leaf, leaf_boiler
+        nonlocal leaf, leaf_hint
         text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, boiler, article = stack[-1]
-            out.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()), boiler or leaf_boiler, article, leaf in HEADINGS))
+            _, element, hint, article = stack[-1]
+            out.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()), element, max(hint, leaf_hint), article, leaf in HEADINGS))
         parts.clear()
         linked.clear()
-        leaf, leaf_boiler = "", False
+        leaf, leaf_hint = "", 0
 
     for tag in _TAG.finditer(page):
         if tag.start() < at:
@@ -99,16 +106,18 @@ def blocks_of(page: str) -> list[Block]:
             anchor = 0
             if name in LEAVES:
                 if not closing:
-                    leaf, leaf_boiler = name, _hinted(attributes)
+                    leaf, leaf_hint = name, _hint(attributes)
             elif closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
             elif name != "hr" and not attributes.endswith("/"):
-                _, boiler, article = stack[-1]
-                top = name == "header" and not article
-                stack.append((name, boiler or name in BOILERPLATE or top or name not in ("body", "html", "main", "article") and _hinted(attributes), article or name in ("article", "main")))
+                _, element, hint, article = stack[-1]
+                if name not in ("body", "html", "main", "article"):
+                    hint = max(hint, _hint(attributes))
+                element = element or name in BOILERPLATE or name == "header" and not article
+                stack.append((name, element, hint, article or name in ("article", "main")))
         elif name == "br":
             parts.append(" ")
     if at < end:
@@ -120,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 #: Columns of the feature table.
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "boilerplate", "article", "heading", "page has an article")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "element", "hint", "article", "heading", "page has an article")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -132,10 +141,11 @@ def features(blocks: list[Block]) -> np.ndarray:
     out[:, 0], out[:, 1] = np.minimum(words, 200), density
     out[1:, 2], out[1:, 3] = out[:-1, 0], density[:-1]
     out[:-1, 4], out[:-1, 5] = out[1:, 0], density[1:]
-    out[:, 6] = [b.boiler for b in blocks]
-    out[:, 7] = [b.article for b in blocks]
-    out[:, 8] = [b.heading for b in blocks]
-    out[:, 9] = out[:, 7].max(initial=0)
+    out[:, 6] = [b.element for b in blocks]
+    out[:, 7] = [b.hint for b in blocks]
+    out[:, 8] = [b.article for b in blocks]
+    out[:, 9] = [b.heading for b in blocks]
+    out[:, 10] = out[:, 8].max(initial=0)
     return out
 
 
@@ -159,12 +169,92 @@ LABELLED = [
     ("<article><p>Fine.</p></article><footer>Mail us</footer>", "10"),
     (f"<div>Skip to content</div><div><p>{_LONG}</p><p>{_MORE}</p></div><div>All rights reserved</div>", "0110"),
 ]
+#: Fragments of pages with the labels of their blocks, most without telling elements or names; pages are strings of fragments.
+FRAGMENTS = {
+    "brand": ("<div>The Daily Valley</div>", "0"),
+    "menu": ("<div><a>Home</a> <a>About us</a> <a>Contact</a></div>", "0"),
+    "items": ("<ul><li><a>News</a></li><li><a>Sport</a></li><li><a>Letters to the paper</a></li></ul>", "000"),
+    "path": ("<div><a>Home</a> <a>Region</a> <a>River valley</a></div>", "0"),
+    "long": (f"<p>{_LONG}</p>", "1"),
+    "more": (f"<div><p>{_MORE}</p></div>", "1"),
+    "both": (f"<p>{_LONG} {_MORE}</p>", "1"),
+    "part": ("<p>He said that he had seen the plan and that it would not last through one winter.</p>", "1"),
+    "short": ("<p>Not yet.</p>", "1"),
+    "title": ("<h1>River plan delayed</h1>", "1"),
+    "sub": ("<h2>What comes next</h2>", "1"),
+    "cited": ("<p>Both are set out in <a>the full report of the council on the wall</a> and in the letters that it drew from the town.</p>", "1"),
+    "points": ("<ul><li>The wall would cost more than the bridge did.</li><li>Work would last until the spring of next year.</li></ul>", "11"),
+    "tags": ("<p><a>river</a> <a>mill</a> <a>council</a></p>", "0"),
+    "next": ("<div><a>Next page</a> <a>Older posts</a></div>", "0"),
+    "teasers": ("<div><h3><a>More stories</a></h3><p><a>Ten walks for the weekend in the hills</a></p><p><a>The bridge is closed again</a></p></div>", "000"),
+    "legal": ("<div>All rights reserved by the owners</div>", "0"),
+    "terms": ("<div><a>Terms</a> <a>Privacy</a></div>", "0"),
+    "index": ("<div><a>Town and county</a> <a>Business and markets</a> <a>Weather for the week</a> <a>Sport and results</a> <a>Letters to the editor</a> <a>Births and deaths</a> <a>Jobs near you</a> <a>Houses to let</a></div>", "0"),
+    "home": ("<div><a>Home</a></div>", "0"),
+    "[": ("<article>", ""),
+    "]": ("</article>", ""),
+    "word": ("<p>Ends.</p>", "1"),
+    "see": ("<p><a>Map</a></p>", "1"),
+    "nav": ("<nav><ul><li><a>Home</a></li><li><a>To the news</a></li></ul></nav>", "00"),
+    "ad": ("<div class='ad'>Buy two and get one free until the end of May.</div>", "0"),
+    "call": ("<div class='ad'>Buy.</div>", "0"),
+    "foot": ("<footer><a>Home</a></footer>", "0"),
+    "copy": ("<footer>&copy; the paper. All rights reserved by its owners and by those who write for it.</footer>", "0"),
+    "aside": ("<aside><p>Read also what the mill was built for and by whom it was sold.</p><p>Ads.</p></aside>", "00"),
+    "talk": (f"<section class='comments'><p>{_LONG}</p><p>Yes.</p><p><a>Reply</a></p></section>", "000"),
+}
+PAGES = [
+    "brand menu title long both short more next legal",
+    "menu items title both sub long more terms",
+    "items path title part long points both teasers terms",
+    "brand items title long cited more tags teasers legal terms",
+    "menu path long short both more next",
+    "items title both both terms",
+    "menu long more tags",
+    "path title long sub points part both tags next legal",
+    "brand menu both cited long next teasers",
+    "menu title part part long part both terms legal",
+    "nav ad [ title long word ] copy",
+    "nav call [ title word ] foot",
+    "nav [ title both long see ] foot",
+    "home [ word ] copy",
+    "home [ sub see long ] home",
+    "nav ad [ title short call long word more ad part ] talk foot",
+    "[ title cited aside see long talk ] copy",
+    "nav [ long aside word aside points see ad part ] aside foot",
+    "brand nav [ both ] legal terms",
+    "call [ long see see word word part ] next foot",
+    "menu home title both word part long more home",
+    "home long more both home legal",
+    "brand index title long both index terms",
+    "index [ title both see ] index foot",
+    "brand menu title long short word short more next",
+    "items title both short short part more home legal",
+    "long",
+    "title both",
+    "menu title long more",
+    "home title both part short",
+    "title long more legal",
+    "[ title see long ] foot",
+    "[ word see part ]",
+    "[ sub cited see ] home",
+]
+#: The same within an article, where links and short blocks are text; names that only sound like boilerplate, and names and elements that are.
+LABELLED += [
+    (f"<div class='menu'><a>Home</a></div><article><h1>Links</h1><p>Plain <a>{_LONG}</a></p><ul><li><a>The first report of the year</a></li><li><a>The second</a></li></ul><p><a>All of them</a></p><p>{_MORE}</p></article>", "0111111"),
+    (f"<article><h1>Survey</h1><p>{_LONG}</p><div id='related-work'><h2>Related work</h2><p>{_MORE}</p><p>Short.</p></div><section class='social-history'><h2>Social history</h2><p>{_LONG}</p></section></article>", "1111111"),
+    (f"<main><h1>Signs</h1><p>{_MORE}</p><div class='article-share'><a>Share</a> <a>Save</a></div><div class='comment-list'><p>{_LONG}</p><p>Well said.</p></div></main>", "110" + "00"),
+    (f"<div class='site-header'><a>Daily</a></div><div class='story'><h1>Ice</h1><p>{_LONG}</p><p>{_MORE}</p></div><div class='cookie-notice'>{_MORE}</div>", "01110"),
+    (f"<article><div class='ad-box'>Sale ends on Sunday.</div><p>{_MORE}</p><div class='newsletter-block'><p>{_LONG}</p></div><p>Ends.</p></article>", "0101"),
+    (f"<article><p>{_MORE}</p><nav><a>One</a> <a>Two</a></nav><form><p>{_LONG}</p></form><p><a>Notes</a></p></article><aside><p>{_LONG}</p></aside>", "10010"),
+    (f"<main><p><a>{_MORE}</a></p><p>{_LONG}</p><section class='search-theory'><p><a>On search</a> and why it is hard to say what was meant by it.</p></section></main>", "111"),
+]
 
 
 class Tree:
     """Binary classification tree grown by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1):
         self.nodes: list[tuple[int, float, int, int, float]] = []
         self._grow(x, y, depth, least)
 
@@ -208,7 +298,8 @@ class Tree:
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
     x, y = [], []
-    for page, labels in LABELLED:
+    pages = [tuple("".join(FRAGMENTS[k][i] for k in names.split()) for i in (0, 1)) for names in PAGES]
+    for page, labels in [*LABELLED, *pages]:
         found = blocks_of(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(labels)} labels for {len(found)} blocks: {[b.text for b in found]}")

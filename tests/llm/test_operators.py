@@ -76,6 +76,57 @@ def test_html():
     assert html_extract.main_text("<article><p>a <!-- x --> b<p>c") == "a b\nc"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><a>Home</a></nav><article><h1>T</h1><p>Plain <a>%s</a></p><p>End</p></article>", "T\nPlain %s\nEnd"),
+        ("<article><p>%s</p><ul><li><a>One link</a></li><li>See <a>another of these links</a></li></ul><p>Then.</p></article>", "%s\nOne link\nSee another of these links\nThen."),
+        ("<article><div id='related-work'><h2>Related work</h2><p>%s</p></div></article>", "Related work\n%s"),
+        ("<article><p>%s</p><div class='article-share'><a>Share</a></div><div class='comment-list'><p>I agree with all that was said here and so does he.</p></div></article>", "%s"),
+        ("<div><a>Start</a> <a>Shop</a></div><div><h1>Title here</h1><p>%s</p><p>%s</p></div><div>All rights reserved</div>", "Title here\n%s\n%s"),
+    ],
+)
+def test_html_names_alone_decide_nothing(page, want):
+    text = prose(40)
+    assert html_extract.main_text(page.replace("%s", text)) == want.replace("%s", text)
+
+
+def known_page(rng):
+    """(page, text of each block, whether it is of the article) from parts in random order."""
+    say = lambda a, b: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(a, b)))
+    out = []
+    add = lambda form, n, label: out.append((form, [say(*n)], label))
+    semantic = rng.random() < 0.5
+    for _ in range(rng.randint(1, 3)):
+        add(rng.choice(["<nav><a>%s</a></nav>", "<div class='navbar'><a>%s</a></div>"] if semantic else ["<div><a>%s</a></div>", "<ul><li><a>%s</a></li></ul>"]), (1, 4), False)
+    body = []
+    for i in range(rng.randint(2, 9)):
+        body.append((rng.choice(["<p>%s</p>", "<div>%s</div>", "<p><b>%s</b></p>", "<blockquote>%s</blockquote>"]), [say(25, 90) if not semantic or rng.random() < 0.7 else say(1, 12)], True))
+    body.insert(0, ("<h1>%s</h1>", [say(2, 9)], True))
+    out += [("<article>", [], None), *body, ("</article>", [], None)] if semantic else body
+    for _ in range(rng.randint(1, 3)):
+        add(rng.choice(["<footer>%s</footer>", "<aside><p>%s</p></aside>", "<div class='comments'><p>%s</p></div>"] if semantic else ["<div><a>%s</a></div>", "<div>%s</div>"]), (2, 8), False)
+    return "".join(f.replace("%s", t[0]) if t else f for f, t, _ in out), [(t[0], y) for _, t, y in out if t]
+
+
+def test_html_precision_and_recall():
+    """Of words in pages built with known answers, half of them without telling elements: measured 1.00 and 0.99."""
+    rng, right, got, truth = random.Random(6), 0, 0, 0
+    for _ in range(400):
+        page, parts = known_page(rng)
+        kept = Counter(html_extract.main_text(page).split())
+        want = Counter(w for t, y in parts if y for w in t.split())
+        right, got, truth = right + (kept & want).total(), got + kept.total(), truth + want.total()
+    print(right / got, right / truth)
+    assert right / got > 0.98 and right / truth > 0.98
+
+
+def test_html_long_and_deep():
+    deep = "<div>" * 20_000 + "<p>" + prose(50) + "</p>" + "</div>" * 20_000
+    assert html_extract.main_text("<article>" + deep + "</article>").count(" ") == 49
+    assert html_extract.main_text("<article>" + f"<p>{prose(30)}</p>" * 5_000 + "</article>").count("\n") == 4_999
+
+
 def test_html_tree_fits_its_table():
     x, y = html_extract.labelled_table()
     assert ((html_extract.tree().predict(x) >= 0.5) == y).all()
