@@ -13,15 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
-def last_boxed(s: str | None) -> str | None:
-    r"""Content of the last \boxed{...} or \fbox{...} with balanced braces, or of '\boxed x' up to a dollar."""
-    if not s:
-        return None
-    at = max(s.rfind("\\boxed"), s.rfind("\\fbox"))
-    if at < 0:
-        return None
-    if s[at:].startswith("\\boxed "):
-        return s[at + 7 :].split("$")[0]
+def balanced(s: str, at: int) -> str | None:
+    """Between the first brace from ``at`` on and the one that closes it."""
     depth, start = 0, None
     for i in range(at, len(s)):
         if s[i] == "{":
@@ -29,11 +22,22 @@ def last_boxed(s: str | None) -> str | None:
             depth += 1
         elif s[i] == "}":
             depth -= 1
-            if depth == 0:
+            if depth == 0 and start is not None:
                 return s[start:i]
     return None
 
 
+def last_boxed(s: str | None) -> str | None:
+    r"""Text after the last '\boxed ' up to a dollar if there is one; else content of the last \boxed{...}, or without one of \fbox{...}, with balanced braces."""
+    if not s:
+        return None
+    if "\\boxed " in s:
+        return s.rpartition("\\boxed ")[2].split("$")[0]
+    at = s.rfind("\\boxed")
+    at = at if at >= 0 else s.rfind("\\fbox")
+    return balanced(s, at) if at >= 0 else None
+
+
 def normal_math(s: str) -> str:
     """Spelling variants of a short formula brought to one form."""
     s = s.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
@@ -252,3 +256,18 @@ def bootstrap_extremes(values: np.ndarray, k: int, n: int = 1_000, seed: int = 4
         best, worst = (np.concatenate(x, axis=1) for x in zip(*((x.max(axis=2), x.min(axis=2)) for x in drawn), strict=True))
         out[at : at + step] = np.stack([best.mean(axis=1), best.std(axis=1), worst.mean(axis=1), worst.std(axis=1)], axis=1)
     return out
+
+
+def bootstrap_majority(values: np.ndarray, votes: np.ndarray, k: int, n: int = 1_000, seed: int = 42) -> np.ndarray:
+    """(mean, deviation) of ``bootstrap`` with the first value of the commonest vote (the first of equals), rows of groups of one length."""
+    out, step = np.empty((len(values), 2)), max(1, _HELD // (n * k * k))
+    for at in range(0, len(values), step):
+        got = []
+        for places in _draws(values.shape[1], k, n, seed):
+            said = votes[at : at + step][:, places]
+            count = (said[..., :, None] == said[..., None, :]).sum(axis=3)
+            first = np.take_along_axis(np.broadcast_to(places, said.shape), count.argmax(axis=2)[..., None], axis=2)[..., 0]
+            got.append(np.take_along_axis(values[at : at + step], first, axis=1))
+        got = np.concatenate(got, axis=1)
+        out[at : at + step] = np.stack([got.mean(axis=1), got.std(axis=1)], axis=1)
+    return out

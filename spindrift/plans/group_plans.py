@@ -185,12 +185,6 @@ def agg_majority(spark, d):
     return v.groupBy("uid").agg(best.alias("b")).select("uid", "b.vote", F.col("b.s").alias("value"))
 
 
-@query("agg_val", "WITH p AS (SELECT uid, avg(score) AS m, stddev_pop(score) AS sd, max(score) AS best, min(score) AS worst, count(*) AS n FROM rollouts GROUP BY uid) SELECT n, count(*) AS prompts, round(avg(m), 6) AS mean, round(avg(sd), 6) + 0.0 AS std, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst FROM p GROUP BY n", "rollouts")
-def agg_val(spark, d):
-    p = V.rollouts(spark, d).groupBy("uid").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"), F.max("score").alias("b"), F.min("score").alias("w"), F.count(F.lit(1)).alias("n"))
-    return p.groupBy("n").agg(F.count(F.lit(1)).alias("prompts"), r6(F.avg("m")).alias("mean"), r6(F.avg("sd")).alias("std"), r6(F.avg("b")).alias("best"), r6(F.avg("w")).alias("worst"))
-
-
 @query("agg_source_mean", "WITH p AS (SELECT uid, avg(score) AS m, max(acc) AS source FROM rollouts GROUP BY uid) SELECT source, round(avg(m), 6) AS mean, count(*) AS n FROM p GROUP BY source", "rollouts")
 def agg_source_mean(spark, d):
     p = V.rollouts(spark, d).groupBy("uid").agg(F.avg("score").alias("m"), F.max("acc").alias("source"))

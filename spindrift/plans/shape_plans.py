@@ -386,12 +386,6 @@ def fn_format(spark, d):
     return V.spans(spark, d).select("id", P.format_ok(t).alias("ok"))
 
 
-@query("fn_boxed")
-def fn_boxed(spark, d):
-    t = F.concat(F.lit("x \\boxed{1} then \\boxed{\\sqrt{"), F.col("l_linenumber").cast("string"), F.lit("}}"))
-    return V.spans(spark, d).select("id", P.boxed(t).alias("got"))
-
-
 @query("fn_math")
 def fn_math(spark, d):
     t = F.concat(F.lit("\\boxed{\\dfrac{"), F.col("l_linenumber").cast("string"), F.lit("}{2}}"))

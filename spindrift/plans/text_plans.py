@@ -73,19 +73,6 @@ def fn_recall_at(spark, d):
     return _spans(spark, d).select("id", *[S.recall_at(F.col("iou"), t / 10).alias(f"r{t}") for t in (3, 5, 7)])
 
 
-@query("fn_score_tg", f"SELECT id, round(greatest(0, {_iou('gs', 'ge', 'ps', 'pe')}) + CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END, 6) + 0.0 AS score FROM predictions", "predictions")
-def fn_score_tg(spark, d):
-    p = V.predictions(spark, d)
-    iou = F.greatest(F.lit(0.0), S.overlap(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge"))[0])
-    return p.select("id", r6(iou + F.col("pred").startswith("<answer>").cast("int")).alias("score"))
-
-
-@query("fn_score_gqa", f"SELECT id, round(greatest(0, x), 6) + 0.0 AS score, round(greatest(0, x) + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END, 6) + 0.0 AS custom_reward_func FROM (SELECT *, {_iou('gs', 'ge', 'ps', 'pe')} AS x FROM spans)", "spans")
-def fn_score_gqa(spark, d):
-    iou = F.greatest(F.lit(0.0), F.col("iou"))
-    return _spans(spark, d).select("id", r6(iou).alias("score"), r6(iou + (F.col("l_linenumber") == 1).cast("int")).alias("custom_reward_func"))
-
-
 def report(spark, d):
     """The temporal-grounding report: semi join, last wins, parse, overlap, thresholds, aggregate."""
     p = V.predictions(spark, d)
@@ -115,11 +102,6 @@ def snk_report(spark, d):
     return r.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in names])).alias("m")).select("m.name", F.format_string("%.6f", "m.value").alias("value"))
 
 
-@query("agg_gqa", f"SELECT l_returnflag AS kind, count(*) AS n, round(avg(CASE WHEN x >= 0.5 THEN 1 ELSE 0 END) * 100, 6) AS recall_5, round(avg(greatest(0, x)) * 100, 6) AS miou FROM (SELECT l_returnflag, {_iou('gs', 'ge', 'ps', 'pe')} AS x FROM spans) GROUP BY 1", "spans")
-def agg_gqa(spark, d):
-    return _spans(spark, d).groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(S.recall_at(F.col("iou"), 0.5)) * 100).alias("recall_5"), r6(F.avg(F.greatest(F.lit(0.0), F.col("iou"))) * 100).alias("miou"))
-
-
 @query("agg_tg_zoom", f"WITH z AS (SELECT l_linenumber AS k, {_iou('gs', 'ge', 'ps', 'pe')} AS x FROM spans) SELECT k, round(sum(x) * 100 / (SELECT count(*) FROM z), 6) + 0.0 AS whole, round(avg(x) * 100, 6) + 0.0 AS part FROM z GROUP BY k", "spans")
 def agg_tg_zoom(spark, d):
     s = _spans(spark, d)
@@ -154,28 +136,6 @@ def fn_letter_idx(spark, d):
     return V.choices(spark, d).select("id", (F.ascii(F.nullif(F.regexp_extract("said", "[A-E]", 0), F.lit(""))) - 65).alias("idx"))
 
 
-@query("fn_mcq", f"SELECT id, CASE WHEN {_letter_sql('said', T.PHRASES_A)} = gold THEN 1 ELSE 0 END AS score FROM choices", "choices")
-def fn_mcq(spark, d):
-    return V.choices(spark, d).select("id", (T.letter(F.col("said")) == F.col("gold")).cast("int").alias("score"))
-
-
-@query("agg_vqa", f"WITH s AS (SELECT kind, CASE WHEN {_letter_sql('said', T.PHRASES_C)} = gold THEN 1 ELSE 0 END AS ok FROM choices) SELECT kind, count(*) AS n, round(avg(ok) * 100, 6) AS acc FROM s GROUP BY kind UNION ALL SELECT 'all', count(*), round(avg(ok) * 100, 6) FROM s", "choices")
-def agg_vqa(spark, d):
-    s = V.choices(spark, d).select(F.explode(F.array("kind", F.lit("all"))).alias("kind"), (T.letter(F.col("said"), T.PHRASES_C) == F.col("gold")).cast("int").alias("ok"))
-    return s.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ok") * 100).alias("acc"))
-
-
-@query("fn_score_video", f"SELECT id, round(CASE kind WHEN 'A' THEN CASE WHEN {_letter_sql('said', T.PHRASES_A)} = gold THEN 1.0 ELSE 0.0 END WHEN 'N' THEN 0.5 ELSE 0.0 END, 6)::DOUBLE AS score FROM choices", "choices")
-def fn_score_video(spark, d):
-    hit = (T.letter(F.col("said")) == F.col("gold")).cast("double")
-    return V.choices(spark, d).select("id", r6(F.when(F.col("kind") == "A", hit).when(F.col("kind") == "N", 0.5).otherwise(0.0)).alias("score"))
-
-
-@query("fn_dispatch", "SELECT id, CASE kind WHEN 'A' THEN 'gsm8k' WHEN 'R' THEN 'math' ELSE 'unknown' END AS scorer FROM choices", "choices")
-def fn_dispatch(spark, d):
-    return V.choices(spark, d).select("id", F.when(F.col("kind") == "A", "gsm8k").when(F.col("kind") == "R", "math").otherwise("unknown").alias("scorer"))
-
-
 _TAGGED = "WITH x AS (SELECT id, CASE l_suppkey % 4 WHEN 0 THEN '<think>t</think><answer> ' || l_quantity || ' </answer>' WHEN 1 THEN 'so <answer>a</answer> or <answer>b' || chr(10) || l_linenumber || '</answer>' WHEN 2 THEN '<answer></answer>' ELSE 'none ' || -l_linenumber END AS t FROM (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id FROM lineitem))"
 
 
@@ -206,63 +166,12 @@ def fn_tag_pairs(spark, d):
     return _tagged(spark, d).select("id", T.tag_pairs(F.col("t"), "answer").alias("n"))
 
 
-@query("fn_format_reward", _TAGGED + r" SELECT id, CASE WHEN regexp_full_match(t, '(?s)<think>.*</think>\s*<answer>.*</answer>') THEN 1.0 + 0.5 * 2 ELSE 0.0 END::DOUBLE AS r FROM x")
-def fn_format_reward(spark, d):
-    return _tagged(spark, d).select("id", F.when(F.col("t").rlike(r"(?s)^<think>.*</think>\s*<answer>.*</answer>$"), 1.0 + 0.5 * 2).otherwise(0.0).alias("r"))
-
-
-@query("fn_em", _TAGGED + r", n AS (SELECT id, trim(regexp_replace(regexp_replace(translate(lower(t), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM x) SELECT id, CASE WHEN s = 'answeranswer' THEN 1 ELSE 0 END AS em, CASE WHEN contains(s, 'answer') THEN 1 ELSE 0 END AS sub FROM n".replace('\\"', '"'))
-def fn_em(spark, d):
-    t = F.col("t")
-    return _tagged(spark, d).select("id", T.exact_match(t, F.array(F.lit("<answer></answer>"))).alias("em"), T.sub_match(t, F.array(F.lit("answer"))).alias("sub"))
-
-
-@query("fn_subem", r"SELECT conv_id, turn, CASE WHEN contains(trim(regexp_replace(regexp_replace(translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), 'on') THEN 1 ELSE 0 END AS sub FROM conversations".replace('\\"', '"'))
-def fn_subem(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.sub_match(F.col("text"), F.array(F.lit("on"))).alias("sub"))
-
-
-_GSM = "WITH x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE WHEN l_suppkey % 3 = 0 THEN 'is 12. #### 1,' || CAST(l_quantity AS BIGINT) ELSE 'so ' || CAST(l_quantity AS BIGINT) || ' .' END AS t FROM lineitem)"
-
-
-def _gsm(spark, d):
-    q = F.col("l_quantity").cast("long").cast("string")
-    return table(spark, d, "lineitem").select(V.row_id().alias("id"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("is 12. #### 1,"), q)).otherwise(F.concat(F.lit("so "), q, F.lit(" ."))).alias("t"))
-
-
-@query("fn_gsm8k", _GSM + r" SELECT id, nullif(replace(replace(regexp_extract(t, '#### (\-?[0-9\.\,]+)', 1), ',', ''), '$', ''), '') AS strict, list_filter(regexp_extract_all(t, '(\-?[0-9\.\,]+)', 1), lambda v: v NOT IN ('', '.'))[-1] AS flexible FROM x")
-def fn_gsm8k(spark, d):
-    return _gsm(spark, d).select("id", T.gsm8k_strict(F.col("t")).alias("strict"), T.gsm8k_flexible(F.col("t")).alias("flexible"))
-
-
-@query("fn_gpqa", r"WITH x AS (SELECT id, 'hence answer: $' || gold || '$ ok' AS t, gold, said FROM choices) SELECT id, regexp_extract(t, '(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?', 1) AS got FROM x", "choices")
-def fn_gpqa(spark, d):
-    return V.choices(spark, d).select("id", T.gpqa(F.concat(F.lit("hence answer: $"), F.col("gold"), F.lit("$ ok"))).alias("got"))
-
-
-@query("fn_r1_dispatch", "SELECT id, CASE WHEN kind IN ('A', 'N') THEN 'math' ELSE 'gpqa' END AS task FROM choices", "choices")
-def fn_r1_dispatch(spark, d):
-    return V.choices(spark, d).select("id", F.when(F.col("kind").isin("A", "N"), "math").otherwise("gpqa").alias("task"))
-
-
 @query("fn_regression", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(greatest(0, least(1, 1 - (abs(l_linenumber - 4) + 1e-9) / (abs(l_quantity) + 1e-9))), 6) + 0.0 AS r FROM lineitem")
 def fn_regression(spark, d):
     err = (F.abs(F.col("l_linenumber") - 4) + 1e-9) / (F.abs("l_quantity") + 1e-9)
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - err))).alias("r"))
 
 
-@query("fn_mra", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(len(list_filter(range(0, 10), lambda i: abs(l_linenumber - 4) / l_quantity <= 1 - (0.5 + 0.05 * i) + 1e-12)) / 10.0, 6) AS mra FROM lineitem")
-def fn_mra(spark, d):
-    err = F.try_divide(F.abs(F.col("l_linenumber") - 4), F.col("l_quantity"))
-    hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: err <= 1 - (0.5 + 0.05 * i) + 1e-12))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", r6(F.when(err.isNotNull(), hits / 10.0)).alias("mra"))
-
-
-@query("fn_vqa", f"SELECT id, CASE WHEN kind = 'N' THEN 0.5 ELSE CASE WHEN {_letter_sql('said', T.PHRASES_C)} = gold THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM choices", "choices")
-def fn_vqa(spark, d):
-    return V.choices(spark, d).select("id", F.when(F.col("kind") == "N", 0.5).otherwise((T.letter(F.col("said"), T.PHRASES_C) == F.col("gold")).cast("double")).alias("score"))
-
-
 @query("fn_capitalize", "SELECT doc_id, upper(left(text, 1)) || lower(substr(text, 2)) AS t FROM docs", "docs")
 def fn_capitalize(spark, d):
     return table(spark, d, "documents").select("doc_id", T.capitalize(F.col("text")).alias("t"))
