@@ -29,13 +29,13 @@ def dgrpo(df: DataFrame, score: str = "score", by: str = "uid") -> DataFrame:
 
 
 def pass_k(df: DataFrame, order: list[str], score: str = "score", by: str = "uid", scale: bool = True) -> DataFrame:
-    """Only the best row of a group gets the lead over the second; groups of one are dropped."""
+    """Only the best row of a group gets the lead over the second; a group of one is an error."""
     w = Window.partitionBy(by)
     ranked = w.orderBy(F.col(score).desc(), *order)
     n, std = F.count(F.lit(1)).over(w), F.stddev_samp(score).over(w)
     lead = F.col(score) - F.lead(score).over(ranked)
     value = F.when(F.row_number().over(ranked) == 1, lead / (std + EPS) if scale else lead).otherwise(0.0)
-    return df.withColumns({"_n": n, "advantage": value}).where("_n > 1").drop("_n")
+    return df.withColumn("advantage", F.when(n < 2, F.raise_error(F.lit("a group has fewer than two rows")).cast("double")).otherwise(value))
 
 
 def rloo(df: DataFrame, score: str = "score", by: str = "uid") -> DataFrame:

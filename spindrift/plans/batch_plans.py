@@ -72,21 +72,11 @@ def flt_overlong(spark, d):
     return table(spark, d, "documents").where(n <= 100).select("doc_id")
 
 
-@query("flt_sft_budget", "SELECT doc_id FROM documents WHERE n_chars + 4096 + 2048 <= 8192")
-def flt_sft_budget(spark, d):
-    return table(spark, d, "documents").where("n_chars + 4096 + 2048 <= 8192").select("doc_id")
-
-
 @query("flt_gt_span", "SELECT id FROM spans WHERE NOT gs >= ge", "spans")
 def flt_gt_span(spark, d):
     return V.spans(spark, d).where("not gs >= ge").select("id")
 
 
-@query("flt_label", "SELECT doc_id FROM labels WHERE quality IS NOT NULL AND toxic = 1")
-def flt_label(spark, d):
-    return table(spark, d, "labels").where("quality is not null and toxic = 1").select("doc_id")
-
-
 @query("flt_date", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1994-01-00' AND strftime(o_orderdate, '%Y-%m-%d') < '1995-06-00'")
 def flt_date(spark, d):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -98,13 +88,6 @@ def flt_modality(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "image").when(F.col("o_orderstatus") == "O", "video").alias("kind"))
 
 
-@query("flt_interleave", "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O') SELECT a.o_orderkey AS image, b.o_orderkey AS video FROM a JOIN b USING (k)")
-def flt_interleave(spark, d):
-    o = table(spark, d, "orders")
-    a, b = (B.numbered(o.where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").alias(n)), n) for s, n in (("F", "image"), ("O", "video")))
-    return a.join(b, "rn").select("image", "video")
-
-
 @query("jn_semi", "SELECT id FROM predictions SEMI JOIN (SELECT id FROM spans WHERE l_partkey % 10 <> 0) t USING (id)", "predictions")
 def jn_semi(spark, d):
     truth = V.spans(spark, d).where("l_partkey % 10 <> 0").select("id")

@@ -30,11 +30,6 @@ def win_dgrpo(spark, d):
     return G.dgrpo(V.rollouts(spark, d)).select(*_out())
 
 
-@query("win_passk", "WITH r AS (SELECT *, count(*) OVER w AS n, stddev_samp(score) OVER w AS sd, row_number() OVER o AS k, lead(score) OVER o AS second FROM rollouts WINDOW w AS (PARTITION BY uid), o AS (PARTITION BY uid ORDER BY score DESC, sample)) SELECT uid, sample, round(CASE WHEN k = 1 THEN (score - second) / (sd + 1e-6) ELSE 0 END, 6) + 0.0 AS advantage FROM r WHERE n > 1", "rollouts")
-def win_passk(spark, d):
-    return G.pass_k(V.rollouts(spark, d), ["sample"]).select(*_out())
-
-
 @query("win_rloo", "SELECT uid, sample, round(CASE WHEN count(*) OVER w > 1 THEN (score - avg(score) OVER w) * count(*) OVER w / greatest(count(*) OVER w - 1, 1) ELSE score END, 6) + 0.0 AS advantage FROM rollouts WINDOW w AS (PARTITION BY uid)", "rollouts")
 def win_rloo(spark, d):
     return G.rloo(V.rollouts(spark, d)).select(*_out())
@@ -53,21 +48,6 @@ def win_rfpp_base(spark, d):
     return G.whiten(df, "x", "len").select("uid", "sample", r6("white").alias("advantage"))
 
 
-@query("win_remax", "WITH t AS (SELECT *, sum(reward * mask) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret FROM tokens) SELECT uid, pos, round(ret, 6) + 0.0 AS returns, round(ret - 0.5 * mask, 6) + 0.0 AS advantage FROM t", "tokens")
-def win_remax(spark, d):
-    ret = F.sum(F.col("reward") * F.col("mask")).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
-    return V.tokens(spark, d).withColumn("ret", ret).select("uid", "pos", r6("ret").alias("returns"), r6(F.col("ret") - 0.5 * F.col("mask")).alias("advantage"))
-
-
-@query("win_rfpp", "WITH RECURSIVE x(uid, pos, ret, carry) AS (SELECT uid, pos, reward, reward * mask FROM tokens t WHERE pos = (SELECT max(pos) FROM tokens u WHERE u.uid = t.uid) UNION ALL SELECT t.uid, t.pos, t.reward + 0.99 * x.carry, (t.reward + 0.99 * x.carry) * t.mask FROM x JOIN tokens t ON t.uid = x.uid AND t.pos = x.pos - 1) SELECT uid, pos, round(ret, 6) + 0.0 AS returns FROM x")
-def win_rfpp(spark, d):
-    s = V.sequences(spark, d)
-    both = F.arrays_zip(F.col("reward").alias("r"), F.col("mask").alias("m"))
-    empty = F.array().cast("array<double>")
-    fold = F.aggregate(F.reverse(both), F.struct(F.lit(0.0).alias("c"), empty.alias("o")), lambda a, x: F.struct(((x["r"] + 0.99 * a["c"]) * x["m"]).alias("c"), F.array_append(a["o"], x["r"] + 0.99 * a["c"]).alias("o")))
-    return s.select("uid", F.posexplode(F.reverse(fold["o"])).alias("i", "x")).select("uid", (F.col("i") + 1).cast("long").alias("pos"), r6("x").alias("returns"))
-
-
 _GAE = "WITH RECURSIVE x(uid, pos, v, a) AS (SELECT uid, pos, v, reward - v FROM tokens t WHERE pos = (SELECT max(pos) FROM tokens u WHERE u.uid = t.uid) UNION ALL SELECT t.uid, t.pos, t.v, t.reward + 0.99 * x.v - t.v + 0.99 * 0.95 * x.a FROM x JOIN tokens t ON t.uid = x.uid AND t.pos = x.pos - 1)"
 
 
@@ -85,11 +65,6 @@ def win_gae(spark, d):
     return G.whiten(t, "a", "mask").select("uid", "pos", r6("ret").alias("returns"), r6("white").alias("advantage"))
 
 
-from spindrift.plans.registry import ORACLES as _O  # noqa: E402
-
-_O["win_rfpp"] = _recursive(_O["win_rfpp"])
-
-
 @query("win_prime_norm", "WITH t AS (SELECT uid, pos, reward, sum(reward * mask) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret FROM tokens) SELECT uid, pos, round(reward / ((SELECT max(abs(ret)) FROM t) + 1e-6), 8) + 0.0 AS x FROM t", "tokens")
 def win_prime_norm(spark, d):
     ret = F.sum(F.col("reward") * F.col("mask")).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
@@ -98,21 +73,6 @@ def win_prime_norm(spark, d):
     return t.crossJoin(top).select("uid", "pos", (F.round(F.col("reward") / (F.col("top") + 1e-6), 8) + 0.0).alias("x"))
 
 
-@query("win_softmean", "WITH m AS (SELECT max(score) AS top FROM rollouts), s AS (SELECT top + ln(avg(exp(score - top))) AS sm FROM rollouts, m GROUP BY top) SELECT uid, sample, round(score - sm, 6) + 0.0 AS advantage FROM rollouts, s", "rollouts")
-def win_softmean(spark, d):
-    r = V.rollouts(spark, d)
-    top = r.agg(F.max("score").alias("top"))
-    mean = r.crossJoin(F.broadcast(top)).groupBy("top").agg(F.avg(F.exp(F.col("score") - F.col("top"))).alias("e")).select((F.col("top") + F.log("e")).alias("sm"))
-    return r.crossJoin(F.broadcast(mean)).select("uid", "sample", r6(F.col("score") - F.col("sm")).alias("advantage"))
-
-
-@query("win_pref_pair", "WITH p AS (SELECT *, (sample - 1) // 2 AS pair, count(*) OVER (PARTITION BY uid, (sample - 1) // 2) AS n FROM rollouts) SELECT uid, sample, CASE WHEN row_number() OVER (PARTITION BY uid, pair ORDER BY score DESC, sample) = 1 THEN 1 ELSE 0 END AS chosen FROM p WHERE n = 2", "rollouts")
-def win_pref_pair(spark, d):
-    r = V.rollouts(spark, d).withColumn("pair", F.floor((F.col("sample") - 1) / 2))
-    w = Window.partitionBy("uid", "pair")
-    return r.withColumns({"n": F.count(F.lit(1)).over(w), "chosen": (F.row_number().over(w.orderBy(F.col("score").desc(), "sample")) == 1).cast("int")}).where("n = 2").select("uid", "sample", "chosen")
-
-
 @query("win_dpo_acc", "WITH p AS (SELECT a.uid, abs(a.acc - b.acc) AS wt, CASE WHEN (a.score > b.score) = (a.acc > b.acc) THEN 1.0 ELSE 0.0 END AS ok FROM rollouts a JOIN rollouts b ON a.uid = b.uid AND a.sample < b.sample) SELECT uid, round(CASE WHEN sum(wt) = 0 THEN 0.5 ELSE sum(ok * wt) / sum(wt) END, 6) + 0.0 AS x FROM p GROUP BY uid", "rollouts")
 def win_dpo_acc(spark, d):
     a = V.rollouts(spark, d).select("uid", "sample", "score", "acc")
@@ -123,11 +83,6 @@ def win_dpo_acc(spark, d):
     return p.groupBy("uid").agg(r6(F.when(F.sum(wt) == 0, 0.5).otherwise(F.sum(ok * wt) / F.nullif(F.sum(wt), F.lit(0)))).alias("x"))
 
 
-@query("win_dpo_abs", "SELECT uid, sample, CASE WHEN sign(score - 1) = sign(2 * acc - 1) THEN 1 ELSE 0 END AS x FROM rollouts", "rollouts")
-def win_dpo_abs(spark, d):
-    return V.rollouts(spark, d).select("uid", "sample", (F.signum(F.col("score") - 1) == F.signum(2 * F.col("acc") - 1.0)).cast("int").alias("x"))
-
-
 @query("win_tool_delta", "SELECT uid, pos, CASE WHEN reward > lag(reward, 1, 0) OVER (PARTITION BY uid ORDER BY pos) THEN 0.0 ELSE -0.05 END::DOUBLE AS penalty FROM tokens", "tokens")
 def win_tool_delta(spark, d):
     before = F.lag("reward", 1, 0.0).over(Window.partitionBy("uid").orderBy("pos"))
@@ -156,28 +111,6 @@ def flt_group_std(spark, d):
     return G.keep_spread(V.rollouts(spark, d)).select("uid", "sample", "score")
 
 
-@query("flt_group_fill", "WITH k AS (SELECT uid FROM rollouts GROUP BY uid HAVING min(score) <> max(score) OR count(*) = 1 ORDER BY uid LIMIT 512) SELECT uid, sample FROM rollouts SEMI JOIN k USING (uid)", "rollouts")
-def flt_group_fill(spark, d):
-    r = V.rollouts(spark, d)
-    kept = r.groupBy("uid").agg(F.min("score").alias("a"), F.max("score").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b or n = 1").select("uid").orderBy("uid").limit(512)
-    return r.join(F.broadcast(kept), "uid", "left_semi").select("uid", "sample")  # 512 groups: the batch size is the feature
-
-
-@query("flt_prime", "WITH g AS (SELECT uid, CASE WHEN avg(acc) BETWEEN 0.2 AND 0.8 AND max(len) < 69 THEN 1 ELSE 0 END AS ok FROM rollouts GROUP BY uid), o AS (SELECT uid, ok, row_number() OVER (ORDER BY ok DESC, uid) AS k, count(*) OVER () AS n FROM g) SELECT uid, ok FROM o WHERE k <= n // 4", "rollouts")
-def flt_prime(spark, d):
-    from spindrift.operators.batch import numbered
-
-    g = V.rollouts(spark, d).groupBy("uid").agg((F.avg("acc").between(0.2, 0.8) & (F.max("len") < 69)).cast("int").alias("ok")).withColumn("first", 1 - F.col("ok"))
-    n = g.count()
-    return numbered(g, "first", "uid").where(F.col("rn") < n // 4).select("uid", "ok")
-
-
-@query("flt_pref_split", "SELECT uid, max(CASE WHEN sample = 1 THEN score END) AS chosen, max(CASE WHEN sample = 2 THEN score END) AS rejected FROM rollouts WHERE sample <= 2 GROUP BY uid HAVING count(*) = 2", "rollouts")
-def flt_pref_split(spark, d):
-    r = V.rollouts(spark, d).where("sample <= 2")
-    return r.groupBy("uid").agg(F.max(F.when(F.col("sample") == 1, F.col("score"))).alias("chosen"), F.max(F.when(F.col("sample") == 2, F.col("score"))).alias("rejected"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
-
-
 @query("agg_majority", "WITH v AS (SELECT uid, acc AS vote, count(*) AS c, min(sample) AS f, min_by(score, sample) AS s FROM rollouts GROUP BY uid, acc) SELECT uid, vote, s AS value FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY c DESC, f) AS k FROM v) WHERE k = 1", "rollouts")
 def agg_majority(spark, d):
     v = V.rollouts(spark, d).groupBy("uid", "acc").agg(F.count(F.lit(1)).alias("c"), F.min("sample").alias("f"), F.min_by("score", "sample").alias("s"))

@@ -430,27 +430,6 @@ def udf_adv(spark, d):
     return ADVANTAGES.get("grpo")(V.rollouts(spark, d)).select("uid", "sample", "advantage")
 
 
-@query("win_prime_rloo")
-def win_prime_rloo(spark, d):
-    from spindrift.operators.groups import rloo, whiten
-
-    x = rloo(V.rollouts(spark, d)).withColumnRenamed("advantage", "a")
-    return whiten(x, "a", "len").select("uid", "sample", "white")
-
-
-@query("win_prime_implicit", "SELECT uid, pos, round(0.05 * (new_lp - old_lp) * mask, 8) + 0.0 AS r FROM tokens", "tokens")
-def win_prime_implicit(spark, d):
-    return V.tokens(spark, d).select("uid", "pos", (F.round(0.05 * (F.col("new_lp") - F.col("old_lp")) * F.col("mask"), 8) + 0.0).alias("r"))
-
-
-@query("win_prime_dpo", "SELECT uid, sample, round(score - coalesce(CASE WHEN acc = 1 THEN avg(CASE WHEN acc = 0 THEN score END) OVER w ELSE avg(CASE WHEN acc = 1 THEN score END) OVER w END, 0), 6) + 0.0 AS contrast FROM rollouts WINDOW w AS (PARTITION BY uid)", "rollouts")
-def win_prime_dpo(spark, d):
-    w = Window.partitionBy("uid")
-    of = lambda k: F.avg(F.when(F.col("acc") == k, F.col("score"))).over(w)
-    other = F.coalesce(F.when(F.col("acc") == 1, of(0)).otherwise(of(1)), F.lit(0.0))
-    return V.rollouts(spark, d).select("uid", "sample", r6(F.col("score") - other).alias("contrast"))
-
-
 @query("arr_tool_mask", "SELECT uid, pos, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS m FROM tokens", "tokens")
 def arr_tool_mask(spark, d):
     return V.tokens(spark, d).select("uid", "pos", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("m"))
