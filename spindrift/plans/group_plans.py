@@ -129,11 +129,6 @@ def agg_acc_mean(spark, d):
     return V.rollouts(spark, d).agg(r6(F.avg("acc")).alias("acc"))
 
 
-@query("agg_throughput", "SELECT sum(len)::BIGINT AS tokens, round(sum(len) / (2.0 * 2), 6) AS per_gpu FROM rollouts", "rollouts")
-def agg_throughput(spark, d):
-    return V.rollouts(spark, d).agg(F.sum("len").cast("long").alias("tokens"), r6(F.sum("len") / (2.0 * 2)).alias("per_gpu"))
-
-
 @query("agg_flops", "SELECT round(sum(6.0 * 7e9 * len + 12.0 * len * len * 28 * 3584) / 1e12, 3) AS tflop FROM rollouts", "rollouts")
 def agg_flops(spark, d):
     n = F.col("len").cast("double")
@@ -152,11 +147,6 @@ def agg_reduce(spark, d):
     return named.groupBy("name").agg(F.max("score").alias("a"), F.min("score").alias("b"), F.avg("score").alias("c")).select("name", r6(F.when(F.col("name").contains("max"), F.col("a")).when(F.col("name").contains("min"), F.col("b")).otherwise(F.col("c"))).alias("value"))
 
 
-@query("agg_meter", "SELECT acc, count(*) AS n, round(avg(score) * 100, 6) AS value FROM rollouts GROUP BY acc", "rollouts")
-def agg_meter(spark, d):
-    return V.rollouts(spark, d).groupBy("acc").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score") * 100).alias("value"))
-
-
 @query("agg_reward", "SELECT coalesce(l_returnflag, 'all') AS name, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag))")
 def agg_reward(spark, d):
     return table(spark, d, "lineitem").groupingSets([[], ["l_returnflag"]], "l_returnflag").agg(r6(F.avg("l_quantity")).alias("mean")).select(F.coalesce("l_returnflag", F.lit("all")).alias("name"), "mean")
@@ -172,38 +162,12 @@ def agg_dist_masked_mean(spark, d):
     return V.tokens(spark, d).agg(r6(F.sum(F.col("reward") * F.col("mask")) / F.sum("mask")).alias("mean"))
 
 
-@query("agg_data", "WITH s AS (SELECT uid, sum(reward) AS score, count(*) AS n FROM tokens GROUP BY uid) SELECT round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max, round(min(score), 6) AS score_min, round(avg(n), 6) AS len_mean, max(n) AS len_max, min(n) AS len_min, round((SELECT 1 - var_samp(reward - v) / (var_samp(reward) + 1e-5) FROM tokens WHERE mask = 1), 6) + 0.0 AS explained FROM s", "tokens")
-def agg_data(spark, d):
-    t = V.tokens(spark, d)
-    s = t.groupBy("uid").agg(F.sum("reward").alias("score"), F.count(F.lit(1)).alias("n"))
-    a = s.agg(r6(F.avg("score")).alias("score_mean"), r6(F.max("score")).alias("score_max"), r6(F.min("score")).alias("score_min"), r6(F.avg("n")).alias("len_mean"), F.max("n").alias("len_max"), F.min("n").alias("len_min"))
-    e = t.where("mask = 1").agg(r6(1 - F.var_samp(F.col("reward") - F.col("v")) / (F.var_samp("reward") + 1e-5)).alias("explained"))
-    return a.crossJoin(e)  # one row each
-
-
 @query("agg_probs_diff", "SELECT round(max(x), 6) AS top, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM (SELECT abs(exp(old_lp) - exp(new_lp)) AS x FROM tokens WHERE mask = 1)", "tokens")
 def agg_probs_diff(spark, d):
     x = F.abs(F.exp("old_lp") - F.exp("new_lp"))
     return V.tokens(spark, d).where("mask = 1").agg(r6(F.max(x)).alias("top"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"))
 
 
-@query("agg_prime_data", "SELECT round(avg(reward), 6) AS mean, round(max(reward), 6) AS top, round(min(reward), 6) AS low, round(avg(v), 6) AS value_mean FROM tokens WHERE mask = 1", "tokens")
-def agg_prime_data(spark, d):
-    return V.tokens(spark, d).where("mask = 1").agg(r6(F.avg("reward")).alias("mean"), r6(F.max("reward")).alias("top"), r6(F.min("reward")).alias("low"), r6(F.avg("v")).alias("value_mean"))
-
-
-@query("agg_dpo_data", "WITH s AS (SELECT uid, sum(reward * mask) AS score, sum(mask) AS n FROM tokens GROUP BY uid) SELECT round(avg(score), 6) AS mean, round(max(score), 6) AS top, round(avg(n), 6) AS len FROM s", "tokens")
-def agg_dpo_data(spark, d):
-    s = V.tokens(spark, d).groupBy("uid").agg(F.sum(F.col("reward") * F.col("mask")).alias("score"), F.sum("mask").alias("n"))
-    return s.agg(r6(F.avg("score")).alias("mean"), r6(F.max("score")).alias("top"), r6(F.avg("n")).alias("len"))
-
-
-@query("agg_timing", "WITH s AS (SELECT event_type AS stage, sum(value) AS seconds, count(*) AS n FROM events GROUP BY 1) SELECT stage, round(seconds, 6) AS seconds, round(seconds * 1000 / n, 6) AS ms FROM s WHERE stage <> 'error'")
-def agg_timing(spark, d):
-    s = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.sum("value").alias("seconds"), F.count(F.lit(1)).alias("n"))
-    return s.where("stage <> 'error'").select("stage", r6("seconds").alias("seconds"), r6(F.col("seconds") * 1000 / F.col("n")).alias("ms"))
-
-
 @query("agg_timing_reduce", "SELECT event_type AS stage, round(avg(value), 6) AS seconds FROM events GROUP BY 1")
 def agg_timing_reduce(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(r6(F.avg("value")).alias("seconds"))
@@ -217,9 +181,3 @@ def agg_turns(spark, d):
 @query("agg_search_meta", "SELECT event_type AS status, count(*) AS queries, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def agg_search_meta(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("queries"), F.countDistinct("user_id").alias("users"))
-
-
-@query("agg_val_section", "WITH m AS (SELECT uid, count(*) AS n FROM rollouts GROUP BY uid) SELECT uid, CASE WHEN n = max(n) OVER () THEN 'core' ELSE 'aux' END AS section FROM m", "rollouts")
-def agg_val_section(spark, d):
-    m = V.rollouts(spark, d).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    return m.crossJoin(F.broadcast(m.agg(F.max("n").alias("top")))).select("uid", F.when(F.col("n") == F.col("top"), "core").otherwise("aux").alias("section"))

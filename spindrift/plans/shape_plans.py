@@ -38,12 +38,6 @@ def shp_math(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.boxed(t).alias("truth"))
 
 
-@query("shp_hellaswag", r"SELECT doc_id, replace(regexp_replace(replace(trim(text), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS context FROM documents")
-def shp_hellaswag(spark, d):
-    t = F.replace(F.trim("text"), F.lit(" [title]"), F.lit(". "))
-    return table(spark, d, "documents").select("doc_id", F.replace(F.regexp_replace(t, r"\[.*?\]", ""), F.lit("  "), F.lit(" ")).alias("context"))
-
-
 @query("shp_geo3k")
 def shp_geo3k(spark, d):
     return table(spark, d, "pages").select("page_id", F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content"))).alias("prompt"), F.array(F.col("html").cast("binary")).alias("images"))
@@ -67,12 +61,6 @@ def shp_hh_rl(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.lit("model").alias("style"), F.col("text").alias("prompt"))
 
 
-@query("shp_search", "SELECT item_id, 'searchR1_' || CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE 'hotpot' END AS data_source, 'Answer the question. ' || text AS prompt, coalesce(CASE WHEN item_id % 3 = 0 THEN 'rm' END, 'golden') AS truth FROM benchmark")
-def shp_search(spark, d):
-    tag = F.concat(F.lit("searchR1_"), F.when(F.col("item_id") % 2 == 0, "nq").otherwise("hotpot"))
-    return table(spark, d, "benchmark").select("item_id", tag.alias("data_source"), F.concat(F.lit("Answer the question. "), "text").alias("prompt"), F.coalesce(F.when(F.col("item_id") % 3 == 0, "rm"), F.lit("golden")).alias("truth"))
-
-
 @query("shp_add_tool")
 def shp_add_tool(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.struct(F.lit(True).alias("need_tools_kwargs"), F.col("item_id").alias("index")).alias("extra_info"))
@@ -173,13 +161,6 @@ def shp_nested_key(spark, d):
     return table(spark, d, "events").select("event_id", F.array(F.from_json("props", "k bigint"))[0]["k"].alias("k"))
 
 
-@query("shp_passages", "SELECT item_id, 'Doc 1 (Title: ' || string_split(text, chr(10))[1] || ')' || chr(10) || substr(text, strpos(text || chr(10), chr(10)) + 1) AS t FROM benchmark")
-def shp_passages(spark, d):
-    title = F.substring_index("text", "\n", 1)
-    body = F.substring("text", F.char_length(title) + 2, F.char_length("text"))
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Doc 1 (Title: "), title, F.lit(")\n"), body).alias("t"))
-
-
 @query("shp_toolcall_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS bad FROM events")
 def shp_toolcall_parse(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.lit("[1")).otherwise(F.col("props"))
@@ -194,7 +175,10 @@ def src_parquet(spark, d):
 
 def _folder(spark, name: str) -> str:
     """A shared folder for the round trips of the file queries."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or tempfile.gettempdir()
     return f"{base.rstrip('/')}/spindrift-{spark.sparkContext.applicationId}-{name}"
 
 

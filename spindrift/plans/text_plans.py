@@ -102,20 +102,6 @@ def snk_report(spark, d):
     return r.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in names])).alias("m")).select("m.name", F.format_string("%.6f", "m.value").alias("value"))
 
 
-@query("agg_tg_zoom", f"WITH z AS (SELECT l_linenumber AS k, {_iou('gs', 'ge', 'ps', 'pe')} AS x FROM spans) SELECT k, round(sum(x) * 100 / (SELECT count(*) FROM z), 6) + 0.0 AS whole, round(avg(x) * 100, 6) + 0.0 AS part FROM z GROUP BY k", "spans")
-def agg_tg_zoom(spark, d):
-    s = _spans(spark, d)
-    n = F.broadcast(s.agg(F.count(F.lit(1)).alias("every")))
-    g = s.groupBy(F.col("l_linenumber").alias("k")).agg(F.sum("iou").alias("t"), F.avg("iou").alias("a"))
-    return g.crossJoin(n).select("k", r6(F.col("t") * 100 / F.col("every")).alias("whole"), r6(F.col("a") * 100).alias("part"))
-
-
-@query("agg_meta", "SELECT key, count(*) AS n, round(avg(value), 6) AS value FROM (SELECT unnest(['quantity', 'discount', 'tax']) AS key, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem) GROUP BY key")
-def agg_meta(spark, d):
-    m = F.create_map(F.lit("quantity"), "l_quantity", F.lit("discount"), "l_discount", F.lit("tax"), "l_tax")
-    return table(spark, d, "lineitem").select(F.explode(m)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("value"))
-
-
 _PHRASES = {"a": T.PHRASES_A, "b": T.PHRASES_B, "c": T.PHRASES_C}
 
 

@@ -8,13 +8,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import maths as M
+from spindrift.functions import rewards as R
 from spindrift.functions import scores as P
 from spindrift.functions import span as S
 from spindrift.functions import text as T
 from spindrift.operators import batch as B
 from spindrift.operators import groups as G
 from spindrift.operators import packing as K
+from spindrift.operators import policies as L
 from spindrift.operators.registries import Registry
+from spindrift.plans.reward_plans import val_metrics
 from spindrift.streaming import turns
 
 
@@ -51,6 +55,9 @@ def test_boxed_and_math():
     assert P.last_boxed(r"a \boxed{1} b \boxed{\frac{1}{2}}") == r"\frac{1}{2}"
     assert P.last_boxed("none") is None
     assert P.last_boxed(r"\boxed{1") is None
+    assert P.last_boxed(r"\boxed{1} and \fbox{2}") == "1"
+    assert P.last_boxed(r"\boxed 3$ and \boxed{4}") == "3"
+    assert P.last_boxed(r"\fbox{2}") == "2"
     assert P.math_score(r"\boxed{1/2}", r"\dfrac{1}{2}") == 1.0
     assert P.math_score(None, "1") == 0.0
 
@@ -235,3 +242,69 @@ def test_replay_equals_stream(spark, tmp_path):
     q = turns.stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("replayed").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("replayed").collect()} == batch
+
+
+def test_final_answers():
+    assert M.boxed_dapo(r"\fbox{1}") is None and M.boxed_dapo(r"a \boxed{x{y}}") == r"\boxed{x{y}}"
+    assert M.boxed_prime(r"\boxed{ 1 } \fbox{2}") == "1" and M.boxed_prime(r"\fbox{2}") == "2"
+    assert M.math_dapo("Answer: 3\nAnswer: $\\frac12$", "\\frac{1}{2}") == (1.0, "\\frac{1}{2}")
+    assert M.math_dapo("Answer: x = 1,234 dollars", "1234") == (1.0, "1234")
+    assert M.math_dapo("Answer: 7" + " " * 300, "7") == (-1.0, "[INVALID]")
+    assert M.math_dapo(r"\boxed{7}", "7", strict=True) == (1.0, "7") and M.math_dapo("7", "7", strict=True) == (-1.0, None)
+    for got, truth in ((r"\boxed{0.5}", "1/2"), (r"\boxed{50\%}", "0.5"), (r"\boxed{(1, 2)}", "(1,2)"), ("The answer is 2\\pi.", "6.28"), (r"\boxed{[0, \frac{1}{2})}", "[0,0.5)"), (r"\boxed{1.00005}", "1")):
+        assert M.math_prime(got, truth) == 1.0, got
+    for got, truth in ((r"\boxed{12}", "13"), ("nothing", "1"), (None, "1"), (r"\boxed{(1,2)}", "(1,2]"), (r"\boxed{1.001}", "1")):
+        assert M.math_prime(got, truth) == 0.0, got
+    assert M.geometry(r"<think>a</think> \boxed{2}", "2") == pytest.approx(1.0) and M.geometry(r"\boxed{2}", "2") == pytest.approx(0.9)
+
+
+def test_dispatch_refuses_unknown_sources(spark):
+    row = spark.createDataFrame([("openai/gsm8k", "#### 5", "5"), ("nope", "x", "y")], "source string, said string, truth string")
+    score = R.dispatch(F.col("source"), F.col("said"), F.col("truth"), F.lit(0))
+    assert row.where("source <> 'nope'").select(score.alias("x")).first().x == 1.0
+    with pytest.raises(Exception, match="no scorer for data source nope"):
+        row.select(score.alias("x")).collect()
+
+
+def test_majority_equals_plain_draws():
+    rng = np.random.default_rng(3)
+    values, votes = rng.random((7, 5)), rng.integers(0, 3, (7, 5))
+
+    def plain(picked):
+        seen = {}
+        for v, x in picked:
+            seen.setdefault(int(v), []).append(x)
+        return seen[max(seen, key=lambda k: len(seen[k]))][0]
+
+    for k in (2, 4, 5):
+        got = P.bootstrap_majority(values, votes, k)
+        for row, own, said in zip(got, values, votes, strict=True):
+            draws = np.random.RandomState(42)
+            want = [plain([(said[i], own[i]) for i in draws.choice(5, k, replace=True)]) for _ in range(1_000)]
+            assert row == pytest.approx([np.mean(want), np.std(want)])
+
+
+def test_validation_metrics(spark):
+    rows = [("a", p, i, [0.1, 0.9, 0.5, 0.5][i] + p, i % 2) for p in range(3) for i in range(4)] + [("b", 9, 0, 0.25, 1)]
+    df = spark.createDataFrame(rows, "source string, prompt int, sample int, score double, vote int")
+    got = {(r.source, r.metric): (r.value, r.prompts) for r in val_metrics(df).collect()}
+    assert got["b", "mean@1"] == (25.0, 1) and got["a", "mean@4"] == pytest.approx((150.0, 3))
+    assert got["a", "std@4"][0] == pytest.approx(100 * np.std([0.1, 0.9, 0.5, 0.5]))
+    assert got["a", "best@2/mean"][0] == pytest.approx(100 * np.mean([P.bootstrap([0.1 + p, 0.9 + p, 0.5 + p, 0.5 + p], 2, max)[0] for p in range(3)]))
+    assert {m for s, m in got if s == "a"} == {"mean@4", "std@4", *(f"{n}@{k}/{x}" for n in ("best", "worst", "maj") for k in (2, 4) for x in ("mean", "std"))}
+    alone = {r.metric: r.prompts for r in val_metrics(df.where("source = 'a'"), as_shipped=True).collect()}
+    assert alone == {"mean@1": 12}
+
+
+def test_operators_refuse_what_they_cannot_take(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 3), (1, 2, 0.7, 4), (1, 3, 0.1, 5)], "uid int, sample int, score double, len int")
+    with pytest.raises(Exception, match="odd number"):
+        L.preference_pairs(df).collect()
+    pairs = L.split_pairs(L.preference_pairs(df.where("sample < 3")), ["score", "len"]).first()
+    assert (pairs.chosen_score, pairs.rejected_score, pairs.chosen_len) == (0.7, 0.5, 4)
+    with pytest.raises(Exception, match="fewer than two"):
+        G.pass_k(df.where("sample = 1"), ["sample"]).collect()
+    with pytest.raises(ValueError, match="2 are needed"):
+        L.fill_groups(df.withColumn("batch", F.lit(0)), 2, 1, 1)
+    one = spark.createDataFrame([("F", 2), ("F", 1)], "kind string, k int")
+    assert [(r.k, r.place) for r in L.interleave(one, "kind", ("F", "O"), ["k"]).orderBy("place").collect()] == [(1, 0), (2, 1)]
