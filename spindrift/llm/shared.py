@@ -23,8 +23,10 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where it is unset in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
         atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
