@@ -79,8 +79,8 @@ def flt_gt_span(spark, d):
 
 @query("flt_date", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1994-01-00' AND strftime(o_orderdate, '%Y-%m-%d') < '1995-06-00'")
 def flt_date(spark, d):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, d, "orders").where((day >= "1994-01-00") & (day < "1995-06-00")).select("o_orderkey")
+    day = F.col("o_orderdate")  # months as whole days, so that the filter reaches the file
+    return table(spark, d, "orders").where((day >= F.lit("1994-01-01").cast("timestamp")) & (day < F.lit("1995-06-01").cast("timestamp"))).select("o_orderkey")
 
 
 @query("flt_modality", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'image' WHEN o_orderstatus = 'O' THEN 'video' END AS kind FROM orders")
