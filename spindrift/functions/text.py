@@ -13,6 +13,11 @@ PHRASES_C = [*PHRASES_A[:-2], "Best answer:Best option:", "Answer"]
 NUMBER = r"\b(\d+\.\d+\b|\b\d+)\b"
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Python's str.strip for white space."""
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
@@ -38,8 +43,8 @@ def letter(c: Column, phrases: list[str] = PHRASES_A) -> Column:
     s = strip(c)
     for p in phrases:
         s = F.replace(s, F.lit(p), F.lit(""))
-    words = F.size(F.filter(F.split(s, r"\s+"), lambda x: x != ""))
-    return F.when((words > 10) & ~s.rlike("[A-Z]"), "").otherwise(F.regexp_extract(s, "[A-Z]", 0))
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda x: x != ""))
+    return once(s, lambda t: F.when(~t.rlike("[A-Z]") & (words(t) > 10), "").otherwise(F.regexp_extract(t, "[A-Z]", 0)))
 
 
 def number(c: Column) -> Column:
@@ -53,8 +58,10 @@ def _numbers(c: Column) -> Column:
 
 def _pairs(xs: Column, first: int = 0) -> Column:
     """Consecutive pairs (0,1), (2,3), ... of an array."""
-    n = F.floor(F.size(xs) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(xs, i * 2).alias("s"), F.get(xs, i * 2 + 1).alias("e")))).otherwise(F.array().cast("array<struct<s:double,e:double>>"))
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    pair = lambda x, i: F.struct(F.get(x, i * 2).alias("s"), F.get(x, i * 2 + 1).alias("e"))
+    empty = F.array().cast("array<struct<s:double,e:double>>")
+    return once(xs, lambda x: F.when(half(x) > 0, F.transform(F.sequence(F.lit(0), half(x) - 1), lambda i: pair(x, i))).otherwise(empty))
 
 
 def time_range(c: Column) -> Column:
@@ -66,11 +73,8 @@ def time_range(c: Column) -> Column:
 
 def time_range2(c: Column) -> Column:
     """``time_range``, else the last ordered pair of all numbers, paired from the end."""
-    one = time_range(c)
-    xs = _numbers(c)
-    odd = F.size(xs) % 2
-    tail = F.filter(_pairs(F.slice(xs, odd + 1, F.size(xs))), lambda x: x["s"] <= x["e"])
-    return F.when(one["s"] >= 0, one).otherwise(F.coalesce(F.try_element_at(tail, F.lit(-1)), one))
+    later = once(_numbers(c), lambda xs: F.filter(_pairs(F.slice(xs, F.size(xs) % 2 + 1, F.size(xs))), lambda x: x["s"] <= x["e"]))
+    return once(time_range(c), lambda one: F.when(one["s"] >= 0, one).otherwise(F.coalesce(F.try_element_at(later, F.lit(-1)), one)))
 
 
 def zoom_calls(c: Column, tag: str = "zoom") -> Column:
