@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -107,8 +112,54 @@ def linspace(a: Column, b: Column, n: Column) -> Column:
 
 
 def reward_at(n: Column, place: Column, score: Column) -> Column:
-    """Array of length ``n`` with the score at ``place`` (from 0)."""
-    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.when(i == place, score).otherwise(F.lit(0.0)))
+    """Array of length ``n`` with the score at ``place`` (from 0; below 0 from the end)."""
+    whole = lambda at: F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.when(i == at, score).otherwise(F.lit(0.0)))
+    return once(F.when(place < 0, place + n).otherwise(place), whole)
+
+
+def tool_mask(ids: Column, eos: int, roles: Column, attention: Column) -> Column:
+    """Attention without the turns of tools.
+
+    A turn ends with an end token; tool messages in a row are one turn. A tool's turn without an end token is an error,
+    turns without a role are left alone.
+    """
+    turns = F.filter(roles, lambda r, i: (i == 0) | (r != "tool") | (F.get(roles, i - 1) != "tool"))
+    ends = F.filter(F.transform(ids, lambda x, i: F.when(x == eos, i)), lambda i: i.isNotNull())
+    open_turn = F.raise_error(F.lit("a tool's turn has no end token")).cast("int")
+
+    def cuts(x: Column) -> Column:
+        cut = lambda r, j: F.when(r == "tool", F.struct(F.when(j == 0, 0).otherwise(F.get(x["ends"], j - 1) + 1).alias("first"), F.coalesce(F.get(x["ends"], j), open_turn).alias("last")))
+        return F.filter(F.transform(x["turns"], cut), lambda c: c.isNotNull())
+
+    keep = lambda tools: F.transform(attention, lambda m, i: F.when(F.exists(tools, lambda c: i.between(c["first"], c["last"])), 0).otherwise(m))
+    return once(once(F.struct(turns.alias("turns"), ends.alias("ends")), cuts), keep)
+
+
+def turn_mask(turns: Column, prefix: int) -> Column:
+    """1 for an assistant's tokens after its ``prefix`` tokens of generation prompt, else 0.
+
+    ``turns`` are structs of role and n, the rendered tokens of a message. An unknown role and a system message that is
+    not the first are errors.
+    """
+    role = lambda t, i: F.when(t["role"] == "assistant", F.concat(F.array_repeat(F.lit(0), F.least(F.lit(prefix), t["n"])), F.array_repeat(F.lit(1), F.greatest(F.lit(0), t["n"] - prefix)))).when(
+        (t["role"] == "system") & (i > 0), F.raise_error(F.lit("a system message must be the first")).cast("array<int>")
+    ).when(t["role"].isin("user", "system", "tool"), F.array_repeat(F.lit(0), t["n"])).otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(t["role"], F.lit("null")))).cast("array<int>"))
+    return F.flatten(F.transform(turns, role))
+
+
+def policy_terms(old: Column, new: Column, advantage: Column, low: float, high: float, dual: float = 3.0) -> dict[str, Column]:
+    """Per token: loss (clipped, from below too where the advantage is negative), clipped and clipped_low (0 or 1), kl."""
+    if dual <= 1:
+        raise ValueError("the lower bound of the ratio must be over 1")
+    step = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), new - old))
+    plain, cut, floor = -advantage * F.exp(step), -advantage * F.greatest(F.lit(1 - low), F.least(F.lit(1 + high), F.exp(step))), -advantage * dual
+    upper = F.greatest(plain, cut)
+    return {
+        "loss": F.when(advantage < 0, F.least(floor, upper)).otherwise(upper),
+        "clipped": (cut > plain).cast("double"),
+        "clipped_low": ((upper > floor) & (advantage < 0)).cast("double"),
+        "kl": -step,
+    }
 
 
 def log_sum_exp(xs: Column) -> Column:

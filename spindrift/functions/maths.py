@@ -129,6 +129,24 @@ def geometry(text: str | None, truth: str | None) -> float:
     return 0.9 * float(same_answer(last_boxed(text), truth)) + 0.1 * form
 
 
+def verified(verify=None):
+    """Scorer by a verifier of (boxed truths, texts), of the package ``math_verify`` if none is given; its failure scores 0."""
+    if verify is None:
+        from math_verify.metric import math_metric
+        from math_verify.parser import ExprExtractionConfig, LatexExtractionConfig
+
+        metric = math_metric(gold_extraction_target=(LatexExtractionConfig(),), pred_extraction_target=(ExprExtractionConfig(), LatexExtractionConfig()))
+        verify = lambda truths, texts: metric(truths, texts)[0]
+
+    def score(text: str | None, truth: str | None) -> float:
+        try:
+            return float(verify([f"\\boxed{{{truth}}}"], [text]))
+        except Exception:  # whatever a plug-in raises is a wrong answer
+            return 0.0
+
+    return scorer(score)
+
+
 def scorer(f):
     """A function of (text, truth) as a vectorised column function."""
 

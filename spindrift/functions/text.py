@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.functions.arrays import once
+
 #: Phrases that are deleted before an option letter is looked for.
 PHRASES_A = ["The best answer is", "The correct answer is", "The answer is", "The answer", "The best option is", "The correct option is", "Best answer:", "Best option:"]
 PHRASES_B = [*PHRASES_A, "From"]
 PHRASES_C = [*PHRASES_A[:-2], "Best answer:Best option:", "Answer"]
+#: Words of sentences that speak of time, and an example that prompts hold.
+SPOKEN, SPOKEN_EXAMPLE = "start|end|happen", "a specific example is : 20.8 - 30.0 seconds"
 #: Fixed value: a number in running text.
 NUMBER = r"\b(\d+\.\d+\b|\b\d+)\b"
 
 
-def once(x: Column, f) -> Column:
-    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def strip(c: Column) -> Column:
     """Python's str.strip for white space."""
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
@@ -77,6 +76,24 @@ def time_range2(c: Column) -> Column:
     return once(time_range(c), lambda one: F.when(one["s"] >= 0, one).otherwise(F.coalesce(F.try_element_at(later, F.lit(-1)), one)))
 
 
+def time_range_spoken(c: Column) -> Column:
+    """(start, end) by the first "m - n" ("to" is a dash), else by the first numbers of two sentences that speak of time, else -1.
+
+    A clock time is never read as one: its hours are a number before. A number with two points is an error.
+    """
+    tag = r"<answer>(.*?)</answer>"
+    said = F.lower(F.when(c.rlike(tag), strip(F.regexp_extract(c, tag, 1))).otherwise(c))
+    said = F.replace(F.replace(said, F.lit(SPOKEN_EXAMPLE), F.lit("")), F.lit("to"), F.lit("-"))
+    dashed = r"(\d+\.*\d*)\s*-\s*(\d+\.*\d*)"
+
+    def both(t: Column) -> Column:
+        first = F.filter(F.transform(F.filter(F.split(t, r"[!?\n]"), lambda s: s.rlike(SPOKEN)), lambda s: F.regexp_extract(s, NUMBER, 1)), lambda n: n != "")
+        words = F.when(t.rlike(dashed), F.array(F.regexp_extract(t, dashed, 1), F.regexp_extract(t, dashed, 2))).otherwise(F.slice(first, 1, 2))
+        return F.when(F.size(words) == 2, F.array_sort(words.cast("array<double>"))).otherwise(F.array(F.lit(-1.0), F.lit(-1.0)))
+
+    return once(once(said, both), lambda x: F.struct(x[0].alias("s"), x[1].alias("e")))
+
+
 def zoom_calls(c: Column, tag: str = "zoom") -> Column:
     """Array of struct(start, end) of the well-formed JSON calls in tags."""
     raw = F.regexp_extract_all(c, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), 1)

@@ -146,3 +146,21 @@ def minibatches(df: DataFrame, size: int, epochs: int, rn: str = "rn") -> DataFr
     if df.count() % size:
         raise ValueError("the size must divide the number of rows")
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("batch", F.floor(F.col(rn) / size).cast("long"))
+
+
+def dispatch(df: DataFrame, mode: str, ranks: int, rn: str = "rn") -> DataFrame:
+    """Rows with the ``rank`` that gets them: "all" copies them to every rank, "zero" gives them to the first, "split" cuts
+    them into equal contiguous pieces (an error if the ranks do not divide them), "split_padded" repeats rows from the start first.
+    """
+    if mode == "all":
+        return df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1)).cast("array<bigint>")))
+    if mode == "zero":
+        return df.withColumn("rank", F.lit(0).cast("long"))
+    if mode not in ("split", "split_padded"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "split_padded":
+        df = pad_to_multiple(df, ranks, rn)
+    n = df.count()
+    if n % ranks:
+        raise ValueError("the ranks must divide the rows")
+    return df.withColumn("rank", chunk_id(F.col(rn), max(n, 1), ranks))

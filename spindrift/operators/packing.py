@@ -131,3 +131,20 @@ def resample(df: DataFrame, weight: str, order: list[str], seed: int) -> DataFra
     pieces = dealt.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / PIECE)))).repartition(*order, "_piece")
     first = F.col("_piece") * PIECE + 1
     return pieces.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("_times"), first + PIECE - 1)))).drop("_block", "_times", "_piece")
+
+
+def imbalance(df: DataFrame, k: int = 4) -> DataFrame:
+    """(batch, item, len) to the spread of token sums over k pieces, as they come and after differencing.
+
+    A batch of fewer than k items goes in as many parts as it has items.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lengths = rows.sort_values("item")["len"].tolist()
+        parts = min(k, len(lengths))
+        size = len(lengths) // parts
+        plain = [sum(lengths[i : i + size]) for i in range(0, len(lengths), size)]
+        even = [sum(lengths[i] for i in p) for p in balanced(lengths, parts)]
+        return pd.DataFrame({"batch": [rows["batch"].iloc[0]], "min": [min(plain)], "max": [max(plain)], "minmax_diff": [max(plain) - min(plain)], "balanced_min": [min(even)], "balanced_max": [max(even)], "balance_minmax_diff": [max(even) - min(even)], "mean": [sum(lengths) / parts]})
+
+    return df.groupBy("batch").applyInPandas(run, "batch bigint, min bigint, max bigint, minmax_diff bigint, balanced_min bigint, balanced_max bigint, balance_minmax_diff bigint, mean double")

@@ -98,13 +98,6 @@ def arr_lengths(spark, d):
     return V.sequences(spark, d).select("uid", n(F.slice("mask", 1, 10)).alias("prompt"), n(F.slice("mask", 11, 1 << 20)).alias("response"))
 
 
-@query("arr_reward_place", "SELECT uid, pos, CASE WHEN pos = max(CASE WHEN mask = 1 THEN pos END) OVER (PARTITION BY uid) THEN 1.5 ELSE 0.0 END::DOUBLE AS r FROM tokens", "tokens")
-def arr_reward_place(spark, d):
-    s = V.sequences(spark, d)
-    place = F.size("mask") - F.array_position(F.reverse("mask"), 1)
-    return exploded(s.withColumn("r", A.reward_at(F.size("mask"), place, F.lit(1.5))), "r")
-
-
 @query("arr_overlong", "SELECT uid, sample, round(score + least(-(len - (40 - 20)) / 20.0 * 1.0, 0), 6) + 0.0 AS r FROM rollouts", "rollouts")
 def arr_overlong(spark, d):
     return V.rollouts(spark, d).select("uid", "sample", r6(F.col("score") + F.least(-(F.col("len") - (40 - 20)) / 20.0, F.lit(0.0))).alias("r"))
@@ -127,14 +120,6 @@ def arr_agg_loss(spark, d):
     return s.agg(r6(F.sum("t") / F.sum("n")).alias("token_mean"), r6(F.avg("t")).alias("seq_sum"), r6(F.avg(F.col("t") / F.col("n"))).alias("seq_mean"), r6(F.sum("t") / 100).alias("seq_norm"))
 
 
-@query("arr_policy_loss", "WITH t AS (SELECT reward AS a, mask, exp(greatest(-20, least(20, new_lp - old_lp))) AS r FROM tokens), l AS (SELECT mask, greatest(-a * r, -a * greatest(0.8, least(1.2, r))) AS x, CASE WHEN -a * greatest(0.8, least(1.2, r)) > -a * r THEN 1.0 ELSE 0.0 END AS clipped FROM t) SELECT round(sum(x * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS loss, round(sum(clipped * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS clip_fraction FROM l", "tokens")
-def arr_policy_loss(spark, d):
-    r = F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("new_lp") - F.col("old_lp"))))
-    t = V.tokens(spark, d).select((-F.col("reward") * r).alias("p"), (-F.col("reward") * F.greatest(F.lit(0.8), F.least(F.lit(1.2), r))).alias("c"), "mask")
-    mean = lambda x: r6(F.sum(x * F.col("mask")) / (F.sum("mask") + 1e-8))
-    return t.agg(mean(F.greatest("p", "c")).alias("loss"), mean((F.col("c") > F.col("p")).cast("double")).alias("clip_fraction"))
-
-
 @query("arr_value_loss", "WITH t AS (SELECT mask, v, reward AS ret, greatest(v - 0.1, least(v + 0.1, v + old_lp)) AS vc, v + old_lp AS vp FROM tokens) SELECT round(0.5 * sum(greatest((vp - ret) ** 2, (vc - ret) ** 2) * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS loss FROM t", "tokens")
 def arr_value_loss(spark, d):
     v, ret = col("v", "reward")
@@ -210,14 +195,6 @@ def arr_label_mask(spark, d):
     return ids(spark, d).select("uid", F.transform("ids", lambda x, i: F.when(i < 5, F.lit(-100).cast("long")).otherwise(x)).alias("labels"))
 
 
-@query("arr_turn_mask", "SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN len(string_split(text, ' ')) ELSE 0 END)::BIGINT AS learnt, sum(len(string_split(text, ' ')))::BIGINT AS tokens FROM conversations GROUP BY conv_id")
-def arr_turn_mask(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.size(F.split("text", " ")).alias("n"))
-    mask = F.array_repeat(F.when(F.col("role") == "assistant", 1).otherwise(0), F.col("n"))
-    whole = t.select("conv_id", F.struct("turn", mask.alias("m")).alias("x")).groupBy("conv_id").agg(F.flatten(F.sort_array(F.collect_list("x")).getField("m")).alias("mask"))
-    return whole.select("conv_id", A.total(F.col("mask").cast("array<double>")).cast("long").alias("learnt"), F.size("mask").cast("long").alias("tokens"))
-
-
 @query("arr_pair_encode", _IDS + " SELECT uid, list_concat(ids[1:3], list_concat(ids, list_transform(range(0, 20), lambda x: 0))[1:20])[1:20] AS x FROM s")
 def arr_pair_encode(spark, d):
     x = F.concat(F.slice("ids", 1, 3), F.slice(A.pad(F.col("ids"), 20, F.lit(0).cast("long")), 1, 20))
@@ -269,12 +246,6 @@ def ret_dense(spark, d):
     return dense(e.where("vec_id % 20 = 0"), e, 5).select("qid", F.col("k").cast("long").alias("k"), "vec_id", (F.col("score") + 0.0).alias("score"))
 
 
-@query("ret_pool", "WITH x AS (SELECT label, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings) SELECT label, i, round(avg(v::DOUBLE), 6) + 0.0 AS m FROM x GROUP BY label, i")
-def ret_pool(spark, d):
-    x = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return x.groupBy("label", F.col("i").cast("long").alias("i")).agg(r6(F.avg(F.col("v").cast("double"))).alias("m"))
-
-
 @query("ret_prefix", "SELECT doc_id, 'passage: ' || text AS t FROM documents")
 def ret_prefix(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("passage: "), "text").alias("t"))

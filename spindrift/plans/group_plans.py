@@ -129,12 +129,6 @@ def agg_acc_mean(spark, d):
     return V.rollouts(spark, d).agg(r6(F.avg("acc")).alias("acc"))
 
 
-@query("agg_flops", "SELECT round(sum(6.0 * 7e9 * len + 12.0 * len * len * 28 * 3584) / 1e12, 3) AS tflop FROM rollouts", "rollouts")
-def agg_flops(spark, d):
-    n = F.col("len").cast("double")
-    return V.rollouts(spark, d).agg(F.round(F.sum(6.0 * 7e9 * n + 12.0 * n * n * 28 * 3584) / 1e12, 3).alias("tflop"))
-
-
 @query("agg_seqlen", "WITH p AS (SELECT uid % 8 AS part, sum(len)::BIGINT AS n FROM rollouts GROUP BY 1) SELECT min(n) AS low, max(n) AS high, max(n) - min(n) AS spread, round(avg(n), 6) AS mean FROM p", "rollouts")
 def agg_seqlen(spark, d):
     p = V.rollouts(spark, d).groupBy((F.col("uid") % 8).alias("part")).agg(F.sum("len").cast("long").alias("n"))

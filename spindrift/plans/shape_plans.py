@@ -17,6 +17,7 @@ from spindrift.plans.registry import query, r6, table
 from spindrift.sources import files
 from spindrift.streaming import turns
 
+
 @query("shp_gsm8k", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'Q' || l_partkey || ' Let''s think step by step and output the final answer after \"####\".' AS prompt, CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) AS truth FROM lineitem")
 def shp_gsm8k(spark, d):
     x = table(spark, d, "lineitem")
@@ -61,17 +62,6 @@ def shp_hh_rl(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.lit("model").alias("style"), F.col("text").alias("prompt"))
 
 
-@query("shp_add_tool")
-def shp_add_tool(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.struct(F.lit(True).alias("need_tools_kwargs"), F.col("item_id").alias("index")).alias("extra_info"))
-
-
-@query("shp_multiturn")
-def shp_multiturn(spark, d):
-    m = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-
-
 @query("shp_retool")
 def shp_retool(spark, d):
     t = B.numbered(table(spark, d, "benchmark").withColumn("h", F.xxhash64("item_id", F.lit(42))), "h", "item_id")
@@ -84,30 +74,6 @@ def shp_r1_aime(spark, d):
     return B.concat(x.where("lang = 'en'"), x.where("lang = 'de'"))
 
 
-@query("shp_r1_gpqa")
-def shp_r1_gpqa(spark, d):
-    place = F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(4)).cast("int")
-    wrong = F.array(F.lit("w1"), F.lit("w2"), F.lit("w3"))
-    return table(spark, d, "benchmark").select("item_id", F.array_insert(wrong, place + 1, F.lit("right")).alias("options"), F.substring(F.lit("ABCD"), place + 1, F.lit(1)).alias("label"))
-
-
-@query("shp_r1_lcb")
-def shp_r1_lcb(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.to_json(F.struct(F.array(F.lit("1 2")).alias("inputs"), F.array(F.lit("3")).alias("outputs"))).alias("tests"))
-
-
-@query("shp_char_count")
-def shp_char_count(spark, d):
-    word, c = F.lower(F.split("text", " ")[0]), F.lit("e")
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("how many e in "), word).alias("prompt"), (F.char_length(word) - F.char_length(F.replace(word, c, F.lit("")))).alias("truth"))
-
-
-@query("shp_char_reward")
-def shp_char_reward(spark, d):
-    t = F.concat(F.lit("so \\boxed{"), (F.col("item_id") % 5).cast("string"), F.lit("}"))
-    return table(spark, d, "benchmark").select("item_id", F.coalesce((P.boxed(t) == "3").cast("int"), F.lit(0)).alias("reward"))
-
-
 @query("shp_digit", "SELECT a, b, list_transform(range(0, 5), lambda i: (a + i * b) % 100) AS seq FROM range(0, 20) x(a), range(1, 10) y(b)")
 def shp_digit(spark, d):
     """Full enumeration of 20 starts and 9 steps."""
@@ -135,11 +101,6 @@ def shp_vqa_norm(spark, d):
     return V.choices(spark, d).select("id", F.coalesce(F.when(F.col("kind") == "A", F.col("said")), F.col("gold")).alias("question"), F.col("gold").alias("answer"))
 
 
-@query("shp_sysprompt")
-def shp_sysprompt(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.concat_ws("\n", F.lit("You are helpful."), F.when(F.col("item_id") % 2 == 0, "# Tools")).alias("prompt"))
-
-
 @query("shp_template", "SELECT id, replace(replace('Find {input_text} in {duration}s', '{input_text}', l_returnflag), '{duration}', printf('%.1f', gs)) AS t FROM spans", "spans")
 def shp_template(spark, d):
     t = F.replace(F.replace(F.lit("Find {input_text} in {duration}s"), F.lit("{input_text}"), F.col("l_returnflag")), F.lit("{duration}"), F.format_string("%.1f", "gs"))
@@ -249,12 +210,6 @@ def snk_jsonl_append(spark, d):
     return spark.read.schema("id string").json(to)
 
 
-@query("snk_result_json", "SELECT id, CASE WHEN l_suppkey % 2 = 0 THEN 'sample' ELSE 'metric' END AS pred FROM predictions", "predictions")
-def snk_result_json(spark, d):
-    sample = F.when(F.col("l_suppkey") % 2 == 0, "sample")
-    return V.predictions(spark, d).select("id", F.coalesce(sample, F.lit("metric")).alias("pred"))
-
-
 @query("snk_rollouts", "SELECT l_linenumber AS step, count(*) AS n FROM lineitem GROUP BY 1")
 def snk_rollouts(spark, d):
     to = _folder(spark, "rollouts")
@@ -274,16 +229,6 @@ def snk_gen_table(spark, d):
     return V.rollouts(spark, d).groupBy("uid").agg(wide.alias("scores"))
 
 
-@query("snk_metric_json", "SELECT l_linenumber AS step, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY 1")
-def snk_metric_json(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(r6(F.avg("l_quantity")).alias("q"))
-
-
-@query("snk_vidi", "SELECT l_orderkey AS query_id, l_partkey, l_suppkey, l_linenumber, [[ps, pe]] AS answer FROM spans", "spans")
-def snk_vidi(spark, d):
-    return V.spans(spark, d).select(F.col("l_orderkey").alias("query_id"), "l_partkey", "l_suppkey", "l_linenumber", F.array(F.array("ps", "pe")).alias("answer"))
-
-
 @query("snk_pickle", "SELECT n_nationkey, n_name FROM nation")
 def snk_pickle(spark, d):
     to = _folder(spark, "batch")
@@ -412,8 +357,3 @@ def udf_adv(spark, d):
     from spindrift.operators.registries import ADVANTAGES
 
     return ADVANTAGES.get("grpo")(V.rollouts(spark, d)).select("uid", "sample", "advantage")
-
-
-@query("arr_tool_mask", "SELECT uid, pos, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS m FROM tokens", "tokens")
-def arr_tool_mask(spark, d):
-    return V.tokens(spark, d).select("uid", "pos", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("m"))

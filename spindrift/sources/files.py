@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,18 @@ def write_rollouts(df: DataFrame, path: str) -> None:
 def write_report(long: DataFrame, path: str) -> None:
     """name, value lines with six decimals."""
     long.select(F.concat_ws(", ", "name", F.format_string("%.6f", F.coalesce("value", F.lit(0.0))))).write.text(path)
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """(id, fields as a map of strings) to one object {id: fields} a line."""
+    df.select(F.to_json(F.create_map("id", "fields"))).write.mode("overwrite").text(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Those lines as (id, fields)."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id", "fields"))
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Kept in the executors' memory, on their disks beyond it; ``unpersist`` frees it."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
