@@ -14,10 +14,13 @@ that also starts in a document of a smaller id is removed.
 3. Passages meet sorted by anchor. Windows of several documents are compiled,
    word by word, into Aho-Corasick automata, a shard for each run of anchors,
    and every passage with a later document is streamed through its shard to
-   locate the occurrences. (A document without a shared anchor can hold no
-   phrase of any shard and is not sent.)
-4. A block hears of passages whose windows have an earlier owner and removes
-   the words.
+   learn the owner of each window. (A document without a shared anchor can hold
+   no phrase of any shard and sends nothing.)
+4. A block hears of passages whose windows have an earlier owner by the hashes
+   of their first and last windows. It finds one example of each in its own
+   words, compiles the examples into an automaton and streams all its documents
+   through it; the occurrences it reports say which words are removed. Words
+   are told apart by 64-bit hashes there, passages never by hash alone.
 
 The texts move once: the plan reuses the exchange by block. Ids are integers; a
 null id counts as the largest. Null or empty text: no words. Rows of one id are
@@ -43,10 +46,10 @@ _NULL = np.iinfo(np.int64).max
 
 
 class Windows:
-    """Windows of the words of a chunk: ``hash`` and ``anchor`` by first word, where ``valid``."""
+    """Windows of the words of a chunk: ``hash`` and ``anchor`` by first word, where ``valid``; ``word`` has the words' hashes."""
 
     def __init__(self, words: Words):
-        hashes = words.hashes()
+        self.word = hashes = words.hashes()
         n = len(hashes)
         self.valid, self.hash = np.zeros(n, bool), np.zeros(n, np.uint64)
         value, at = words.shingles(hashes, SIZE)
@@ -222,6 +225,29 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), pa.array(owners, pa.list_(pa.int64()))], names=["block", "first", "last", "owners"])
 
 
+def _occurrences(words: Words, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, first word) of every occurrence, in all documents of a chunk, of the phrases that stand at ``starts``."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.unique(hashes, return_inverse=True)[1].tolist()
+    phrases: dict[tuple, list[int]] = {}
+    for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+        phrases.setdefault(tuple(codes[a : a + n]), []).append(k)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase, numbers in phrases.items():
+        automaton.add_word(phrase, (len(phrase), numbers))
+    automaton.make_automaton()
+    found, at = [], []
+    edges = words.first.tolist()
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        if end - begin < SIZE:
+            continue
+        for last, (n, numbers) in automaton.iter(tuple(codes[begin:end])):
+            found += numbers
+            at += [begin + last - n + 1] * len(numbers)
+    return np.array(found, np.int64), np.array(at, np.int64)
+
+
 def _removal(text_out: bool):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         told = told.combine_chunks()
@@ -246,7 +272,10 @@ def _removal(text_out: bool):
             ends = at + size - 1
             good = ends < n
             good[good] &= w.valid[ends[good]] & (words.doc[ends[good]] == words.doc[at[good]]) & (w.hash[ends[good]] == last[row[good]])
-            row, at, size = row[good], at[good], size[good]
+            told_here, example = np.unique(row[good], return_index=True)
+            nth, at = _occurrences(words, w.word, at[good][example], size[good][example] + SIZE - 1)
+            row = told_here[nth]
+            size = edges[row + 1] - edges[row]
             place = ragged(at, size)
             early = flat[ragged(edges[row], size)] < np.repeat(ids[words.doc[at]] if len(at) else np.zeros(0, np.int64), size)
             np.add.at(cover, place[early], 1)
