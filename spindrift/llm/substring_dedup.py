@@ -11,16 +11,14 @@ that also starts in a document of a smaller id is removed.
    each distinct one once with its smallest and largest id. A very common
    anchor is taken apart into its windows, so no key brings a task more than a
    row a block.
-3. Passages meet sorted by anchor. Windows of several documents are compiled,
-   word by word, into Aho-Corasick automata, a shard for each run of anchors,
-   and every passage with a later document is streamed through its shard to
-   learn the owner of each window. (A document without a shared anchor can hold
-   no phrase of any shard and sends nothing.)
-4. A block hears of passages whose windows have an earlier owner by the hashes
-   of their first and last windows. It finds one example of each in its own
-   words, compiles the examples into an automaton and streams all its documents
-   through it; the occurrences it reports say which words are removed. Words
-   are told apart by 64-bit hashes there, passages never by hash alone.
+3. Passages meet sorted by anchor. Their windows are compared byte by byte,
+   which confirms those that recur and gives each its owner, the smallest id.
+   (A document without a shared anchor can hold none and sends nothing.)
+4. A block hears of its passages whose windows have an earlier owner, by the
+   hashes of their first and last windows, finds one example of each in its own
+   words and compiles the examples into its shard's Aho-Corasick automaton. All
+   its documents are streamed through it; the occurrences that it reports say
+   which words are removed. (Words are told apart by 64-bit hashes there.)
 
 The texts move once: the plan reuses the exchange by block. Ids are integers; a
 null id counts as the largest. Null or empty text: no words. Rows of one id are
@@ -34,6 +32,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,40 +180,24 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _runs(batches, SHARD_ROWS):
         column = table.column("words").combine_chunks()
         lo, hi, block = (table.column(c).to_numpy() for c in ("lo", "hi", "block"))
-        value, row = [], []
+        number: dict[bytes, int] = {}
+        same, row = [], []
         for first, _, data, offsets in text_chunks(column):
             words = Words(data, offsets)
-            w = Windows(words)
-            value.append(w.hash[w.at])
-            row.append(words.doc[w.at] + first)
-        value, row = np.concatenate(value), np.concatenate(row)
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        _, example, of = np.unique(value, return_index=True, return_inverse=True)
-        owner, latest = np.full(len(example), _NULL), np.full(len(example), np.iinfo(np.int64).min)
+            at = np.flatnonzero(words.doc[: len(words.doc) - SIZE + 1] == words.doc[SIZE - 1 :])
+            raw = data.tobytes()
+            same += [number.setdefault(raw[x:y], len(number)) for x, y in zip(words.starts[at].tolist(), words.ends[at + SIZE - 1].tolist(), strict=True)]
+            row.append(words.doc[at] + first)
+        of, row = np.array(same, np.int64), np.concatenate(row)
+        owner = np.full(len(number), _NULL)
         np.minimum.at(owner, of, lo[row])
-        np.maximum.at(latest, of, hi[row])
-        phrase = np.flatnonzero(owner < latest)
-        losing = np.unique(row[owner[of] < hi[row]])
-        if not len(losing):
-            continue
-        number: dict[bytes, int] = {}
-        texts: list[tuple] = [()] * len(lo)
-        for r in np.union1d(losing, row[example[phrase]]).tolist():
-            texts[r] = tuple([number.setdefault(x, len(number)) for x in column[r].as_py().split(b" ")])
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for r, j, least in zip(row[example[phrase]].tolist(), nth[example[phrase]].tolist(), owner[phrase].tolist(), strict=True):
-            automaton.add_word(texts[r][j : j + SIZE], least)
-        automaton.make_automaton()
-        rows, owners = [], []
-        for r in losing.tolist():
-            own = [_NULL] * (len(texts[r]) - SIZE + 1)
-            for end, least in automaton.iter(texts[r]):
-                own[end - SIZE + 1] = least
-            if min(own) < hi[r]:
-                rows.append(r)
-                owners.append(own)
-        if not rows:
+        losing = np.zeros(len(lo), bool)
+        losing[row[owner[of] < hi[row]]] = True
+        rows = np.flatnonzero(losing)
+        if not len(rows):
             continue
+        kept = losing[row]
+        owners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(lo))[rows])]).astype(np.int32)), pa.array(owner[of[kept]]))
         chosen = column.take(pa.array(rows))
         edge = []
         for _, _, data, offsets in text_chunks(chosen):
@@ -222,14 +205,14 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Windows(words)
             edge.append(np.stack([w.hash[words.first[:-1]], w.hash[words.first[1:] - SIZE]]))
         edge = np.concatenate(edge, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), pa.array(owners, pa.list_(pa.int64()))], names=["block", "first", "last", "owners"])
+        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), owners], names=["block", "first", "last", "owners"])
 
 
 def _occurrences(words: Words, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, first word) of every occurrence, in all documents of a chunk, of the phrases that stand at ``starts``."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.unique(hashes, return_inverse=True)[1].tolist()
+    codes = pd.factorize(hashes)[0].tolist()
     phrases: dict[tuple, list[int]] = {}
     for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
         phrases.setdefault(tuple(codes[a : a + n]), []).append(k)
