@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,7 @@ from spindrift.llm.shared import Words, ragged, text_chunks, text_or_empty
 
 SIZE, ANCHOR = 13, 7
 BLOCK_BYTES, SHARD_ROWS, COMMON = 4 << 20, 20_000, 2_000
+LETTERS = 64
 _NULL = np.iinfo(np.int64).max
 
 
@@ -208,27 +209,53 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), owners], names=["block", "first", "last", "owners"])
 
 
+def _spelled(codes: np.ndarray, kinds: int) -> tuple[str, int]:
+    """(codes below ``kinds`` spelled in letters, letters of each).
+
+    A letter's value tells its place in a word, so that a match begins and ends
+    with whole words, and nodes of the automaton, which searches the edges of a
+    node one by one, have at most ``LETTERS`` edges.
+    """
+    width = 1
+    while LETTERS**width < kinds:
+        width += 1
+    letters = np.empty((len(codes), width), np.uint32)
+    for j in range(width):
+        letters[:, j] = codes // LETTERS ** (width - 1 - j) % LETTERS + LETTERS * j + 1
+    return letters.tobytes().decode("utf-32-le"), width
+
+
 def _occurrences(words: Words, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, first word) of every occurrence, in all documents of a chunk, of the phrases that stand at ``starts``."""
+    """(phrase, first word) of every occurrence, in all documents of a chunk, of the phrases that stand at ``starts``.
+
+    Words that no phrase has are all code 0, which also parts the documents.
+    """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = pd.factorize(hashes)[0].tolist()
-    phrases: dict[tuple, list[int]] = {}
-    for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-        phrases.setdefault(tuple(codes[a : a + n]), []).append(k)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, numbers in phrases.items():
-        automaton.add_word(phrase, (len(phrase), numbers))
+    known = np.unique(hashes[ragged(starts, lengths)])
+    near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    codes = np.where(known[near] == hashes, near + 1, 0)
+    part = np.arange(len(codes)) + words.doc
+    apart = np.zeros(len(codes) + len(words.first) - 1, np.int64)
+    apart[part] = codes
+    stream, width = _spelled(apart, len(known) + 1)
+    number: dict[str, int] = {}
+    begin = part[starts] * width
+    same = np.array([number.setdefault(stream[a:b], len(number)) for a, b in zip(begin.tolist(), (begin + lengths * width).tolist(), strict=True)], np.int64)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for phrase, k in number.items():
+        automaton.add_word(phrase, k)
     automaton.make_automaton()
-    found, at = [], []
-    edges = words.first.tolist()
-    for begin, end in zip(edges[:-1], edges[1:], strict=True):
-        if end - begin < SIZE:
-            continue
-        for last, (n, numbers) in automaton.iter(tuple(codes[begin:end])):
-            found += numbers
-            at += [begin + last - n + 1] * len(numbers)
-    return np.array(found, np.int64), np.array(at, np.int64)
+    hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
+    size = np.zeros(len(number), np.int64)
+    size[same] = lengths
+    first = (hits[:, 0] + 1) // width - size[hits[:, 1]]
+    place = np.zeros(len(apart), np.int64)
+    place[part] = np.arange(len(codes))
+    order = np.argsort(same, kind="stable")  # phrases told of more than once, by number
+    edges = np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(number)))])
+    times = np.diff(edges)[hits[:, 1]]
+    return order[ragged(edges[hits[:, 1]], times)], np.repeat(place[first], times)
 
 
 def _removal(text_out: bool):
