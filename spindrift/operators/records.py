@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType
 
 from spindrift.functions import text as T
 from spindrift.operators import batch as B
@@ -81,3 +82,51 @@ def as_rl(tasks: DataFrame) -> DataFrame:
     turn = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     rule = F.struct(F.lit("rule").alias("style"), boxed("response").alias("ground_truth"))
     return tasks.select("id", "split", F.array(turn).alias("prompt"), F.lit("char_count").alias("data_source"), F.lit("other").alias("ability"), rule.alias("reward_model"), F.struct("response").alias("extra_info"))
+
+
+def digit_prompts(spark: SparkSession, max_number: int, max_diff: int, max_count: int) -> DataFrame:
+    """Every prompt 'first,second:max_number,count' of an arithmetic sequence modulo ``max_number``."""
+    upto = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n))).alias(name)
+    rows = spark.range(max_number + 1).select(F.col("id").alias("first"), upto(max_diff, "diff")).select("*", upto(max_count, "count"))
+    second = (F.col("first") + F.col("diff")) % max_number
+    return rows.select("first", "diff", "count", F.format_string(f"%d,%d:{max_number},%d", "first", second, "count").alias("prompt"))
+
+
+def digit_truth(prompt: Column) -> Column:
+    """The numbers that continue such a prompt, joined by commas."""
+    first, second, top, count = (F.element_at(F.split(prompt, "[,:]"), i).cast("long") for i in range(1, 5))
+    step = F.pmod(second - first, top)
+    numbers = F.transform(F.sequence(F.lit(1).cast("long"), count), lambda i: F.pmod(second + i * step, top).cast("string"))
+    return F.when(count > 0, F.array_join(numbers, ",")).when(count == 0, "")
+
+
+def digit_rewards(truth: Column, response: Column, total: float = 1.0) -> Column:
+    """Reward of each character: an equal share while it continues the truth, 0 from the first one that does not; one share is the end's."""
+    same = lambda i: F.substring(truth, i, F.lit(1)) == F.substring(response, i, F.lit(1))
+    places = F.when(F.length(truth) > 0, F.sequence(F.lit(1), F.length(truth))).otherwise(F.array().cast("array<int>"))
+    reach = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i - 1) & same(i), i).otherwise(n))
+    share = F.lit(total) / (F.length(truth) + 1)
+    each = F.transform(F.sequence(F.lit(1), F.length(response)), lambda i: F.when(i <= reach, share).otherwise(F.lit(0.0)))
+    return F.when(F.length(response) > 0, each).otherwise(F.array().cast("array<double>"))
+
+
+#: The sentence of a template that tells of a video, and the one for an image.
+VIDEO_LINE, IMAGE_LINE = "This is a video with duration {duration} seconds.", "This is an image."
+
+
+def fill_template(template: str, text: Column, duration: Column) -> Column:
+    """The template with text and duration; a null duration makes it an image's. Braces in the text stay as they are."""
+    seen = F.replace(F.lit(template), F.lit("{duration}"), duration)
+    shape = F.when(duration.isNull(), F.lit(template.replace(VIDEO_LINE, IMAGE_LINE))).otherwise(seen)
+    return F.replace(shape, F.lit("{input_text}"), text)
+
+
+def follow(df: DataFrame, column: str, *keys: str) -> Column:
+    """The value under nested keys of structs and maps; arrays on the way must have one element, else it is an error."""
+    at, kind = F.col(column), df.schema[column].dataType
+    for key in keys:
+        while isinstance(kind, ArrayType):
+            at = F.when(F.size(at) == 1, F.get(at, F.lit(0))).when(at.isNotNull(), F.raise_error(F.lit(f"more or fewer than one element before {key}")))
+            kind = kind.elementType
+        at, kind = (at[key], kind.valueType) if isinstance(kind, MapType) else (at.getField(key), kind[key].dataType)
+    return at

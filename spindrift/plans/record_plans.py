@@ -107,6 +107,27 @@ def snk_metric_json(spark, d):
     return spark.read.schema("q double, top double, step int").json(to).select("step", "q", "top")
 
 
+@query("snk_tracking", "WITH m AS (SELECT l_linenumber AS step, avg(l_quantity) AS q, max(l_discount) AS top FROM lineitem GROUP BY 1) SELECT step, 'q' AS metric, round(q, 6) AS value FROM m UNION ALL SELECT step, 'top', top FROM m")
+def snk_tracking(spark, d):
+    """Sent to the table back-end twice, as a batch run again is, and read back."""
+    to = _folder(spark, "tracking")
+    m = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(r6(F.avg("l_quantity")).alias("q"), F.max("l_discount").alias("top"))
+    log = files.tracker("step", ["q", "top"], to, ("table",))
+    log(m)
+    log(m)
+    return spark.read.parquet(to).select("step", "metric", "value")
+
+
+@query("snk_ckpt_marker", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def snk_ckpt_marker(spark, d):
+    """Three iterations written, the second one marked last; the marker names what is read."""
+    to = _folder(spark, "iterations")
+    for i in (1, 3, 2):
+        table(spark, d, "nation").where(F.col("n_regionkey") == i).select("n_nationkey", "n_name").write.mode("overwrite").parquet(f"{to}/global_step_{i}")
+        files.mark_iteration(spark, to, i)
+    return spark.read.parquet(files.latest_checkpoint(spark, to))
+
+
 @query("snk_vidi", "SELECT l_orderkey AS query_id, l_returnflag AS query, [[ps, pe]] AS answer FROM spans", "spans")
 def snk_vidi(spark, d):
     to = _folder(spark, "vidi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import scores as P
 from spindrift.functions import text as T
 from spindrift.operators import batch as B
+from spindrift.operators import records as R
 from spindrift.plans import views as V
 from spindrift.plans.registry import query, r6, table
 from spindrift.sources import files
@@ -74,11 +75,17 @@ def shp_r1_aime(spark, d):
     return B.concat(x.where("lang = 'en'"), x.where("lang = 'de'"))
 
 
-@query("shp_digit", "SELECT a, b, list_transform(range(0, 5), lambda i: (a + i * b) % 100) AS seq FROM range(0, 20) x(a), range(1, 10) y(b)")
+@query("shp_digit", """WITH p AS (SELECT a, (a + b) % 20 AS s, n, a || ',' || ((a + b) % 20) || ':20,' || n AS prompt FROM range(0, 21) x(a), range(0, 6) y(b), range(0, 6) z(n)),
+  t AS (SELECT prompt, coalesce(array_to_string(list_transform(range(1, n + 1), lambda i: CAST((s + i * ((s - a + 20) % 20)) % 20 AS VARCHAR)), ','), '') AS truth FROM p),
+  r AS (SELECT *, replace(truth, '1', '7') AS said FROM t),
+  h AS (SELECT *, len(list_filter(range(1, len(truth) + 1), lambda i: left(said, i) = left(truth, i))) AS hits FROM r)
+  SELECT prompt, truth, said, CAST(hits AS BIGINT) AS hits, round(hits / (len(truth) + 1), 6) AS reward FROM h""")
 def shp_digit(spark, d):
-    """Full enumeration of 20 starts and 9 steps."""
-    a = spark.range(20).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(9)).cast("array<bigint>")).alias("b"))
-    return a.select("a", "b", F.transform(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"), lambda i: (F.col("a") + i * F.col("b")) % 100).alias("seq"))
+    """All prompts up to 20 by steps of 0 to 5, their truths, and the dense rewards of answers with wrong digits."""
+    x = R.digit_prompts(spark, 20, 5, 5).select("prompt", R.digit_truth(F.col("prompt")).alias("truth"))
+    x = x.withColumn("said", F.replace("truth", F.lit("1"), F.lit("7")))
+    x = x.withColumn("rewards", R.digit_rewards(F.col("truth"), F.col("said")))
+    return x.select("prompt", "truth", "said", F.size(F.filter("rewards", lambda r: r > 0)).cast("long").alias("hits"), r6(F.aggregate("rewards", F.lit(0.0), lambda a, b: a + b)).alias("reward"))
 
 
 @query("shp_video_rl")
@@ -101,10 +108,14 @@ def shp_vqa_norm(spark, d):
     return V.choices(spark, d).select("id", F.coalesce(F.when(F.col("kind") == "A", F.col("said")), F.col("gold")).alias("question"), F.col("gold").alias("answer"))
 
 
-@query("shp_template", "SELECT id, replace(replace('Find {input_text} in {duration}s', '{input_text}', l_returnflag), '{duration}', printf('%.1f', gs)) AS t FROM spans", "spans")
+_ASK = R.VIDEO_LINE + "\nUser Question: \n{input_text}\n"
+
+
+@query("shp_template", "SELECT id, CASE WHEN l_suppkey % 2 = 0 THEN 'This is a video with duration ' || printf('%.1f', gs) || ' seconds.' ELSE 'This is an image.' END || chr(10) || 'User Question: ' || chr(10) || l_returnflag || ' {duration}' || chr(10) AS t FROM spans", "spans")
 def shp_template(spark, d):
-    t = F.replace(F.replace(F.lit("Find {input_text} in {duration}s"), F.lit("{input_text}"), F.col("l_returnflag")), F.lit("{duration}"), F.format_string("%.1f", "gs"))
-    return V.spans(spark, d).select("id", t.alias("t"))
+    """Videos for even suppliers, images for odd ones; a question may hold braces."""
+    duration = F.when(F.col("l_suppkey") % 2 == 0, F.format_string("%.1f", "gs"))
+    return V.spans(spark, d).select("id", R.fill_template(_ASK, F.concat("l_returnflag", F.lit(" {duration}")), duration).alias("t"))
 
 
 @query("shp_mm_segments")
@@ -119,7 +130,10 @@ def shp_mm_segments(spark, d):
 
 @query("shp_nested_key", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def shp_nested_key(spark, d):
-    return table(spark, d, "events").select("event_id", F.array(F.from_json("props", "k bigint"))[0]["k"].alias("k"))
+    """Through a map, a struct and arrays of one element."""
+    turns = F.array(F.array(F.from_json("props", "k bigint")))
+    x = table(spark, d, "events").select("event_id", F.array(F.create_map(F.lit("turns"), turns)).alias("chat"))
+    return x.select("event_id", R.follow(x, "chat", "turns", "k").alias("k"))
 
 
 @query("shp_toolcall_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS bad FROM events")
@@ -164,9 +178,15 @@ def src_json_array(spark, d):
     return files.read_json_array(spark, to, "r_regionkey bigint, r_name string").select(F.col("r_regionkey").cast(table(spark, d, "region").schema["r_regionkey"].dataType), "r_name")
 
 
-@query("src_jsonl_chunks")
+@query("src_jsonl_chunks", "SELECT id, answer FROM predictions", "predictions")
 def src_jsonl_chunks(spark, d):
-    return spark.createDataFrame([(p,) for p in files.chunk_paths("out", 4)], "path string")
+    """Four chunks of a run beside one of an older run of two, which is not read."""
+    to = _folder(spark, "chunks")
+    p = V.predictions(spark, d).select("id", "answer")
+    for i, path in enumerate(files.chunk_paths(to, 4)):
+        p.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i).write.mode("overwrite").json(path)
+    p.write.mode("overwrite").json(files.chunk_paths(to, 2)[0])
+    return files.read_jsonl(spark, *files.chunk_paths(to, 4)).select("id", "answer")
 
 
 @query("src_hub", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) * 3 // 4 FROM orders)")
@@ -175,11 +195,12 @@ def src_hub(spark, d):
     return r.where(F.col("rn") < r.count() * 3 // 4).select("o_orderkey")
 
 
-@query("src_corpus", "SELECT count(*) AS n, count(DISTINCT text) AS texts FROM documents")
+@query("src_corpus", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text AS contents FROM documents")
 def src_corpus(spark, d):
+    """Documents written in the order of their ids; positions are given by the reader."""
     to = _folder(spark, "corpus")
-    table(spark, d, "documents").select(F.col("text").alias("contents")).write.mode("overwrite").json(to)
-    return files.read_corpus(spark, to).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("texts"))
+    table(spark, d, "documents").orderBy("doc_id").select(F.col("text").alias("contents")).write.mode("overwrite").json(to)
+    return files.read_corpus(spark, to)
 
 
 @query("src_console", "SELECT uid, round(score, 3) AS score FROM rollouts", "rollouts")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators.batch import numbered
+
 #: Fixed schema of a prediction.
 PREDICTION = "id string, repeat_id int, question string, answer string, pred string, text string, question_type array<string>, meta_info map<string,double>"
 
@@ -30,8 +34,14 @@ def chunk_paths(folder: str, n: int) -> list[str]:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus of {contents}; ids by a hash of the contents, as files have no order."""
-    return spark.read.schema("contents string").json(path).withColumn("doc_id", F.xxhash64("contents"))
+    """Corpus of {contents}; doc_id is the line's position, files by name and blank lines left out, from 0.
+
+    A file is read in splits; a line's key is its file, its split's first byte and its order within the task.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    contents = F.from_json("value", "contents string")["contents"]
+    keyed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"), contents.alias("contents"))
+    return numbered(keyed, "file", "start", "nth", name="doc_id").select("doc_id", "contents")
 
 
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +71,56 @@ def write_rollouts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("step").json(path)
 
 
+def tracker(step: str, metrics: list[str], path: str | None = None, backends: tuple[str, ...] = ("console", "table"), out: Callable[[str], None] = print) -> Callable[..., None]:
+    """A function of (rows, batch number) that sends metrics to each back-end; fit for ``foreachBatch``.
+
+    console: one line a step, in order of the steps. table: (step, metric, value) in a folder a batch under
+    ``path``, so a batch that is run again replaces its rows.
+    """
+    if unknown := set(backends) - {"console", "table"}:
+        raise ValueError(f"unknown back-ends {sorted(unknown)}")
+    if "table" in backends and not path:
+        raise ValueError("a table needs a path")
+
+    def log(rows: DataFrame, batch: int = 0) -> None:
+        if "table" in backends:
+            pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+            rows.select(F.col(step).alias("step"), F.explode(pairs).alias("p")).select("step", "p.*").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if "console" in backends:
+            for row in rows.orderBy(step).select(console_line(step, metrics)).toLocalIterator():
+                out(row[0])
+
+    return log
+
+
+#: Fixed value: the file that names the latest iteration.
+MARKER = "latest_checkpointed_iteration.txt"
+
+
+def _place(spark: SparkSession, path: str):
+    """(file system, path) in Hadoop's terms."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def mark_iteration(spark: SparkSession, folder: str, iteration: int) -> None:
+    fs, at = _place(spark, f"{folder}/{MARKER}")
+    stream = fs.create(at, True)
+    stream.writeBytes(str(iteration))
+    stream.close()
+
+
+def latest_checkpoint(spark: SparkSession, folder: str | None, form: str = "global_step_{}") -> str | None:
+    """Folder of the marked iteration; None without a folder, a marker, or the folder that it names."""
+    if folder is None:
+        return None
+    fs, at = _place(spark, f"{folder}/{MARKER}")
+    if not fs.exists(at):
+        return None
+    path = f"{folder}/{form.format(int(spark.read.text(f'{folder}/{MARKER}').first().value))}"
+    return path if fs.exists(_place(spark, path)[1]) else None
+
+
 def write_report(long: DataFrame, path: str) -> None:
     """name, value lines with six decimals."""
     long.select(F.concat_ws(", ", "name", F.format_string("%.6f", F.coalesce("value", F.lit(0.0))))).write.text(path)

@@ -190,3 +190,84 @@ def test_flops():
     assert flops.costs(small) == (6 * (2 * (3 * 8 * 16 + 8 * (8 + 4 + 4 + 8)) + 160), 12 * 2 * 4 * 2)
     assert flops.costs({"model_type": "other"}) == (0, 0)
     assert [flops.peak(n) for n in ("NVIDIA H20", "NVIDIA H200", "NVIDIA L40S", "cpu")] == [148e12, 989e12, 181.05e12, float("inf")]
+
+
+def test_digit(spark):
+    rows = R.digit_prompts(spark, 20, 5, 5).select("prompt", R.digit_truth(F.col("prompt")).alias("t")).collect()
+    assert len({r.prompt for r in rows}) == len(rows) == 21 * 6 * 6
+    truth = {r.prompt: r.t for r in rows}
+    assert truth["5,8:20,4"] == "11,14,17,0"
+    assert truth["19,1:20,0"] == ""
+    reward = lambda t, said: one(spark, R.digit_rewards(F.lit(t), F.lit(said)))
+    assert reward("1,2", "1,3,2") == [0.25, 0.25, 0.0, 0.0, 0.0]
+    assert reward("1,2", "1,2xx") == [0.25, 0.25, 0.25, 0.0, 0.0]
+    assert reward("1,2", "") == []
+    assert reward("", "9") == [0.0]
+
+
+def test_template(spark):
+    fill = lambda text, duration: one(spark, R.fill_template(R.VIDEO_LINE + " {input_text}", F.lit(text), F.lit(duration).cast("string")))
+    assert fill("why {duration}?", "2.5") == "This is a video with duration 2.5 seconds. why {duration}?"
+    assert fill("why?", None) == "This is an image. why?"
+
+
+def test_follow(spark):
+    df = spark.createDataFrame([(1, [{"a": [[("x",)]]}]), (2, None)], "id int, chat array<map<string,array<array<struct<k:string>>>>>")
+    assert [r.x for r in df.orderBy("id").select(R.follow(df, "chat", "a", "k").alias("x")).collect()] == ["x", None]
+    two = spark.createDataFrame([([("x",), ("y",)],)], "chat array<struct<k:string>>")
+    with pytest.raises(PySparkException, match="one element"):
+        two.select(R.follow(two, "chat", "k")).collect()
+    with pytest.raises(KeyError):
+        R.follow(two, "chat", "absent")
+
+
+def test_corpus_positions(spark, tmp_path):
+    """Files of several splits, blank lines, an empty file, a line without contents and repeated ones."""
+    want = []
+    for name, n in (("a", 3_000), ("b", 0), ("c", 1_500)):
+        lines = [f'{{"contents": "{name} {i % 700}"}}' for i in range(n)] + ["", '{"other": 1}'] * (name == "c")
+        want += [f"{name} {i % 700}" for i in range(n)] + [None] * (name == "c")
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = files.read_corpus(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.contents for r in sorted(rows, key=lambda r: r.doc_id)] == want
+    assert sorted(r.doc_id for r in rows) == list(range(len(want)))
+
+
+def test_tracker(spark, tmp_path):
+    said = []
+    rows = spark.createDataFrame([(2, 0.5, None), (1, 1.25, 3)], "step int, q double, n int")
+    log = files.tracker("step", ["q", "n"], str(tmp_path / "t"), out=said.append)
+    log(rows, 0)
+    log(rows, 0)
+    assert [x.split(" - ")[:2] for x in said[:2]] == [["step:1", "q:1.250"], ["step:2", "q:0.500"]]
+    kept = spark.read.parquet(str(tmp_path / "t")).select("step", "metric", "value").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "q", 1.25), (1, "n", 3.0), (2, "q", 0.5), (2, "n", None)], key=str)
+    with pytest.raises(ValueError):
+        files.tracker("step", ["q"], backends=("elsewhere",))
+    with pytest.raises(ValueError):
+        files.tracker("step", ["q"])
+
+
+def test_tracker_of_a_stream(spark, tmp_path):
+    rows = spark.range(5).select(F.col("id").alias("step"), (F.col("id") / 2).alias("q"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    log = files.tracker("step", ["q"], str(tmp_path / "out"), ("table",))
+    stream.writeStream.foreachBatch(log).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.step for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5))
+
+
+def test_latest_checkpoint(spark, tmp_path):
+    folder = str(tmp_path)
+    assert files.latest_checkpoint(spark, None) is None
+    assert files.latest_checkpoint(spark, folder) is None
+    files.mark_iteration(spark, folder, 7)
+    assert files.latest_checkpoint(spark, folder) is None
+    (tmp_path / "global_step_12").mkdir()
+    files.mark_iteration(spark, folder, 12)
+    assert files.latest_checkpoint(spark, folder) == f"{folder}/global_step_12"
