@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 def tile(item: list[bytes], text: list[bytes], least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length) of non-overlapping matches, the longest first.
 
-    Each round finds, by rolling hashes of unmarked runs of ``length`` words, all matches of at least
-    that length and marks them longest first; the length falls until it is ``least``.
+    Each round finds, by rolling hashes of unmarked runs of ``length`` words, all matches of at least that
+    length and marks them longest first (ties: by place in item, then in text); what a mark leaves of the
+    head of a match waits its turn by its new length, later starts have entries of their own. The length
+    falls until it is ``least``.
     """
     of = {w: i + 1 for i, w in enumerate(dict.fromkeys(item))}
     a, b = [of[w] for w in item], [of.get(w, 0) for w in text]
@@ -85,16 +88,16 @@ def tile(item: list[bytes], text: list[bytes], least: int = SEED) -> list[tuple[
                     while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
                         n += 1
                     if n >= length:
-                        found.append((n, i, j))
-        broken = False
-        for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
-                free_a[i : i + n] = free_b[j : j + n] = [False] * n
-                out.append((i, j, n))
-            else:
-                broken = True  # a part of it may still be free
-        if broken:
-            continue
+                        found.append((-n, i, j))
+        heapify(found)
+        while found:
+            n, i, j = heappop(found)
+            free = next((k for k in range(-n) if not (free_a[i + k] and free_b[j + k])), -n)
+            if free == -n:
+                free_a[i : i + free] = free_b[j : j + free] = [False] * free
+                out.append((i, j, free))
+            elif free >= length:
+                heappush(found, (-free, i, j))
         if length == least:
             return out
         length = max(least, length // 2)

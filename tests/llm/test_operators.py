@@ -458,6 +458,45 @@ def test_stream_query(docs, empty, odd):
     assert transport_stream.to_media(odd).count() == 4
 
 
+def _plain_parse(media):
+    """(payload, times, (packet, time) of access points), read packet by packet, byte by byte."""
+    units, marks, pmt, data = [], [], None, None
+    for number in range(len(media) // 188):
+        p = media[188 * number : 188 * number + 188]
+        assert p[0] == 0x47
+        pid, start, at, keyed = (p[1] & 31) * 256 + p[2], p[1] & 64, 4, False
+        if p[3] & 32:
+            keyed = p[4] > 0 and bool(p[5] & 64)
+            at = 5 + p[4]
+        if not p[3] & 16:
+            continue
+        body = p[at:]
+        if pid == 0:
+            section = body[1 + body[0] :]
+            pmt = (section[10] & 31) * 256 + section[11]
+        elif pid == pmt:
+            section = body[1 + body[0] :]
+            first = 12 + (section[10] & 15) * 256 + section[11]
+            data = (section[first + 1] & 31) * 256 + section[first + 2]
+        elif pid == data:
+            if start:
+                units.append(b"")
+                if keyed:
+                    marks.append((number, len(units) - 1))
+            units[-1] += body
+    times = [(u[9] >> 1 & 7) << 30 | u[10] << 22 | (u[11] >> 1) << 15 | u[12] << 7 | u[13] >> 1 for u in units]
+    return b"".join(u[9 + u[8] :] for u in units), times, [(n, times[k]) for n, k in marks]
+
+
+@pytest.mark.parametrize("size", [64, 128, 4_032, 32_768, 32_832, 300_032])
+def test_transport_stream_against_a_plain_parser(size):
+    payload = random.Random(size).randbytes(size)
+    media = transport_stream.write_stream(payload)
+    got = transport_stream.read_stream(media)
+    assert _plain_parse(media) == (payload, got.times, got.access_points) == (got.payload, got.times, got.access_points)
+    assert got.access_points
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
@@ -479,6 +518,41 @@ def test_tiling_is_greedy():
         assert not any(tuple(free_y[k : k + 3]) in runs and None not in free_y[k : k + 3] for k in range(len(y) - 2))
 
 
+def _plain_tiles(a, b, least):
+    """Greedy string tiling by looking at every pair of places again for each tile."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+
+
+def test_tiling_equals_the_plain_one():
+    rng = random.Random(2)
+    for k in range(400):
+        x = [rng.choice("abcd" if k % 2 else "abcdefghijklmnop") for _ in range(rng.randint(0, 30))]
+        y = [rng.choice("abcd") for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(0, 4)):  # passages of x in any order, overlapping ones too
+            at = rng.randint(0, len(x))
+            y += x[at : at + rng.randint(1, 15)] + [rng.choice("zabc")]
+        least = rng.randint(2, 5)
+        assert decontaminate.tile(x, y, least) == _plain_tiles(x, y, least)
+    for _ in range(800):  # of two words only: what a tile leaves of another match is often the longest next
+        x, y = ([rng.choice("ab") for _ in range(rng.randint(8, 24))] for _ in range(2))
+        assert decontaminate.tile(x, y, 2) == _plain_tiles(x, y, 2)
+
+
 def test_decontamination(spark, docs, empty, odd):
     item = "".join(f"word{i} " for i in range(30)).strip()
     ws = item.split()
