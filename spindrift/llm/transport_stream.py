@@ -177,11 +177,11 @@ def read_stream(media: bytes) -> Stream:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = True) -> DataFrame:
-    """Per text: id, sizes, digests, feature (JSON) and, with ``media``, the stream and its access points."""
+    """Per text: id, sizes, digests, feature (JSON), times of its units, access points and, with ``media``, the stream."""
     kind = dict(docs.dtypes)[id_col]
-    schema = f"{id_col} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"{id_col} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, times array<bigint>, access_packet array<bigint>, access_time array<bigint>"
     if media:
-        schema += ", media binary, access_packet array<bigint>, access_time array<bigint>"
+        schema += ", media binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +196,10 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
                         raise ValueError("a continuity counter is wrong")
                     gain = np.bincount(np.frombuffer(got.payload, np.uint8) >> 5, minlength=8)
                     feature = {"packets": got.packets, "programs": got.programs, "streams": got.streams, "units": len(got.times), "last_time": got.times[-1], "access_points": len(got.access_points), "discontinuities": got.discontinuities, "byte_bands": gain.tolist()}
-                    row = [len(raw), len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), json.dumps(feature, sort_keys=True)]
-                    rows.append([*row, stored, [p for p, _ in got.access_points], [t for _, t in got.access_points]] if media else row)
+                    row = [len(raw), len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), json.dumps(feature, sort_keys=True), got.times, [p for p, _ in got.access_points], [t for _, t in got.access_points]]
+                    rows.append([*row, stored] if media else row)
                 names = [x.strip().split(" ")[0] for x in schema.split(", ")]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
