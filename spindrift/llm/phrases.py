@@ -9,7 +9,7 @@ then up to ``depth`` words from every position. It is serialised in the order of
 the words' bytes, one blob for each prefix range; a range lies between two cuts,
 which are whole paths from a sample, so that one common first word or pair is
 split over many ranges. Per range the shards' sorted tries are merged (numpy's
-stable sort merges sorted runs), counts are summed, and a walk through the merged
+stable sort merges the runs that it finds), counts are summed, and a walk through the merged
 trie gives each phrase the counts of its first 1, 2, ... words. A node that a cut
 runs through has words in several ranges: every blob brings the shard's whole
 count of the few nodes on its range's two cuts, so each range knows them in full,
@@ -74,16 +74,54 @@ def _texts(lang: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list
     return LOWER[raw], off - off[0], lang.to_pylist()
 
 
-def _level_codes(columns: list[np.ndarray]) -> np.ndarray:
-    """Rows' places in the sorted order of their distinct values. Sorted runs in the input are merged, not sorted anew."""
-    code = np.zeros(len(columns[0]), np.int64)
-    for col in columns:
-        key = code * (int(col.max(initial=0)) + 1) + col
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key among the distinct ones, the distinct ones in order): hashed first, so that only distinct keys are sorted."""
+    coded = pa.array(key).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return rank[coded.indices.to_numpy()], values[order]
+
+
+def distinct(paths: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and the sums of their counts (how often they stand there without counts).
+
+    Columns are packed into as few keys of 62 bits as they need, keys into ranks, until two are left; these make one
+    key that is sorted. With counts, of tries that are sorted runs, the sort is a merge of the runs.
+    """
+    if not len(paths):
+        return np.empty((0, paths.shape[1]), np.int32), np.zeros(0, np.int64)
+    bits = max(1, int(paths.max()).bit_length())
+    wide = max(1, 62 // bits)
+    columns, groups, tables = list(paths.T), [], []
+    for i in range(0, len(columns), wide):
+        key = np.zeros(len(paths), np.int64)
+        for col in columns[i : i + wide]:
+            key = key << bits | col
+        code, values = _dense(key)
+        groups.append(code)
+        tables.append(np.stack([values >> bits * k & (1 << bits) - 1 for k in reversed(range(len(columns[i : i + wide])))], axis=1))
+    while len(groups) > 2:  # the two last become one
+        right, left = groups.pop(), groups.pop()
+        code, values = _dense(left * len(tables[-1]) + right)
+        n = len(tables[-1])
+        last, before = tables.pop(), tables.pop()
+        groups.append(code)
+        tables.append(np.concatenate([before[values // n], last[values % n]], axis=1))
+    n = len(tables[1]) if len(tables) > 1 else 1
+    key = groups[0] * n + (groups[1] if len(groups) > 1 else 0)
+    if counts is None:
+        key = np.sort(key)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.diff(np.append(first, len(key)))
+    else:
         order = np.argsort(key, kind="stable")
-        fresh = np.diff(key[order], prepend=-1) != 0
-        code = np.empty(len(key), np.int64)
-        code[order] = np.cumsum(fresh) - 1
-    return code
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.add.reduceat(counts[order], first)
+    one = key[first]
+    return np.concatenate([tables[0][one // n], *([tables[1][one % n]] if len(tables) > 1 else [])], axis=1).astype(np.int32), sums.astype(np.int64)
 
 
 class Trie:
@@ -93,30 +131,24 @@ class Trie:
     order are the trie's leaves from left to right, and a node is a run of paths.
     """
 
-    def __init__(self, names: list[bytes], paths: np.ndarray, counts: np.ndarray):
+    def __init__(self, names: pa.Array, paths: np.ndarray, counts: np.ndarray):
         self.names, self.paths, self.counts = names, paths, counts
+        self.listed = names.to_pylist()
 
     @staticmethod
-    def build(names: pa.Array, paths: np.ndarray, counts: np.ndarray) -> Trie:
+    def build(names: pa.Array, paths: np.ndarray, counts: np.ndarray | None) -> Trie:
         """From paths in any order over ``names`` (numbered from 1 as they stand)."""
         order = pc.sort_indices(names).to_numpy()
         rank = np.zeros(len(order) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(order) + 1)
-        paths = rank[paths]
-        code = _level_codes(list(paths.T)) if len(paths) else np.zeros(0, np.int64)
-        size = int(code.max(initial=-1)) + 1
-        one = np.empty((size, paths.shape[1]), np.int32)
-        one[code] = paths
-        total = np.zeros(size, np.int64)
-        np.add.at(total, code, counts)
-        return Trie(names.take(pa.array(order)).to_pylist(), one, total)
+        return Trie(names.take(pa.array(order)), *distinct(rank[paths], counts))
 
     def place(self, path: Path) -> tuple[int, int]:
         """First leaf not before ``path``, and the end of the run of leaves that begin with it."""
         low, high = 0, len(self.paths)
         for d, name in enumerate(path):
-            at = bisect.bisect_left(self.names, name)
-            there = at < len(self.names) and self.names[at] == name
+            at = bisect.bisect_left(self.listed, name)
+            there = at < len(self.listed) and self.listed[at] == name
             column = self.paths[low:high, d]
             end = low + int(np.searchsorted(column, at + 1, "right" if there else "left"))
             low += int(np.searchsorted(column, at + 1, "left"))
@@ -132,11 +164,16 @@ class Trie:
     def dump(self, low: int, high: int, whole: list[int]) -> bytes:
         """The leaves [low, high) level by level: how often each node's name changes, and the names used; ``whole`` as it is."""
         part = self.paths[low:high]
-        used = np.unique(part)
-        used = used[used > 0]
-        local = np.searchsorted(used, part) + (part > 0)
-        names = b"\0".join(self.names[i - 1] for i in used)
-        names_at = [len(self.names[i - 1]) for i in used]
+        seen = np.zeros(len(self.listed) + 1, bool)
+        seen[part] = True
+        seen[0] = False
+        used = np.flatnonzero(seen)
+        number = np.zeros(len(seen), np.int32)
+        number[used] = np.arange(1, len(used) + 1)
+        local = number[part]
+        own = pa.concat_arrays([self.names.take(pa.array(used - 1))])
+        ends = np.frombuffer(own.buffers()[1], np.int64, len(used) + 1) if len(used) else np.zeros(1, np.int64)
+        names = own.buffers()[2].to_pybytes()[: int(ends[-1])] if ends[-1] else b""
         new, levels = np.zeros(len(part), bool), []
         if len(part):
             new[0] = True
@@ -145,20 +182,20 @@ class Trie:
             at = np.flatnonzero(new)
             levels += [at.astype(np.uint32), local[at, d].astype(np.uint32)]
         # nodes at a level are places where a run begins; gaps and names compress well
-        arrays = [np.array(whole, np.int64), np.array(names_at, np.uint32), self.counts[low:high].astype(np.int64)]
+        arrays = [np.array(whole, np.int64), np.diff(ends).astype(np.uint32), self.counts[low:high].astype(np.int64)]
         arrays += [np.diff(x, prepend=np.uint32(0)) if i % 2 == 0 else x for i, x in enumerate(levels)]
         head = np.array([len(names), *map(len, arrays)], np.int64).tobytes()
         planes = b"".join(a.reshape(-1, 1).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
         return zstandard.compress(head + names + planes, 3)
 
 
-def load(blob: bytes, depth: int) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+def load(blob: bytes, depth: int) -> tuple[list[int], pa.Array, np.ndarray, np.ndarray]:
     """(whole counts, names, paths, counts) of a dumped range; names are numbered from 1."""
     data = zstandard.decompress(blob)
     kinds = [np.int64, np.uint32, np.int64] + [np.uint32] * (2 * (depth + 1))
     head = np.frombuffer(data, np.int64, 1 + len(kinds))
     at = head.nbytes
-    names, at = data[at : at + int(head[0])], at + int(head[0])
+    text, at = data[at : at + int(head[0])], at + int(head[0])
     arrays = []
     for n, kind in zip(head[1:].tolist(), kinds, strict=True):
         size = np.dtype(kind).itemsize
@@ -166,13 +203,12 @@ def load(blob: bytes, depth: int) -> tuple[list[int], list[bytes], np.ndarray, n
         arrays.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += n * size
     whole, sizes, counts, *levels = arrays
-    ends = np.cumsum(sizes.astype(np.int64) + 1).tolist()
-    words = [names[e - 1 - s : e - 1] for e, s in zip(ends, sizes.tolist(), strict=True)]
+    names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int64)), pa.py_buffer(text)])
     paths = np.zeros((len(counts), depth + 1), np.int32)
     for d in range(depth + 1):
-        starts, values = np.cumsum(levels[2 * d]), levels[2 * d + 1]
-        paths[:, d] = np.repeat(values.astype(np.int32), np.diff(np.append(starts, len(counts)).astype(np.int64)))
-    return whole.tolist(), words, paths, counts
+        starts, values = np.cumsum(levels[2 * d], dtype=np.int64), levels[2 * d + 1]
+        paths[:, d] = np.repeat(values.astype(np.int32), np.diff(np.append(starts, len(counts))))
+    return whole.tolist(), names, paths, counts
 
 
 def _cut_nodes(cuts: list[Path], i: int) -> list[Path]:
@@ -199,7 +235,7 @@ def shard_trie(langs: list[str], data: np.ndarray, offsets: np.ndarray, depth: i
     for d in range(depth):
         same = piece[d:] == piece[: n - d] if d < n else np.zeros(0, bool)
         paths[: len(same), d + 1][same] = ids[d:][same]
-    return Trie.build(names.dictionary, paths, np.ones(n, np.int64))
+    return Trie.build(names.dictionary, paths, None)
 
 
 def _shards(cuts: list[Path], depth: int):
@@ -240,7 +276,7 @@ NODES = "lang string, phrase string, rest string, len int, f bigint, firsts arra
 def merge(blobs: list[bytes], i: int, cuts: list[Path], depth: int, least: int) -> list[tuple]:
     """Rows of NODES of range ``i``: the phrases of at least ``least``, and languages with their words (len 0)."""
     loaded = [load(b, depth) for b in blobs]
-    names = pa.chunked_array([pa.array(x[1], pa.large_binary()) for x in loaded]).combine_chunks().dictionary_encode()
+    names = pa.concat_arrays([x[1] for x in loaded]).dictionary_encode()
     number = names.indices.to_numpy().astype(np.int32) + 1
     paths, at = [], 0
     for _, words, local, _ in loaded:
@@ -276,7 +312,7 @@ def merge(blobs: list[bytes], i: int, cuts: list[Path], depth: int, least: int)
         walk[:, d] = np.repeat(sums, np.diff(np.append(first, len(trie.paths))))
         good = own & (trie.paths[first, d] > 0) & ((sums >= least) if d else True)
         for k in first[good].tolist():
-            emit(tuple(trie.names[j - 1] for j in trie.paths[k, : d + 1]), walk[k, : d + 1].tolist())
+            emit(tuple(trie.listed[j - 1] for j in trie.paths[k, : d + 1]), walk[k, : d + 1].tolist())
     for p in nodes:
         if inside(p) and (len(p) == 1 or whole[p] >= least) and whole[p]:
             emit(p, [whole[p[:d]] for d in range(1, len(p) + 1)])
