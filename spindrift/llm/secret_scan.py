@@ -157,7 +157,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(n, id, text) with a number for each row, written to the shared folder."""
-    return written(docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
+    return written(docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), codec="zstd")
 
 
 def build_index(held: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def build_index(held: DataFrame) -> DataFrame:
     pieces = held.select("n", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))).alias("piece"))
     grams = pieces.select("n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("piece"), F.lit(r"(?=([\x20-\x7e]{3}))"), F.lit(1)))).alias("trigram"))
     postings = grams.groupBy("trigram", F.shiftright("n", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(n & 63 as int))")).alias("mask"))
-    return written(postings.sortWithinPartitions("trigram", "block"))
+    return written(postings.sortWithinPartitions("trigram", "block"), codec="zstd")
 
 
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -208,7 +208,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     """Columns ``id_col`` and, for each rule, its name with an array of (start, place, end): one row a row of ``docs``."""
     rules = [*BASE, *MORE] if rules is None else rules
     held = store(docs, id_col, text_col)
-    found = written(candidates(build_index(held), rules))
+    found = written(candidates(build_index(held), rules), codec="zstd")
     indexed = {int(c[1:]) for c in found.columns if c != "block"}
     slot = F.expr("cast(n & 63 as int)")
     joined = held.withColumn("block", F.shiftright("n", 6)).join(found, "block", "left")

@@ -34,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, cols: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{uuid.uuid4().hex}"
-    (df.select(*cols) if cols else df).write.parquet(path)
+    (df.select(*cols) if cols else df).write.parquet(path, compression=codec)
     return spark.read.schema(df.select(*cols).schema if cols else df.schema).parquet(path)
 
 
