@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
+from spindrift.functions import formulas
 from spindrift.functions.scores import balanced, last_boxed
 
 #: What is replaced in a final answer, in this order.
@@ -66,61 +68,128 @@ def math_dapo(text: str | None, truth: str | None, strict: bool = False) -> tupl
     return (1.0 if truth is not None and got == final_form(truth) else -1.0), got
 
 
+#: Units and words that a prime answer loses, each with its plural and power; number words; words between answers.
+UNITS = "degree cm centimeter meter mile second minute hour day week month year foot feet inch yard liter".split()
+TIMES, BETWEEN = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")], [" or ", " and "]
+#: Marks after which, before which and again after which the answer of a text stands.
+AFTER, BEFORE = ["answer:", "answer is", "answers are"], ["is answer", "is the answer", "are answers", "are the answers"]
+LAST = ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]
+_UNIT = re.compile("|".join(f"{u}(?:es)?s? *(?:\\^[0-9]+)?" for u in sorted(UNITS, key=len, reverse=True)))
+_MATRIX = re.compile(r"\\begin\{([a-zA-Z]*matrix|array)\}(?:\{[lcr|]*\})?(.*)\\end\{\1\}", re.S)
+#: Names of intervals and points and the brackets that they stand for.
+_BRACKETS = {"Interval.Ropen": "[)", "Interval.Lopen": "(]", "Interval.open": "()", "Interval": "[]", "Point": "()"}
+
+
+def found_answer(text: str) -> tuple[bool, str]:
+    """(whether an answer is marked and has a digit, the answer): after marks, from the last box, before the last full stop, after a verb or sign."""
+    found = False
+    for marks, after in ((AFTER, True), (BEFORE, False)):
+        for mark in marks:
+            if (at := text.lower().rfind(mark)) >= 0:
+                found, text = True, (text[at + len(mark) :] if after else text[:at]).strip()
+    if box := boxed_prime(text):
+        found, text = True, box
+    if (at := text.rfind(". ")) >= 0:
+        text = text[:at].strip()
+    for mark in LAST:
+        if (at := text.lower().rfind(mark)) >= 0:
+            found, text = True, text[at + len(mark) :].strip()
+    return found and any(c.isdigit() for c in text), text
+
+
+def plain_answer(s: str) -> str:
+    """An answer without text wrapper, signs of money and per cent, units and words; commas within numbers go."""
+    wrapped = re.fullmatch(r"\\text\{(.+?)\}", s.strip())
+    s = wrapped[1] if wrapped else s.strip()
+    for old in ("\\%", "%", "\\$", "$", "\\!"):
+        s = s.replace(old, "")
+    s = s.replace("\\{", "{").replace("\\}", "}")
+    for word in BETWEEN:
+        s = s.replace(word, " , ")
+    for old, new in TIMES:
+        s = s.replace(old, new)
+    s = re.sub(r"\^ *(\{ *\\circ *\}|\\circ)", "", _UNIT.sub("", s))
+    s = re.sub(r"\\text\{\s*\}", "", s).replace("{,}", ",").strip()
+    s = s[1:-1] if s.startswith("{") and s.endswith("}") else s
+    while (shorter := re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", s)) != s:
+        s = shorter
+    return re.sub(r"(?<=\d) +(?=\d)", "+", re.sub(r"- +", "-", s)).strip().rstrip(".")
+
+
 def as_number(s: str) -> float | None:
-    """A plain number, a percentage, a fraction or a power of ten; commas between digits are dropped."""
-    s = re.sub(r"(?<=\d),(?=\d{3})", "", s.strip().strip("$").replace("\\%", "%").replace("\\!", ""))
-    s = re.sub(r"^\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}$", r"\1/\2", s)
-    share = s.endswith("%")
-    top, slash, bottom = s.rstrip("%").partition("/")
+    """A plain number; digits before a base's underscore."""
+    head, base, _ = s.partition("_")
     try:
-        value = float(top) / float(bottom) if slash else float(top)
-    except (ValueError, ZeroDivisionError):
+        out = float(head.replace(",", ""))
+    except ValueError:
         return None
-    return value / 100 if share else value
+    return float(int(out)) if base and math.isfinite(out) else out
 
 
 def close(a: float, b: float, tolerance: float = 1e-4) -> bool:
     """Equal up to the relative tolerance, also if one is a hundred times the other (a percentage)."""
-    return any(abs(a - b * k) <= tolerance * max(abs(b * k), 1e-12) for k in (1.0, 100.0, 0.01))
+    return any(math.isclose(a, b * k, rel_tol=tolerance) for k in (1.0, 100.0, 0.01))
+
+
+def matrix_of(s: str) -> list[list[str]] | None:
+    """Entries of a matrix, by command, as nested lists or as Matrix([[...]])."""
+    if m := _MATRIX.search(s):
+        return [[x.strip() for x in row.split("&")] for row in re.split(r"\\\\|\\(?=\s)", m[2]) if row.strip()]
+    m = re.fullmatch(r"(?:Matrix\()?\[(\s*\[.*\]\s*)\]\)?", s.strip(), re.S)
+    return [[x.strip() for x in row.split(",")] for row in re.findall(r"\[([^\[\]]*)\]", m[1])] if m else None
 
 
 def parts_of(s: str) -> list[str]:
-    """Elements of a tuple or an interval at its outermost commas, its brackets among them; else the text alone."""
-    if len(s) < 2 or s[0] not in "([" or s[-1] not in ")]":
-        return [s]
-    out, depth, at = [s[0]], 0, 1
-    for i in range(1, len(s) - 1):
-        depth += (s[i] in "([{") - (s[i] in ")]}")
-        if s[i] == "," and not depth:
-            out.append(s[at:i])
+    """Elements of a tuple, an interval or a point at its outermost commas, its brackets first and last; else the text at its outermost commas."""
+    for name, marks in _BRACKETS.items():
+        if s.startswith(f"{name}(") and s.endswith(")"):
+            s = f"{marks[0]}{s[len(name) + 1 : -1]}{marks[1]}"
+            break
+    wrapped = len(s) > 1 and s[0] in "([" and s[-1] in ")]"
+    inner, out, depth, at = s[1:-1] if wrapped else s, [], 0, 0
+    for i, c in enumerate(inner):
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0:
+            return [s]  # (a)(b) is no tuple
+        if c == "," and not depth:
+            out.append(inner[at:i].strip())
             at = i + 1
-    return [*out, s[at:-1], s[-1]]
+    out.append(inner[at:].strip())
+    return [s[0], *out, s[-1]] if wrapped and len(out) > 1 else out
 
 
-def same_answer(got: str | None, truth: str | None) -> bool:
-    """By text in normal form, by number (pi as 3.14 or exact), or element by element."""
-    from spindrift.functions.scores import normal_math
+def same_answer(got: str | None, truth: str | None, level: int = 0) -> bool:
+    """By text in normal form, by number, element by element, or as formulas (pi as 3.14 or exact)."""
+    from spindrift.functions.scores import same_math
 
     if got is None or truth is None:
         return False
-    a, b = normal_math(got), normal_math(truth)
-    if a == b or final_form(got) == final_form(truth):
+    if same_math(got.strip(), truth.strip()):
+        return True
+    a, b = plain_answer(got), plain_answer(truth)
+    bare = lambda s: re.sub(r"\\left|\\right|\s", "", s).lower()
+    ends = [(x[0], x[-1]) for x in (bare(a), bare(b)) if x and x[0] in "([" and x[-1] in ")]"]
+    loose = [re.sub(r"[\[\](){}]", "", bare(x)) for x in (a, b)]
+    if a and (bare(a) == bare(b) or loose[0] == loose[1] != "" and len(set(ends)) < 2):
         return True
-    for pi in ("3.14", "3.141592653589793"):
-        x, y = (as_number(re.sub(r"^(-?[\d.]+)\\pi$", lambda m: repr(float(m[1]) * float(pi)), re.sub(r"^(-?)\\pi$", rf"\g<1>{pi}", t))) for t in (a, b))
-        if x is not None and y is not None and close(x, y):
-            return True
+    if not a or not b or level > 3:
+        return False
+    u, v = as_number(a), as_number(b)
+    if u is not None and v is not None:
+        return close(u, v)
+    x, y = matrix_of(a), matrix_of(b)
+    if x or y:
+        return bool(x and y) and [len(r) for r in x] == [len(r) for r in y] and all(same_answer(p, q, level + 1) for r, s in zip(x, y, strict=True) for p, q in zip(r, s, strict=True))
+    a, b = (re.sub(r"\\left|\\right", "", t).strip() for t in (a, b))
     x, y = parts_of(a), parts_of(b)
-    return len(x) == len(y) > 1 and all(same_answer(p, q) for p, q in zip(x, y, strict=True))
+    if len(x) > 1 or len(y) > 1:
+        return len(x) == len(y) and all(p == q if p in ("(", ")", "[", "]") else same_answer(p, q, level + 1) for p, q in zip(x, y, strict=True))
+    return any(formulas.equal(a, b, pi=pi) for pi in ((math.pi, 3.14) if "pi" in a + b else (math.pi,)))
 
 
 def math_prime(text: str | None, truth: str | None) -> float:
-    """1 if the boxed answer, or without one what follows the last "answer is" of the text, is the truth."""
-    got = boxed_prime(text)
-    if got is None:
-        said = re.findall(r"(?i)answer is:?\s*([^\n]+?)\.?\s*(?:\n|$)", text or "")
-        got = said[-1] if said else None
-    return float(same_answer(got, truth))
+    """1 if the answer that a text marks (the whole text without a mark) is the truth."""
+    return float(text is not None and same_answer(found_answer(text)[1], truth))
 
 
 def geometry(text: str | None, truth: str | None) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import maths as M
@@ -93,6 +93,40 @@ def match(text: Column, golden: Column, within: bool = False) -> Column:
     return F.coalesce(hit.cast("double"), F.lit(0.0)) * (F.lit(1.0) if within else F.when(many, 0.25).otherwise(1.0))
 
 
+def python_code(text: Column) -> Column:
+    """What follows the last mark of a Python block, up to the next fence; without such a mark what is before the first fence."""
+    return F.get(F.split(F.element_at(F.split(text, "```python"), -1), "```"), F.lit(0))
+
+
+def fenced_code(text: Column) -> Column:
+    """``python_code`` if there is such a block, else the first fenced part without a first line of letters alone; null without a fence."""
+    part = F.get(F.split(text, "```"), F.lit(1))
+    bare = F.when(part.rlike(r"^[^\S\n]*\p{L}+[^\S\n]*\n"), F.regexp_replace(part, r"^[^\n]*\n", "")).otherwise(part)
+    return F.when(text.contains("```python"), python_code(text)).when(text.contains("```"), bare)
+
+
+#: Cases that count where a code's score is continuous.
+FIRST_CASES = 10
+
+
+def code_scores(replies: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Replies with ``score`` (1 if all cases of ``results`` (key, i, status) passed) and ``continuous`` (else the share of the first ten)."""
+    passed = F.col("status") == 1
+    r = results.groupBy(key).agg(F.bool_and(passed).alias("all"), F.avg(F.when(F.col("i") <= FIRST_CASES, passed.cast("int"))).alias("share"))
+    every = F.coalesce(F.col("all"), F.lit(True))
+    return replies.join(r, key, "left").withColumns({"score": every.cast("double"), "continuous": F.when(every, 1.0).otherwise(F.col("share"))}).drop("all", "share")
+
+
+def remote_scores(replies: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Replies (with ``code``) with ``score``, ``continuous`` and ``uncompiled`` cases; status -4 spreads to the cases after it."""
+    first = F.min(F.when(F.col("status") == -4, F.col("i"))).over(Window.partitionBy(key))
+    spread = results.withColumn("_first", first).withColumn("status", F.when(F.col("i") >= F.col("_first"), -4).otherwise(F.col("status")))
+    passed = (F.col("status") == 1).cast("int")
+    r = spread.groupBy(key).agg(F.avg(passed).alias("rate"), F.avg(F.when(F.col("i") <= FIRST_CASES, passed)).alias("share"), F.count_if(F.col("status") == -4).alias("uncompiled"))
+    own = lambda c: F.when(F.col("code").isNotNull(), F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    return replies.join(r, key, "left").withColumns({"score": own("rate"), "continuous": own("share"), "uncompiled": F.coalesce("uncompiled", F.lit(0).cast("long"))}).drop("rate", "share")
+
+
 def gpqa(text: Column, truth: Column) -> Column:
     return F.coalesce((T.gpqa(text) == truth).cast("double"), F.lit(0.0))
 

@@ -38,24 +38,64 @@ def last_boxed(s: str | None) -> str | None:
     return balanced(s, at) if at >= 0 else None
 
 
+def braced_fractions(s: str) -> str:
+    r"""Both parts of a \frac in braces where the first has none; a fraction cut short leaves all as it was, an empty one is an error."""
+    head, *rest = s.split("\\frac")
+    if "" in rest:
+        raise ValueError("an empty fraction")
+    if any(len(x) == 1 and x != "{" for x in rest):
+        return s
+    put = lambda x: x if x[0] == "{" else f"{{{x[0]}}}{x[1:]}" if x[1] == "{" else f"{{{x[0]}}}{{{x[1]}}}{x[2:]}"
+    return "\\frac".join([head, *map(put, rest)])
+
+
+def braced_roots(s: str) -> str:
+    r"""The character after a \sqrt in braces where it has none; a root of nothing is an error."""
+    head, *rest = s.split("\\sqrt")
+    if "" in rest:
+        raise ValueError("an empty root")
+    return "\\sqrt".join([head, *(x if x[0] == "{" else f"{{{x[0]}}}{x[1:]}" for x in rest)])
+
+
+#: What is replaced in a short formula, in this order: line breaks, thin spaces, doubled backslashes, kinds of fractions, sizes of brackets, degrees, dollars.
+SPELLINGS = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
+#: What begins a unit; then per cent signs and leading zeros of decimals.
+UNIT, DECIMALS = "\\text{ ", [("\\%", ""), (" .", " 0."), ("{.", "{0.")]
+
+
 def normal_math(s: str) -> str:
-    """Spelling variants of a short formula brought to one form."""
-    s = s.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
-    s = s.replace("\\left", "").replace("\\right", "").replace("^{\\circ}", "").replace("^\\circ", "").replace("\\$", "").replace("\\%", "")
-    s = re.sub(r"\\text\{ .*\}$", "", s).replace(" .", " 0.").replace("{.", "{0.")
-    s = "0" + s if s.startswith(".") else s
-    if len(s.split("=")) == 2 and len(s.split("=")[0]) <= 2:
-        s = s.split("=")[1]
-    s = re.sub(r"\\sqrt(\w)", r"\\sqrt{\1}", s).replace(" ", "")
-    s = re.sub(r"\\frac(\d)(\d)", r"\\frac{\1}{\2}", s)
+    """Spelling variants of a short formula brought to one form; an error for two units, an empty fraction or root."""
+    for old, new in SPELLINGS:
+        s = s.replace(old, new)
+    s, *more = s.split(UNIT)
+    if len(more) > 1:
+        raise ValueError("two units")
+    for old, new in DECIMALS:
+        s = s.replace(old, new)
+    if not s:
+        return s
+    s = "0" + s if s[0] == "." else s
+    left, *right = s.split("=")
+    if len(right) == 1 and len(left) <= 2:
+        s = right[0]
+    s = braced_fractions(braced_roots(s).replace(" ", ""))
     s = "\\frac{1}{2}" if s == "0.5" else s
-    return re.sub(r"^(-?\d+)/(-?\d+)$", r"\\frac{\1}{\2}", s)
+    whole = re.fullmatch(r"(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)", s)
+    return f"\\frac{{{whole[1]}}}{{{whole[2]}}}" if whole else s
+
+
+def same_math(a: str, b: str) -> bool:
+    """Equal in normal form; as they are, where one has none."""
+    try:
+        return normal_math(a) == normal_math(b)
+    except ValueError:
+        return a == b
 
 
 def math_score(text: str | None, truth: str | None) -> float:
     """1 if the last boxed answer equals the truth in normal form; 0 on any failure."""
     got = last_boxed(text)
-    return float(got is not None and truth is not None and normal_math(got) == normal_math(truth))
+    return float(got is not None and truth is not None and same_math(got, truth))
 
 
 def word_errors(reference: list[str], said: list[str]) -> int:

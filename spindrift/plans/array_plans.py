@@ -92,12 +92,6 @@ def arr_response_mask(spark, d):
     return V.sequences(spark, d).select("uid", F.slice("mask", -10, 10).alias("m"))
 
 
-@query("arr_lengths", "SELECT uid, sum(CASE WHEN pos <= 10 THEN mask ELSE 0 END)::BIGINT AS prompt, sum(CASE WHEN pos > 10 THEN mask ELSE 0 END)::BIGINT AS response FROM tokens GROUP BY uid", "tokens")
-def arr_lengths(spark, d):
-    n = lambda x: A.total(x.cast("array<double>")).cast("long")
-    return V.sequences(spark, d).select("uid", n(F.slice("mask", 1, 10)).alias("prompt"), n(F.slice("mask", 11, 1 << 20)).alias("response"))
-
-
 @query("arr_overlong", "SELECT uid, sample, round(score + least(-(len - (40 - 20)) / 20.0 * 1.0, 0), 6) + 0.0 AS r FROM rollouts", "rollouts")
 def arr_overlong(spark, d):
     return V.rollouts(spark, d).select("uid", "sample", r6(F.col("score") + F.least(-(F.col("len") - (40 - 20)) / 20.0, F.lit(0.0))).alias("r"))
@@ -109,26 +103,12 @@ def arr_kl(spark, d):
     return V.tokens(spark, d).select("uid", "pos", *[r6(A.kl(a, b, k)).alias(n) for k, n in (("k1", "k1"), ("abs", "ab"), ("k2", "k2"), ("k3", "k3"))])
 
 
-@query("arr_kl_reward", "SELECT uid, pos, round(reward - 0.1 * (old_lp - new_lp) * mask, 6) + 0.0 AS r FROM tokens", "tokens")
-def arr_kl_reward(spark, d):
-    return V.tokens(spark, d).select("uid", "pos", r6(F.col("reward") - 0.1 * A.kl(*col("old_lp", "new_lp"), "k1") * F.col("mask")).alias("r"))
-
-
 @query("arr_agg_loss", "WITH s AS (SELECT uid, sum(reward * mask) AS t, sum(mask) AS n FROM tokens GROUP BY uid) SELECT round(sum(t) / sum(n), 6) + 0.0 AS token_mean, round(avg(t), 6) + 0.0 AS seq_sum, round(avg(t / n), 6) + 0.0 AS seq_mean, round(sum(t) / 100, 6) + 0.0 AS seq_norm FROM s", "tokens")
 def arr_agg_loss(spark, d):
     s = V.tokens(spark, d).groupBy("uid").agg(F.sum(F.col("reward") * F.col("mask")).alias("t"), F.sum("mask").alias("n"))
     return s.agg(r6(F.sum("t") / F.sum("n")).alias("token_mean"), r6(F.avg("t")).alias("seq_sum"), r6(F.avg(F.col("t") / F.col("n"))).alias("seq_mean"), r6(F.sum("t") / 100).alias("seq_norm"))
 
 
-@query("arr_value_loss", "WITH t AS (SELECT mask, v, reward AS ret, greatest(v - 0.1, least(v + 0.1, v + old_lp)) AS vc, v + old_lp AS vp FROM tokens) SELECT round(0.5 * sum(greatest((vp - ret) ** 2, (vc - ret) ** 2) * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS loss FROM t", "tokens")
-def arr_value_loss(spark, d):
-    v, ret = col("v", "reward")
-    vp = v + F.col("old_lp")
-    vc = F.greatest(v - 0.1, F.least(v + 0.1, vp))
-    x = F.greatest((vp - ret) * (vp - ret), (vc - ret) * (vc - ret))
-    return V.tokens(spark, d).agg(r6(0.5 * F.sum(x * F.col("mask")) / (F.sum("mask") + 1e-8)).alias("loss"))
-
-
 _E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), z AS (SELECT vec_id, label, x, ln(list_sum(list_transform(x, lambda v: exp(v)))) AS z FROM e)"
 
 
@@ -146,18 +126,6 @@ def arr_logprob(spark, d):
     return logits(spark, d).select("vec_id", r6(A.log_prob(F.col("x"), (F.col("label") % 64).cast("int"))).alias("lp"))
 
 
-@query("arr_seq_logp", "SELECT uid, round(sum(new_lp * mask), 6) + 0.0 AS total, round(sum(new_lp * mask) / sum(mask), 6) + 0.0 AS mean FROM tokens WHERE pos > 1 GROUP BY uid", "tokens")
-def arr_seq_logp(spark, d):
-    lp, m = F.slice("new_lp", 2, 1 << 20), F.slice("mask", 2, 1 << 20)
-    return V.sequences(spark, d).select("uid", r6(A.masked_sum(lp, m)).alias("total"), r6(A.masked_sum(lp, m) / A.total(m.cast("array<double>"))).alias("mean"))
-
-
-@query("arr_dpo_loss", "WITH s AS (SELECT uid, sum(new_lp - old_lp) AS x FROM tokens GROUP BY uid) SELECT uid, round(-(least(0.1 * x, 0) - ln(1 + exp(-abs(0.1 * x)))), 6) + 0.0 AS sigmoid, round((x - 5) ** 2, 6) + 0.0 AS ipo FROM s", "tokens")
-def arr_dpo_loss(spark, d):
-    s = V.tokens(spark, d).groupBy("uid").agg(F.sum(F.col("new_lp") - F.col("old_lp")).alias("x"))
-    return s.select("uid", r6(A.dpo_loss(F.col("x"), 0.1)).alias("sigmoid"), r6(A.dpo_loss(F.col("x"), 0.1, "ipo")).alias("ipo"))
-
-
 @query("arr_sppo_loss", "WITH s AS (SELECT uid, sum((new_lp - old_lp) * mask) AS x, sum(reward * mask) AS r, sum(mask) AS n FROM tokens GROUP BY uid) SELECT round(avg((x - r) ** 2), 6) + 0.0 AS loss FROM s WHERE n > 0", "tokens")
 def arr_sppo_loss(spark, d):
     m = F.col("mask")
@@ -183,13 +151,6 @@ def arr_sft_mask(spark, d):
     return exploded(s.withColumn("m", F.transform("mask", lambda x, i: F.when((i < 9) | (i == F.size("mask") - 1), 0).otherwise(1))), "m")
 
 
-@query("arr_sft_loss", "WITH t AS (SELECT uid, pos, new_lp, lead(mask) OVER (PARTITION BY uid ORDER BY pos) AS m FROM tokens) SELECT round(sum(-new_lp * m) / (sum(m) + 1e-8), 6) + 0.0 AS loss FROM t WHERE m IS NOT NULL", "tokens")
-def arr_sft_loss(spark, d):
-    x = F.zip_with(F.slice("new_lp", 1, F.size("mask") - 1), F.slice("mask", 2, F.size("mask")), lambda lp, m: -lp * m)
-    s = V.sequences(spark, d).select(A.total(x).alias("s"), A.total(F.slice("mask", 2, F.size("mask")).cast("array<double>")).alias("n"))
-    return s.agg(r6(F.sum("s") / (F.sum("n") + 1e-8)).alias("loss"))
-
-
 @query("arr_label_mask", _IDS + " SELECT uid, list_transform(ids, lambda x, i: CASE WHEN i <= 5 THEN -100 ELSE x END) AS labels FROM s")
 def arr_label_mask(spark, d):
     return ids(spark, d).select("uid", F.transform("ids", lambda x, i: F.when(i < 5, F.lit(-100).cast("long")).otherwise(x)).alias("labels"))
@@ -201,17 +162,6 @@ def arr_pair_encode(spark, d):
     return ids(spark, d).select("uid", F.slice(x, 1, 20).alias("x"))
 
 
-@query("arr_frame_range", "SELECT id, CAST(ceil(greatest(0, ps) * 2) AS BIGINT) AS first, CAST(least(floor(ge * 2), 99) AS BIGINT) AS last FROM spans WHERE greatest(0, ps) < ge", "spans")
-def arr_frame_range(spark, d):
-    s = V.spans(spark, d).withColumn("s", F.greatest(F.lit(0.0), F.col("ps"))).where("s < ge")
-    return s.select("id", F.ceil(F.col("s") * 2).cast("long").alias("first"), F.least(F.floor(F.col("ge") * 2), F.lit(99)).cast("long").alias("last"))
-
-
-@query("arr_nframes", "SELECT id, CAST(floor(greatest(4, least(64, gs * 2)) / 2) * 2 AS BIGINT) AS n FROM spans", "spans")
-def arr_nframes(spark, d):
-    return V.spans(spark, d).select("id", (F.floor(F.greatest(F.lit(4.0), F.least(F.lit(64.0), F.col("gs") * 2)) / 2) * 2).cast("long").alias("n"))
-
-
 @query("arr_linspace", "SELECT id, list_transform(range(0, 8), lambda i: CAST(round_even(gs + i * (30.0 / 7), 0) AS BIGINT)) AS x FROM spans", "spans")
 def arr_linspace(spark, d):
     return V.spans(spark, d).select("id", A.linspace(F.col("gs"), F.col("gs") + 30, F.lit(8)).alias("x"))
@@ -227,12 +177,6 @@ def arr_timestamps(spark, d):
     return V.spans(spark, d).select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.format_string("%.2f", F.col("gs") + i / 2.0)).alias("x"))
 
 
-@query("arr_smart_resize", "SELECT id, CAST(greatest(28, round_even((gs * 31) / 28, 0) * 28) AS BIGINT) AS h, CAST(greatest(28, round_even((l_linenumber * 97) / 28.0, 0) * 28) AS BIGINT) AS w FROM spans", "spans")
-def arr_smart_resize(spark, d):
-    side = lambda x: F.greatest(F.lit(28.0), F.rint(x / 28.0) * 28).cast("long")
-    return V.spans(spark, d).select("id", side(F.col("gs") * 31).alias("h"), side(F.col("l_linenumber") * 97).alias("w"))
-
-
 @query("arr_zoom_slice", _IDS + " SELECT uid, ids[3:CAST(floor(len(ids) * 0.5) AS BIGINT)] AS x FROM s")
 def arr_zoom_slice(spark, d):
     return ids(spark, d).select("uid", F.slice("ids", 3, F.greatest(F.lit(0), F.floor(F.size("ids") * 0.5).cast("int") - 2)).alias("x"))
@@ -246,11 +190,6 @@ def ret_dense(spark, d):
     return dense(e.where("vec_id % 20 = 0"), e, 5).select("qid", F.col("k").cast("long").alias("k"), "vec_id", (F.col("score") + 0.0).alias("score"))
 
 
-@query("ret_prefix", "SELECT doc_id, 'passage: ' || text AS t FROM documents")
-def ret_prefix(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("passage: "), "text").alias("t"))
-
-
 _BM = "WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS f FROM t WHERE w <> '' GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS n FROM tf GROUP BY 1), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT item_id, w FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id % 20 = 0) WHERE w <> ''), s AS (SELECT item_id, doc_id, sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM dl)))) AS s FROM q JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS k FROM s) SELECT item_id, k, doc_id, round(s, 6) AS score FROM r WHERE k <= 3"
 
 

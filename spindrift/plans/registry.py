@@ -37,7 +37,10 @@ def sql(body: str, *views: str) -> str:
     text = body.strip()
     if not head:
         return text
-    return f"WITH {head}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {head} {text}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            return f"{start}{head}, {text[len(start) :]}"
+    return f"WITH {head} {text}"
 
 
 def query(name: str, oracle: str | None = None, *views: str):

@@ -246,20 +246,6 @@ def fn_math_dapo(spark, d):
     return _formulas(spark, d).select("id", M.dapo(t, F.col("m")).alias("score"), M.dapo_strict(t, F.col("m")).alias("strict"))
 
 
-@query("fn_math_prime", _MATHS + " SELECT id, CASE WHEN n = m THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM x")
-def fn_math_prime(spark, d):
-    k = F.col("k")
-    t = F.when(k == 0, F.concat(F.lit("\\boxed{("), "n", F.lit(".0, \\frac{1}{2})}"))).when(k == 1, F.concat(F.lit("The answer is "), "n", F.lit("00\\%.\n"))).otherwise(F.concat(F.lit("\\boxed{"), "n", F.lit("\\pi}")))
-    truth = F.when(k == 0, F.concat(F.lit("("), "m", F.lit(",0.5)"))).when(k == 1, F.col("m")).otherwise((F.col("m").cast("double") * 3.14).cast("string"))
-    return _formulas(spark, d).select("id", M.prime(t, truth).alias("score"))
-
-
-@query("fn_geo3k", _MATHS + " SELECT id, round(CASE WHEN n = m THEN 0.9 ELSE 0.0 END + CASE WHEN k = 0 THEN 0.1 ELSE 0.0 END, 6)::DOUBLE AS score FROM x")
-def fn_geo3k(spark, d):
-    t = F.concat(F.when(F.col("k") == 0, "<think>t</think> ").otherwise("<think>t "), F.lit("so \\boxed{"), "n", F.lit("}"))
-    return _formulas(spark, d).select("id", r6(M.geo3k(t, F.col("m"))).alias("score"))
-
-
 @query("agg_val")
 def agg_val(spark, d):
     """Per source and variable: mean@N, std@N, best@n, worst@n, maj@n (n = 2, 4, ..., N) of each prompt, then means over prompts times 100."""

@@ -34,17 +34,6 @@ def shp_gsm8k_tool(spark, d):
     return shp_gsm8k(spark, d).select("l_orderkey", messages.alias("prompt"), F.struct(F.lit("rule").alias("style"), F.col("truth").alias("ground_truth")).alias("reward_model"), tools.alias("tools_kwargs"))
 
 
-@query("shp_math")
-def shp_math(spark, d):
-    t = F.concat(F.lit("gives $\\boxed{\\frac{"), F.col("l_linenumber").cast("string"), F.lit("}{7}}$."))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.boxed(t).alias("truth"))
-
-
-@query("shp_geo3k")
-def shp_geo3k(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content"))).alias("prompt"), F.array(F.col("html").cast("binary")).alias("images"))
-
-
 @query("shp_hh_sft", "SELECT item_id, unnest(['c' || text, 'r' || text]) AS response, unnest([0, 1]) AS k FROM benchmark")
 def shp_hh_sft(spark, d):
     both = F.array(F.concat(F.lit("c"), "text"), F.concat(F.lit("r"), "text"))
@@ -58,23 +47,6 @@ def shp_hh_rm(spark, d):
     return b.select("item_id", F.lit("p").alias("prompt"), F.col("text").alias("chosen"), F.reverse("text").alias("rejected"), F.when(F.col("rn") < cut, "train").otherwise("test").alias("split"))
 
 
-@query("shp_hh_rl", "SELECT item_id, 'model' AS style, text AS prompt FROM benchmark")
-def shp_hh_rl(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.lit("model").alias("style"), F.col("text").alias("prompt"))
-
-
-@query("shp_retool")
-def shp_retool(spark, d):
-    t = B.numbered(table(spark, d, "benchmark").withColumn("h", F.xxhash64("item_id", F.lit(42))), "h", "item_id")
-    return t.select("item_id", F.when(F.col("rn") < int(t.count() * 0.9), "train").otherwise("test").alias("split"))
-
-
-@query("shp_r1_aime", "SELECT doc_id AS id, text AS problem, 'en' AS lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, text, 'de' FROM documents WHERE lang = 'de'")
-def shp_r1_aime(spark, d):
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("problem"), "lang")
-    return B.concat(x.where("lang = 'en'"), x.where("lang = 'de'"))
-
-
 @query("shp_digit", """WITH p AS (SELECT a, (a + b) % 20 AS s, n, a || ',' || ((a + b) % 20) || ':20,' || n AS prompt FROM range(0, 21) x(a), range(0, 6) y(b), range(0, 6) z(n)),
   t AS (SELECT prompt, coalesce(array_to_string(list_transform(range(1, n + 1), lambda i: CAST((s + i * ((s - a + 20) % 20)) % 20 AS VARCHAR)), ','), '') AS truth FROM p),
   r AS (SELECT *, replace(truth, '1', '7') AS said FROM t),
@@ -88,21 +60,6 @@ def shp_digit(spark, d):
     return x.select("prompt", "truth", "said", F.size(F.filter("rewards", lambda r: r > 0)).cast("long").alias("hits"), r6(F.aggregate("rewards", F.lit(0.0), lambda a, b: a + b)).alias("reward"))
 
 
-@query("shp_video_rl")
-def shp_video_rl(spark, d):
-    s = V.spans(spark, d)
-    content = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("<video>"), F.lit("find it in "), F.format_string("%.2f", "ge"))).otherwise("<image>look")
-    return s.select("id", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("prompt"), F.map_concat(F.create_map(F.lit("fps"), F.lit(2.0)), F.create_map(F.lit("duration"), F.round("ge", 2))).alias("kwargs"))
-
-
-@query("shp_video_sft")
-def shp_video_sft(spark, d):
-    two = F.col("l_suppkey") % 2 == 0
-    turn = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
-    one = F.array(turn("user", F.lit("q")), turn("assistant", F.col("answer")))
-    return V.predictions(spark, d).select("id", F.when(two, F.concat(one, F.array(turn("tool", F.lit("clip")), turn("assistant", F.col("pred"))))).otherwise(one).alias("messages"))
-
-
 @query("shp_vqa_norm", "SELECT id, coalesce(CASE WHEN kind = 'A' THEN said END, gold) AS question, CAST(gold AS VARCHAR) AS answer FROM choices", "choices")
 def shp_vqa_norm(spark, d):
     return V.choices(spark, d).select("id", F.coalesce(F.when(F.col("kind") == "A", F.col("said")), F.col("gold")).alias("question"), F.col("gold").alias("answer"))
@@ -136,13 +93,6 @@ def shp_nested_key(spark, d):
     return x.select("event_id", R.follow(x, "chat", "turns", "k").alias("k"))
 
 
-@query("shp_toolcall_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS bad FROM events")
-def shp_toolcall_parse(spark, d):
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit("[1")).otherwise(F.col("props"))
-    good = F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
-    return table(spark, d, "events").select("event_id", (~good).cast("int").alias("bad"))
-
-
 @query("src_parquet", "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders")
 def src_parquet(spark, d):
     return files.read_parquet(spark, f"{d}/orders.parquet", f"{d}/orders.parquet").select("o_orderkey")
@@ -231,32 +181,11 @@ def snk_jsonl_append(spark, d):
     return spark.read.schema("id string").json(to)
 
 
-@query("snk_rollouts", "SELECT l_linenumber AS step, count(*) AS n FROM lineitem GROUP BY 1")
-def snk_rollouts(spark, d):
-    to = _folder(spark, "rollouts")
-    files.write_rollouts(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("step"), "l_quantity"), to)
-    return spark.read.schema("l_quantity double, step int").json(to).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("snk_val_table")
 def snk_val_table(spark, d):
     return table(spark, d, "benchmark").orderBy(F.xxhash64("item_id", F.lit(42)), "item_id").limit(10)
 
 
-@query("snk_gen_table")
-def snk_gen_table(spark, d):
-    """One wide row a step: the scores of all its samples by number."""
-    wide = F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample", "score"))))
-    return V.rollouts(spark, d).groupBy("uid").agg(wide.alias("scores"))
-
-
-@query("snk_pickle", "SELECT n_nationkey, n_name FROM nation")
-def snk_pickle(spark, d):
-    to = _folder(spark, "batch")
-    table(spark, d, "nation").select("n_nationkey", "n_name").write.mode("overwrite").parquet(to)
-    return spark.read.parquet(to)
-
-
 _LOG = "WITH l AS (SELECT uid, pos, CASE event_type WHEN 'view' THEN 'tool' WHEN 'click' THEN 'result' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN 'error' ELSE 'new' END AS kind FROM tokens), x AS (SELECT *, coalesce(sum(CASE WHEN kind = 'answer' THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM l)"
 
 
@@ -270,22 +199,6 @@ def stf_rollout(spark, d):
     return turns.replay(turn_log(spark, d))
 
 
-@query("stf_rollout_eval", _LOG + " SELECT uid, count(*) AS turns FROM x WHERE done = 0 AND pos <= 3 GROUP BY uid", "tokens")
-def stf_rollout_eval(spark, d):
-    return turns.replay(turn_log(spark, d), limit=3).select("uid", "turns")
-
-
-@query("stf_tool_state", "SELECT uid, pos, CASE WHEN reward > lag(reward, 1, 0) OVER (PARTITION BY uid ORDER BY pos) THEN 0.0 ELSE -0.05 END::DOUBLE AS penalty FROM tokens", "tokens")
-def stf_tool_state(spark, d):
-    before = F.lag("reward", 1, 0.0).over(Window.partitionBy("uid").orderBy("pos"))
-    return V.tokens(spark, d).select("uid", "pos", F.when(F.col("reward") > before, 0.0).otherwise(-0.05).alias("penalty"))
-
-
-@query("stf_request", _LOG + " SELECT uid, max_by(kind, pos) AS state FROM x GROUP BY uid", "tokens")
-def stf_request(spark, d):
-    return turn_log(spark, d).groupBy("uid").agg(F.max_by("kind", "pos").alias("state"))
-
-
 @query("stf_kl", "WITH s AS (SELECT l_linenumber AS step, avg(l_discount) AS kl, count(*) AS n FROM lineitem GROUP BY 1) SELECT step, round(0.1 * exp(sum(ln(1 + greatest(-0.2, least(0.2, kl / 0.05 - 1)) * n / 100000.0)) OVER (ORDER BY step)), 8) AS coefficient FROM s")
 def stf_kl(spark, d):
     steps = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.avg("l_discount").alias("kl"), F.count(F.lit(1)).alias("n"))
@@ -304,11 +217,6 @@ def stf_resume(spark, d):
     return p.select("id").join(p.where("l_suppkey % 2 = 0").select("id"), "id", "left_anti")
 
 
-@query("stf_fill", "SELECT uid, count(*) AS n FROM rollouts GROUP BY uid HAVING min(score) <> max(score)", "rollouts")
-def stf_fill(spark, d):
-    return V.rollouts(spark, d).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b")).where("a <> b").select("uid", "n")
-
-
 def _neighbours(spark, d):
     w = Window.partitionBy("lang", "source").orderBy("doc_id")
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b is not null")
@@ -336,18 +244,6 @@ def fn_format(spark, d):
     return V.spans(spark, d).select("id", P.format_ok(t).alias("ok"))
 
 
-@query("fn_math")
-def fn_math(spark, d):
-    t = F.concat(F.lit("\\boxed{\\dfrac{"), F.col("l_linenumber").cast("string"), F.lit("}{2}}"))
-    return V.spans(spark, d).select("id", P.math_equal(t, F.lit("\\frac{3}{2}")).alias("score"))
-
-
-@query("fn_math_norm")
-def fn_math_norm(spark, d):
-    t = F.concat(F.lit("\\boxed{"), F.col("l_linenumber").cast("string"), F.lit("/2}"))
-    return V.spans(spark, d).select("id", P.math_equal(t, F.lit("\\frac{3}{2}")).alias("score"))
-
-
 @query("agg_bootstrap")
 def agg_bootstrap(spark, d):
     """best@k and worst@k of every prompt with more than one sample, k = 2, 4, ... and all: mean and deviation over 1000 seeded draws."""

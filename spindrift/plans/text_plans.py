@@ -168,13 +168,6 @@ def fn_strip(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.strip(F.concat(F.lit("  "), F.col("text"), F.lit("\t\n"))).alias("t"))
 
 
-@query("fn_zoom_calls", """SELECT id, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS n FROM spans""", "spans")
-def fn_zoom_calls(spark, d):
-    call = F.concat(F.lit('<zoom>{"start": '), F.col("gs").cast("string"), F.lit(', "end": '), F.col("ge").cast("string"), F.lit("}</zoom>"))
-    t = F.when(F.col("l_suppkey") % 2 == 0, F.concat(call, F.lit("<zoom>{bad</zoom>"))).otherwise("<zoom>{}</zoom>")
-    return V.spans(spark, d).select("id", F.size(T.zoom_calls(t)).alias("n"))
-
-
 @query("fn_parse_output", "SELECT id, CASE l_suppkey % 4 WHEN 0 THEN 'tool' WHEN 1 THEN 'error' WHEN 2 THEN 'answer' ELSE 'error' END AS kind FROM spans", "spans")
 def fn_parse_output(spark, d):
     k = F.col("l_suppkey") % 4
@@ -197,18 +190,6 @@ def _tests(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("i"), F.when(s == 0, 1).when(s == 1, 0).otherwise(1 - s).alias("status"))
 
 
-@query("fn_code", _TESTS + " SELECT k, CASE WHEN min(status) = 1 THEN 1.0 ELSE round(avg(CASE WHEN status = 1 THEN 1 ELSE 0 END) FILTER (WHERE i <= 10), 6) END AS score FROM t GROUP BY k")
-def fn_code(spark, d):
-    part = F.avg(F.when(F.col("i") <= 10, (F.col("status") == 1).cast("int")))
-    return _tests(spark, d).groupBy("k").agg(F.when(F.min("status") == 1, 1.0).otherwise(F.round(part, 6)).alias("score"))
-
-
-@query("fn_code_remote", _TESTS + ", c AS (SELECT k, min(i) FILTER (WHERE status = -4) AS first FROM t GROUP BY k) SELECT k, round(avg(CASE WHEN status = 1 AND (first IS NULL OR i < first) THEN 1 ELSE 0 END), 6) AS rate FROM t JOIN c USING (k) GROUP BY k")
-def fn_code_remote(spark, d):
-    first = F.min(F.when(F.col("status") == -4, F.col("i"))).over(Window.partitionBy("k"))
-    return _tests(spark, d).withColumn("first", first).groupBy("k").agg(r6(F.avg(((F.col("status") == 1) & (F.col("first").isNull() | (F.col("i") < F.col("first")))).cast("int"))).alias("rate"))
-
-
 @query("fn_lcb", _TESTS + " SELECT k, bool_and(status = 1) AS passed FROM t GROUP BY k")
 def fn_lcb(spark, d):
     return _tests(spark, d).groupBy("k").agg(F.bool_and(F.col("status") == 1).alias("passed"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import formulas
 from spindrift.functions import maths as M
 from spindrift.functions import rewards as R
 from spindrift.functions import scores as P
@@ -258,6 +259,63 @@ def test_final_answers():
     assert M.geometry(r"<think>a</think> \boxed{2}", "2") == pytest.approx(1.0) and M.geometry(r"\boxed{2}", "2") == pytest.approx(0.9)
 
 
+def test_normal_form_of_each_rewriting():
+    for said, want in (
+        (r"\frac1b", r"\frac{1}{b}"), (r"\frac1{72}", r"\frac{1}{72}"), (r"\frac{72}1", r"\frac{72}1"), (r"\frac1", r"\frac1"), (r"5\text{ m} per s", "5"), (r"\sqrt\pi", r"\sqrt{\}pi"), (r"\sqrt3", r"\sqrt{3}"),
+        ("k = 5", "5"), ("xyz=5", "xyz=5"), ("a=b=c", "a=b=c"), (".5", r"\frac{1}{2}"), ("x .5", "x0.5"), ("{.5}", "{0.5}"), ("1/2", r"\frac{1}{2}"), ("-3/4", r"\frac{-3}{4}"), ("01/2", "01/2"), ("1/2/3", "1/2/3"),
+        (r"50\%", "50"), (r"\$5", "5"), (r"\dfrac{1}{2}", r"\frac{1}{2}"), (r"\left(1\right)", "(1)"), (r"90^\circ", "90"), (r"90^{\circ}", "90"), ("a\nb", "ab"), (r"1\!2", "12"), (r"\\frac{1}{2}", r"\frac{1}{2}"), ("", ""),
+    ):
+        assert P.normal_math(said) == want, said
+    for bad in (r"x\frac", r"x\sqrt", r"1\text{ m}2\text{ s}"):
+        with pytest.raises(ValueError):
+            P.normal_math(bad)
+        assert P.same_math(bad, bad) and not P.same_math(bad, "1")
+    assert P.math_score(r"\boxed{\frac12}", "0.5") == 1.0 and P.math_score("none", "1") == 0.0 and P.math_score(None, "1") == 0.0
+
+
+def test_formulas_equal_as_formulas():
+    matrix = r"\begin{bmatrix} -7 & 6 & -8 \\ 11 & -9 & 12 \\ 15 & -16 & 19 \end{bmatrix}"
+    for a, b in (
+        (matrix, matrix.replace("bmatrix", "pmatrix")), (r"\frac{\sqrt{505}}{7}", r"\frac{\sqrt{505}}{7}"), ("x^2 + y^2 + 4x - 6y + 13", "(x + 2)^2 + (y - 3)^2 "), ("2/4", "1/2"), (r"2\frac{1}{2}", "5/2"), ("7 3/4", "31/4"),
+        ("5 cm", "5"), ("3 million", "3000000"), ("1,234", "1234"), (r"\sqrt{8}", r"2\sqrt{2}"), (r"\sqrt[3]{27}", "3"), (r"\sin^2 x+\cos^2 x", "1"), ("[1, 2)", "[1.0,2)"), ("Interval.Ropen(1, 2)", "[1,2)"), ("Point(1,2)", "(1,2)"),
+        ("Matrix([[1,2],[3,4]])", r"\begin{pmatrix}1&2\\3&4\end{pmatrix}"), ("1 or 2", "1,2"), (r"\{1,2\}", "1,2"), (r"\frac{2}{\sqrt2}", r"\sqrt{2}"), (r"\text{Blue}", "blue"), ("10_2", "10"), (r"3\pi", "9.42"), (r"3\pi", "9.42478"),
+        (r"e^{2x}", r"(e^x)^2"), ("2^{10}", "1024"), (r"\frac{x^2-1}{x-1}", "x+1"), (r"-\frac{1}{2}", r"\frac{-1}{2}"), ("|x|^2", "x^2"), (r"\ln(x^2)", r"2\ln(x)"), (r"12\text{ cm}", "12"),
+    ):
+        assert M.same_answer(a, b) and M.same_answer(b, a), (a, b)
+    for a, b in (
+        ("x+1", "x+2"), ("(1,2]", "[1,2]"), ("(1,2)", "(1,2]"), ("(1,2)", "(2,1)"), ("1/3", "0.34"), ("x", "y"), (r"\sqrt{2}", "1.5"), ("", "1"), ("1,2", "1,2,3"), ("(", "1"), (r"\frac{1}{0}", "1"), ("x^2", "x"), ("9" * 400, "1"),
+        ("2^{2^{2^{99}}}", "1"), ("(" * 2_000, "1"), ("1+" * 400 + "1", "400"), (r"\sqrt" * 300, "2"), (r"\begin{pmatrix}1&2\\3&4\end{pmatrix}", r"\begin{pmatrix}1&2\\3&5\end{pmatrix}"), (r"\begin{pmatrix}1&2\end{pmatrix}", "1"),
+    ):
+        assert not M.same_answer(a, b) and not M.same_answer(b, a), (a[:40], b[:40])
+    assert not M.same_answer(None, "1") and not M.same_answer("1", None)
+
+
+def test_formulas_expand_as_they_should():
+    """Products of random linear factors equal their expansion, and nothing else."""
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b, c = (rng.randint(-9, 9) for _ in range(3))
+        factors = f"(x{a:+d})(x{b:+d})(2x{c:+d})"
+        cubic = [2, c + 2 * (a + b), 2 * a * b + c * (a + b), a * b * c]
+        spelled = " ".join(f"{k:+d}x^{{{3 - i}}}" if i < 3 else f"{k:+d}" for i, k in enumerate(cubic))
+        assert formulas.equal(factors, spelled.lstrip("+"))
+        cubic[rng.randrange(4)] += rng.choice([-1, 1])
+        other = " ".join(f"{k:+d}x^{{{3 - i}}}" if i < 3 else f"{k:+d}" for i, k in enumerate(cubic))
+        assert not formulas.equal(factors, other.lstrip("+"))
+
+
+def test_marked_answers():
+    for text, want in (("The answer is 5.", (True, "5.")), ("So x = 3 is the answer.", (True, "3")), (r"thus \boxed{y = 7}", (True, "7")), ("It is so. We get 12", (False, "so")), ("nothing at all", (False, "nothing at all")), (r"the answer: \boxed{\frac{1}{2}}", (True, r"\frac{1}{2}"))):
+        assert M.found_answer(text) == want
+    assert M.math_prime("5", "5") == 1.0 and M.math_prime(None, "5") == 0.0
+
+
+def test_code_of_a_reply(spark):
+    rows = [("a ```python\nx\n``` b ```python\ny\n``` c", "\ny\n", "\ny\n"), ("none", "none", None), ("```\nx\n```", "", "\nx\n"), ("```py\nx\n``` ```z```", "", "x\n"), ("```python\nopen", "\nopen", "\nopen"), ("```x1\ny```", "", "x1\ny"), ("", "", None), (None, None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string").select("t", R.python_code(F.col("t")).alias("a"), R.fenced_code(F.col("t")).alias("b"))
+    assert [(r.t, r.a, r.b) for r in df.collect()] == rows
+
+
 def test_dispatch_refuses_unknown_sources(spark):
     row = spark.createDataFrame([("openai/gsm8k", "#### 5", "5"), ("nope", "x", "y")], "source string, said string, truth string")
     score = R.dispatch(F.col("source"), F.col("said"), F.col("truth"), F.lit(0))
