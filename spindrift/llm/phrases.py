@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.shared import LOWER, ragged, text_or_empty, written
 
 #: Bytes of text of a shard and of a range; sampled paths for each range.
-SHARD_BYTES, RANGE_BYTES, SAMPLES = 8 << 20, 8 << 20, 32
+SHARD_BYTES, RANGE_BYTES, SAMPLES = 6 << 20, 6 << 20, 32
 #: Punctuation that ends a piece, white space that ends a word.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _END = np.isin(np.arange(256), list(ENDS))
@@ -121,7 +121,13 @@ def distinct(paths: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray,
         first = np.flatnonzero(np.diff(key, prepend=-1))
         sums = np.add.reduceat(counts[order], first)
     one = key[first]
-    return np.concatenate([tables[0][one // n], *([tables[1][one % n]] if len(tables) > 1 else [])], axis=1).astype(np.int32), sums.astype(np.int64)
+    out = np.empty((len(one), paths.shape[1]), np.int32, order="F")  # columns are searched one at a time
+    at = 0
+    for place, values in zip((one // n, one % n), tables, strict=False):
+        for col in values.T:
+            out[:, at] = col[place]
+            at += 1
+    return out, sums.astype(np.int64)
 
 
 class Trie:
@@ -141,7 +147,10 @@ class Trie:
         order = pc.sort_indices(names).to_numpy()
         rank = np.zeros(len(order) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(order) + 1)
-        return Trie(names.take(pa.array(order)), *distinct(rank[paths], counts))
+        ranked = np.empty(paths.shape, np.int32, order="F")
+        for d in range(paths.shape[1]):
+            ranked[:, d] = rank[paths[:, d]]
+        return Trie(names.take(pa.array(order)), *distinct(ranked, counts))
 
     def place(self, path: Path) -> tuple[int, int]:
         """First leaf not before ``path``, and the end of the run of leaves that begin with it."""
@@ -149,9 +158,9 @@ class Trie:
         for d, name in enumerate(path):
             at = bisect.bisect_left(self.listed, name)
             there = at < len(self.listed) and self.listed[at] == name
-            column = self.paths[low:high, d]
-            end = low + int(np.searchsorted(column, at + 1, "right" if there else "left"))
-            low += int(np.searchsorted(column, at + 1, "left"))
+            column, own = self.paths[low:high, d], np.int32(at + 1)  # of the column's type, or it would be copied
+            end = low + int(np.searchsorted(column, own, "right" if there else "left"))
+            low += int(np.searchsorted(column, own, "left"))
             if not there:
                 return low, low
             high = end
@@ -204,7 +213,7 @@ def load(blob: bytes, depth: int) -> tuple[list[int], pa.Array, np.ndarray, np.n
         at += n * size
     whole, sizes, counts, *levels = arrays
     names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int64)), pa.py_buffer(text)])
-    paths = np.zeros((len(counts), depth + 1), np.int32)
+    paths = np.zeros((len(counts), depth + 1), np.int32, order="F")
     for d in range(depth + 1):
         starts, values = np.cumsum(levels[2 * d], dtype=np.int64), levels[2 * d + 1]
         paths[:, d] = np.repeat(values.astype(np.int32), np.diff(np.append(starts, len(counts))))
@@ -230,7 +239,7 @@ def shard_trie(langs: list[str], data: np.ndarray, offsets: np.ndarray, depth: i
     ids = number[words.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
     lang = number[len(words.dictionary) + kinds.indices.to_numpy()]
     n = len(ids)
-    paths = np.zeros((n, depth + 1), np.int32)
+    paths = np.zeros((n, depth + 1), np.int32, order="F")
     paths[:, 0] = lang[np.searchsorted(offsets, starts, "right") - 1]
     for d in range(depth):
         same = piece[d:] == piece[: n - d] if d < n else np.zeros(0, bool)
@@ -408,7 +417,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     A phrase's score is floor(scale * a / (l + r)) at its worst cut (the first of equals). Phrases go that stand inside a longer
     one with at least ``covered`` hundredths of their count. Order: score, count (falling), phrase (bytes).
     """
-    found = written(count_phrases(docs, text_col, lang_col, depth, least, range_bytes))
+    found = written(count_phrases(docs, text_col, lang_col, depth, least, range_bytes), codec="zstd")
     words = found.where(F.col("len") == 0).groupBy("lang").agg(F.sum("f").alias("n"))
     # the k-th cut: the first k words, and the phrase without them; decimals hold the products
     cuts = "transform(arrays_zip(firsts, lasts), (c, k) -> struct(cast(f as decimal(20,0)) * cast(%d as decimal(10,0)) div cast(c.firsts + c.lasts as decimal(20,0)) as score, k, c.firsts as l, c.lasts as r))" % scale
