@@ -64,7 +64,7 @@ def frame_count(total: Column, video_fps: Column, fps: Column | float | None = N
         rate = F.lit(FPS) if fps is None else F.lit(fps) if isinstance(fps, int | float) else fps
         top = below(F.least(F.lit(MAX_FRAMES), total) if most is None else F.lit(most), FRAME)
         bottom = above(F.lit(least), FRAME)
-        n = below(F.least(F.least(F.greatest(total / video_fps * rate, bottom), top), total), FRAME)
+        n = below(F.least(F.least(F.greatest(F.try_divide(total, video_fps) * rate, bottom), top), total), FRAME)
     message = F.concat(F.lit(f"the number of frames must be from {FRAME} to "), F.coalesce(total.cast("string"), F.lit("null")), F.lit(", it is "), F.coalesce(n.cast("string"), F.lit("null")))
     return _refused((n < FRAME) | (n > total), message, n, strict)
 
@@ -76,7 +76,7 @@ def clip_frames(start: Column, end: Column, fps: Column | float, total: Column,
     null if not ``strict``.
     """
     rate = F.lit(fps).cast("double") if isinstance(fps, int | float) else fps
-    cut = lambda x: F.greatest(F.lit(0.0), F.least(x, total / rate))
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(x, F.try_divide(total, rate)))
     first = F.when(start.isNotNull(), F.ceil(cut(start) * rate)).otherwise(0).cast("long")
     last = F.when(end.isNotNull(), F.least(F.floor(cut(end) * rate), total - 1)).otherwise(total - 1).cast("long")
     whole = start.isNull() & end.isNull()

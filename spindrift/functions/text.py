@@ -141,10 +141,19 @@ def tag_pairs(c: Column, tag: str) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(f"(?s)<{tag}>.*?</{tag}>"), 0)).cast("long")
 
 
+def whole_json(c: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else null (Spark's reader alone leaves what follows the value).
+
+    A value that is followed by something cannot go before both kinds of closing brackets.
+    """
+    held = [F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"a":', "}"))]
+    return F.when(held[0] & held[1], F.try_parse_json(c))
+
+
 def parse_output(c: Column) -> Column:
     """'tool', 'answer' or 'error'; a malformed tool call is an error even before an answer."""
     raw = F.when(c.rlike(r"(?s)<tool_call>.*?</tool_call>"), F.regexp_extract(c, r"(?s)<tool_call>(.*?)</tool_call>", 1))
-    body = F.try_parse_json(raw)
+    body = whole_json(raw)
     name = F.schema_of_variant(F.try_variant_get(body, "$.name", "variant"))
     args = F.schema_of_variant(F.try_variant_get(body, "$.arguments", "variant"))
     good = F.coalesce((name == "STRING") & args.startswith("OBJECT"), F.lit(False))

@@ -77,7 +77,7 @@ def naive(rows: DataFrame, scorer: Callable = default_scorer, **_) -> DataFrame:
 
 def naive_multiturn(rows: DataFrame, scorer: Callable = default_scorer, **_) -> DataFrame:
     """The score of the reply's own tokens (of the loss mask), one place before the last attended token, as shipped."""
-    last = F.size("attention") - F.array_position(F.reverse("attention"), 1)  # from 0
+    last = F.when(F.array_contains("attention", 1), F.size("attention") - F.array_position(F.reverse("attention"), 1)).otherwise(0)  # from 0
     text = joined(F.col("tokens"), F.col("loss"))
     place = (last - 1).cast("int")
     return _bypass(rows, place, lambda: _scored(rows, scorer(F.col("data_source"), text, F.col("truth")), place))

@@ -30,21 +30,21 @@ def load_class(path: str, name: str, base: type) -> type:
     return space[name]
 
 
-def register_dataset(spark: SparkSession, path: str, name: str) -> str:
+def register_dataset(spark: SparkSession, source: str, name: str) -> str:
     """Make a data source class known to Spark; its format's name."""
-    cls = load_class(path, name, DataSource)
+    cls = load_class(source, name, DataSource)
     spark.dataSource.register(cls)
     return cls.name()
 
 
-def read_dataset(spark: SparkSession, path: str, name: str, **options: str) -> DataFrame:
+def read_dataset(spark: SparkSession, source: str, name: str, **options: str) -> DataFrame:
     """The rows of a data source class: its schema, one task for each of its partitions."""
-    return spark.read.format(register_dataset(spark, path, name)).options(**options).load()
+    return spark.read.format(register_dataset(spark, source, name)).options(**options).load()
 
 
-def stream_dataset(spark: SparkSession, path: str, name: str, **options: str) -> DataFrame:
+def stream_dataset(spark: SparkSession, source: str, name: str, **options: str) -> DataFrame:
     """The same as a stream, from where the query's checkpoint left its offsets."""
-    return spark.readStream.format(register_dataset(spark, path, name)).options(**options).load()
+    return spark.readStream.format(register_dataset(spark, source, name)).options(**options).load()
 
 
 class Sampler:

@@ -66,22 +66,30 @@ def char_count(spark: SparkSession, total: int, low: int = 3, high: int = 5, see
     other = lambda i: (F.col("which") + 1 + draw("other", F.lit(25), i)) % 26
     place = lambda i: F.struct(F.xxhash64("id", F.lit(f"{seed} order"), i).alias("h"), F.char(F.lit(97) + F.when(i <= F.col("hits"), F.col("which")).otherwise(other(i))).alias("c"))
     letters = F.transform(F.array_sort(F.transform(F.sequence(F.lit(1), F.col("size")), place)), lambda x: x["c"])
-    tasks = plan.select("id", F.char(F.lit(97) + F.col("which")).alias("asked"), "hits", letters.alias("letters"))
-    asked, word = F.col("asked"), F.array_join("letters", "-")
-    steps = F.transform("letters", lambda c: F.concat(c, F.when(c == asked, " = ").otherwise(" != "), asked, F.lit(".\n")))
-    response = F.concat(F.array_join(steps, ""), F.lit("\\boxed{"), F.col("hits").cast("string"), F.lit("} "), asked, F.lit(" in "), word, F.lit("."))
-    rows = tasks.select("id", F.concat(F.lit("How many "), asked, F.lit(" are there in word "), word, F.lit("?")).alias("prompt"), response.alias("response"), F.xxhash64("id", F.lit(f"{seed} split")).alias("h"))
+    tasks = plan.select("id", F.char(F.lit(97) + F.col("which")).alias("asked"), letters.alias("letters"))
+    worked = count_letters(tasks.select("id", "asked", "letters"))
+    rows = worked.select("id", "prompt", "response", F.xxhash64("id", F.lit(f"{seed} split")).alias("h"))
     split = F.when(F.col("rn") < int(0.9 * total), "train").otherwise("test")
     return B.numbered(rows, "h", "id").select("id", "prompt", "response", split.alias("split"))
 
 
-def as_rl(tasks: DataFrame) -> DataFrame:
+def count_letters(tasks: DataFrame) -> DataFrame:
+    """Tasks (with ``letters`` and the letter ``asked``) with prompt and worked response: each letter compared, the number boxed."""
+    asked, word = F.col("asked"), F.array_join("letters", "-")
+    hits = F.size(F.filter("letters", lambda c: c == asked))
+    steps = F.transform("letters", lambda c: F.concat(c, F.when(c == asked, " = ").otherwise(" != "), asked, F.lit(".\n")))
+    response = F.concat(F.array_join(steps, ""), F.lit("\\boxed{"), hits.cast("string"), F.lit("} "), asked, F.lit(" in "), word, F.lit("."))
+    prompt = F.concat(F.lit("How many "), asked, F.lit(" are there in word "), word, F.lit("?"))
+    return tasks.select(*[c for c in tasks.columns if c not in ("asked", "letters")], prompt.alias("prompt"), response.alias("response"))
+
+
+def as_rl(tasks: DataFrame, *keys: str) -> DataFrame:
     """Those tasks as records of reinforcement learning; the truth is the last boxed text of the response."""
     from spindrift.functions.scores import boxed
 
     turn = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     rule = F.struct(F.lit("rule").alias("style"), boxed("response").alias("ground_truth"))
-    return tasks.select("id", "split", F.array(turn).alias("prompt"), F.lit("char_count").alias("data_source"), F.lit("other").alias("ability"), rule.alias("reward_model"), F.struct("response").alias("extra_info"))
+    return tasks.select(*(keys or ("id", "split")), F.array(turn).alias("prompt"), F.lit("char_count").alias("data_source"), F.lit("other").alias("ability"), rule.alias("reward_model"), F.struct("response").alias("extra_info"))
 
 
 def digit_prompts(spark: SparkSession, max_number: int, max_diff: int, max_count: int) -> DataFrame:
@@ -130,3 +138,32 @@ def follow(df: DataFrame, column: str, *keys: str) -> Column:
             kind = kind.elementType
         at, kind = (at[key], kind.valueType) if isinstance(kind, MapType) else (at.getField(key), kind[key].dataType)
     return at
+
+
+def rl_record(source: str, content: Column, ability: str, style: str, truth: Column, split: Column, index: Column, system: str | None = None, **extra: Column) -> list[Column]:
+    """Columns of a record of reinforcement learning: data_source, prompt, ability, reward_model, extra_info (split, index and more)."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    turns = [turn("system", F.lit(system))] if system else []
+    return [
+        F.lit(source).alias("data_source"), F.array(*turns, turn("user", content)).alias("prompt"), F.lit(ability).alias("ability"), F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"),
+        F.struct(split.alias("split"), index.alias("index"), *[c.alias(k) for k, c in extra.items()]).alias("extra_info"),
+    ]
+
+
+def seeded(seed: int, *columns: str) -> Column:
+    """A key to order rows by: a digest of the seed and the columns, which any SQL engine can make too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+def split_at(df: DataFrame, share: float, seed: int, key: str) -> DataFrame:
+    """Rows with ``index`` (from 0 within its part) and ``split``: the first ``int(n * share)`` in a seeded order are train, the others test."""
+    rows = B.numbered(df.withColumn("_key", seeded(seed, key)), "_key", key, name="_rn").drop("_key")
+    cut = int(df.count() * share)
+    test = F.col("_rn") >= cut
+    return rows.withColumns({"split": F.when(test, "test").otherwise("train"), "index": F.when(test, F.col("_rn") - cut).otherwise(F.col("_rn"))}).drop("_rn")
+
+
+def call_arguments(raw: Column) -> tuple[Column, Column]:
+    """(arguments of a tool's call as a map of variants, whether they could not be read): what is no JSON object is an empty map and an error."""
+    bad = ~F.coalesce(F.schema_of_variant(T.whole_json(raw)).startswith("OBJECT"), F.lit(False))
+    return F.when(bad, F.from_json(F.lit("{}"), "map<string,variant>")).otherwise(F.from_json(raw, "map<string,variant>")), bad

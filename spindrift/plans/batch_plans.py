@@ -124,11 +124,6 @@ def jn_broadcast(spark, d):
     return table(spark, d, "orders").select("o_orderkey").crossJoin(F.broadcast(one))
 
 
-@query("jn_doc_lookup", "SELECT l.doc_id, d.lang, l.toxic FROM labels l JOIN documents d USING (doc_id)")
-def jn_doc_lookup(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "toxic")
-
-
 @query("srt_reorder", _R + f" SELECT ({_N} - 1 - rn) AS rn, o_orderkey FROM r")
 def srt_reorder(spark, d):
     r = rows(spark, d)
@@ -261,14 +256,6 @@ def smp_seq(spark, d):
     return rows(spark, d).select("o_orderkey", "rn")
 
 
-@query("smp_modal")
-def smp_modal(spark, d):
-    """Blocks of two rows in a seeded order, order kept inside; a ragged tail is dropped."""
-    r = rows(spark, d)
-    n = r.count()
-    return r.where(F.col("rn") < n - n % 2).withColumn("block", F.floor(F.col("rn") / 2)).select("o_orderkey", F.xxhash64("block", F.lit(1)).alias("place"), (F.col("rn") % 2).alias("i"))
-
-
 @query("smp_distributed")
 def smp_distributed(spark, d):
     """Seeded order cut to a multiple of the ranks, dealt by remainder."""

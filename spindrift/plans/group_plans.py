@@ -129,12 +129,6 @@ def agg_acc_mean(spark, d):
     return V.rollouts(spark, d).agg(r6(F.avg("acc")).alias("acc"))
 
 
-@query("agg_seqlen", "WITH p AS (SELECT uid % 8 AS part, sum(len)::BIGINT AS n FROM rollouts GROUP BY 1) SELECT min(n) AS low, max(n) AS high, max(n) - min(n) AS spread, round(avg(n), 6) AS mean FROM p", "rollouts")
-def agg_seqlen(spark, d):
-    p = V.rollouts(spark, d).groupBy((F.col("uid") % 8).alias("part")).agg(F.sum("len").cast("long").alias("n"))
-    return p.agg(F.min("n").alias("low"), F.max("n").alias("high"), (F.max("n") - F.min("n")).alias("spread"), r6(F.avg("n")).alias("mean"))
-
-
 @query("agg_reduce", "SELECT 'score/max' AS name, round(max(score), 6) AS value FROM rollouts UNION ALL SELECT 'score/min', round(min(score), 6) FROM rollouts UNION ALL SELECT 'score', round(avg(score), 6) FROM rollouts", "rollouts")
 def agg_reduce(spark, d):
     named = V.rollouts(spark, d).select(F.explode(F.array(F.lit("score/max"), F.lit("score/min"), F.lit("score"))).alias("name"), "score")
@@ -170,8 +164,3 @@ def agg_timing_reduce(spark, d):
 @query("agg_turns", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id")
 def agg_turns(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-
-
-@query("agg_search_meta", "SELECT event_type AS status, count(*) AS queries, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-def agg_search_meta(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("queries"), F.countDistinct("user_id").alias("users"))

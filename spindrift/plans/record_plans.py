@@ -46,16 +46,6 @@ def shp_sysprompt(spark, d):
     return table(spark, d, "benchmark").select("item_id", R.system_prompt("You are a helpful assistant.", schemas).alias("prompt"))
 
 
-@query("shp_r1_gpqa")
-def shp_r1_gpqa(spark, d):
-    """The next three items' texts are the wrong options."""
-    w = Window.partitionBy(F.floor(F.col("item_id") / 1000)).orderBy("item_id")
-    wrong = F.transform(F.array(*[F.lead("text", k).over(w) for k in (1, 2, 3)]), lambda x: F.coalesce(x, F.lit("none of these")))
-    x = table(spark, d, "benchmark").select("item_id", "text", wrong.alias("wrong"))
-    shown, label = R.options(F.col("wrong"), F.col("text"), F.col("item_id"), 42)
-    return x.select("item_id", F.col("text").alias("right"), "wrong", shown.alias("options"), label.alias("label"))
-
-
 @query("shp_r1_lcb", """WITH c AS (SELECT l_orderkey, list({'input': l_partkey || ' ' || l_suppkey, 'output': CAST(l_partkey + l_suppkey AS VARCHAR)} ORDER BY l_linenumber > 2, l_linenumber, l_partkey, l_suppkey) AS cases FROM lineitem GROUP BY 1)
   SELECT o_orderkey, to_json({'inputs': coalesce(list_transform(cases, lambda c: c.input), []), 'outputs': coalesce(list_transform(cases, lambda c: c.output), []), 'fn_name': CASE WHEN o_orderkey % 2 = 0 THEN 'solve' END}) AS tests
   FROM orders LEFT JOIN c ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') >= '1996-08-00T00:00:00' AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') < '1999-01-00T00:00:00'""")
@@ -69,13 +59,6 @@ def shp_r1_lcb(spark, d):
     return held.join(cases, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", R.test_cases(F.col("public"), F.col("private"), metadata).alias("tests"))
 
 
-@query("shp_char_count")
-def shp_char_count(spark, d):
-    """10,000 made-up tasks as records of reinforcement learning, with the worked answers."""
-    x = R.as_rl(R.char_count(spark, 10_000))
-    return x.select("id", "split", F.col("prompt")[0]["content"].alias("prompt"), "data_source", "ability", F.col("reward_model.ground_truth").alias("truth"), "extra_info.response")
-
-
 @query("shp_char_reward", r"WITH x AS (SELECT id, l_partkey % 4 AS truth, 'so \boxed{' || l_linenumber || '}, no: \boxed{' || (l_suppkey % 4) || CASE WHEN gs > 40 THEN '' ELSE '}' END AS said FROM spans) SELECT id, CASE WHEN regexp_extract(said, '.*\\boxed\{([0-9]+)\}$', 1) = CAST(truth AS VARCHAR) THEN 1 ELSE 0 END AS reward FROM x", "spans")
 def shp_char_reward(spark, d):
     """1 where the last boxed text is the truth; a box that does not close is none."""
@@ -199,18 +182,6 @@ def arr_tool_mask(spark, d):
     return exploded(masked, "m")
 
 
-@query("ret_pool", """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS i FROM embeddings),
-  m AS (SELECT label, i, sum(CASE WHEN vec_id % 3 <> 0 THEN v ELSE 0 END) / nullif(sum(CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 0 END), 0) AS mean, arg_min(v, vec_id) AS cls FROM x GROUP BY label, i)
-  SELECT label, i, round(mean, 6) + 0.0 AS raw, round(mean / greatest(sqrt(sum(mean * mean) OVER (PARTITION BY label)), 1e-12), 6) + 0.0 AS mean, round(cls / greatest(sqrt(sum(cls * cls) OVER (PARTITION BY label)), 1e-12), 6) + 0.0 AS cls FROM m""")
-def ret_pool(spark, d):
-    """Vectors of a label as a sequence: mean over set places, first place, both of length 1, and the mean as it is."""
-    x = table(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") % 3 != 0).alias("set"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    m = x.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.try_divide(F.sum(F.when(F.col("set"), F.col("v")).otherwise(0.0)), F.sum(F.col("set").cast("int"))).alias("mean"), F.min_by("v", "vec_id").alias("cls"))
-    w = Window.partitionBy("label")
-    unit = lambda c: r6(F.col(c) / F.greatest(F.sqrt(F.sum(F.col(c) * F.col(c)).over(w)), F.lit(1e-12)))
-    return m.select("label", "i", r6("mean").alias("raw"), unit("mean").alias("mean"), unit("cls").alias("cls"))
-
-
 #: Shapes of three public models.
 _MODELS = {
     "qwen2": {"model_type": "qwen2", "hidden_size": 3584, "vocab_size": 152064, "num_hidden_layers": 28, "num_attention_heads": 28, "num_key_value_heads": 4, "intermediate_size": 18944},

@@ -27,13 +27,6 @@ def shp_gsm8k(spark, d):
     return x.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", ask.alias("prompt"), T.gsm8k_strict(raw).alias("truth"))
 
 
-@query("shp_gsm8k_tool")
-def shp_gsm8k_tool(spark, d):
-    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit("Use the calc tool to check the answer.").alias("content")), F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
-    tools = F.create_map(F.lit("calc_gsm8k_reward"), F.to_json(F.struct(F.struct(F.col("truth").alias("ground_truth")).alias("create_kwargs"))))
-    return shp_gsm8k(spark, d).select("l_orderkey", messages.alias("prompt"), F.struct(F.lit("rule").alias("style"), F.col("truth").alias("ground_truth")).alias("reward_model"), tools.alias("tools_kwargs"))
-
-
 @query("shp_hh_sft", "SELECT item_id, unnest(['c' || text, 'r' || text]) AS response, unnest([0, 1]) AS k FROM benchmark")
 def shp_hh_sft(spark, d):
     both = F.array(F.concat(F.lit("c"), "text"), F.concat(F.lit("r"), "text"))
@@ -47,19 +40,6 @@ def shp_hh_rm(spark, d):
     return b.select("item_id", F.lit("p").alias("prompt"), F.col("text").alias("chosen"), F.reverse("text").alias("rejected"), F.when(F.col("rn") < cut, "train").otherwise("test").alias("split"))
 
 
-@query("shp_digit", """WITH p AS (SELECT a, (a + b) % 20 AS s, n, a || ',' || ((a + b) % 20) || ':20,' || n AS prompt FROM range(0, 21) x(a), range(0, 6) y(b), range(0, 6) z(n)),
-  t AS (SELECT prompt, coalesce(array_to_string(list_transform(range(1, n + 1), lambda i: CAST((s + i * ((s - a + 20) % 20)) % 20 AS VARCHAR)), ','), '') AS truth FROM p),
-  r AS (SELECT *, replace(truth, '1', '7') AS said FROM t),
-  h AS (SELECT *, len(list_filter(range(1, len(truth) + 1), lambda i: left(said, i) = left(truth, i))) AS hits FROM r)
-  SELECT prompt, truth, said, CAST(hits AS BIGINT) AS hits, round(hits / (len(truth) + 1), 6) AS reward FROM h""")
-def shp_digit(spark, d):
-    """All prompts up to 20 by steps of 0 to 5, their truths, and the dense rewards of answers with wrong digits."""
-    x = R.digit_prompts(spark, 20, 5, 5).select("prompt", R.digit_truth(F.col("prompt")).alias("truth"))
-    x = x.withColumn("said", F.replace("truth", F.lit("1"), F.lit("7")))
-    x = x.withColumn("rewards", R.digit_rewards(F.col("truth"), F.col("said")))
-    return x.select("prompt", "truth", "said", F.size(F.filter("rewards", lambda r: r > 0)).cast("long").alias("hits"), r6(F.aggregate("rewards", F.lit(0.0), lambda a, b: a + b)).alias("reward"))
-
-
 @query("shp_vqa_norm", "SELECT id, coalesce(CASE WHEN kind = 'A' THEN said END, gold) AS question, CAST(gold AS VARCHAR) AS answer FROM choices", "choices")
 def shp_vqa_norm(spark, d):
     return V.choices(spark, d).select("id", F.coalesce(F.when(F.col("kind") == "A", F.col("said")), F.col("gold")).alias("question"), F.col("gold").alias("answer"))

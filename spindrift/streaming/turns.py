@@ -50,7 +50,7 @@ EVALUATED = ("turns", "actions", "calls", "runs", "repeats")
 
 def read_reply(reply: Column, duration: Column) -> list[Column]:
     """kind of a reply ("tool", "answer", "error"), the range of its call, and whether the tool takes it: 0 <= s < e <= duration, over a second long."""
-    body = F.try_parse_json(F.regexp_extract(reply, r"(?s)<tool_call>(.*?)</tool_call>", 1))
+    body = T.whole_json(F.regexp_extract(reply, r"(?s)<tool_call>(.*?)</tool_call>", 1))
     s, e = (F.try_variant_get(body, f"$.arguments.{c}", "double") for c in ("start_time", "end_time"))
     valid = F.coalesce((s >= 0) & (s < e) & (e <= duration) & (e - s > 1.0), F.lit(False))
     return [T.parse_output(reply).alias("kind"), s.alias("s"), e.alias("e"), valid.alias("valid")]
