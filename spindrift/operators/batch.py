@@ -44,6 +44,16 @@ def numbered(df: DataFrame, *order: str, by: list[str] | None = None, name: str
     return out.withColumn(name, (F.col("_before") + F.col(name)).cast("long")).drop(inner, "_q", "_before")
 
 
+def running_sum(df: DataFrame, value: Column, *order: str, name: str = "total", rows: int = RANGE_ROWS) -> DataFrame:
+    """The sum of ``value`` up to each row in a total order: within ranges of ``rows`` rows, on top of the sums of the ranges before."""
+    place = numbered(df.withColumn("_v", value), *order, name="_rn", rows=rows).withColumn("_range", F.floor(F.col("_rn") / rows))
+    whole = place.groupBy(F.col("_range").alias("_r")).agg(F.sum("_v").alias("_s"))  # one row a range
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    inside = F.sum("_v").over(Window.partitionBy("_range").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0))
+    out = place.withColumn(name, inside).join(F.broadcast(whole.select("_r", before.alias("_before"))), F.col("_range") == F.col("_r"))
+    return out.withColumn(name, F.col("_before") + F.col(name)).drop("_v", "_rn", "_range", "_r", "_before")
+
+
 def pop(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(the columns, the rest); a missing column is an error."""
     missing = [c for c in columns if c not in df.columns]

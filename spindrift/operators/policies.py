@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions import arrays as A
+
 from spindrift.operators.batch import numbered
 
 
@@ -88,10 +90,12 @@ def implicit_rewards(df: DataFrame, beta: float, lam: float = 0.0, use_truth: bo
         if use_truth:
             before = F.sum(F.when(F.col(pos) < F.col("_n"), F.col("_q")).otherwise(0.0)).over(w)
             out = out.withColumn("_q", F.when((F.col(pos) == F.col("_n")), F.col("acc") - before).otherwise(F.col("_q")))
-        # sums of lam**j from the end, by pairs (place, q) of the later tokens
-        tail = F.collect_list("_q").over(later(by, pos))
-        folded = F.aggregate(F.reverse(tail), F.lit(0.0), lambda a, x: x + lam * a)
-        out = out.withColumn("_q", folded)
+        # one fold from the end over a sequence's rows
+        held = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("_at"), F.struct(*out.columns).alias("_row"))))
+        whole = out.groupBy(F.col(by).alias("_by")).agg(F.transform(held, lambda x: x["_row"]).alias("_row"))
+        sums = A.fold_back(F.transform("_row", lambda r: r["_q"]), F.lit(0.0), lambda carry, x: x + lam * carry)
+        each = whole.select(F.explode(F.arrays_zip("_row", sums.alias("_sum"))).alias("_x"))
+        out = each.select("_x._row.*", F.col("_x._sum").alias("_folded")).drop("_q").withColumnRenamed("_folded", "_q")
     if granularity == "token":
         keep = F.col(pos) < F.col("_n")
     elif granularity == "whole":

@@ -47,16 +47,26 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("qid", "k", id_col, "score")
 
 
+#: Most rows of query words that are broadcast (some tens of megabytes); more are joined by word.
+QUERY_WORDS = 500_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(item_id, k, doc_id, score) by BM25 over lower-cased words cut at blanks."""
-    words = lambda c: F.explode(F.split(F.lower(c), " "))
-    tf = docs.select("doc_id", words("text").alias("w")).where("w <> ''").groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("f"))
-    size = tf.groupBy("doc_id").agg(F.sum("f").alias("n"))
-    stats = size.agg(F.avg("n").alias("mean")).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs")))  # one row
-    q = queries.select("item_id", words("text").alias("w")).where("w <> ''").distinct()
-    wanted = tf.join(q.select("w").distinct(), "w", "left_semi")
-    df = wanted.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    hits = q.join(wanted, "w").join(df, "w").join(size, "doc_id").crossJoin(F.broadcast(stats))
+    """(item_id, k, doc_id, score) by BM25 over lower-cased words cut at blanks.
+
+    Lengths are taken from the texts; of the corpus's words only those of a query leave the scan, and they meet the
+    queries where they are, so that a word in every document is no task of its own. Only if the queries have more than
+    ``QUERY_WORDS`` words are both sides dealt by word, and Spark's skew join splits the frequent ones.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), " "), lambda w: w != "")
+    q = queries.select("item_id", F.explode(F.array_distinct(words("text"))).alias("w")).distinct()
+    small = q.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS
+    near = F.broadcast if small else (lambda df: df)
+    held = docs.select("doc_id", words("text").alias("ws")).withColumn("n", F.size("ws"))
+    stats = held.where("n > 0").agg(F.avg("n").alias("mean")).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs")))  # one row
+    tf = held.select("doc_id", "n", F.explode("ws").alias("w")).join(near(q.select("w").distinct()), "w", "left_semi").groupBy("doc_id", "n", "w").agg(F.count(F.lit(1)).alias("f"))
+    df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))  # at most the queries' words
+    hits = tf.join(near(q), "w").join(near(df), "w").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import batch as B
+from spindrift.operators import records as R
 from spindrift.plans import views as V
 from spindrift.plans.registry import query, r6, table
 
@@ -245,9 +246,9 @@ def smp_reweight_weights(spark, d):
     return r.crossJoin(top).select("uid", "sample", r6(F.abs("score") * F.abs("score") + 1e-8).alias("pow"), (F.col("score") == F.col("m")).cast("double").alias("top"), F.when(F.col("score") > 0.5, 0.4).otherwise(0.1).alias("split"))
 
 
-@query("smp_random")
+@query("smp_random", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1 AS rn FROM orders")
 def smp_random(spark, d):
-    r = table(spark, d, "orders").select("o_orderkey", F.xxhash64("o_orderkey", F.lit(42)).alias("h"))
+    r = table(spark, d, "orders").select("o_orderkey", R.seeded(42, "o_orderkey").alias("h"))
     return B.numbered(r, "h", "o_orderkey").select("o_orderkey", "rn")
 
 
@@ -256,10 +257,10 @@ def smp_seq(spark, d):
     return rows(spark, d).select("o_orderkey", "rn")
 
 
-@query("smp_distributed")
+@query("smp_distributed", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS rn FROM orders) SELECT o_orderkey, rn % 8 AS rank FROM r WHERE rn < (SELECT count(*) // 8 * 8 FROM orders)")
 def smp_distributed(spark, d):
     """Seeded order cut to a multiple of the ranks, dealt by remainder."""
-    r = B.numbered(table(spark, d, "orders").select("o_orderkey", F.xxhash64("o_orderkey", F.lit(7)).alias("h")), "h", "o_orderkey")
+    r = B.numbered(table(spark, d, "orders").select("o_orderkey", R.seeded(7, "o_orderkey").alias("h")), "h", "o_orderkey")
     n = r.count()
     return r.where(F.col("rn") < n - n % 8).select("o_orderkey", (F.col("rn") % 8).alias("rank"))
 

@@ -55,14 +55,14 @@ def shp_template(spark, d):
     return V.spans(spark, d).select("id", R.fill_template(_ASK, F.concat("l_returnflag", F.lit(" {duration}")), duration).alias("t"))
 
 
-@query("shp_mm_segments")
+@query("shp_mm_segments", "SELECT item_id, to_json([{'type': 'text', 'text': ''}, {'type': 'image', 'text': ''}, {'type': 'text', 'text': 'a' || item_id}, {'type': 'video', 'text': ''}, {'type': 'text', 'text': ''}]) AS parts FROM benchmark")
 def shp_mm_segments(spark, d):
     """Text cut at media tags; the tags stay as typed parts and empty text parts too."""
     t = F.concat(F.lit("<image>a"), F.col("item_id").cast("string"), F.lit("<video>"))
     texts, tags = F.split(t, "<image>|<video>"), F.regexp_extract_all(t, F.lit("<(image|video)>"), 1)
     part = lambda k, v: F.struct(k.alias("type"), v.alias("text"))
     mixed = F.flatten(F.transform(texts, lambda x, i: F.when(i < F.size(tags), F.array(part(F.lit("text"), x), part(F.get(tags, i), F.lit("")))).otherwise(F.array(part(F.lit("text"), x)))))
-    return table(spark, d, "benchmark").select("item_id", mixed.alias("parts"))
+    return table(spark, d, "benchmark").select("item_id", F.to_json(mixed).alias("parts"))
 
 
 @query("shp_nested_key", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -94,7 +94,7 @@ def src_jsonl(spark, d):
     return files.read_jsonl(spark, to).select("id", "answer")
 
 
-@query("src_jsonl_strict")
+@query("src_jsonl_strict", "SELECT id, pred FROM predictions", "predictions")
 def src_jsonl_strict(spark, d):
     src_jsonl(spark, d)
     return files.read_jsonl(spark, _folder(spark, "jsonl"), strict=True).select("id", "pred")
@@ -161,9 +161,10 @@ def snk_jsonl_append(spark, d):
     return spark.read.schema("id string").json(to)
 
 
-@query("snk_val_table")
+@query("snk_val_table", "SELECT * FROM benchmark ORDER BY md5('42:' || item_id), item_id LIMIT 10")
 def snk_val_table(spark, d):
-    return table(spark, d, "benchmark").orderBy(F.xxhash64("item_id", F.lit(42)), "item_id").limit(10)
+    """A report of ten samples by definition, in a seeded order."""
+    return table(spark, d, "benchmark").orderBy(R.seeded(42, "item_id"), "item_id").limit(10)
 
 
 _LOG = "WITH l AS (SELECT uid, pos, CASE event_type WHEN 'view' THEN 'tool' WHEN 'click' THEN 'result' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN 'error' ELSE 'new' END AS kind FROM tokens), x AS (SELECT *, coalesce(sum(CASE WHEN kind = 'answer' THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM l)"
@@ -213,12 +214,12 @@ def fn_rouge(spark, d):
     return _neighbours(spark, d).select("doc_id", P.rouge("a", "b").alias("rouge"))
 
 
-@query("fn_num")
+@query("fn_num", "SELECT l_orderkey, l_linenumber, CASE WHEN round_even(l_quantity, 1) = round_even(l_quantity + l_discount * 7 + 0.003, 1) THEN 1.0 WHEN round_even(l_quantity, 0) = round_even(l_quantity + l_discount * 7 + 0.003, 0) THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM lineitem")
 def fn_num(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.numeric("l_quantity", F.col("l_quantity") + F.col("l_discount")).alias("score"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.numeric("l_quantity", F.col("l_quantity") + F.col("l_discount") * 7 + 0.003).alias("score"))
 
 
-@query("fn_format")
+@query("fn_format", "SELECT id, l_suppkey % 2 = 0 AS ok FROM spans", "spans")
 def fn_format(spark, d):
     t = F.when(F.col("l_suppkey") % 2 == 0, "<think>a</think> <answer>b</answer>").otherwise("<answer>b</answer>")
     return V.spans(spark, d).select("id", P.format_ok(t).alias("ok"))
@@ -241,7 +242,7 @@ def agg_bootstrap(spark, d):
     return groups.where("size(scores) > 1").mapInPandas(run, "uid bigint, k bigint, best double, best_std double, worst double, worst_std double")
 
 
-@query("udf_batch_score")
+@query("udf_batch_score", "SELECT id, CASE WHEN said = gold THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM choices", "choices")
 def udf_batch_score(spark, d):
     from spindrift.operators.registries import batch_scorer
 
@@ -249,8 +250,10 @@ def udf_batch_score(spark, d):
     return V.choices(spark, d).select("id", score("said", "gold").alias("score"))
 
 
-@query("udf_adv")
+@query("udf_adv", "WITH s AS (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS m, stddev_samp(score) OVER w AS sd FROM rollouts WINDOW w AS (PARTITION BY uid)) SELECT uid, sample, round((score - CASE WHEN n = 1 THEN 0 ELSE m END) / (CASE WHEN n = 1 THEN 1 ELSE sd END + 1e-6), 6) + 0.0 AS grpo, round(CASE WHEN n > 1 THEN (score - m) * n / (n - 1) ELSE score END, 6) + 0.0 AS rloo FROM s", "rollouts")
 def udf_adv(spark, d):
+    """Two of the registered advantages by their names."""
     from spindrift.operators.registries import ADVANTAGES
 
-    return ADVANTAGES.get("grpo")(V.rollouts(spark, d)).select("uid", "sample", "advantage")
+    x = ADVANTAGES.get("grpo")(V.rollouts(spark, d)).withColumnRenamed("advantage", "grpo")
+    return ADVANTAGES.get("rloo")(x).select("uid", "sample", r6("grpo").alias("grpo"), r6("advantage").alias("rloo"))

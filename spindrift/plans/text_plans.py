@@ -10,6 +10,8 @@ from spindrift.functions import text as T
 from spindrift.operators import batch as B
 from spindrift.plans import views as V
 from spindrift.plans.registry import query, r6, table
+from spindrift.plans.shape_plans import _folder
+from spindrift.sources import files
 
 _NUM = r"regexp_extract_all({0}, '\b(\d+\.\d+\b|\b\d+)\b', 1)"
 #: Pairs of numbers of each sentence, the last ordered one wins; then all numbers paired from the end.
@@ -97,9 +99,12 @@ query("agg_tg", _TG, "predictions")(report)
 
 @query("snk_report", f"WITH r AS ({_TG.replace('WITH ', 'WITH __VIEWS__', 1)}) SELECT unnest(['recall_3', 'recall_5', 'recall_7', 'miou']) AS name, unnest([printf('%.6f', recall_3), printf('%.6f', recall_5), printf('%.6f', recall_7), printf('%.6f', miou)]) AS value FROM r".replace("__VIEWS__", ""), "predictions")
 def snk_report(spark, d):
-    r = report(spark, d)
+    """Written as lines of text and read again."""
+    r, to = report(spark, d), _folder(spark, "report")
     names = ["recall_3", "recall_5", "recall_7", "miou"]
-    return r.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in names])).alias("m")).select("m.name", F.format_string("%.6f", "m.value").alias("value"))
+    files.write_report(r.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in names])).alias("m")).select("m.*"), to)
+    parts = F.split("value", ", ")
+    return spark.read.text(to).select(parts[0].alias("name"), parts[1].alias("value"))
 
 
 _PHRASES = {"a": T.PHRASES_A, "b": T.PHRASES_B, "c": T.PHRASES_C}

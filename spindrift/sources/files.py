@@ -225,7 +225,7 @@ def latest_checkpoint(spark: SparkSession, folder: str | None, form: str = "glob
 
 def write_report(long: DataFrame, path: str) -> None:
     """name, value lines with six decimals."""
-    long.select(F.concat_ws(", ", "name", F.format_string("%.6f", F.coalesce("value", F.lit(0.0))))).write.text(path)
+    long.select(F.concat_ws(", ", "name", F.format_string("%.6f", F.coalesce("value", F.lit(0.0))))).write.mode("overwrite").text(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from spindrift.functions import text as T
+from spindrift.operators.batch import running_sum
 
 COUNTERS = "uid bigint, turns bigint, valid bigint, calls bigint, answered boolean"
 
@@ -173,8 +174,7 @@ def stream_tool_rewards(log: DataFrame, first: float = 0.0, penalty: float = -0.
 def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float) -> DataFrame:
     """(step, coefficient): value *= 1 + clip(kl / target - 1, +-0.2) * n / horizon, in the order of steps.
 
-    A running product as the exponential of a running sum of logarithms; ``steps`` has one row a training step.
+    A running product as the exponential of a running sum of logarithms, over ranges of steps.
     """
     factor = 1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("kl") / target - 1)) * F.col("n") / horizon
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("step", (start * F.exp(F.sum(F.log(factor)).over(w))).alias("coefficient"))
+    return running_sum(steps, F.log(factor), "step", name="_log").select("step", (start * F.exp("_log")).alias("coefficient"))
