@@ -39,9 +39,26 @@ def written(df: DataFrame, cols: list[str] | None = None, codec: str = "snappy")
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{uuid.uuid4().hex}"
     (df.select(*cols) if cols else df).write.parquet(path, compression=codec)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.select(*cols).schema if cols else df.schema).parquet(path)
 
 
+#: Tables that ``written`` made, by application, in order.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def tables_written(spark: SparkSession) -> list[str]:
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (a null id counts as the empty text)."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))

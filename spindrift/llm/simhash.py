@@ -18,6 +18,12 @@ links, not all pairs, and keys with many fingerprints are dealt over cells of
 chunk against chunk. Components come from alternating large and small stars
 over written tables.
 
+Similar texts (``first_of_similar``) may differ in more bits: two fingerprints, of
+the same shingles hashed in two ways, give candidates up to ``FAR`` bits apart as
+far as the keys above find them, and each candidate is verified by the texts
+themselves: at least 0.8 of their five-word shingles in common. A pair that is
+unlucky in one fingerprint has a second chance in the other.
+
 Null text: empty, fingerprint zero. Null ids: rows of their own, ignored as
 smallest id unless all are null. Repeated rows give repeated rows.
 """
@@ -33,9 +39,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from spindrift.llm.shared import ragged, written
+from spindrift.llm.shared import mix64, ragged, written
 
 SEED = 42
 #: (first bit, bits) of the segments.
@@ -49,23 +55,31 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = 256 * np.arange(8)
 
 
-def fingerprint(text: bytes, k: int = 4) -> int:
-    """64-bit SimHash of the k-word shingles."""
-    words = text.lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return 0
+def _shingles(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 of the k-word shingles, repeats included; of fewer words the whole sequence."""
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) < k:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, 1 where over half of the hashes have it."""
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     bits = (2 * counts.ravel() > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, k: int = 4) -> int:
+    """64-bit SimHash of the k-word shingles."""
+    return _majority(_shingles(text.lower().split(), k))  # bytes: ASCII letters and white space only
+
+
 def _remainder(word: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit words by the generator: eleven bits."""
     for bit in range(22, 10, -1):
@@ -176,9 +190,12 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, filed: np.ndarray, most: int)
 
 
 def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL) -> DataFrame:
-    """Links (a, b) of the distinct fingerprints in column fp, enough to connect all that differ in ``most`` <= 4 bits."""
-    if not 0 <= most <= 4:
-        raise ValueError("the keys find up to four differing bits")
+    """Links (a, b) of the distinct fingerprints in column fp, enough to connect all that differ in ``most`` bits.
+
+    Up to four bits none is missed; beyond, those are found that share a key all the same.
+    """
+    if most < 0:
+        raise ValueError("a negative number of bits")
 
     def make(only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,3 +293,81 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_print = plain.mapInArrow(run, StructType([*plain.schema.fields]).add("fp", LongType()))
     kept = with_print.join(keepers, (F.col("fp") == F.col("keeper_fp")) & F.col(f"c{id_at}").eqNullSafe(F.col("keeper_id")), "left_semi")
     return kept.dropDuplicates([f"c{id_at}", "fp"]).drop("fp").toDF(*docs.columns)
+
+
+#: Words of a shingle and least similarity of similar texts; bits that candidates differ in at most; fingerprints of a text.
+SHINGLE, SIMILAR, FAR, WAYS = 5, 0.8, 14, 3
+
+
+def _profile(text: bytes, k: int) -> tuple[int, list[int], np.ndarray]:
+    """(hash of the words, fingerprints, distinct shingles) of a text."""
+    words = text.lower().split()
+    hashes = _shingles(words, k)
+    prints, turned = [], hashes
+    for _ in range(WAYS):
+        prints.append(_majority(turned))
+        turned = mix64(turned)
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED), prints, np.unique(hashes)
+
+
+def _with_profile(plain: DataFrame, text_at: int, k: int, sets: bool) -> DataFrame:
+    """Rows with ``node`` (hash of the words) and ``f0``, ``f1``, ... or, for ``sets``, the ``shingles``."""
+    extra = ["node", "shingles"] if sets else ["node", *[f"f{i}" for i in range(WAYS)]]
+    names = [*plain.columns, *extra]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [_profile((x.as_py() or "").encode(), k) for x in part.column(text_at)]
+                signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+                more = [pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))] if sets else [signed([f[1][i] for f in found]) for i in range(WAYS)]
+                yield pa.RecordBatch.from_arrays([*part.columns, signed([f[0] for f in found]), *more], names=names)
+
+    schema = StructType([*plain.schema.fields]).add("node", LongType())
+    for name in extra[1:]:
+        schema = schema.add(name, ArrayType(LongType()) if sets else LongType())
+    return plain.mapInArrow(run, schema)
+
+
+def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, least: float = SIMILAR, far: int = FAR) -> DataFrame:
+    """(node, low, keeper): for each distinct sequence of words its group's smallest id, and the node of that id.
+
+    Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, of the pairs that the
+    fingerprints bring together.
+    """
+    both = plain.select(id_col, text_col)
+    nodes = _with_profile(both, 1, k, False).groupBy("node").agg(F.min(id_col).alias("low"), *[F.min(f"f{i}").alias(f"f{i}") for i in range(WAYS)])
+    nodes = written(nodes)
+    pairs = None
+    for i in range(WAYS):
+        first = written(nodes.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("node").alias("rep")))
+        same = nodes.join(first, nodes[f"f{i}"] == first["fp"]).where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        near = links(first.select("fp"), far)
+        ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"n{x}")) for x in ("a", "b")]
+        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        part = same.union(near)
+        pairs = part if pairs is None else pairs.union(part)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node")
+    # one text for each node that has a candidate; only these send their shingles
+    texts = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked, F.col("id").eqNullSafe(F.col("low"))).select("text").distinct()
+    sets = written(_with_profile(texts, 0, k, True).select("node", "shingles").dropDuplicates(["node"]))
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    found = components(written(alike))
+    labelled = written(nodes.select("node", "low").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("label", "node").alias("label")))
+    best = F.min(F.struct(F.col("low").isNull().alias("missing"), "low", "node"))
+    lowest = labelled.groupBy("label").agg(best.alias("x")).select("label", F.col("x.low").alias("least"), F.col("x.node").alias("keeper"))
+    return written(labelled.join(lowest, "label").select("node", F.col("least").alias("low"), "keeper"))
+
+
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """The rows, with their columns, of the smallest id of each group of similar texts; of rows equal in id and words, one."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    keepers = similar_groups(plain, own, text, k, least).where("node = keeper").select(F.col("node").alias("keeper_node"), F.col("low").alias("keeper_id"))
+    rows = _with_profile(plain, plain.columns.index(text), k, False)
+    kept = rows.join(keepers, (F.col("node") == F.col("keeper_node")) & F.col(own).eqNullSafe(F.col("keeper_id")), "left_semi")
+    return kept.dropDuplicates([own, "node"]).drop("node", *[f"f{i}" for i in range(WAYS)]).toDF(*docs.columns)
