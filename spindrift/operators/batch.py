@@ -62,6 +62,12 @@ def pop(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return df.select(*columns), df.drop(*columns)
 
 
+def keys(df: DataFrame) -> DataFrame:
+    """(name, n): the columns and how many rows have a value in each."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("n")) for i, c in enumerate(df.columns)])).alias("k")).select("k.*")
+
+
 def rename(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
     if len(old) != len(new):
         raise ValueError("lists must have equal length")

@@ -49,6 +49,22 @@ def test_cases(public: Column, private: Column, metadata: Column) -> Column:
     return F.to_json(T.once(both, whole), {"ignoreNullFields": "false"})
 
 
+#: The prompt of a code contest, with starter code and without.
+CONTEST = "You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests.\n\nQuestion: {question}\n\n"
+STARTER = "You will use the following starter code to write the solution to the problem and enclose your code within delimiters.\n```python\n{starter}\n```"
+STDIN = (
+    "Read the inputs from stdin solve the problem and write the answer to stdout (do not directly test on the sample inputs). Enclose your code within delimiters as follows. "
+    "Ensure that when the python program runs, it reads the inputs, runs the algorithm and writes output to STDOUT.```python\n# YOUR CODE HERE\n```"
+)
+
+
+def contest_prompt(question: Column, starter: Column) -> Column:
+    """The prompt of a contest's problem; null or empty starter code makes it a program that reads its input."""
+    put = lambda form, name, c: F.replace(F.lit(form), F.lit("{" + name + "}"), c)
+    rest = F.when(F.coalesce(starter, F.lit("")) != "", put(STARTER, "starter", starter)).otherwise(STDIN)
+    return F.concat(put(CONTEST, "question", question), rest)
+
+
 def merged(metrics: Column, sample: Column) -> Column:
     """Two maps in one; where both have a key the sample's value stays."""
     return F.map_concat(F.map_filter(metrics, lambda k, _: ~F.array_contains(F.map_keys(sample), k)), sample)

@@ -39,10 +39,10 @@ def prj_len(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prj_keys", "SELECT unnest(['o_custkey', 'o_orderkey']) AS name")
+@query("prj_keys", "SELECT name, n FROM (SELECT count(o_orderkey) AS o_orderkey, count(o_custkey) AS o_custkey, count(CASE WHEN o_custkey % 3 = 0 THEN 1 END) AS extra FROM orders) UNPIVOT (n FOR name IN (o_orderkey, o_custkey, extra))")
 def prj_keys(spark, d):
-    names = table(spark, d, "orders").select("o_orderkey", "o_custkey").columns
-    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    """The keys of a batch, each with how many of its rows have a value."""
+    return B.keys(table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 3 == 0, "x").alias("extra")))
 
 
 @query("prj_collate", "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY 1")

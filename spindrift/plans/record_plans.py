@@ -46,17 +46,27 @@ def shp_sysprompt(spark, d):
     return table(spark, d, "benchmark").select("item_id", R.system_prompt("You are a helpful assistant.", schemas).alias("prompt"))
 
 
-@query("shp_r1_lcb", """WITH c AS (SELECT l_orderkey, list({'input': l_partkey || ' ' || l_suppkey, 'output': CAST(l_partkey + l_suppkey AS VARCHAR)} ORDER BY l_linenumber > 2, l_linenumber, l_partkey, l_suppkey) AS cases FROM lineitem GROUP BY 1)
-  SELECT o_orderkey, to_json({'inputs': coalesce(list_transform(cases, lambda c: c.input), []), 'outputs': coalesce(list_transform(cases, lambda c: c.output), []), 'fn_name': CASE WHEN o_orderkey % 2 = 0 THEN 'solve' END}) AS tests
+_ASKED = "'Add the numbers of order ' || o_orderkey || '.'"
+_FORM = lambda form: "'" + form.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("shp_r1_lcb", f"""WITH c AS (SELECT l_orderkey, list({{'input': l_partkey || ' ' || l_suppkey, 'output': CAST(l_partkey + l_suppkey AS VARCHAR)}} ORDER BY l_linenumber > 2, l_linenumber, l_partkey, l_suppkey) AS cases FROM lineitem GROUP BY 1)
+  SELECT o_orderkey, replace({_FORM(R.CONTEST)}, '{{question}}', {_ASKED}) || CASE WHEN o_orderkey % 2 = 0 THEN replace({_FORM(R.STARTER)}, '{{starter}}', 'def solve(a, b):') ELSE {_FORM(R.STDIN)} END AS prompt, 'livecodebench/code_generation_lite' AS data_source, 'Code' AS ability,
+    to_json({{'inputs': coalesce(list_transform(cases, lambda c: c.input), []), 'outputs': coalesce(list_transform(cases, lambda c: c.output), []), 'fn_name': CASE WHEN o_orderkey % 2 = 0 THEN 'solve' END}}) AS tests
   FROM orders LEFT JOIN c ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') >= '1996-08-00T00:00:00' AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') < '1999-01-00T00:00:00'""")
 def shp_r1_lcb(spark, d):
-    """Public cases (lines 1 and 2) and private ones as JSON lists, joined; contests between two dates."""
+    """Prompts with and without starter code; public cases (lines 1 and 2) and private ones as JSON lists, joined; contests between two dates."""
     case = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.concat_ws(" ", "l_partkey", "l_suppkey").alias("input"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string").alias("output")).alias("case"))
     listed = lambda keep: F.to_json(F.transform(F.sort_array(F.collect_list(F.when(keep, case))), lambda x: x["case"]))
     cases = table(spark, d, "lineitem").groupBy("l_orderkey").agg(listed(F.col("l_linenumber") <= 2).alias("public"), listed(F.col("l_linenumber") > 2).alias("private"))
     held = table(spark, d, "orders").where((F.col("o_orderdate") >= "1996-08-01") & (F.col("o_orderdate") < "1999-01-01"))
-    metadata = F.when(F.col("o_orderkey") % 2 == 0, '{"func_name": "solve"}').otherwise("{}")
-    return held.join(cases, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", R.test_cases(F.col("public"), F.col("private"), metadata).alias("tests"))
+    even = F.col("o_orderkey") % 2 == 0
+    metadata = F.when(even, '{"func_name": "solve"}').otherwise("{}")
+    asked = F.concat(F.lit("Add the numbers of order "), F.col("o_orderkey").cast("string"), F.lit("."))
+    tests = R.test_cases(F.col("public"), F.col("private"), metadata)
+    record = R.rl_record("livecodebench/code_generation_lite", R.contest_prompt(asked, F.when(even, "def solve(a, b):")), "Code", "rule", tests, F.lit("test"), F.col("o_orderkey"))
+    x = held.join(cases, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", *record)
+    return x.select("o_orderkey", F.col("prompt")[0]["content"].alias("prompt"), "data_source", "ability", F.col("reward_model.ground_truth").alias("tests"))
 
 
 @query("shp_char_reward", r"WITH x AS (SELECT id, l_partkey % 4 AS truth, 'so \boxed{' || l_linenumber || '}, no: \boxed{' || (l_suppkey % 4) || CASE WHEN gs > 40 THEN '' ELSE '}' END AS said FROM spans) SELECT id, CASE WHEN regexp_extract(said, '.*\\boxed\{([0-9]+)\}$', 1) = CAST(truth AS VARCHAR) THEN 1 ELSE 0 END AS reward FROM x", "spans")
@@ -67,18 +77,22 @@ def shp_char_reward(spark, d):
     return x.select("id", F.coalesce((F.col("got") == F.col("truth")).cast("int"), F.lit(0)).alias("reward"))
 
 
-@query("snk_result_json", "SELECT id, round(CASE WHEN gs > ge THEN -2 WHEN pe = -1 OR ps > pe THEN -1 ELSE greatest(0, least(pe, ge) - greatest(ps, gs)) / (greatest(pe - ps, 0) + 1e-4 + greatest(ge - gs, 0) + 1e-4 - greatest(0, least(pe, ge) - greatest(ps, gs)) + 1e-4) END, 6) + 0.0 AS iou, CASE WHEN l_suppkey % 2 = 0 THEN 'sample' ELSE 'metric' END AS source, pred, 4 AS keys FROM predictions", "predictions")
+_INTER = "greatest(0, least(pe, ge) - greatest(ps, gs))"
+_SPANS = {"iou": "greatest(pe - ps, 0) + 1e-4 + greatest(ge - gs, 0) + 1e-4 - {i} + 1e-4", "precision": "pe - ps + 1e-4", "recall": "ge - gs + 1e-4"}
+
+
+@query("snk_result_json", "SELECT id, " + ", ".join(f"round(CASE WHEN gs > ge THEN -2 WHEN pe = -1 OR ps > pe THEN -1 ELSE {_INTER} / ({x.replace('{i}', _INTER)}) END, 6) + 0.0 AS {n}" for n, x in _SPANS.items()) + ", CASE WHEN l_suppkey % 2 = 0 THEN 'sample' ELSE 'metric' END AS source, answer, pred, 6 AS keys FROM predictions", "predictions")
 def snk_result_json(spark, d):
-    """Written as JSON and read again; a sample's own field wins over the metric of that name."""
+    """All metrics of a sample and its own fields, written as JSON and read again; a sample's field wins over the metric of that name."""
     p = V.predictions(spark, d)
-    iou = S.overlap(*[F.col(c) for c in ("ps", "pe", "gs", "ge")])[0].cast("string")
-    metrics = F.create_map(F.lit("iou"), iou, F.lit("source"), F.lit("metric"))
+    values = S.overlap(*[F.col(c) for c in ("ps", "pe", "gs", "ge")])
+    metrics = F.create_map(*[x for n, v in zip(_SPANS, values, strict=True) for x in (F.lit(n), v.cast("string"))], F.lit("source"), F.lit("metric"))
     sample = F.create_map(F.lit("answer"), F.col("answer"), F.lit("pred"), F.col("pred"))
     sample = F.when(F.col("l_suppkey") % 2 == 0, F.map_concat(sample, F.create_map(F.lit("source"), F.lit("sample")))).otherwise(sample)
     to = _folder(spark, "results")
     files.write_results(p.select("id", R.merged(metrics, sample).alias("fields")), to)
     fields = F.col("fields")
-    return files.read_results(spark, to).select("id", r6(fields["iou"].cast("double")).alias("iou"), fields["source"].alias("source"), fields["pred"].alias("pred"), F.size(fields).alias("keys"))
+    return files.read_results(spark, to).select("id", *[r6(fields[n].cast("double")).alias(n) for n in _SPANS], *[fields[n].alias(n) for n in ("source", "answer", "pred")], F.size(fields).alias("keys"))
 
 
 @query("snk_metric_json", "SELECT l_linenumber AS step, round(avg(l_quantity), 6) AS q, max(l_discount) AS top FROM lineitem GROUP BY 1")
