@@ -9,6 +9,7 @@ from spindrift.functions import maths as M
 from spindrift.functions import scores as P
 from spindrift.functions import span as S
 from spindrift.functions import text as T
+from spindrift.functions.arrays import once
 
 #: Question types whose answer is a number.
 NUMBER_TYPES = ["object_abs_distance", "object_counting", "object_size_estimation", "room_size_estimation", "open-ended"]
@@ -47,16 +48,15 @@ def relative_accuracy(said: Column, truth: Column) -> Column:
     """Share of the tolerances 0.5, 0.45, ..., 0.05 that hold the relative error; null for a truth of zero, which is no number to be relative to."""
     import numpy as np
 
-    error = F.try_divide(F.abs(said - truth), truth)
     limits = F.array(*[F.lit(float(x)) for x in 1 - np.linspace(0.5, 0.95, 10)])
-    return F.when(error.isNotNull(), F.size(F.filter(limits, lambda x: error <= x)) / 10.0)
+    return once(F.try_divide(F.abs(said - truth), truth), lambda error: F.when(error.isNotNull(), F.size(F.filter(limits, lambda x: error <= x)) / 10.0))
 
 
 def vqa(text: Column, truth: Column, kind: Column) -> Column:
     """By relative accuracy for question types with a number (none read: 0; null where it cannot be taken), else by letter."""
-    said = T.number(T.answer_tag(text))
+    numbers = once(T.number(T.answer_tag(text)), lambda said: F.when(said.isNull(), 0.0).otherwise(relative_accuracy(said, truth.try_cast("double"))))
     letters = (T.letter(T.answer_tag(text), T.PHRASES_C) == T.letter(truth, T.PHRASES_C)).cast("double")
-    return F.when(kind.isin(*NUMBER_TYPES), F.when(said.isNull(), 0.0).otherwise(relative_accuracy(said, truth.try_cast("double")))).otherwise(letters)
+    return F.when(kind.isin(*NUMBER_TYPES), numbers).otherwise(letters)
 
 
 def video(text: Column, truth: Column, kind: Column) -> Column:
