@@ -7,7 +7,8 @@ counts are of the whole training part; nothing is cut off.
 
 1. A word count gives N, V, a code table of the ``CODED`` most frequent words
    and the words too frequent for one shard (both of bounded size).
-2. Documents are dealt into blocks by id. A block sends its distinct pairs
+2. Rows are dealt into blocks by id and text, so that neither null ids nor a
+   repeated one fill a block. A block sends its distinct pairs
    (word, next word) with their training counts to shards by word; pairs of a
    very frequent word go to shards by pair, and its count is known from 1.
 3. A shard adds the counts up and builds a trie with the words at the root and
@@ -416,7 +417,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = counts.orderBy(F.col("c").desc(), "w").limit(CODED - 2).union(counts.where(F.col("w") == int(END.astype(np.int64)))).distinct().collect()
     setup = _Setup(n, v, shards, np.array([r.w for r in top], dtype=np.int64).view(np.uint64), np.array([r.c for r in top], dtype=np.int64))
     shipped = spark.sparkContext.broadcast(setup)
-    by_block = docs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
+    by_block = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
     sent = by_block.groupBy("block").applyInArrow(_send(shipped), "shard int, block int, pairs binary")
     told = sent.groupBy("shard").applyInArrow(_answer(shipped), "block int, shard int, found binary")
     schema = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -3,7 +3,8 @@
 A window is ``SIZE`` consecutive words of a text. Every word under a window
 that also starts in a document of a smaller id is removed.
 
-1. Documents are dealt into blocks by id. A block sends the anchors of its
+1. Rows are dealt into blocks by id and text, so that neither null ids nor a
+   repeated one fill a block. A block sends the anchors of its
    windows: the smallest hash among a window's ``ANCHOR``-word shingles
    (winnowing). Equal windows have equal anchors, so a window whose anchor
    stands in one document only cannot recur; a quarter of the words send one.
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    by_block = docs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    by_block = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
     anchors = by_block.groupBy("block").applyInArrow(_anchors, "h bigint, block int, docs int")
     told = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "block int, h bigint, common boolean")
     passages = by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_passages, "k bigint, block int, lo bigint, hi bigint, words binary")

@@ -502,6 +502,41 @@ def test_substring_dedup(docs, common, monkeypatch):
     assert sum(v[1] for v in want.values()) > 100
 
 
+def null_and_repeated():
+    """Half of the rows without an id, a third of them under one id, passages shared by all."""
+    shared = prose(30)
+    return [(None if i % 2 else 7 if i % 3 == 0 else 100 + i, f"{prose(8)} {shared if i % 4 else prose(20)} {prose(20)}") for i in range(90)]
+
+
+def test_substring_dedup_null_and_repeated_ids(spark, monkeypatch):
+    """Rows of one id, and all null ids, are one document each, however they are dealt."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2_000)
+    rows = null_and_repeated()
+    numbers = [(10**18 if i is None else i, t) for i, t in rows]
+    first = {}
+    for i, t in numbers:
+        for j in range(len(words(t)) - 12):
+            w = tuple(words(t)[j : j + 13])
+            first[w] = min(i, first.get(w, i))
+    want = []
+    for (i, t), (n, _) in zip(rows, numbers, strict=True):
+        ws, gone = words(t), set()
+        for j in range(len(ws) - 12):
+            if first[tuple(ws[j : j + 13])] < n:
+                gone.update(range(j, j + 13))
+        want.append((i, len(ws), len(gone), hashlib.sha256(b" ".join(w for j, w in enumerate(ws) if j not in gone)).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in substring_dedup.remove_repeats(df, text=False).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(w[2] for w in want) > 100
+
+
+def test_ngram_lm_null_and_repeated_ids(spark):
+    """Scores do not depend on how rows are dealt."""
+    df = spark.createDataFrame(null_and_repeated(), "doc_id bigint, text string").repartition(3)
+    small, large = (sorted((repr((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens)), round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score_texts(df, block_bytes=b, shard_tokens=s).collect()) for b, s in ((1_500, 400), (1 << 22, 1_000_000)))
+    assert small == large and len(small) == 90
+
+
 def test_substring_dedup_edges(empty, odd):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert substring_dedup.remove_repeats(odd).count() == 4
