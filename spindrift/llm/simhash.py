@@ -230,7 +230,8 @@ def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL) -> DataFram
 
     keys = distinct.mapInArrow(make(False), "key bigint, fp bigint, filed boolean")
     hot = distinct.mapInArrow(make(True), "key bigint").groupBy("key").count().where(F.col("count") > cell_size)
-    hot = hot.select("key", F.ceil(F.col("count") / cell_size).cast("int").alias("chunks"))
+    # written first: Spark sees its size, and only a large one makes the keys move for this join
+    hot = written(hot.select("key", F.ceil(F.col("count") / cell_size).cast("int").alias("chunks")))
     dealt = keys.join(hot, "key", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
