@@ -15,11 +15,12 @@ that also starts in a document of a smaller id is removed.
 3. Passages meet sorted by anchor. Their windows are compared byte by byte,
    which confirms those that recur and gives each its owner, the smallest id.
    (A document without a shared anchor can hold none and sends nothing.)
-4. A block hears of its passages whose windows have an earlier owner, by the
-   hashes of their first and last windows, finds one example of each in its own
-   words and compiles the examples into its shard's Aho-Corasick automaton. All
-   its documents are streamed through it; the occurrences that it reports say
-   which words are removed. (Words are told apart by 64-bit hashes there.)
+4. A block hears of its passages whose windows have an earlier owner, by their
+   words, with the owners as runs. They are dealt into shards of at most about
+   ``SHARD_WORDS`` words, each compiled into an Aho-Corasick automaton, and all
+   documents of the block are streamed through each; the occurrences that the
+   automata report say which words are removed. (Words are told apart by 64-bit
+   hashes there.)
 
 The texts move once: the plan reuses the exchange by block. Ids are integers; a
 null id counts as the largest. Null or empty text: no words. Rows of one id are
@@ -42,6 +43,7 @@ from spindrift.llm.shared import Words, ragged, text_chunks, text_or_empty
 
 SIZE, ANCHOR = 13, 7
 BLOCK_BYTES, SHARD_ROWS, COMMON = 4 << 20, 20_000, 2_000
+SHARD_WORDS = 150_000
 LETTERS = 64
 _NULL = np.iinfo(np.int64).max
 
@@ -199,15 +201,13 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         kept = losing[row]
-        owners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(lo))[rows])]).astype(np.int32)), pa.array(owner[of[kept]]))
-        chosen = column.take(pa.array(rows))
-        edge = []
-        for _, _, data, offsets in text_chunks(chosen):
-            words = Words(data, offsets)
-            w = Windows(words)
-            edge.append(np.stack([w.hash[words.first[:-1]], w.hash[words.first[1:] - SIZE]]))
-        edge = np.concatenate(edge, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), pa.array(edge[0]), pa.array(edge[1]), owners], names=["block", "first", "last", "owners"])
+        window_row, window_owner = row[kept], owner[of[kept]]
+        fresh = np.ones(len(window_row), bool)
+        fresh[1:] = (window_row[1:] != window_row[:-1]) | (window_owner[1:] != window_owner[:-1])
+        begin = np.flatnonzero(fresh)
+        edges = pa.array(np.searchsorted(window_row[begin], np.append(rows, len(lo))).astype(np.int32))
+        runs = np.diff(np.append(begin, len(window_row))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), column.take(pa.array(rows)), pa.ListArray.from_arrays(edges, pa.array(window_owner[begin])), pa.ListArray.from_arrays(edges, pa.array(runs))], names=["block", "words", "owners", "runs"])
 
 
 def _spelled(codes: np.ndarray, kinds: int) -> tuple[str, int]:
@@ -226,72 +226,78 @@ def _spelled(codes: np.ndarray, kinds: int) -> tuple[str, int]:
     return letters.tobytes().decode("utf-32-le"), width
 
 
-def _occurrences(words: Words, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, first word) of every occurrence, in all documents of a chunk, of the phrases that stand at ``starts``.
-
-    Words that no phrase has are all code 0, which also parts the documents.
-    """
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = np.unique(hashes[ragged(starts, lengths)])
-    near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    codes = np.where(known[near] == hashes, near + 1, 0)
-    part = np.arange(len(codes)) + words.doc
-    apart = np.zeros(len(codes) + len(words.first) - 1, np.int64)
-    apart[part] = codes
-    stream, width = _spelled(apart, len(known) + 1)
-    number: dict[str, int] = {}
-    begin = part[starts] * width
-    same = np.array([number.setdefault(stream[a:b], len(number)) for a, b in zip(begin.tolist(), (begin + lengths * width).tolist(), strict=True)], np.int64)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for phrase, k in number.items():
-        automaton.add_word(phrase, k)
-    automaton.make_automaton()
-    hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
-    size = np.zeros(len(number), np.int64)
-    size[same] = lengths
-    first = (hits[:, 0] + 1) // width - size[hits[:, 1]]
-    place = np.zeros(len(apart), np.int64)
-    place[part] = np.arange(len(codes))
-    order = np.argsort(same, kind="stable")  # phrases told of more than once, by number
-    edges = np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(number)))])
-    times = np.diff(edges)[hits[:, 1]]
-    return order[ragged(edges[hits[:, 1]], times)], np.repeat(place[first], times)
+class Shard:
+    """An automaton of some passages: ``hash`` has the hashes of their words, ``size`` how many words each has."""
+
+    def __init__(self, hashes: np.ndarray, size: np.ndarray):
+        self.known = np.unique(hashes)
+        stream, self.width = _spelled(np.searchsorted(self.known, hashes) + 1, len(self.known) + 1)
+        ends = np.cumsum(size) * self.width
+        number: dict[str, int] = {}
+        self.same = np.array([number.setdefault(stream[a:b], len(number)) for a, b in zip((ends - size * self.width).tolist(), ends.tolist(), strict=True)], np.int64)
+        self.size = np.zeros(len(number), np.int64)
+        self.size[self.same] = size
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for phrase, k in number.items():
+            self.automaton.add_word(phrase, k)
+        self.automaton.make_automaton()
+        self.order = np.argsort(self.same, kind="stable")  # passages told of more than once, by number
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(self.same, minlength=len(number)))])
+
+    def occurrences(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, first word) of every occurrence in all documents of a chunk. Words that no passage has are all code 0, which also parts the documents."""
+        near = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        part = np.arange(len(hashes)) + words.doc
+        apart = np.zeros(len(hashes) + len(words.first) - 1, np.int64)
+        apart[part] = np.where(self.known[near] == hashes, near + 1, 0)
+        stream, width = _spelled(apart, len(self.known) + 1)
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(stream)), np.int64).reshape(-1, 2)
+        first = (hits[:, 0] + 1) // width - self.size[hits[:, 1]]
+        place = np.zeros(len(apart), np.int64)
+        place[part] = np.arange(len(hashes))
+        times = np.diff(self.edges)[hits[:, 1]]
+        return self.order[ragged(self.edges[hits[:, 1]], times)], np.repeat(place[first], times)
+
+
+def _shards(told: pa.Table) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
+    """(automaton, owners of the windows of its passages one after the other, first of them for each passage)."""
+    told = told.combine_chunks()
+    if not told.num_rows:
+        return
+    column, owners, runs = (told.column(c).chunk(0) for c in ("words", "owners", "runs"))
+    whole = np.repeat(owners.flatten().to_numpy(zero_copy_only=False).astype(np.int64), runs.flatten().to_numpy(zero_copy_only=False))
+    hashes, size = [], []
+    for _, _, data, offsets in text_chunks(column):
+        words = Words(data, offsets)
+        hashes.append(words.hashes())
+        size.append(np.diff(words.first))
+    hashes, size = np.concatenate(hashes), np.concatenate(size).astype(np.int64)
+    word, window = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(size - SIZE + 1)])
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(word, word[at] + SHARD_WORDS, side="right")) - 1)
+        yield Shard(hashes[word[at] : word[end]], size[at:end]), whole[window[at] : window[end]], window[at : end + 1] - window[at]
+        at = end
 
 
 def _removal(text_out: bool):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        told = told.combine_chunks()
-        first = told.column("first").to_numpy().view(np.uint64)
-        order = np.argsort(first, kind="stable")
-        first, last = first[order], told.column("last").to_numpy().view(np.uint64)[order]
-        owners = told.column("owners").combine_chunks().take(pa.array(order)) if told.num_rows else pa.array([], pa.list_(pa.int64()))
-        if isinstance(owners, pa.ChunkedArray):
-            owners = owners.combine_chunks()
-        edges = np.asarray(owners.offsets).astype(np.int64)
-        flat = owners.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = [(Words(data, offsets), ids, raw_ids) for data, offsets, ids, raw_ids in _chunks(table)]
+        hashes = [words.hashes() for words, *_ in chunks]
+        cover = [np.zeros(len(h) + 1, np.int32) for h in hashes]
+        for shard, owners, edges in _shards(told):
+            for (words, ids, _), own, marks in zip(chunks, hashes, cover, strict=True):
+                if not len(own):
+                    continue
+                row, at = shard.occurrences(words, own)
+                size = edges[row + 1] - edges[row]
+                place = ragged(at, size)
+                early = owners[ragged(edges[row], size)] < np.repeat(ids[words.doc[at]] if len(at) else np.zeros(0, np.int64), size)
+                np.add.at(marks, place[early], 1)
+                np.add.at(marks, place[early] + SIZE, -1)
         out_ids, n_words, n_removed, digests, texts = [], [], [], [], []
-        for data, offsets, ids, raw_ids in _chunks(table):
-            words = Words(data, offsets)
-            w = Windows(words)
-            n = len(words.starts)
-            cover = np.zeros(n + 1, np.int64)
-            value = w.hash[w.at]
-            a, b = np.searchsorted(first, value), np.searchsorted(first, value, side="right")
-            row, at = ragged(a, b - a), np.repeat(w.at, b - a)
-            size = edges[row + 1] - edges[row]
-            ends = at + size - 1
-            good = ends < n
-            good[good] &= w.valid[ends[good]] & (words.doc[ends[good]] == words.doc[at[good]]) & (w.hash[ends[good]] == last[row[good]])
-            told_here, example = np.unique(row[good], return_index=True)
-            nth, at = _occurrences(words, w.word, at[good][example], size[good][example] + SIZE - 1)
-            row = told_here[nth]
-            size = edges[row + 1] - edges[row]
-            place = ragged(at, size)
-            early = flat[ragged(edges[row], size)] < np.repeat(ids[words.doc[at]] if len(at) else np.zeros(0, np.int64), size)
-            np.add.at(cover, place[early], 1)
-            np.add.at(cover, place[early] + SIZE, -1)
-            gone = np.cumsum(cover[:n]) > 0
+        for (words, _, raw_ids), marks in zip(chunks, cover, strict=True):
+            gone = np.cumsum(marks[:-1]) > 0
             spaced, places = _spaced(words)
             kept = spaced[np.repeat(~gone, np.diff(places))]
             reach = np.concatenate([[0], np.cumsum(np.where(gone, 0, np.diff(places)))])[words.first]
@@ -322,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = by_block.groupBy("block").applyInArrow(_anchors, "h bigint, block int, docs int")
     told = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "block int, h bigint, common boolean")
     passages = by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_passages, "k bigint, block int, lo bigint, hi bigint, words binary")
-    located = passages.repartition("k").sortWithinPartitions("k").mapInArrow(_located, "block int, first bigint, last bigint, owners array<bigint>")
+    located = passages.repartition("k").sortWithinPartitions("k").mapInArrow(_located, "block int, words binary, owners array<bigint>, runs array<int>")
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * text
     out = by_block.groupBy("block").cogroup(located.groupBy("block")).applyInArrow(_removal(text), schema)
     return out.withColumnRenamed("id", id_col)

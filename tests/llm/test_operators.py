@@ -502,6 +502,32 @@ def test_substring_dedup(docs, common, monkeypatch):
     assert sum(v[1] for v in want.values()) > 100
 
 
+@pytest.mark.parametrize("most", [20, 60, 10_000])
+def test_substring_automata_find_every_occurrence(most, monkeypatch):
+    """Passages' words alone, in shards of any size, against a plain search; documents part matches, passages may hold others or be told twice."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", most)
+    rng = random.Random(most)
+    say = lambda n: [rng.choice(["a", "bb", "c"]) for _ in range(n)]
+    docs = [say(rng.randint(0, 60)) for _ in range(30)]
+    docs[3], docs[4] = docs[5][:20], docs[5][5:30] + ["dd"]
+    passages = [d[i : i + n] for d in docs for n in (13, 15) for i in range(0, len(d) - n, 9)]
+    passages += [passages[0], passages[1][:13]]
+    runs = [[1] * (len(w) - 13) + [1] for w in passages]
+    told = pa.table({"words": pa.array([" ".join(w).encode() for w in passages]), "owners": pa.array([[7 * i + k for k in range(len(r))] for i, r in enumerate(runs)], pa.list_(pa.int64())), "runs": pa.array(runs, pa.list_(pa.int32()))})
+    data = np.frombuffer("".join(" ".join(d) + "\n" for d in docs).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(" ".join(d)) + 1 for d in docs])
+    text = Words(data, offsets)
+    got, base, shards = [], 0, 0
+    for shard, owners, edges in substring_dedup._shards(told):
+        row, at = shard.occurrences(text, text.hashes())
+        got += list(zip((row + base).tolist(), at.tolist(), strict=True))
+        assert [owners[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == told["owners"].to_pylist()[base : base + len(edges) - 1]
+        base, shards = base + len(edges) - 1, shards + 1
+    first = np.cumsum([0] + [len(d) for d in docs])
+    want = [(p, first[d] + i) for p, w in enumerate(passages) for d, t in enumerate(docs) for i in range(len(t) - len(w) + 1) if t[i : i + len(w)] == w]
+    assert sorted(got) == sorted(want) and base == len(passages) and (shards > 1) == (most < 100)
+
+
 def null_and_repeated():
     """Half of the rows without an id, a third of them under one id, passages shared by all."""
     shared = prose(30)
