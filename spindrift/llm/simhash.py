@@ -298,6 +298,8 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Words of a shingle and least similarity of similar texts; bits that candidates differ in at most; fingerprints of a text.
 SHINGLE, SIMILAR, FAR, WAYS = 5, 0.8, 14, 3
+#: Most rows of a table of ids or hashes that is broadcast (some tens of megabytes).
+FEW = 1_000_000
 
 
 def _profile(text: bytes, k: int) -> tuple[int, list[int], np.ndarray]:
@@ -331,44 +333,62 @@ def _with_profile(plain: DataFrame, text_at: int, k: int, sets: bool) -> DataFra
     return plain.mapInArrow(run, schema)
 
 
+def _near(table: DataFrame) -> DataFrame:
+    """A table of few columns, broadcast if it has at most ``FEW`` rows; a larger one is joined by key."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, least: float = SIMILAR, far: int = FAR) -> DataFrame:
-    """(node, low, keeper): for each distinct sequence of words its group's smallest id, and the node of that id.
+    """(node, low, keeper, copies, own): for each distinct sequence of words its group's smallest id, the node of that id, and how many rows have
+    the node, and the node and its own smallest id.
 
     Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, of the pairs that the
     fingerprints bring together.
     """
-    both = plain.select(id_col, text_col)
-    nodes = _with_profile(both, 1, k, False).groupBy("node").agg(F.min(id_col).alias("low"), *[F.min(f"f{i}").alias(f"f{i}") for i in range(WAYS)])
-    nodes = written(nodes)
+    ways = [f"f{i}" for i in range(WAYS)]
+    rows = _with_profile(plain.select(id_col, text_col), 1, k, False).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f) for f in ways])
+    lowest = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "n"))
+    nodes = written(rows.groupBy("node").agg(lowest.alias("x"), F.sum("n").alias("copies"), *[F.min(f).alias(f) for f in ways]).select("node", F.col("x.id").alias("low"), F.col("x.n").alias("own"), "copies", *ways))
     pairs = None
-    for i in range(WAYS):
-        first = written(nodes.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("node").alias("rep")))
-        same = nodes.join(first, nodes[f"f{i}"] == first["fp"]).where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    for f in ways:
+        first = written(nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("rep")))
+        same = nodes.join(first, nodes[f] == first["fp"]).where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
         near = links(first.select("fp"), far)
         ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"n{x}")) for x in ("a", "b")]
         near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
         part = same.union(near)
         pairs = part if pairs is None else pairs.union(part)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node")
+    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
     # one text for each node that has a candidate; only these send their shingles
-    texts = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked, F.col("id").eqNullSafe(F.col("low"))).select("text").distinct()
-    sets = written(_with_profile(texts, 0, k, True).select("node", "shingles").dropDuplicates(["node"]))
+    texts = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
+    sets = _with_profile(texts, 0, k, True).select("node", "shingles")
+    sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
     found = components(written(alike))
-    labelled = written(nodes.select("node", "low").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("label", "node").alias("label")))
+    labelled = written(nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low", "own", "copies", F.coalesce("label", "node").alias("label")))
     best = F.min(F.struct(F.col("low").isNull().alias("missing"), "low", "node"))
-    lowest = labelled.groupBy("label").agg(best.alias("x")).select("label", F.col("x.low").alias("least"), F.col("x.node").alias("keeper"))
-    return written(labelled.join(lowest, "label").select("node", F.col("least").alias("low"), "keeper"))
+    heads = labelled.groupBy("label").agg(best.alias("x")).select("label", F.col("x.low").alias("least"), F.col("x.node").alias("keeper"))
+    return written(labelled.join(heads, "label").select("node", F.col("least").alias("low"), "keeper", "copies", "own"))
 
 
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
-    """The rows, with their columns, of the smallest id of each group of similar texts; of rows equal in id and words, one."""
+    """The rows, with their columns, of the smallest id of each group of similar texts; of rows equal in id and words, one.
+
+    Only nodes with something to drop are joined back, so most texts do not move; rows repeated as they are, if there
+    are any, meet among themselves.
+    """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    keepers = similar_groups(plain, own, text, k, least).where("node = keeper").select(F.col("node").alias("keeper_node"), F.col("low").alias("keeper_id"))
-    rows = _with_profile(plain, plain.columns.index(text), k, False)
-    kept = rows.join(keepers, (F.col("node") == F.col("keeper_node")) & F.col(own).eqNullSafe(F.col("keeper_id")), "left_semi")
-    return kept.dropDuplicates([own, "node"]).drop("node", *[f"f{i}" for i in range(WAYS)]).toDF(*docs.columns)
+    groups = similar_groups(plain, own, text, k, least)
+    judged = groups.where("copies > 1 or node <> keeper").select(F.col("node").alias("judged"), (F.col("node") == F.col("keeper")).alias("stays"), F.col("low").alias("keeps"))
+    rows = _with_profile(plain, plain.columns.index(text), k, False).drop(*[f"f{i}" for i in range(WAYS)])
+    kept = rows.join(_near(judged), F.col("node") == F.col("judged"), "left").where(F.col("judged").isNull() | (F.col("stays") & F.col(own).eqNullSafe(F.col("keeps"))))
+    if groups.where("node = keeper and own > 1").limit(1).count():  # rows repeated as they are
+        kept = written(kept)
+        again = groups.where("node = keeper and own > 1").select(F.col("node").alias("again"))
+        one = kept.join(again, F.col("node") == F.col("again"), "left_semi").dropDuplicates(["node"])
+        kept = kept.join(again, F.col("node") == F.col("again"), "left_anti").unionByName(one)
+    return kept.select(*plain.columns).toDF(*docs.columns)
