@@ -143,7 +143,7 @@ def src_frames(spark, d):
     return lists.select("video", F.size("paths").cast("long").alias("n"), F.transform("paths", lambda p: F.regexp_extract(p, r"_(\d+)\.", 1).cast("long")).alias("frames"))
 
 
-@query("snk_pickle", "SELECT n_nationkey, n_name, 0.7 AS temperature, 2 AS epoch FROM nation")
+@query("snk_pickle", "SELECT n_nationkey, n_name, 0.7::DOUBLE AS temperature, 2 AS epoch FROM nation")
 def snk_pickle(spark, d):
     """A batch with its metadata, to disk and back."""
     to = _folder(spark, "batch")

@@ -67,7 +67,7 @@ def shp_hh_rl(spark, d):
     return b.select("item_id", *record).select("item_id", *_flat("data_source", "prompt", "role", "ability", "style", "truth", "split", "index"))
 
 
-@query("shp_retool", "WITH c AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || conv_id), conv_id) - 1 AS rn, floor((SELECT count(*) FROM c) * 0.9)::BIGINT AS cut FROM c) SELECT conv_id, 'swordfaith/ReTool-SFT-multi-turn' AS data_source, to_json(m) AS messages, '[{\"name\":\"code_interpreter\"}]' AS tools, false AS enable_thinking, CASE WHEN rn < cut THEN 'train' ELSE 'test' END AS split, CASE WHEN rn < cut THEN rn ELSE rn - cut END AS index FROM r")
+@query("shp_retool", "WITH c AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || conv_id), conv_id) - 1 AS rn, floor((SELECT count(*) FROM c) * 0.9)::BIGINT AS cut FROM c) SELECT conv_id, 'swordfaith/ReTool-SFT-multi-turn' AS data_source, to_json(m)::VARCHAR AS messages, '[{\"name\":\"code_interpreter\"}]' AS tools, false AS enable_thinking, CASE WHEN rn < cut THEN 'train' ELSE 'test' END AS split, CASE WHEN rn < cut THEN rn ELSE rn - cut END AS index FROM r")
 def shp_retool(spark, d):
     """Whole conversations with their tools, nine tenths in a seeded order for training."""
     m = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))

@@ -55,7 +55,7 @@ def shp_template(spark, d):
     return V.spans(spark, d).select("id", R.fill_template(_ASK, F.concat("l_returnflag", F.lit(" {duration}")), duration).alias("t"))
 
 
-@query("shp_mm_segments", "SELECT item_id, to_json([{'type': 'text', 'text': ''}, {'type': 'image', 'text': ''}, {'type': 'text', 'text': 'a' || item_id}, {'type': 'video', 'text': ''}, {'type': 'text', 'text': ''}]) AS parts FROM benchmark")
+@query("shp_mm_segments", "SELECT item_id, to_json([{'type': 'text', 'text': ''}, {'type': 'image', 'text': ''}, {'type': 'text', 'text': 'a' || item_id}, {'type': 'video', 'text': ''}, {'type': 'text', 'text': ''}])::VARCHAR AS parts FROM benchmark")
 def shp_mm_segments(spark, d):
     """Text cut at media tags; the tags stay as typed parts and empty text parts too."""
     t = F.concat(F.lit("<image>a"), F.col("item_id").cast("string"), F.lit("<video>"))
