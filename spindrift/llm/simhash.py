@@ -109,8 +109,8 @@ def nearby(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ table[r]) >> 11, size[r]
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, whether filed, row) of all keys of an array of fingerprints."""
+def keys_of(prints: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, whether filed, row) of all keys of an array of fingerprints; without ``near`` only the segments as they are."""
     parts = [(prints >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
     rows = np.arange(len(prints))
     keys, filed, of = [], [], []
@@ -122,9 +122,9 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     for i, part in enumerate(parts):
         add(i, part, rows, True)
-    near = [nearby(part) for part in parts]
-    for f, (i, j) in enumerate(PAIRS):
-        (a, n), (b, m) = near[i], near[j]
+    around = [nearby(part) for part in parts] if near else []
+    for f, (i, j) in enumerate(PAIRS if near else ()):
+        (a, n), (b, m) = around[i], around[j]
         add(3 + f, a[:, 0] << 12 | b[:, 0], rows, True)
         both = n * m
         row = np.repeat(rows, both)
@@ -189,10 +189,10 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, filed: np.ndarray, most: int)
     return pair[0], pair[1]
 
 
-def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL) -> DataFrame:
+def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL, near: bool = True) -> DataFrame:
     """Links (a, b) of the distinct fingerprints in column fp, enough to connect all that differ in ``most`` bits.
 
-    Up to four bits none is missed; beyond, those are found that share a key all the same.
+    Up to four bits none is missed; beyond, and without ``near`` keys, those are found that share a key all the same.
     """
     if most < 0:
         raise ValueError("a negative number of bits")
@@ -203,7 +203,7 @@ def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL) -> DataFram
                 whole = np.asarray(batch.column(0)).view(np.uint64)
                 for at in range(0, len(whole), 2_000):
                     prints = whole[at : at + 2_000]
-                    key, filed, row = keys_of(prints)
+                    key, filed, row = keys_of(prints, near)
                     if only:
                         yield pa.RecordBatch.from_arrays([pa.array(key[filed])], names=["key"])
                     else:
@@ -298,6 +298,8 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Words of a shingle and least similarity of similar texts; bits that candidates differ in at most; fingerprints of a text.
 SHINGLE, SIMILAR, FAR, WAYS = 5, 0.8, 14, 3
+#: Nodes of a group from which on ``LARGE`` of them or so stand for it in the wider search.
+LARGE = 16
 #: Most rows of a table of ids or hashes that is broadcast (some tens of megabytes).
 FEW = 1_000_000
 
@@ -343,31 +345,42 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
     the node, and the node and its own smallest id.
 
     Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, of the pairs that the
-    fingerprints bring together.
+    fingerprints bring together: all nodes by whole segments, then all by the wider keys but for members of groups that are
+    large already, of which ``LARGE`` or so go on, spread by their hash.
     """
     ways = [f"f{i}" for i in range(WAYS)]
     rows = _with_profile(plain.select(id_col, text_col), 1, k, False).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f) for f in ways])
     lowest = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "n"))
     nodes = written(rows.groupBy("node").agg(lowest.alias("x"), F.sum("n").alias("copies"), *[F.min(f).alias(f) for f in ways]).select("node", F.col("x.id").alias("low"), F.col("x.n").alias("own"), "copies", *ways))
-    pairs = None
-    for f in ways:
-        first = written(nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("rep")))
-        same = nodes.join(first, nodes[f] == first["fp"]).where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        near = links(first.select("fp"), far)
-        ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"n{x}")) for x in ("a", "b")]
-        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        part = same.union(near)
-        pairs = part if pairs is None else pairs.union(part)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
-    # one text for each node that has a candidate; only these send their shingles
-    texts = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
-    sets = _with_profile(texts, 0, k, True).select("node", "shingles")
-    sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    found = components(written(alike))
+
+    def alike(own: DataFrame, near: bool) -> DataFrame:
+        """Links (a, b) of similar nodes among ``own``, written."""
+        pairs = None
+        for f in ways:
+            first = written(own.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("rep")))
+            same = own.join(first, own[f] == first["fp"]).where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+            ends = [first.select(F.col("fp").alias(x), F.col("rep").alias(f"n{x}")) for x in ("a", "b")]
+            close = links(first.select("fp"), far, near=near).join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+            part = same.union(close)
+            pairs = part if pairs is None else pairs.union(part)
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(own.select("node", "low"), "node").select("low").distinct())
+        # one text for each node that has a candidate; only these send their shingles
+        texts = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
+        sets = written(_with_profile(texts, 0, k, True).select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return written(pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+    # first by whole segments; of a group that is large by then a few nodes stand for all in the wider search
+    one = alike(nodes, False)
+    groups = written(components(one))
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("label")
+    large = written(groups.join(sizes, "label", "left_semi"))
+    heads = large.groupBy("label", F.pmod("node", F.lit(LARGE))).agg(F.min("node").alias("node")).select("node")
+    spared = large.select("node").join(heads, "node", "left_anti")
+    two = alike(written(nodes.join(spared, "node", "left_anti")), True)
+    found = components(one.union(two))
     labelled = written(nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low", "own", "copies", F.coalesce("label", "node").alias("label")))
     best = F.min(F.struct(F.col("low").isNull().alias("missing"), "low", "node"))
     heads = labelled.groupBy("label").agg(best.alias("x")).select("label", F.col("x.low").alias("least"), F.col("x.node").alias("keeper"))
