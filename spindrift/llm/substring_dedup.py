@@ -36,6 +36,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,7 +208,19 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(fresh)
         edges = pa.array(np.searchsorted(window_row[begin], np.append(rows, len(lo))).astype(np.int32))
         runs = np.diff(np.append(begin, len(window_row))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(block[rows]), column.take(pa.array(rows)), pa.ListArray.from_arrays(edges, pa.array(window_owner[begin])), pa.ListArray.from_arrays(edges, pa.array(runs))], names=["block", "words", "owners", "runs"])
+        found = pa.RecordBatch.from_arrays([column.take(pa.array(rows)), pa.ListArray.from_arrays(edges, pa.array(window_owner[begin])), pa.ListArray.from_arrays(edges, pa.array(runs))], names=["words", "owners", "runs"])
+        order = np.argsort(block[rows], kind="stable")
+        own, starts = np.unique(block[rows][order], return_index=True)
+        parts = [_packed(found.take(pa.array(order[a:b]))) for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(parts, pa.binary())], names=["block", "pack"])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """Passages for one block, compressed together."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.compress(sink.getvalue(), 6)
 
 
 def _spelled(codes: np.ndarray, kinds: int) -> tuple[str, int]:
@@ -261,9 +274,9 @@ class Shard:
 
 def _shards(told: pa.Table) -> Iterator[tuple[Shard, np.ndarray, np.ndarray]]:
     """(automaton, owners of the windows of its passages one after the other, first of them for each passage)."""
-    told = told.combine_chunks()
     if not told.num_rows:
         return
+    told = pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(x.as_py())).read_all() for x in told.column("pack")]).combine_chunks()
     column, owners, runs = (told.column(c).chunk(0) for c in ("words", "owners", "runs"))
     whole = np.repeat(owners.flatten().to_numpy(zero_copy_only=False).astype(np.int64), runs.flatten().to_numpy(zero_copy_only=False))
     hashes, size = [], []
@@ -328,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = by_block.groupBy("block").applyInArrow(_anchors, "h bigint, block int, docs int")
     told = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "block int, h bigint, common boolean")
     passages = by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_passages, "k bigint, block int, lo bigint, hi bigint, words binary")
-    located = passages.repartition("k").sortWithinPartitions("k").mapInArrow(_located, "block int, words binary, owners array<bigint>, runs array<int>")
+    located = passages.repartition("k").sortWithinPartitions("k").mapInArrow(_located, "block int, pack binary")
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * text
     out = by_block.groupBy("block").cogroup(located.groupBy("block")).applyInArrow(_removal(text), schema)
     return out.withColumnRenamed("id", id_col)

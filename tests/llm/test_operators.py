@@ -518,7 +518,8 @@ def test_substring_automata_find_every_occurrence(most, monkeypatch):
     offsets = np.cumsum([0] + [len(" ".join(d)) + 1 for d in docs])
     text = Words(data, offsets)
     got, base, shards = [], 0, 0
-    for shard, owners, edges in substring_dedup._shards(told):
+    packs = pa.table({"pack": pa.array([substring_dedup._packed(b) for b in told.to_batches(max_chunksize=7)], pa.binary())})
+    for shard, owners, edges in substring_dedup._shards(packs):
         row, at = shard.occurrences(text, text.hashes())
         got += list(zip((row + base).tolist(), at.tolist(), strict=True))
         assert [owners[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == told["owners"].to_pylist()[base : base + len(edges) - 1]
