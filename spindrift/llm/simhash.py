@@ -161,13 +161,13 @@ def _forest(prints: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _cell_links(cell: np.ndarray, fp: np.ndarray, filed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within runs of equal, sorted cells."""
+def _cell_links(cell: np.ndarray, fp: np.ndarray, filed: np.ndarray, most: int, pairwise: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links within runs of equal, sorted cells: all of up to ``pairwise`` rows, a spanning forest of more."""
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, len(cell)))
     useful = (size > 1) & (np.add.reduceat(filed.astype(np.int64), begin) > 0)
     a, b = [], []
-    small = useful & (size <= 64)
+    small = useful & (size <= pairwise)
     starts, sizes = begin[small], size[small]
     step = 200_000
     for at in range(0, len(starts), step):
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, most: int = 4, cell_size: int = CELL, near: bool
         held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
 
         def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _cell_links(*parts, most)
+            a, b = _cell_links(*parts, most, 64 if near else 2)  # whole segments bring large groups together
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
