@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from spindrift.functions import arrays as A
@@ -117,23 +118,35 @@ def batch(rows: DataFrame, scorer: Callable[[list, list, list], list], by: str |
     """A scorer of lists: of whole groups of equal ``by``, or of Arrow batches. ``acc`` has the reward too."""
     n = ones(F.col("attention"))
 
+    def numbers(sources: list, texts: list, truths: list) -> list[tuple[float, dict[str, float]]]:
+        got = scorer(sources, texts, truths)
+        if len(got) != len(texts):
+            raise ValueError("a score for each row")
+        return [(float(g["score"]), {k: float(v) for k, v in g.items()}) if isinstance(g, dict) else (float(g), {}) for g in got]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            found = numbers(*(x.column(c).to_pylist() for c in ("data_source", "_text", "truth")))
+            more = [pa.array([f[0] for f in found], pa.float64()), pa.array([list(f[1].items()) for f in found], pa.map_(pa.string(), pa.float64()))]
+            keep = [c for c in x.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), *more], names=[*keep, "reward", "extras"])
+
+    @arrow_udf(ArrayType(StructType([StructField("reward", DoubleType()), StructField("extras", EXTRAS)])))
+    def whole(sources: pa.Array, texts: pa.Array, truths: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("reward", pa.float64()), ("extras", pa.map_(pa.string(), pa.float64()))]))
+        groups = zip(sources.to_pylist(), texts.to_pylist(), truths.to_pylist(), strict=True)
+        return pa.array([[{"reward": r, "extras": list(e.items())} for r, e in numbers(*g)] for g in groups], kind)
+
     def scored() -> DataFrame:
         text = rows.withColumns({"_text": joined(F.col("tokens"), F.col("attention")), "place": n - 1})
-        kept = [f for f in text.schema.fields if f.name != "_text"]
-        out = StructType([*kept, StructField("reward", DoubleType()), StructField("extras", EXTRAS)])
-
-        def score(x: pd.DataFrame) -> pd.DataFrame:
-            got = scorer(x["data_source"].tolist(), x["_text"].tolist(), x["truth"].tolist())
-            if len(got) != len(x):
-                raise ValueError("a score for each row")
-            numbers = [float(g["score"] if isinstance(g, dict) else g) for g in got]
-            return x.assign(reward=numbers, extras=[{k: float(v) for k, v in g.items()} if isinstance(g, dict) else {} for g in got]).drop(columns="_text")
-
-        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in frames:
-                yield score(x)
-
-        done = text.groupBy(by).applyInPandas(score, out) if by else text.mapInPandas(each, out)
+        kept = [c for c in text.columns if c != "_text"]
+        if by:  # only what the scorer reads goes to Python, many groups in a batch; the rows wait in their group
+            groups = text.groupBy(F.col(by).alias("_by")).agg(F.collect_list(F.struct(*text.columns)).alias("_rows"))
+            pairs = F.arrays_zip("_rows", whole(*(F.col("_rows")[c] for c in ("data_source", "_text", "truth"))).alias("_found"))
+            done = groups.select(F.explode(pairs).alias("_x")).select(*[F.col("_x._rows")[c].alias(c) for c in kept], "_x._found.reward", "_x._found.extras")
+        else:
+            out = StructType([*[f for f in text.schema.fields if f.name != "_text"], StructField("reward", DoubleType()), StructField("extras", EXTRAS)])
+            done = text.mapInArrow(each, out)
         return done.withColumn("acc", F.col("reward"))
 
     return _bypass(rows, n - 1, scored)

@@ -78,6 +78,17 @@ def test_batch_manager_sees_groups(spark, replies):
     assert managers.manage("batch", replies.limit(0), lambda *x: [], by="uid").collect() == []
 
 
+def test_batch_manager_scores_many_groups_in_a_batch(spark, replies):
+    places = lambda sources, texts, truths: [{"score": i, "of": len(texts)} for i in range(len(texts))]
+    many = spark.range(20_000).select((F.col("id") % 7_000).alias("g"), "id").crossJoin(F.broadcast(replies.drop("uid").limit(1)))
+    for by, rows in (("g", many), ("g", many.withColumn("g", F.lit(None).cast("long")).limit(5))):
+        done = managers.manage("batch", rows, places, by=by)
+        assert "InPandas" not in done._jdf.queryExecution().toString()  # no frame for each group
+        got = done.groupBy("g").agg(F.count("id").alias("n"), F.max("reward").alias("r"), F.max(F.col("extras")["of"]).alias("o")).collect()
+        assert done.columns == [*rows.columns, "place", "reward", "extras", "acc"] and sum(r.n for r in got) == rows.count()
+        assert all(r.r == r.n - 1 and r.o == r.n for r in got)
+
+
 def test_token_rewards(spark):
     tokens = F.array(*[F.lit("x")] * 4)
     assert one(spark, managers.token_rewards(F.lit(2.0), F.lit(1), tokens), managers.token_rewards(F.lit(2.0), F.lit(-1), tokens)) == ([0.0, 2.0, 0.0, 0.0], [0.0, 0.0, 0.0, 2.0])
