@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,21 +162,36 @@ def run_tools(calls: DataFrame, tools: dict[str, Tool]) -> DataFrame:
     """
     held = cloudpickle.dumps(tools)
     fields = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
-
-    def play(frame: pd.DataFrame) -> pd.DataFrame:
-        own, states, out = cloudpickle.loads(held), {}, []
-        for x in frame.sort_values("pos").itertuples():
-            try:
-                if x.tool not in own:
-                    raise KeyError(f"Tool {x.tool} not found in tools list")
-                if x.tool not in states:
-                    states[x.tool] = own[x.tool].create(x.truth)
-                states[x.tool], reply, reward = own[x.tool].execute(states[x.tool], json.loads(x.parameters))
-            except Exception as e:  # by contract a failing tool answers with its error
-                reply, reward = str(e.args[0] if e.args else e), 0.0
-            out.append((x.instance, x.pos, str(reply), float(reward)))
-        for t, s in states.items():
-            own[t].release(s)
-        return pd.DataFrame(out, columns=["instance", "pos", "reply", "reward"])
-
-    return calls.groupBy("instance").applyInPandas(play, f"instance {fields['instance']}, pos {fields['pos']}, reply string, reward double")
+    names = ["instance", "pos", "truth", "tool", "parameters"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted calls, an instance at a time; one may go on over batches."""
+        fresh, own, states, now = cloudpickle.loads(held), {}, {}, []
+
+        def end() -> None:
+            for t, s in states.items():
+                own[t].release(s)
+
+        for batch in batches:
+            replies, rewards = [], []
+            for instance, tool, truth, parameters in zip(*(batch.column(c).to_pylist() for c in ("instance", "tool", "truth", "parameters")), strict=True):
+                if now != [instance]:
+                    end()
+                    own, states, now = {}, {}, [instance]
+                try:
+                    if tool not in fresh:
+                        raise KeyError(f"Tool {tool} not found in tools list")
+                    if tool not in own:
+                        own[tool] = copy.deepcopy(fresh[tool])  # what an instance does to its tool stays with it
+                    if tool not in states:
+                        states[tool] = own[tool].create(truth)
+                    states[tool], reply, reward = own[tool].execute(states[tool], json.loads(parameters))
+                except Exception as e:  # by contract a failing tool answers with its error
+                    reply, reward = str(e.args[0] if e.args else e), 0.0
+                replies.append(str(reply))
+                rewards.append(float(reward))
+            yield pa.RecordBatch.from_arrays([batch.column("instance"), batch.column("pos"), pa.array(replies, pa.string()), pa.array(rewards, pa.float64())], names=["instance", "pos", "reply", "reward"])
+        end()
+
+    dealt = calls.select(*names).repartition("instance").sortWithinPartitions("instance", F.col("pos").asc_nulls_last())
+    return dealt.mapInArrow(run, f"instance {fields['instance']}, pos {fields['pos']}, reply string, reward double")

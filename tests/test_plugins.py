@@ -189,6 +189,24 @@ def test_tools_of_a_file(spark, tmp_path):
         U.load_tools(str(two))
 
 
+def test_tools_keep_instances_apart_in_one_pass(spark):
+    class Own(U.Tool):
+        def create(self, truth):
+            self.seen = getattr(self, "seen", 0) + 1  # on the tool itself
+            self.config["n"] = self.config.get("n", 0) + 1
+            return 0
+
+        def execute(self, state, parameters):
+            return state + 1, f"{self.seen} {self.config['n']} {state}", 0.0
+
+    calls = spark.range(60_000).select((F.col("id") % 20_000).alias("instance"), F.floor(F.col("id") / 20_000).alias("pos"), F.lit("1").alias("truth"), F.lit("own").alias("tool"), F.lit("{}").alias("parameters"))
+    done = U.run_tools(calls, {"own": Own({}, None)})
+    assert {(r.pos, r.reply) for r in done.select("pos", "reply").distinct().collect()} == {(i, f"1 1 {i}") for i in range(3)} and done.count() == 60_000
+    assert "InPandas" not in done._jdf.queryExecution().toString()  # no frame for each instance
+    one = U.run_tools(calls.withColumn("instance", F.lit(7)).withColumn("pos", F.col("pos") * 20_000 + F.monotonically_increasing_id()), {"own": Own({}, None)})
+    assert one.agg(F.max(F.substring_index("reply", " ", -1).cast("int"))).first()[0] == 59_999  # over batches
+
+
 # tables and files -----------------------------------------------------------------------------
 
 
