@@ -382,3 +382,22 @@ def test_capitalize_maps_each_character_for_itself(spark, tmp_path):
     want = dict(con.execute(ORACLES["fn_capitalize"]).fetchall())
     assert len(want) == len(got) == len(odd)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_rouge_stems_a_word_once_and_lengths_equal_the_table():
+    def by_table(a, b):
+        row = [0] * (len(b) + 1)
+        for w in a:
+            new = [0]
+            for j, v in enumerate(b):
+                new.append(row[j] + 1 if v == w else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.choice([0, 1, 7, 64, 90]))] for _ in range(2))
+        assert P.common_length(a, b) == by_table(a, b)
+    P.stem.cache_clear()
+    P.rouge_words("relational hopping " * 1000)
+    assert P.stem.cache_info().misses == 2
