@@ -11,13 +11,47 @@ from pyspark.sql import functions as F
 
 #: Most bytes of query vectors that are shipped at once; more queries go in blocks.
 QUERY_BYTES = 16 << 20
+#: Queries and rows of the corpus of a tile: eight megabytes of scores.
+TILE_QUERIES, TILE_ROWS = 1_024, 1_024
+
+
+def best_of(batches: Iterator[pa.RecordBatch], names: np.ndarray, matrix: np.ndarray, k: int, id_col: str) -> Iterator[pa.RecordBatch]:
+    """(qid, id, score): the k best rows (id, vector) of each query, tile by tile."""
+    # the k best so far; a row of the corpus is looked at again only where it may be among them
+    best_s, best_i, held = np.full((len(names), k), np.nan), np.zeros((len(names), k), np.int64), np.zeros(len(names), np.int64)
+    for batch in batches if len(names) else ():
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy()
+        vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        for of in range(0, len(names), TILE_QUERIES):
+            some = slice(of, of + TILE_QUERIES)
+            for at in range(0, len(ids), TILE_ROWS):
+                s = matrix[some] @ vectors[at : at + TILE_ROWS].T
+                least = np.where(held[some] < k, np.nan, best_s[some, -1])
+                q, j = np.nonzero(~(s < least[:, None] - 1e-5))  # rounding to six places comes after
+                if not len(q):
+                    continue
+                mine = np.flatnonzero(np.bincount(q, minlength=len(least)))
+                back, nth = np.nonzero(np.arange(k) < held[some][mine, None])
+                rows = np.concatenate([mine[back], q])
+                scores = np.concatenate([best_s[some][mine][back, nth], np.round(s[q, j], 6)])
+                who = np.concatenate([best_i[some][mine][back, nth], ids[at + j]])
+                order = np.lexsort((who, -scores, rows))
+                rows, scores, who = rows[order], scores[order], who[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                kept = place < k
+                best_s[of + rows[kept], place[kept]], best_i[of + rows[kept], place[kept]] = scores[kept], who[kept]
+                held[some] = np.maximum(held[some], np.bincount(rows[kept], minlength=len(least)))
+    row, nth = np.nonzero(np.arange(k) < held[:, None])
+    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(best_i[row, nth]), pa.array(best_s[row, nth])], names=["qid", id_col, "score"])
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, k, id, score): the k largest dot products of each query, ties by id.
 
-    A block of queries meets each Arrow batch of the corpus as one matrix product;
-    a task keeps k rows per query, so what is shuffled grows with tasks, not rows.
+    A block of queries meets each Arrow batch of the corpus in tiles, each a matrix product of bounded
+    size; a task keeps k rows per query, so what is shuffled grows with tasks, not rows.
     """
     rows = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v"))
     width = rows.select(F.max(F.size("v"))).first()[0] or 1
@@ -28,18 +62,7 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
         names, matrix = np.array([r.q for r in own], dtype=np.int64), np.array([r.v for r in own], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                ids = batch.column(0).to_numpy()
-                vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-                s = np.concatenate([best_s, np.round(matrix @ vectors.T, 6)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(names), len(ids)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["qid", id_col, "score"])
+            yield from best_of(batches, names, matrix, k, id_col)
 
         part = corpus.select(id_col, vector).mapInArrow(run, f"qid bigint, {id_col} bigint, score double")
         out = part if out is None else out.union(part)

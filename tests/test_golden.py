@@ -401,3 +401,26 @@ def test_rouge_stems_a_word_once_and_lengths_equal_the_table():
     P.stem.cache_clear()
     P.rouge_words("relational hopping " * 1000)
     assert P.stem.cache_info().misses == 2
+
+
+def test_dense_search_is_bounded_and_exact():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from spindrift.operators.retrieval import best_of
+
+    rng = np.random.default_rng(3)
+    vectors, k = np.round(rng.standard_normal((10_000, 4)), 1), 3  # many ties
+    vectors[1::2] = vectors[::2]
+    ids, queries = rng.permutation(10_000), vectors[:2_500]
+    made = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(vectors), pa.list_(pa.float64()))], names=["i", "v"])]
+    tracemalloc.start()
+    got = next(best_of(iter(made), np.arange(2_500), queries, k, "vec_id")).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # one matrix of all scores is 200 MB
+    for q in range(0, 2_500, 50):
+        s = np.round(vectors @ queries[q], 6)
+        order = np.lexsort((ids, -s))[:k]
+        assert got[got.qid == q][["vec_id", "score"]].values.tolist() == [[ids[i], s[i]] for i in order]
