@@ -155,3 +155,30 @@ def test_sql_of_line_dedup_is_registered():
     from spindrift.llm.queries import ORACLES
 
     assert ORACLES["op9_line_dedup"] == OP9_SQL
+
+
+def test_no_member_of_a_large_group_is_spared(spark):
+    """All pairs are found: links that only one member of a large group has, cells cut in chunks, any order of shingles."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(90):  # a large group
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        texts[i] = " ".join(words)
+    for i in range(90, 180):  # chains that leave it from one member each
+        words = texts[i - 90].split()
+        words[rng.randrange(60)] = f"y{i}"
+        texts[i] = " ".join(words)
+    for i in range(180, 300):  # a common passage in texts of their own
+        texts[i] = " ".join([f"z{i}_{j}" for j in range(rng.randint(10, 30))] + base[:15])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = similar_components(texts)
+    plain = df.toDF("c0", "c1")
+    for size in (7, 4_096):
+        got = {}
+        for r in simhash.similar_groups(plain, "c0", "c1", cell_size=size).join(simhash._with_node(plain, 1), "node").collect():
+            got[r.c0] = r.low
+        assert got == want
