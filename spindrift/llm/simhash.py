@@ -29,7 +29,7 @@ smallest id unless all are null. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -301,6 +301,8 @@ SHINGLE, SIMILAR = 5, 0.8
 PAIRWISE = 16
 #: Of one in ``OF`` texts, shingles that stand in ``COMMON`` or more are common; at most ``MOST`` of them are told apart. They only shape the order.
 OF, COMMON, MOST = 16, 8, 100_000
+#: Bits of a set's marks.
+MARKS = 1_024
 #: Most rows of a table of ids or hashes that is broadcast (some tens of megabytes).
 FEW = 1_000_000
 
@@ -321,16 +323,19 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield _node(text), np.unique(_shingles(text.lower().split(), k))
 
 
-def _with_node(plain: DataFrame, text_at: int) -> DataFrame:
-    """Rows with ``node``, the hash of their words."""
-    names = [*plain.columns, "node"]
+def _with_node(plain: DataFrame, text_at: int, text: bool = True) -> DataFrame:
+    """Rows with ``node``, the hash of their words; without the text itself if it is not wanted."""
+    kept = [i for i in range(len(plain.columns)) if text or i != text_at]
+    names = [*[plain.columns[i] for i in kept], "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_node((x.as_py() or "").encode()) for x in batch.column(text_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _signed(found)], names=names)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                found = [_node((x.as_py() or "").encode()) for x in part.column(text_at)]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], _signed(found)], names=names)
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("node", LongType()))
+    return plain.mapInArrow(run, StructType([plain.schema.fields[i] for i in kept]).add("node", LongType()))
 
 
 def _near(table: DataFrame) -> DataFrame:
@@ -373,6 +378,24 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, least: fl
     return 1 + np.minimum(n - at - 1, m - to - 1) >= needed
 
 
+def _marks(found: np.ndarray) -> bytes:
+    """The size of a set and ``MARKS`` bits, each the parity of the shingles that fall on it."""
+    bits = np.bincount((found & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return len(found).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _may_by_marks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, ma, mb) that can be similar: marks differ in no more bits than the sets in shingles."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ma", "mb"))
+        total = x[:, :8].copy().view(np.int64).ravel() + y[:, :8].copy().view(np.int64).ravel()
+        apart = np.bitwise_count(x[:, 8:] ^ y[:, 8:]).sum(axis=1, dtype=np.int64)
+        close = pa.array(apart <= total - 2 * np.ceil(least / (1 + least) * total - 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(close) for c in ("a", "b")], names=["a", "b"])
+
+
 def _cell_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, least: float, open_key: int | None) -> pa.RecordBatch:
     """Of sorted cells: pairs (a, b) that may be similar of small ones; of large ones stars, and all their rows (a, key, n, at)."""
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -482,7 +505,7 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
     Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, all of them: the join is exact, by prefixes of
     the sets. Of cells with many nodes stars are verified first, then all pairs that these leave in different groups.
     """
-    rows = _with_node(plain.select(id_col, text_col), 1).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _with_node(plain.select(id_col, text_col), 1, False).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     lowest = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "n"))
     nodes = written(rows.groupBy("node").agg(lowest.alias("x"), F.sum("n").alias("copies")).select("node", F.col("x.id").alias("low"), F.col("x.n").alias("own"), "copies"))
     # of copies those of the smallest id speak for all
@@ -493,17 +516,25 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The similar ones of the pairs (a, b), written."""
-        pairs = written(pairs.where("a <> b").distinct())
-        asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
-        own = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
+        def of_texts(pairs: DataFrame, made: str, make: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
+            """What ``make`` makes of the set of each node in the pairs, as (node, x), written."""
+            asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
+            own = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first in range(0, batch.num_rows, 500):
-                    sets = list(_sets(batch.column(0).slice(first, 500), k))
-                    yield pa.RecordBatch.from_arrays([_signed([x for x, _ in sets]), pa.array([f.view(np.int64) for _, f in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for first in range(0, batch.num_rows, 500):
+                        sets = list(_sets(batch.column(0).slice(first, 500), k))
+                        yield pa.RecordBatch.from_arrays([_signed([x for x, _ in sets]), pa.array([make(f) for _, f in sets], kind)], names=["node", "x"])
 
-        sets = written(own.mapInArrow(run, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+            return written(own.mapInArrow(run, f"node bigint, x {made}").groupBy("node").agg(F.first("x").alias("x")))
+
+        # marks of bounded size first; only sets that these leave move
+        pairs = written(pairs.where("a <> b").distinct())
+        marks = of_texts(pairs, "binary", _marks, pa.binary())
+        left, right = (marks.select(F.col("node").alias(x), F.col("x").alias(f"m{x}")) for x in ("a", "b"))
+        pairs = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(lambda batches: _may_by_marks(batches, least), "a bigint, b bigint"))
+        sets = of_texts(pairs, "array<bigint>", lambda f: f.view(np.int64), pa.list_(pa.int64())).withColumnRenamed("x", "shingles")
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
         shared = F.size(F.array_intersect("sa", "sb"))
         return written(pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
