@@ -21,7 +21,8 @@ over written tables.
 Similar texts (``first_of_similar``) share 0.8 of their five-word shingles, whatever their
 fingerprints. They come from an exact join by prefixes: in one order of all shingles,
 common ones last, two such texts share one of the first fifth of theirs. Cells with
-many texts are verified by stars first, then all pairs that are not in one group yet.
+many texts are verified by stars first, then by forests of the likeliest pairs, then all
+pairs that are not in one group yet.
 
 Null text: empty, fingerprint zero. Null ids: rows of their own, ignored as
 smallest id unless all are null. Repeated rows give repeated rows.
@@ -301,8 +302,8 @@ SHINGLE, SIMILAR = 5, 0.8
 PAIRWISE = 16
 #: Of one in ``OF`` texts, shingles that stand in ``COMMON`` or more are common; at most ``MOST`` of them are told apart. They only shape the order.
 OF, COMMON, MOST = 16, 8, 100_000
-#: Bits of a set's marks.
-MARKS = 1_024
+#: Least bits of a set's marks; larger sets have as many as they have shingles, up to the next power of two.
+MARKS = 64
 #: Most rows of a table of ids or hashes that is broadcast (some tens of megabytes).
 FEW = 1_000_000
 
@@ -379,21 +380,42 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, least: fl
 
 
 def _marks(found: np.ndarray) -> bytes:
-    """The size of a set and ``MARKS`` bits, each the parity of the shingles that fall on it."""
-    bits = np.bincount((found & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    """The size of a set and its marks: bits, each the parity of the shingles that fall on it.
+
+    Their number grows with the set, for those of a fixed number say nothing about a large one. Half of them over the other half gives
+    the marks of half as many bits.
+    """
+    width = max(MARKS, 1 << (len(found) - 1).bit_length()) if len(found) else MARKS
+    bits = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return len(found).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _spare(marks: tuple[list[bytes], list[bytes]], least: float) -> np.ndarray:
+    """How many more bits could differ, pair by pair, between the marks of similar sets; below zero the sets are not similar.
+
+    Marks, and sizes, differ in no more than the sets in shingles.
+    """
+    wide = np.array([[len(x) for x in side] for side in marks])
+    spare = np.zeros(wide.shape[1], np.int64)
+    for widths in np.unique(wide, axis=1).T:
+        at = np.flatnonzero((wide == widths[:, None]).all(axis=0))
+        both = [np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1) for side in marks]
+        n, m = (x[:, :8].copy().view(np.int64).ravel() for x in both)
+        x, y = (x[:, 8:] for x in both)
+        while x.shape[1] != y.shape[1]:  # the wider marks fold
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (z[:, :half] ^ z[:, half:] if z.shape[1] > half else z for z in (x, y))
+        apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+        spare[at] = n + m - 2 * np.ceil(least / (1 + least) * (n + m) - 1e-9).astype(np.int64) - apart
+    return spare
+
+
 def _may_by_marks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of (a, b, ma, mb) that can be similar: marks differ in no more bits than the sets in shingles."""
+    """The pairs (a, b) of (a, b, ma, mb) that can be similar by their marks."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ma", "mb"))
-        total = x[:, :8].copy().view(np.int64).ravel() + y[:, :8].copy().view(np.int64).ravel()
-        apart = np.bitwise_count(x[:, 8:] ^ y[:, 8:]).sum(axis=1, dtype=np.int64)
-        close = pa.array(apart <= total - 2 * np.ceil(least / (1 + least) * total - 1e-9))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(close) for c in ("a", "b")], names=["a", "b"])
+        if batch.num_rows:
+            close = pa.array(_spare((batch.column("ma").to_pylist(), batch.column("mb").to_pylist()), least) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(close) for c in ("a", "b")], names=["a", "b"])
 
 
 def _cell_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, least: float, open_key: int | None) -> pa.RecordBatch:
@@ -410,7 +432,7 @@ def _cell_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray
     hit = (node[x] != node[y]) & _may(n[x], at[x], n[y], at[y], least)
     rows, head = ragged(begin[large], size[large]), np.repeat(begin[large], size[large])
     x, y = np.concatenate([x[hit], rows, rows[1:]]), np.concatenate([y[hit], head, rows[:-1]])  # stars, and each with the one before
-    star = (node[x] != node[y]) & (key[x] == key[y])
+    star = (node[x] != node[y]) & (key[x] == key[y]) & _may(n[x], 0, n[y], 0, least)  # of sizes that can be similar
     pair = np.unique(np.stack([np.minimum(node[x[star]], node[y[star]]), np.maximum(node[x[star]], node[y[star]])]), axis=1)
     none, k = pa.nulls(pair.shape[1], pa.int64()), len(rows)
     columns = [(pair[0], node[rows]), (pair[1], None), (none, key[rows]), (none, n[rows]), (none, at[rows])]
@@ -451,8 +473,9 @@ def prefix_pairs(texts: DataFrame, k: int, least: float, common: np.ndarray) ->
     return written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a bigint, b bigint, key bigint, n bigint, at bigint"))
 
 
-def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int = CELL) -> DataFrame:
-    """(a, b) that may be similar among the rows (key, node, n, at) of large cells: all pairs of nodes that ``labels`` (node, label) do not connect yet.
+def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int = CELL, forest: bool = False) -> DataFrame:
+    """(a, b) that may be similar, by places and marks, among the rows (key, node, n, at, marks) of large cells: all pairs of nodes that ``labels``
+    (node, label) do not connect yet, or with ``forest`` only enough of them, those with the closest marks, to connect what all would.
 
     A cell is dealt in chunks, chunk against chunk, so that a task holds two of them, however large the cell.
     """
@@ -460,24 +483,37 @@ def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int =
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(_near(chunks), "key")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    dealt = named.select("key", F.explode(places).alias("c"), "node", "label", "n", "at").select("key", "c.i", "c.j", "node", "label", "n", "at")
+    dealt = named.select("key", F.explode(places).alias("c"), "node", "label", "n", "at", "marks").select("key", "c.i", "c.j", "node", "label", "n", "at", "marks")
 
-    def pairs(node, label, n, at) -> Iterator[pa.RecordBatch]:
+    def pairs(node, label, n, at, marks) -> Iterator[pa.RecordBatch]:
         order = np.argsort(label, kind="stable")
-        node, label, n, at = node[order], label[order], n[order], at[order]
+        node, label, n, at, marks = node[order], label[order], n[order], at[order], marks[order]
         after = np.searchsorted(label, label, side="right")  # of other components only later ones, so each pair once
+        root = np.unique(label, return_inverse=True)[1]
         step = max(1, (1 << 21) // len(node))
         for first in range(0, len(node), step):
             x = np.arange(first, min(first + step, len(node)))
             later = len(node) - after[x]
             x, y = np.repeat(x, later), ragged(after[x], later)
             hit = _may(n[x], at[x], n[y], at[y], least)
-            x, y = node[x[hit]], node[y[hit]]
+            x, y = x[hit], y[hit]
+            if forest:
+                x, y = (z[root[x] != root[y]] for z in (x, y))
+            spare = np.concatenate([np.zeros(0, np.int64), *[_spare((marks[x[i : i + 4_096]].tolist(), marks[y[i : i + 4_096]].tolist()), least) for i in range(0, len(x), 4_096)]])
+            x, y, spare = (z[spare >= 0] for z in (x, y, spare))
+            if forest:
+                chosen = []
+                for i in np.argsort(-spare, kind="stable").tolist():
+                    u, v = root[x[i]], root[y[i]]
+                    if u != v:
+                        root[root == v] = u
+                        chosen.append(i)
+                x, y = x[chosen], y[chosen]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 7
+        held = [*[np.zeros(0, np.int64)] * 7, np.zeros(0, object)]
 
         def cells(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             change = np.any([p[1:] != p[:-1] for p in parts[:3]], axis=0)
@@ -486,7 +522,7 @@ def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int =
                 yield from pairs(*[p[u:v] for p in parts[3:]])
 
         for batch in batches:
-            held = [np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(held, batch.columns, strict=True)]
+            held = [np.concatenate([x, c.to_numpy(zero_copy_only=False).astype(x.dtype)]) for x, c in zip(held, batch.columns, strict=True)]
             last = np.flatnonzero(np.any([p != p[-1] for p in held[:3]], axis=0)) if len(held[0]) else ()
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut > 50_000:
@@ -503,7 +539,8 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
     the node, and the node and its own smallest id.
 
     Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, all of them: the join is exact, by prefixes of
-    the sets. Of cells with many nodes stars are verified first, then all pairs that these leave in different groups.
+    the sets. Of cells with many nodes stars are verified first, then forests of the pairs with the closest marks, then all pairs that these leave in
+    different groups.
     """
     rows = _with_node(plain.select(id_col, text_col), 1, False).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     lowest = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "n"))
@@ -514,36 +551,43 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
     texts = ones.where(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("of"))).select("text")
     found = prefix_pairs(texts, k, least, common_shingles(plain.select(F.col(text_col).alias("text")), k))
 
+    def of_texts(asked: DataFrame, made: str, make: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
+        """What ``make`` makes of the set of each node asked for (repeats allowed), as (node, x), written."""
+        asked = written(asked.distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
+        own = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 500):
+                    sets = list(_sets(batch.column(0).slice(first, 500), k))
+                    yield pa.RecordBatch.from_arrays([_signed([x for x, _ in sets]), pa.array([make(f) for _, f in sets], kind)], names=["node", "x"])
+
+        return written(own.mapInArrow(run, f"node bigint, x {made}").groupBy("node").agg(F.first("x").alias("x")))
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+    def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """The pairs with what ``of`` has for either node, xa and xb."""
+        left, right = (of.select(F.col("node").alias(c), F.col("x").alias(f"x{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """The similar ones of the pairs (a, b), written."""
-        def of_texts(pairs: DataFrame, made: str, make: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
-            """What ``make`` makes of the set of each node in the pairs, as (node, x), written."""
-            asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "low"), "node").select("low").distinct())
-            own = plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_near(asked), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for first in range(0, batch.num_rows, 500):
-                        sets = list(_sets(batch.column(0).slice(first, 500), k))
-                        yield pa.RecordBatch.from_arrays([_signed([x for x, _ in sets]), pa.array([make(f) for _, f in sets], kind)], names=["node", "x"])
-
-            return written(own.mapInArrow(run, f"node bigint, x {made}").groupBy("node").agg(F.first("x").alias("x")))
-
-        # marks of bounded size first; only sets that these leave move
-        pairs = written(pairs.where("a <> b").distinct())
-        marks = of_texts(pairs, "binary", _marks, pa.binary())
-        left, right = (marks.select(F.col("node").alias(x), F.col("x").alias(f"m{x}")) for x in ("a", "b"))
-        pairs = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(lambda batches: _may_by_marks(batches, least), "a bigint, b bigint"))
-        sets = of_texts(pairs, "array<bigint>", lambda f: f.view(np.int64), pa.list_(pa.int64())).withColumnRenamed("x", "shingles")
-        left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return written(pairs.join(left, "a").join(right, "b").where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
-
-    links_found = alike(found.where("b is not null").select("a", "b"))
+        """The similar ones of the written pairs (a, b), written."""
+        shared = F.size(F.array_intersect("xa", "xb"))
+        sets = of_texts(both(pairs), "array<bigint>", lambda f: f.view(np.int64), pa.list_(pa.int64()))
+        return written(sides(pairs, sets).where(shared >= least * (F.size("xa") + F.size("xb") - shared)).select("a", "b"))
+
+    # marks first, a bit or two for each shingle; only sets of pairs that these leave move
+    pairs = written(found.where("b is not null and a <> b").select("a", "b").distinct())
+    marked = sides(pairs, of_texts(both(pairs), "binary", _marks, pa.binary())).select("a", "b", F.col("xa").alias("ma"), F.col("xb").alias("mb"))
+    links_found = alike(written(marked.mapInArrow(lambda batches: _may_by_marks(batches, least), "a bigint, b bigint")))
     rest = found.where("b is null").select("key", F.col("a").alias("node"), "n", "at")
     if rest.limit(1).count():
-        more = alike(cell_rest(rest, written(components(links_found)), least, cell_size))
-        links_found = links_found.union(more)
+        rest = rest.join(of_texts(rest.select("node"), "binary", _marks, pa.binary()).withColumnRenamed("x", "marks"), "node")
+        for forest in (True, False):  # the likeliest first, so that few groups are left for all pairs
+            more = alike(written(cell_rest(rest, written(components(links_found)), least, cell_size, forest).distinct()))
+            links_found = links_found.union(more)
     linked = components(links_found)
     labelled = written(nodes.join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low", "own", "copies", F.coalesce("label", "node").alias("label")))
     best = F.min(F.struct(F.col("low").isNull().alias("missing"), "low", "node"))

@@ -182,3 +182,54 @@ def test_no_member_of_a_large_group_is_spared(spark):
         for r in simhash.similar_groups(plain, "c0", "c1", cell_size=size).join(simhash._with_node(plain, 1), "node").collect():
             got[r.c0] = r.low
         assert got == want
+
+
+def test_marks_rule_out_unlike_sets_of_any_size():
+    """No similar pair is ruled out; unlike ones are, however large, and so are those of unlike sizes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+
+    def left(pairs):
+        columns = [list(range(len(pairs))), [-i for i in range(len(pairs))], [simhash._marks(x) for x, _ in pairs], [simhash._marks(y) for _, y in pairs]]
+        batch = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["a", "b", "ma", "mb"])
+        return {i for out in simhash._may_by_marks(iter([batch]), 0.8) for i in out.column("a").to_pylist()}
+
+    some = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    alike, unlike = [], []
+    for n in (1, 5, 64, 70, 1_000, 1_030, 4_100, 20_000, 70_000):
+        base = some(n)
+        alike += [(base, base), (base, base[: -(-len(base) * 4 // 5)]), (np.unique(np.concatenate([base, some(n // 4)])), base)]
+        cut = len(base) // 18  # of each side its own: 17 of 19 shared
+        alike.append((np.concatenate([base[cut:], some(cut)]), base))
+        if n >= 64:
+            unlike += [(base, some(n)), (base, some(n * 9 // 10)), (base, base[: len(base) // 2]), (np.concatenate([base[: n // 2], some(n - n // 2)]), base)]
+    alike = [(x, y) for x, y in alike if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))]
+    assert len(alike) >= 30 and left(alike) == set(range(len(alike)))
+    assert not left(unlike)
+
+
+def test_sets_move_only_for_pairs_that_may_be_similar(spark, monkeypatch):
+    """Large unlike texts with common passages: their candidates end at the marks, so that no set is sent."""
+    rng = random.Random(5)
+    shared = [[f"s{i}_{j}" for j in range(5)] for i in range(40)]
+    texts = []
+    for i in range(30):
+        words = [f"w{i}_{j}" for j in range(5_000)]
+        for passage in shared:
+            at = rng.randrange(len(words))
+            words[at:at] = passage
+        texts.append((i, " ".join(words)))
+    texts.append((30, texts[0][1] + " and more"))
+    sent, plain = [], simhash.written
+
+    def counted(df, *a, **b):
+        out = plain(df, *a, **b)
+        if dict(out.dtypes).get("x") == "array<bigint>":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    kept = {r.doc_id for r in simhash.first_of_similar(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(range(30))
+    assert sent and sum(sent) <= 4, sent
