@@ -40,6 +40,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, AFTER_WHITE, AFTER_QUOTE,
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces of which the ids are kept by each worker; the store is emptied when full.
 CACHE = 400_000
+#: Bytes of text that are encoded at once: a worker keeps the room that the arrays of a chunk took.
+ENCODED_BYTES = 1 << 19
 #: No token: above every rank.
 NONE = np.int32(1 << 30)
 
@@ -321,7 +323,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+            for first, end, data, offsets in text_chunks(batch.column(1), ENCODED_BYTES):
                 flat, at = own.encode(data, offsets)
                 back, starts = own.decode(flat)
                 raw, n = flat.astype("<u4"), end - first

@@ -490,15 +490,18 @@ def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int =
         node, label, n, at, marks = node[order], label[order], n[order], at[order], marks[order]
         after = np.searchsorted(label, label, side="right")  # of other components only later ones, so each pair once
         root = np.unique(label, return_inverse=True)[1]
-        step = max(1, (1 << 21) // len(node))
+        step, fine = (max(1, (1 << bits) // len(node)) for bits in (21, 18))  # rows whose pairs are chosen from together, and looked at together
         for first in range(0, len(node), step):
-            x = np.arange(first, min(first + step, len(node)))
-            later = len(node) - after[x]
-            x, y = np.repeat(x, later), ragged(after[x], later)
-            hit = _may(n[x], at[x], n[y], at[y], least)
-            x, y = x[hit], y[hit]
-            if forest:
-                x, y = (z[root[x] != root[y]] for z in (x, y))
+            parts = []
+            for begin in range(first, min(first + step, len(node)), fine):
+                x = np.arange(begin, min(begin + fine, first + step, len(node)))
+                later = len(node) - after[x]
+                x, y = np.repeat(x, later), ragged(after[x], later)
+                hit = _may(n[x], at[x], n[y], at[y], least)
+                if forest:
+                    hit &= root[x] != root[y]
+                parts.append((x[hit], y[hit]))
+            x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
             spare = np.concatenate([np.zeros(0, np.int64), *[_spare((marks[x[i : i + 4_096]].tolist(), marks[y[i : i + 4_096]].tolist()), least) for i in range(0, len(x), 4_096)]])
             x, y, spare = (z[spare >= 0] for z in (x, y, spare))
             if forest:
@@ -534,21 +537,32 @@ def cell_rest(rows: DataFrame, labels: DataFrame, least: float, cell_size: int =
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(match, "a bigint, b bigint")
 
 
-def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, least: float = SIMILAR, cell_size: int = CELL) -> DataFrame:
+def _ids(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written: (node, id, n), how many rows have the words and the id."""
+    return written(_with_node(plain.select(F.col(id_col).alias("id"), text_col), 1, False).groupBy("node", "id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _without(plain: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not in the one column of ``ids``."""
+    return plain.join(_near(ids.toDF("without")), F.col(id_col).eqNullSafe(F.col("without")), "left_anti")
+
+
+def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, least: float = SIMILAR, cell_size: int = CELL, ids: DataFrame | None = None) -> DataFrame:
     """(node, low, keeper, copies, own): for each distinct sequence of words its group's smallest id, the node of that id, and how many rows have
-    the node, and the node and its own smallest id.
+    the node, and the node and its own smallest id. ``ids``: what ``_ids`` gives, if it is there already.
 
     Groups are what links of similarity ``least`` or more over distinct ``k``-word shingles connect, all of them: the join is exact, by prefixes of
     the sets. Of cells with many nodes stars are verified first, then forests of the pairs with the closest marks, then all pairs that these leave in
-    different groups.
+    different groups. No stage has two steps in Python: Spark keeps a worker process for each, with what it has grown to.
     """
-    rows = _with_node(plain.select(id_col, text_col), 1, False).groupBy("node", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = ids or _ids(plain, id_col, text_col)
     lowest = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "n"))
-    nodes = written(rows.groupBy("node").agg(lowest.alias("x"), F.sum("n").alias("copies")).select("node", F.col("x.id").alias("low"), F.col("x.n").alias("own"), "copies"))
-    # of copies those of the smallest id speak for all
+    nodes = written(ids.groupBy("node").agg(lowest.alias("x"), F.sum("n").alias("copies")).select("node", F.col("x.id").alias("low"), F.col("x.n").alias("own"), "copies"))
+    # of copies those of the smallest id speak for all; an id goes if it is the smallest of none of its nodes
     copied = nodes.where("copies > 1").select(F.col("node").alias("copied"), F.col("low").alias("of"))
-    ones = _with_node(plain.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), 1).join(_near(copied), F.col("node") == F.col("copied"), "left")
-    texts = ones.where(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("of"))).select("text")
+    others = ids.join(_near(copied), F.col("node") == F.col("copied")).where(~F.col("id").eqNullSafe(F.col("of"))).select("id").distinct()
+    silent = written(others.join(nodes.select("low"), F.col("id").eqNullSafe(F.col("low")), "left_anti"))
+    texts = _without(plain, id_col, silent).select(F.col(text_col).alias("text"))
     found = prefix_pairs(texts, k, least, common_shingles(plain.select(F.col(text_col).alias("text")), k))
 
     def of_texts(asked: DataFrame, made: str, make: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
@@ -598,18 +612,24 @@ def similar_groups(plain: DataFrame, id_col: str, text_col: str, k: int = SHINGL
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """The rows, with their columns, of the smallest id of each group of similar texts; of rows equal in id and words, one.
 
-    Only nodes with something to drop are joined back, so most texts do not move; rows repeated as they are, if there
-    are any, meet among themselves.
+    Ids decide, so texts are not read into Python again; only rows of ids that stay in part (repeated rows, texts of one id) are looked at one by one.
     """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    groups = similar_groups(plain, own, text, k, least)
+    ids = _ids(plain, own, text)
+    groups = similar_groups(plain, own, text, k, least, ids=ids)
     judged = groups.where("copies > 1 or node <> keeper").select(F.col("node").alias("judged"), (F.col("node") == F.col("keeper")).alias("stays"), F.col("low").alias("keeps"))
-    rows = _with_node(plain, plain.columns.index(text))
-    kept = rows.join(_near(judged), F.col("node") == F.col("judged"), "left").where(F.col("judged").isNull() | (F.col("stays") & F.col(own).eqNullSafe(F.col("keeps"))))
-    if groups.where("node = keeper and own > 1").limit(1).count():  # rows repeated as they are
-        kept = written(kept)
-        again = groups.where("node = keeper and own > 1").select(F.col("node").alias("again"))
-        one = kept.join(again, F.col("node") == F.col("again"), "left_semi").dropDuplicates(["node"])
-        kept = kept.join(again, F.col("node") == F.col("again"), "left_anti").unionByName(one)
-    return kept.select(*plain.columns).toDF(*docs.columns)
+    judged = _near(written(judged))
+
+    def stay(rows: DataFrame, id_col: str) -> DataFrame:
+        """The rows with ``stay``."""
+        return rows.join(judged, F.col("node") == F.col("judged"), "left").withColumn("stay", F.col("judged").isNull() | (F.col("stays") & F.col(id_col).eqNullSafe(F.col("keeps"))))
+
+    by_id = stay(ids, "id").groupBy("id").agg(F.max("stay").alias("some"), F.min(F.col("stay") & (F.col("n") == 1)).alias("every"))
+    changed = written(by_id.where("not every").select("id", "some"))
+    kept = _without(plain, own, changed.select("id"))
+    in_part = changed.where("some").select(F.col("id").alias("in_part"))
+    if in_part.limit(1).count():
+        rows = _with_node(plain.join(_near(in_part), F.col(own).eqNullSafe(F.col("in_part")), "left_semi"), plain.columns.index(text))
+        kept = kept.union(stay(rows, own).where("stay").dropDuplicates([own, "node"]).select(*plain.columns))
+    return kept.toDF(*docs.columns)

@@ -233,3 +233,53 @@ def test_sets_move_only_for_pairs_that_may_be_similar(spark, monkeypatch):
     kept = {r.doc_id for r in simhash.first_of_similar(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
     assert kept == set(range(30))
     assert sent and sum(sent) <= 4, sent
+
+
+def test_one_python_step_a_stage(spark, monkeypatch):
+    """Spark keeps a worker process for each step in Python of a stage; the rows that stay are not read into Python at all."""
+    most, plain = [], simhash.written
+
+    def steps(node):
+        """Steps in Python between two exchanges, and how many the last one has so far."""
+        kids = [steps(node.children().apply(i)) for i in range(node.children().size())]
+        done, now = max([0, *(x for x, _ in kids)]), max([0, *(x for _, x in kids)])
+        now = 0 if "Exchange" in node.nodeName() else now + ("InArrow" in node.nodeName())
+        return max(done, now), now
+
+    def seen(df, *a, **b):
+        most.append(steps(df._jdf.queryExecution().sparkPlan())[0])
+        return plain(df, *a, **b)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    base = [f"w{j}" for j in range(80)]
+    rows = [(i, " ".join([*base[:40], f"x{i}", *base[40:]])) for i in range(20)] + [(100 + i, "one and the same") for i in range(5)]
+    out = simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert max(most) == 1, most
+    assert steps(out._jdf.queryExecution().sparkPlan())[0] == 0
+    assert {r.doc_id for r in out.collect()} == {0, 100}
+
+
+def test_repeated_ids_stay_in_part(spark):
+    """Ids with several texts, of which some go; rows repeated as they are; null ids."""
+    rng = random.Random(3)
+    texts = ["a b", "A  b", "c", "C", "", None, "d e f", "g", "h", "i j"]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts)) for _ in range(60)]
+    rows += [(20, "only here"), (21, "twice"), (21, "twice"), (None, "of no id"), (None, "of no id")]
+    want: dict = {}
+    for i, t in rows:
+        words = tuple((t or "").lower().split())
+        want[words] = min(want.get(words, (True, 0)), (i is None, i or 0))
+    got = [((r.doc_id is None, r.doc_id or 0), tuple((r.text or "").lower().split())) for r in simhash.first_of_similar(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect()]
+    assert sorted(got) == sorted((i, w) for w, i in want.items())
+
+
+def test_texts_are_encoded_in_small_chunks(spark, monkeypatch):
+    """Workers stay, and keep the room that a chunk took; the ids do not depend on the chunks."""
+    texts = [(i, " ".join(f"word{i * j % 977}" for j in range(4_000))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    sizes, plain, made = [], bpe.Coder.encode, bpe.coder(ranks_path())
+    want = {i: made.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist() for i, t in texts}
+    monkeypatch.setattr(bpe.Coder, "encode", lambda self, data, offsets: (sizes.append(len(data)), plain(self, data, offsets))[1])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: [x for b in self.toArrow().to_batches(max_chunksize=100) for x in f(iter([b]))])
+    got = {i: list(ids) for b in bpe.encode_texts(df, ranks_path()) for i, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True)}
+    assert got == want and len(sizes) > 1 and max(sizes) <= 1 << 19
